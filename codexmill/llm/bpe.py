@@ -12,6 +12,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 #: The pattern by which byte-level vocabularies of this kind split text before merging (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -133,10 +134,11 @@ def encode_decode(docs: DataFrame, path: str, digests: bool = True) -> DataFrame
 
     Null texts count as empty: no ids, empty decoded text. Repeated rows are encoded each; extra columns are ignored;
     texts of any length are encoded whole; an empty table gives an empty result."""
-    extra = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    schema = docs.select(F.col("doc_id")).schema.add("n_tokens", "long")
-    for field in extra.split(", "):
-        schema = schema.add(*field.split(" "))
+    schema = docs.select("doc_id").schema.add("n_tokens", "long")
+    if digests:
+        schema = schema.add("ids_sha256", "string").add("decoded_sha256", "string")
+    else:
+        schema = schema.add("ids", ArrayType(IntegerType())).add("decoded", "string")
 
     def run(batches):
         bpe, names = load(path), {}
