@@ -179,7 +179,9 @@ def verified_spans(a: np.ndarray, b: np.ndarray, a_lo: int, b_lo: int, shift: in
     if len(b) < WIDTH or len(a) < MATCHED:
         return []
     same = np.zeros(len(b), bool)
-    for e in range(-DRIFT, DRIFT + 1):
+    for e in sorted(range(-DRIFT, DRIFT + 1), key=abs):
+        if e and same.all():
+            break
         off = b_lo - shift - a_lo + e  # place in a of b's first
         x, y = max(0, -off), min(len(b), len(a) - off)
         if x < y:
@@ -195,6 +197,17 @@ def verified_spans(a: np.ndarray, b: np.ndarray, a_lo: int, b_lo: int, shift: in
     return out
 
 
+def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted, joined where they touch or overlap; ends included."""
+    out: list[tuple[int, int]] = []
+    for first, last in sorted(spans):
+        if out and first <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], last))
+        else:
+            out.append((first, last))
+    return out
+
+
 def repeated_spans(docs: DataFrame, hashes: int = HASHES) -> tuple[DataFrame, DataFrame]:
     """(windows, spans): stored (doc_id, n_words, ..) of every row, and (doc_id, spans array<struct<first, last>>, sources)
     of the documents that repeat a passage of an earlier place; ends included, merged, in words of the whole text.
@@ -209,16 +222,18 @@ def repeated_spans(docs: DataFrame, hashes: int = HASHES) -> tuple[DataFrame, Da
     def run(batches):
         kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
         for batch in batches:
-            ids, sources, spans = [], [], []
+            held: dict[int, tuple[list, set]] = {}  # rows of a document stand together after the join
             for b_id, a_id, a, b, a_lo, b_lo, shift in zip(*(batch.column(c).to_pylist() for c in range(7))):
                 found = verified_spans(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), a_lo, b_lo, shift)
                 if found:
-                    ids.append(b_id)
-                    sources.append(a_id)
-                    spans.append([{"first": x, "last": y} for x, y in found])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sources, pa.int64()), pa.array(spans, kind)], ["doc_id", "source", "spans"])
-
-    found = paired.select("b_id", "a_id", "a", "b", "a_lo", "b_lo", "shift").mapInArrow(run, "doc_id long, source long, spans array<struct<first:long,last:long>>")
+                    spans, sources = held.setdefault(b_id, ([], set()))
+                    spans += found
+                    sources.add(a_id)
+            merged = [[{"first": x, "last": y} for x, y in merge_spans(spans)] for spans, _ in held.values()]
+            sources = [sorted(x) for _, x in held.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(sources, pa.list_(pa.int64())), pa.array(merged, kind)], ["doc_id", "sources", "spans"])
+
+    found = paired.select("b_id", "a_id", "a", "b", "a_lo", "b_lo", "shift").mapInArrow(run, "doc_id long, sources array<long>, spans array<struct<first:long,last:long>>")
     zero = F.array().cast("array<struct<first:long,last:long>>")
     one = lambda h: F.struct(h["first"].alias("first"), h["last"].alias("last"))
 
@@ -228,7 +243,7 @@ def repeated_spans(docs: DataFrame, hashes: int = HASHES) -> tuple[DataFrame, Da
         return F.when(F.size(acc) == 0, F.array(one(h))).when(h["first"] > top["last"] + 1, F.concat(acc, F.array(one(h)))).otherwise(merged)
 
     merged = F.aggregate(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))), zero, joined)
-    spans = found.groupBy("doc_id").agg(merged.alias("spans"), F.array_sort(F.collect_set("source")).alias("sources"))
+    spans = found.groupBy("doc_id").agg(merged.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
     return windows, spans
 
 
