@@ -145,7 +145,8 @@ def _runs(windows: DataFrame) -> DataFrame:
     split where a signature is hot."""
     flat = windows.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(F.arrays_zip("keys", "centres")).alias("w")).select(F.col("w.keys").alias("key"), "doc_id", F.col("w.centres").alias("c"))
     first = flat.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "c")).alias("f")).where("n > 1").select("key", F.col("f.doc_id").alias("a_id"), F.col("f.c").alias("a_c"))
-    links = flat.join(first, "key").where((F.col("doc_id") != F.col("a_id")) | (F.col("c") != F.col("a_c")))
+    # stored, so that both sides of the join come from plain exchanges and a hot signature's windows can be split
+    links = flat.join(materialize(first, "first-windows"), "key").where((F.col("doc_id") != F.col("a_id")) | (F.col("c") != F.col("a_c")))
     return links.groupBy("a_id", F.col("doc_id").alias("b_id"), (F.col("c") - F.col("a_c")).alias("shift")).agg(
         F.greatest(F.min("a_c") - REACH, F.lit(0)).alias("a_lo"), (F.max("a_c") + REACH).alias("a_hi"), F.greatest(F.min("c") - REACH, F.lit(0)).alias("b_lo"), (F.max("c") + REACH).alias("b_hi")
     )
