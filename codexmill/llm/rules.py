@@ -9,7 +9,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codexmill.llm.common import held_out, sample_labels
+from codexmill.llm.common import materialize, sample_labels
 
 #: Labelled rows whose statistics the driver learns from, a few numbers each.
 TRAIN_ROWS = 4_000
@@ -36,36 +36,36 @@ def _words(text: Column) -> Column:
 def _repeat_words(words: Column) -> Column:
     """Words inside 3-word windows that occur twice or more in the text.
 
-    All windows with their places are sorted; neighbours that are equal are repeats (compared word by word, not by
-    hash). The places covered are counted along their order: a window adds as many words as it reaches beyond the last."""
+    Windows are compared by 64-bit hashes of their words' hashes. Texts whose windows are all distinct end there. In the
+    others the hashes are sorted with their places: a window equal to a neighbour repeats, and each repeated one, in order
+    of place, adds the words by which it reaches beyond the last."""
     n = F.size(words)
-    part = lambda k: F.slice(words, F.lit(k), n - 2)
-    ranked = F.sort_array(F.arrays_zip(part(1).alias("a"), part(2).alias("b"), part(3).alias("c"), F.sequence(F.lit(1), n - 2).alias("i")))
-    wide = F.lit(1 << 32)
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    windows = _let(hashed, lambda h: F.transform(F.slice(h, F.lit(1), n - 2), lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2))))
 
-    def covered(pairs: Column) -> Column:
-        both = F.flatten(F.transform(pairs, lambda p: F.array(F.shiftright(p, 32), p.bitwiseAND(F.lit((1 << 32) - 1)))))
-        at = F.sort_array(F.array_distinct(both))
-        zero = F.lit(0).cast("long")
-        start = F.struct(F.lit(-3).cast("long").alias("last"), zero.alias("n"))
-        step = lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(3).cast("long"), i - acc["last"])).alias("n"))
-        return F.aggregate(at, start, step, lambda acc: acc["n"])
+    def places(g: Column) -> Column:
+        ranked = F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        equal = lambda s, x, k: F.coalesce(x["h"] == F.get(s, k)["h"], F.lit(False))
+        mark = lambda s: F.transform(s, lambda x, k: F.when(equal(s, x, k - 1) | equal(s, x, k + 1), x["i"]).otherwise(F.lit(-1)))
+        return F.sort_array(F.array_remove(_let(ranked, mark), F.lit(-1)))
 
-    def repeats(s: Column) -> Column:
-        same = lambda x, y: F.when((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), x["i"].cast("long") * wide + y["i"]).otherwise(F.lit(-1).cast("long"))
-        return F.array_remove(F.zip_with(s, F.slice(s, F.lit(2), F.size(s)), same), F.lit(-1).cast("long"))
+    def covered(at: Column) -> Column:
+        steps = F.zip_with(F.slice(at, F.lit(2), F.size(at)), F.slice(at, F.lit(1), F.size(at) - 1), lambda y, x: F.least(F.lit(3), y - x))
+        return F.aggregate(steps, F.lit(3).cast("long"), lambda total, x: total + x)
 
-    found = _let(ranked, repeats)
-    return F.when(n < 4, F.lit(0).cast("long")).otherwise(_let(found, lambda p: F.when(F.size(p) == 0, F.lit(0).cast("long")).otherwise(covered(p))))
+    none = F.lit(0).cast("long")
+    counted = lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), none).otherwise(_let(places(g), covered))
+    return F.when(n < 4, none).otherwise(_let(windows, counted))
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, base statistics as in the contract, and shares that the learned rules use) for every row; null texts have no words."""
+def statistics(docs: DataFrame, *others: str) -> DataFrame:
+    """(doc_id, others, base statistics as in the contract, and shares that the learned rules use) for every row; null texts have no words."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select("doc_id", text.alias("text"), _words(text).alias("words"))
+    base = docs.select("doc_id", *others, text.alias("text"), _words(text).alias("words"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(_WORD))
     stats = base.select(
         "doc_id",
+        *others,
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -188,9 +188,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     judged each; without labels every document that passes the base checks is kept; extra columns are ignored; an empty
     table gives an empty result."""
     picked = sample_labels(labels, "quality", rows)
-    known = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    known = statistics(known.select("doc_id", "text")).join(F.broadcast(picked), "doc_id").where(~F.col("base_failed") & ~held_out(F.col("doc_id")))
-    found = sorted((r.asDict() for r in known.select("doc_id", "label", *FEATURES).collect()), key=lambda r: (r["doc_id"], r["mean_word"]))
+    # stored first: else the base check would move below the join and run over all texts
+    known = materialize(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "rule-texts")
+    measured = statistics(known, "label").select("doc_id", "label", "base_failed", *FEATURES)
+    found = sorted((r.asDict() for r in measured.collect() if not r["base_failed"]), key=lambda r: (r["doc_id"], r["mean_word"]))
     rules = learn_rules(found)
     judged = statistics(docs).withColumn("rule", F.when(F.col("base_failed"), F.lit(None)).otherwise(verdict(rules)))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", F.coalesce(F.col("rule") == 0, F.lit(False)).alias("kept"))
