@@ -53,11 +53,14 @@ def sample_labels(labels: DataFrame, column: str, rows: int) -> DataFrame:
     return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, column: str, rows: int) -> DataFrame:
-    """(doc_id, text as bytes, label) of the bounded sample; the ids broadcast are at most `rows`."""
+def labelled_texts(docs: DataFrame, labels: DataFrame, column: str, rows: int, *others: str) -> DataFrame:
+    """(doc_id, text as bytes, others, label) of the bounded sample; the ids broadcast are at most `rows`.
+
+    An id that rows repeat, however often, is one row here: the one with the least text."""
     picked = sample_labels(labels, column, rows)
-    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    return texts.join(F.broadcast(picked), "doc_id")
+    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), *others)
+    found = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", *others, "label")).alias("r"))
+    return found.select("doc_id", "r.*")
 
 
 def alnum_words(raw: bytes) -> list[bytes]:

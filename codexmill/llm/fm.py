@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codexmill.llm.common import WordHasher, alnum_words, held_out, labelled_texts, mix
@@ -35,7 +35,7 @@ def statistics(raw: bytes, n_chars: float | None) -> np.ndarray:
     words, lines = raw.split(), raw.split(b"\n")
     n, w, k = max(1, len(raw)), max(1, len(words)), max(1, len(lines))
     upper = sum(map(bytes.isupper, words))
-    bare = sum(not x.isalnum() for x in words[:: max(1, w // 2000)]) / max(1, len(words[:: max(1, w // 2000)]))
+    bare = (len(words) - sum(map(bytes.isalnum, words))) / w
     return np.array([
         np.log1p(len(words)), np.log1p(len(raw)), len(raw) / w, _count(raw, _UPPER) / n, _count(raw, _DIGIT) / n, _count(raw, _SYMBOL) / n,
         _count(raw, _BANG) / n, _count(raw, _SPACE) / n, _count(raw, _OTHER) / n, _count(raw, _NON_ASCII) / n,
@@ -86,9 +86,12 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], seed: int
     return w0, w, v, mean, spread
 
 
+def _chars(docs: DataFrame) -> Column:
+    return (F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)).cast("double").alias("n_chars")
+
+
 def _inputs(docs: DataFrame) -> DataFrame:
-    chars = F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
-    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), chars.alias("n_chars"))
+    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), _chars(docs))
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", rows: int = TRAIN_ROWS):
@@ -104,11 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", rows: int =
         flat = np.concatenate([[w0], w, v.ravel(), mean, spread])
         yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary())], ["model"])
 
-    texts = labelled_texts(docs, labels, column, rows)
-    if "n_chars" in docs.columns:
-        texts = texts.join(docs.select("doc_id", F.col("n_chars").cast("double").alias("n_chars")).join(F.broadcast(texts.select("doc_id").distinct()), "doc_id", "left_semi"), "doc_id")
-    else:
-        texts = texts.withColumn("n_chars", F.lit(None).cast("double"))
+    texts = labelled_texts(docs.select("doc_id", "text", _chars(docs)), labels, column, rows, "n_chars")
     (row,) = texts.repartition(1).mapInArrow(learn, "model binary").collect()
     flat = np.frombuffer(row["model"])
     k = len(STATS)

@@ -189,7 +189,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     table gives an empty result."""
     picked = sample_labels(labels, "quality", rows)
     # stored first: else the base check would move below the join and run over all texts
-    known = materialize(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "rule-texts")
+    known = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    known = materialize(known.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")), "rule-texts")
     measured = statistics(known, "label").select("doc_id", "label", "base_failed", *FEATURES)
     found = sorted((r.asDict() for r in measured.collect() if not r["base_failed"]), key=lambda r: (r["doc_id"], r["mean_word"]))
     rules = learn_rules(found)
