@@ -264,3 +264,22 @@ def test_pipeline(spark, tmp_path):
         assert now.columns == columns
     assert 0 < now.count() < max(seen)
     assert corpus_pipeline.STAGES[-1][1](spark, now, d).count() == now.count()
+
+
+def test_labelled_texts_take_one_row_of_a_repeated_id(spark):
+    from codexmill.llm.common import labelled_texts
+
+    texts = spark.createDataFrame([(1, f"t{i}", 5) for i in range(50)] + [(2, None, None), (None, "z", 1)], "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (None, 1)], "doc_id long, quality int")
+    got = sorted((r["doc_id"], bytes(r["text"]), r["n_chars"], r["label"]) for r in labelled_texts(texts, labels, "quality", 10, "n_chars").collect())
+    kept = [x for x in (1, 2) if zlib.crc32(str(x).encode()) % 5]
+    assert got == [x for x in ((1, b"t0", 5, 1), (2, b"", None, 0)) if x[0] in kept]
+
+
+def test_repeat_words_match_counting(spark):
+    texts = ["a b c a b c", "a a a a a", "a b c d", "x y z q x y z r y z q", "a b c " * 40 + "d", " ".join(f"w{i}" for i in range(300))]
+    got = {r["doc_id"]: r["n_repeat_words"] for r in rules.statistics(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        w = t.split()
+        grams = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        assert got[i] == len({k + j for k, g in enumerate(grams) if grams.count(g) > 1 for j in range(3)})
