@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from itertools import chain
+from array import array
 
 import pyarrow as pa
 import regex
@@ -27,6 +27,26 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class _Memo(dict):
+    """Packed ids of pieces that stand after a fixed character. Two generations of bounded size; the memo never changes a result."""
+
+    def __init__(self, encode, before: str) -> None:
+        super().__init__()
+        self.encode, self.before, self.older = encode, before, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self.older.get(piece)
+        if got is None:
+            whole = self.before + piece
+            got = self.encode(whole) if whole else b""
+        if len(piece) <= 64:
+            if len(self) > MEMO_ROWS:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = got
+        return got
+
+
 class ByteBpe:
     """Encoder and decoder of one vocabulary file: byte-level BPE without normaliser, prefix space or dropout."""
 
@@ -48,70 +68,59 @@ class ByteBpe:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             ranks.setdefault(to_bytes(a + b), len(ranks))
         engine = tiktoken.Encoding("fragments", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
-        self.merge_ranks = engine._encode_single_piece
-        self.id_of_rank = {r: ids_of[t] for t, r in ranks.items()}
+        self.merge_ranks = engine._core_bpe.encode_single_piece
+        self.id_of_rank = [ids_of[t] for t in sorted(ranks, key=ranks.get)]
         inside = {pair for t in map(to_bytes, ids) for pair in zip(t, t[1:])}
         #: Where these two bytes meet, no merge can ever span them.
         self.cut_pairs = frozenset((a, b) for a in range(256) for b in range(256)) - inside
         self.split = regex.compile(PATTERN).findall
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-
-    def _merge(self, fragment: bytes) -> tuple[int, ...]:
-        """Merges one fragment, lowest rank first."""
-        ids = self.id_of_rank
-        return tuple([ids[r] for r in self.merge_ranks(fragment)])
-
-    def _encode_pretoken(self, raw: bytes) -> tuple[int, ...]:
-        """Cuts at the forced boundaries, encodes each fragment alone, concatenates."""
-        cut = self.cut_pairs
+        self.code = "H" if max(self.bytes_of) < 1 << 16 else "I"
+        self.bare, self.spaced, self.broken = (_Memo(self._piece, before) for before in ("", " ", "\n"))
+
+    def _encode_pretoken(self, raw: bytes) -> bytes:
+        """Cuts at the forced boundaries, merges each fragment alone, lowest rank first, concatenates."""
+        cut, ids = self.cut_pairs, self.id_of_rank
+        if cut.isdisjoint(zip(raw, raw[1:])):
+            return self._pack([ids[r] for r in self.merge_ranks(raw)])
         at = [i for i, pair in enumerate(zip(raw, raw[1:]), 1) if pair in cut]
-        if not at:
-            return self._merge(raw)
-        return tuple(chain.from_iterable(self._merge(raw[a:b]) for a, b in zip([0, *at], [*at, len(raw)])))
+        return self._pack([ids[r] for a, b in zip([0, *at], [*at, len(raw)]) for r in self.merge_ranks(raw[a:b])])
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        """Ids of a piece that the young memo lacks: from the old one, or by splitting and merging."""
-        got = self.older.get(piece)
-        if got is None:
-            if piece[1:].isalpha() and piece[0] == " ":
-                got = self._encode_pretoken(piece.encode())
-            else:
-                got = tuple(chain.from_iterable(self._encode_pretoken(p.encode()) for p in self.split(piece)))
-        if len(piece) <= 64:
-            if len(self.pieces) > MEMO_ROWS:
-                self.older, self.pieces = self.pieces, {}
-            self.pieces[piece] = got
-        return got
+    def _piece(self, piece: str) -> bytes:
+        """Packed ids of a piece. What the pattern splits it into goes by the memos too: a word with a comma finds the word."""
+        if not (piece[0] == " " and piece[1:].isalpha()):
+            parts = self.split(piece)
+            if len(parts) > 1:
+                return b"".join([self.spaced[p[1:]] if p[0] == " " else self.bare[p] for p in parts])
+        return self._encode_pretoken(piece.encode())
+
+    def _pack(self, ids) -> bytes:
+        return array(self.code, ids).tobytes()
 
-    def _encode_plain(self, text: str) -> list[int]:
+    def _encode_plain(self, text: str) -> bytes:
         """Where no white space meets white space, the pattern never looks past the place before a white-space character, so the text falls into pieces there."""
         if _DOUBLE(text):
-            pieces = self.split(text)
-        else:
-            lines = text.split("\n")
-            pieces = []
-            for i, line in enumerate(lines):
-                first, *rest = line.split(" ")
-                pieces.append("\n" + first if i else first)
-                pieces += [" " + w for w in rest]
-        known = self.pieces.get
-        out: list[int] = []
-        for p in pieces:
-            got = known(p)
-            out += self._piece(p) if got is None else got
-        return out
-
-    def encode(self, text: str) -> list[int]:
-        """Ids of the whole text. The strings of special tokens become their ids; none are added."""
+            return b"".join(map(self.bare.__getitem__, self.split(text)))
+        out: list[bytes] = []
+        first, spaced = self.bare, self.spaced.__getitem__
+        for line in text.split("\n"):
+            head, *rest = line.split(" ")
+            out.append(first[head])
+            out += map(spaced, rest)
+            first = self.broken
+        return b"".join(out)
+
+    def encode_packed(self, text: str) -> bytes:
+        """Ids of the whole text as native unsigned integers of `code`. The strings of special tokens become their ids; none are added."""
         if self.special and any(s in text for s in self.special):
-            out: list[int] = []
-            for part in self.special_split(text):
-                out += [self.special[part]] if part in self.special else self._encode_plain(part)
-            return out
+            parts = self.special_split(text)
+            return b"".join(self._pack([self.special[p]]) if p in self.special else self._encode_plain(p) for p in parts)
         return self._encode_plain(text)
 
+    def encode(self, text: str) -> list[int]:
+        """The ids of encode_packed as a list."""
+        return memoryview(self.encode_packed(text)).cast(self.code).tolist()
+
     def decode(self, ids: list[int]) -> str:
         """The bytes of the ids as text; bytes that are no UTF-8 become U+FFFD."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", errors="replace")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 
 import numpy as np
@@ -69,19 +70,23 @@ def sequences(docs: DataFrame, path: str, length: int = SEQUENCE) -> DataFrame:
 
     def run(batches):
         tokenizer = bpe.load(path)
-        end = max(tokenizer.bytes_of)
+        if tokenizer.code != "H":
+            raise ValueError("records hold 16-bit ids")
+        end = max(tokenizer.bytes_of).to_bytes(2, sys.byteorder)
+        stride = 2 * length
         for batch in batches:
             ids, places, counts, raw = [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = tokenizer.encode(text)
-                found.append(end)
-                whole = np.full(-(-len(found) // length) * length, end, "<u2")
-                whole[: len(found)] = found
-                for k in range(0, len(whole), length):
+                packed = tokenizer.encode_packed(text) + end
+                if sys.byteorder == "big":
+                    packed = np.frombuffer(packed, "u2").astype("<u2").tobytes()
+                n = len(packed) // 2
+                packed += end * (-n % length)
+                for k in range(0, len(packed), stride):
                     ids.append(doc)
-                    places.append(k // length)
-                    counts.append(min(length, len(found) - k))
-                    raw.append(whole[k : k + length].tobytes())
+                    places.append(k // stride)
+                    counts.append(min(length, n - k // 2))
+                    raw.append(packed[k : k + stride])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(counts, pa.int32()), pa.array(raw, pa.binary())], ["doc_id", "place", "n_tokens", "tokens"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
