@@ -175,18 +175,25 @@ def _slices(docs: DataFrame, runs: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, lo int, hi int, part binary").dropDuplicates(["doc_id", "lo", "hi"])
 
 
+def _near_diagonal(a: np.ndarray, b: np.ndarray, off: int) -> np.ndarray:
+    """Which of b are in a within DRIFT places of their diagonal; off is the place in a of b's first."""
+    n, lo = len(b), off - DRIFT
+    if 0 <= off <= len(a) - n and (a[off : off + n] == b).all():
+        return np.ones(n, bool)
+    held = np.full(n + 2 * DRIFT, -1, np.int64)
+    x, y = max(0, lo), min(len(a), off + n + DRIFT)
+    if x < y:
+        held[x - lo : y - lo] = a[x:y]
+    # row e holds the places that lie e - DRIFT off the diagonal: overlapping views of one array
+    near = np.ndarray((2 * DRIFT + 1, n), np.int64, held, 0, (8, 8))
+    return np.logical_or.reduce(near == b.astype(np.int64), axis=0)
+
+
 def verified_spans(a: np.ndarray, b: np.ndarray, a_lo: int, b_lo: int, shift: int) -> list[tuple[int, int]]:
     """Word spans (first, last) of b's text: runs of WIDTH places of which MATCHED or more are a's shingles near the diagonal."""
     if len(b) < WIDTH or len(a) < MATCHED:
         return []
-    same = np.zeros(len(b), bool)
-    for e in sorted(range(-DRIFT, DRIFT + 1), key=abs):
-        if e and same.all():
-            break
-        off = b_lo - shift - a_lo + e  # place in a of b's first
-        x, y = max(0, -off), min(len(b), len(a) - off)
-        if x < y:
-            same[x:y] |= b[x:y] == a[x + off : y + off]
+    same = _near_diagonal(a, b, b_lo - shift - a_lo)
     total = np.concatenate([[0], np.cumsum(same)])
     good = np.nonzero(total[WIDTH:] - total[:-WIDTH] >= MATCHED)[0]
     if not len(good):
