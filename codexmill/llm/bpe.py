@@ -17,7 +17,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 #: The pattern by which byte-level vocabularies of this kind split text before merging (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces whose ids a worker keeps; the memo never changes a result.
-MEMO_ROWS = 250_000
+MEMO_ROWS = 500_000
 
 
 def _byte_letters() -> dict[str, int]:
