@@ -116,7 +116,7 @@ def write_training_order(docs: DataFrame, path: str, folder: str | None = None,
 
     Repeated rows get a slot each; an empty table gives an empty manifest and no shards."""
     spark = docs.sparkSession
-    stored = materialize(sequences(docs, path, length), "token-sequences")
+    stored = materialize(sequences(docs, path, length), "token-sequences", "zstd")
     n = stored.count()
     folder = folder or f"{shared_dir(spark)}/token-shards-{uuid.uuid4().hex}"
     if not n:
