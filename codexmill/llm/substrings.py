@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codexmill.llm.common import WordHasher, materialize, mix
@@ -21,6 +23,8 @@ HALF = WIDTH // 2 - 1
 MATCHED = int(np.ceil(WIDTH * 2 * SIMILARITY / (1 + SIMILARITY)))
 #: Places by which edits may move a shingle against its run's diagonal.
 DRIFT = 8
+#: Windows of a signature that others are held against at once in the second round; doubled in each further one.
+LEADERS = 32
 _P = np.uint64(0x9E3779B97F4A7C15)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -137,19 +141,30 @@ def _windows(docs: DataFrame, hashes: int) -> DataFrame:
     return _texts(docs).mapInArrow(run, "doc_id long, n_words long, keys array<long>, centres array<int>")
 
 
-def _runs(windows: DataFrame) -> DataFrame:
-    """Candidate runs (a_id, b_id, shift, a_lo, a_hi, b_lo, b_hi) in shingle places: each window joined to the first window
-    of its signature, windows of a pair on one diagonal taken together.
+def _held(windows: DataFrame) -> DataFrame:
+    """(key, doc_id, c) of all windows of rows with an id."""
+    flat = windows.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(F.arrays_zip("keys", "centres")).alias("w"))
+    return flat.select(F.col("w.keys").alias("key"), "doc_id", F.col("w.centres").alias("c"))
+
 
-    A signature's windows are never paired with each other: counts and firsts are pre-aggregated, the join back may be
-    split where a signature is hot."""
-    flat = windows.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(F.arrays_zip("keys", "centres")).alias("w")).select(F.col("w.keys").alias("key"), "doc_id", F.col("w.centres").alias("c"))
-    first = flat.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "c")).alias("f")).where("n > 1").select("key", F.col("f.doc_id").alias("a_id"), F.col("f.c").alias("a_c"))
+def _runs(held: DataFrame, leaders: int) -> DataFrame:
+    """Candidate runs (a_id, b_id, shift, a_lo, a_hi, b_lo, b_hi, held array<struct<key, c>>) in shingle places: each window
+    joined to the earlier ones of the first `leaders` windows of its signature, windows of a pair on one diagonal taken together.
+
+    A signature's windows are never all paired with each other: firsts are pre-aggregated, the join back may be split
+    where a signature is hot."""
+    at = F.struct("doc_id", "c")
+    if leaders == 1:
+        first = held.groupBy("key").agg(F.count("*").alias("n"), F.min(at).alias("f")).where("n > 1").select("key", F.col("f.doc_id").alias("a_id"), F.col("f.c").alias("a_c"))
+    else:  # a limit by rank is applied before the exchange too, so a hot signature sends few rows
+        ranked = held.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("doc_id", "c")))
+        first = ranked.where(F.col("rank") <= leaders).select("key", F.col("doc_id").alias("a_id"), F.col("c").alias("a_c"))
     # stored, so that both sides of the join come from plain exchanges and a hot signature's windows can be split
-    links = flat.join(materialize(first, "first-windows"), "key").where((F.col("doc_id") != F.col("a_id")) | (F.col("c") != F.col("a_c")))
+    links = held.join(materialize(first, "first-windows"), "key").where((F.col("doc_id") > F.col("a_id")) | ((F.col("doc_id") == F.col("a_id")) & (F.col("c") > F.col("a_c"))))
     return links.groupBy("a_id", F.col("doc_id").alias("b_id"), (F.col("c") - F.col("a_c")).alias("shift")).agg(
-        F.greatest(F.min("a_c") - REACH, F.lit(0)).alias("a_lo"), (F.max("a_c") + REACH).alias("a_hi"), F.greatest(F.min("c") - REACH, F.lit(0)).alias("b_lo"), (F.max("c") + REACH).alias("b_hi")
-    )
+        F.greatest(F.min("a_c") - REACH, F.lit(0)).alias("a_lo"), (F.max("a_c") + REACH).alias("a_hi"), F.greatest(F.min("c") - REACH, F.lit(0)).alias("b_lo"), (F.max("c") + REACH).alias("b_hi"),
+        F.collect_set(F.struct("key", "c")).alias("held"),
+    )
 
 
 def _slices(docs: DataFrame, runs: DataFrame) -> DataFrame:
@@ -216,32 +231,64 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_spans(docs: DataFrame, hashes: int = HASHES) -> tuple[DataFrame, DataFrame]:
-    """(windows, spans): stored (doc_id, n_words, ..) of every row, and (doc_id, spans array<struct<first, last>>, sources)
-    of the documents that repeat a passage of an earlier place; ends included, merged, in words of the whole text.
-
-    The first place is the one of the smallest doc_id (then the first in the text); it is never in a span for that passage."""
-    windows = materialize(_windows(docs, hashes), "compact-windows")
-    runs = materialize(_runs(windows), "window-runs")
+def _verified(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """(doc_id, sources, spans, failed array<struct<key, c>>): what runs repeat, and their windows whose centre no span holds."""
     parts = materialize(_slices(docs, runs), "window-slices")
     of = lambda x: parts.select(F.col("doc_id").alias(f"{x}_id"), F.col("lo").alias(f"{x}_lo"), F.col("hi").alias(f"{x}_hi"), F.col("part").alias(x))
     paired = runs.join(of("a"), ["a_id", "a_lo", "a_hi"]).join(of("b"), ["b_id", "b_lo", "b_hi"])
 
     def run(batches):
         kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+        left = pa.list_(pa.struct([("key", pa.int64()), ("c", pa.int32())]))
         for batch in batches:
-            held: dict[int, tuple[list, set]] = {}  # rows of a document stand together after the join
-            for b_id, a_id, a, b, a_lo, b_lo, shift in zip(*(batch.column(c).to_pylist() for c in range(7))):
+            held: dict[int, tuple[list, set, list]] = {}  # rows of a document stand together after the join
+            columns = [batch.column(c).to_pylist() for c in range(7)]
+            lists = batch.column(7)
+            ends, inner = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten()
+            keys, centres = inner.field("key").to_numpy(), inner.field("c").to_numpy()
+            for k, (b_id, a_id, a, b, a_lo, b_lo, shift) in enumerate(zip(*columns)):
                 found = verified_spans(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), a_lo, b_lo, shift)
+                at = slice(ends[k], ends[k + 1])
+                lost = np.ones(ends[k + 1] - ends[k], bool)
+                for first, last in found:
+                    lost &= (centres[at] < first) | (centres[at] > last - SHINGLE + 1)
+                if not found and not lost.any():
+                    continue
+                spans, sources, failed = held.setdefault(b_id, ([], set(), []))
                 if found:
-                    spans, sources = held.setdefault(b_id, ([], set()))
                     spans += found
                     sources.add(a_id)
-            merged = [[{"first": x, "last": y} for x, y in merge_spans(spans)] for spans, _ in held.values()]
-            sources = [sorted(x) for _, x in held.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(sources, pa.list_(pa.int64())), pa.array(merged, kind)], ["doc_id", "sources", "spans"])
+                if lost.any():
+                    failed += [{"key": x, "c": y} for x, y in zip(keys[at][lost].tolist(), centres[at][lost].tolist())]
+            merged = [[{"first": x, "last": y} for x, y in merge_spans(v[0])] for v in held.values()]
+            sources = [sorted(v[1]) for v in held.values()]
+            failed = [v[2] for v in held.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(sources, pa.list_(pa.int64())), pa.array(merged, kind), pa.array(failed, left)], ["doc_id", "sources", "spans", "failed"])
 
-    found = paired.select("b_id", "a_id", "a", "b", "a_lo", "b_lo", "shift").mapInArrow(run, "doc_id long, sources array<long>, spans array<struct<first:long,last:long>>")
+    schema = "doc_id long, sources array<long>, spans array<struct<first:long,last:long>>, failed array<struct<key:long,c:int>>"
+    return paired.select("b_id", "a_id", "a", "b", "a_lo", "b_lo", "shift", "held").mapInArrow(run, schema)
+
+
+def repeated_spans(docs: DataFrame, hashes: int = HASHES) -> tuple[DataFrame, DataFrame]:
+    """(windows, spans): stored (doc_id, n_words, ..) of every row, and (doc_id, spans array<struct<first, last>>, sources)
+    of the documents that repeat a passage of an earlier place; ends included, merged, in words of the whole text.
+
+    The first place is the one of the smallest doc_id (then the first in the text); it is never in a span for that passage. Windows that fail against the first of their signature are held against the next,
+    in rounds until none is left: copies of one content are never paired with each other."""
+    windows = materialize(_windows(docs, hashes), "compact-windows")
+    held, leaders, rounds = _held(windows), 1, []
+    while True:
+        runs = materialize(_runs(held, leaders), "window-runs")
+        if rounds and runs.isEmpty():
+            break
+        rounds.append(materialize(_verified(docs, runs), "verified-runs"))
+        # windows found in none of the leaders go on among themselves; a leader was held against fewer and stays behind
+        failed = rounds[-1].select("doc_id", F.explode("failed").alias("w")).select("w.key", "doc_id", "w.c")
+        held = materialize(failed.groupBy("key", "doc_id", "c").agg(F.count("*").alias("n")).where(F.col("n") == leaders).drop("n"), "open-windows")
+        leaders = LEADERS if leaders == 1 else 2 * leaders
+        if held.isEmpty():
+            break
+    found = reduce(DataFrame.unionAll, rounds).where(F.size("spans") > 0)
     zero = F.array().cast("array<struct<first:long,last:long>>")
     one = lambda h: F.struct(h["first"].alias("first"), h["last"].alias("last"))
 

@@ -283,3 +283,17 @@ def test_repeat_words_match_counting(spark):
         w = t.split()
         grams = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
         assert got[i] == len({k + j for k, g in enumerate(grams) if grams.count(g) > 1 for j in range(3)})
+
+
+def test_repeats_of_a_later_holder_are_found(spark):
+    rng = np.random.default_rng(8)
+    some = lambda n: [f"u{x}" for x in rng.integers(0, 10**9, n)]
+    texts, lost = [], []
+    for _ in range(100):
+        passage = some(50)
+        # under 0.8 of the passage, in many contexts: more than the leaders of one round
+        texts += [" ".join(some(20) + passage[:44] + some(20)) for _ in range(1 if len(texts) else 40)]
+        texts += [" ".join(some(20) + passage + some(20)) for _ in range(2)]
+        lost.append(len(texts) - 1)
+    got = {r.doc_id: r for r in substrings.substring_duplicates(docs(spark, texts)).collect()}
+    assert all(got[i].n_repeated >= 50 and i - 1 in got[i].sources for i in lost)
