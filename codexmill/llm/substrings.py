@@ -14,7 +14,7 @@ from codexmill.llm.common import WordHasher, materialize, mix
 SHINGLE = 5
 MIN_WORDS = 50
 SIMILARITY = 0.8
-HASHES = 2
+HASHES = 6
 #: Shingles of the shortest passage, and the reach of a window clipped around its centre.
 WIDTH = MIN_WORDS - SHINGLE + 1
 REACH = WIDTH - 1

@@ -9,7 +9,7 @@ from codexmill.llm import bpe, decontam, simhash, substrings, toxicity
 from codexmill.llm.common import materialize, table
 from codexmill.llm.queries import vocabulary
 
-#: Not expressible in SQL: the toxicity model is fitted and SimHash needs XXH64; tests hold the stages against brute force.
+#: Not expressible in SQL: the toxicity model is fitted and SimHash needs XXH64; tests hold SimHash links and planted near passages against brute force.
 ORACLE_SQL = None
 
 

@@ -297,3 +297,22 @@ def test_repeats_of_a_later_holder_are_found(spark):
         lost.append(len(texts) - 1)
     got = {r.doc_id: r for r in substrings.substring_duplicates(docs(spark, texts)).collect()}
     assert all(got[i].n_repeated >= 50 and i - 1 in got[i].sources for i in lost)
+
+
+def test_near_passages_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    hasher = substrings.WordHasher()
+    some = lambda n: [f"u{x}" for x in rng.integers(0, 10**9, n)]
+    low = lambda words: (substrings.shingle_hashes([w.encode() for w in words], hasher) >> np.uint64(32)).astype("<u4")
+    texts, want = [], {}
+    for n in (50, 55, 60) * 100:
+        passage = some(n)
+        edited = list(passage)
+        edited[n // 2 if len(texts) % 4 else int(rng.integers(n))] = "changed"
+        a, b = some(40) + passage + some(40), some(70) + edited + some(40)
+        texts += [" ".join(a), " ".join(b)]
+        want[len(texts) - 1] = {w for x, y in substrings.verified_spans(low(a), low(b), 0, 0, 30) for w in range(x, y + 1)}
+    got = {r.doc_id: {w for s in r.spans or [] for w in range(s.first, s.last + 1)} for r in substrings.substring_duplicates(docs(spark, texts)).collect()}
+    assert sum(map(len, want.values())) > 300 * 40
+    assert sum(len(w - got[i]) for i, w in want.items()) <= 0.002 * sum(map(len, want.values()))
+    assert not any(got[i] for i in range(0, len(texts), 2))
