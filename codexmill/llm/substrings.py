@@ -190,8 +190,8 @@ def _slices(docs: DataFrame, runs: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, lo int, hi int, part binary").dropDuplicates(["doc_id", "lo", "hi"])
 
 
-def _near_diagonal(a: np.ndarray, b: np.ndarray, off: int) -> np.ndarray:
-    """Which of b are in a within DRIFT places of their diagonal; off is the place in a of b's first."""
+def _near_diagonal(a: np.ndarray, b: np.ndarray, off: int, above: int = DRIFT) -> np.ndarray:
+    """Which of b are in a within DRIFT places of their diagonal, `above` at most after it; off is the place in a of b's first."""
     n, lo = len(b), off - DRIFT
     if 0 <= off <= len(a) - n and (a[off : off + n] == b).all():
         return np.ones(n, bool)
@@ -201,14 +201,15 @@ def _near_diagonal(a: np.ndarray, b: np.ndarray, off: int) -> np.ndarray:
         held[x - lo : y - lo] = a[x:y]
     # row e holds the places that lie e - DRIFT off the diagonal: overlapping views of one array
     near = np.ndarray((2 * DRIFT + 1, n), np.int64, held, 0, (8, 8))
-    return np.logical_or.reduce(near == b.astype(np.int64), axis=0)
+    return np.logical_or.reduce(near[: DRIFT + above + 1] == b.astype(np.int64), axis=0)
 
 
-def verified_spans(a: np.ndarray, b: np.ndarray, a_lo: int, b_lo: int, shift: int) -> list[tuple[int, int]]:
-    """Word spans (first, last) of b's text: runs of WIDTH places of which MATCHED or more are a's shingles near the diagonal."""
+def verified_spans(a: np.ndarray, b: np.ndarray, a_lo: int, b_lo: int, shift: int, same_text: bool = False) -> list[tuple[int, int]]:
+    """Word spans (first, last) of b's text: runs of WIDTH places of which MATCHED or more are a's shingles near the diagonal;
+    in the same text only such that lie strictly before."""
     if len(b) < WIDTH or len(a) < MATCHED:
         return []
-    same = _near_diagonal(a, b, b_lo - shift - a_lo)
+    same = _near_diagonal(a, b, b_lo - shift - a_lo, min(DRIFT, shift - 1) if same_text else DRIFT)
     total = np.concatenate([[0], np.cumsum(same)])
     good = np.nonzero(total[WIDTH:] - total[:-WIDTH] >= MATCHED)[0]
     if not len(good):
@@ -247,7 +248,7 @@ def _verified(docs: DataFrame, runs: DataFrame) -> DataFrame:
             ends, inner = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten()
             keys, centres = inner.field("key").to_numpy(), inner.field("c").to_numpy()
             for k, (b_id, a_id, a, b, a_lo, b_lo, shift) in enumerate(zip(*columns)):
-                found = verified_spans(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), a_lo, b_lo, shift)
+                found = verified_spans(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), a_lo, b_lo, shift, a_id == b_id)
                 at = slice(ends[k], ends[k + 1])
                 lost = np.ones(ends[k + 1] - ends[k], bool)
                 for first, last in found:

@@ -316,3 +316,16 @@ def test_near_passages_against_brute_force(spark):
     assert sum(map(len, want.values())) > 300 * 40
     assert sum(len(w - got[i]) for i, w in want.items()) <= 0.002 * sum(map(len, want.values()))
     assert not any(got[i] for i in range(0, len(texts), 2))
+
+
+def test_the_first_place_in_a_text_is_not_repeated(spark):
+    rng = np.random.default_rng(10)
+    some = lambda n: " ".join(f"u{x}" for x in rng.integers(0, 10**9, n))
+    cycle = " ".join(f"c{i % 3}" for i in range(120))
+    d = docs(spark, [some(40) + " w" * 140, some(40) + " w" * 140 + " " + some(10), some(45) + " " + cycle])
+    got = {r.doc_id: r for r in substrings.substring_duplicates(d).collect()}
+    assert [(s.first, s.last) for s in got[0].spans] == [(41, 179)]
+    assert [(s.first, s.last) for s in got[2].spans] == [(48, 164)]
+    assert min(s.first for s in got[1].spans) >= 40
+    kept = {r.doc_id: r.text.split() for r in substrings.remove_repeats(d).collect()}
+    assert len(kept[0]) == 41 and len(kept[1]) >= 50 and len(kept[2]) == 48
