@@ -27,6 +27,42 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "Copyright. All rights reserved."),
 )
+_GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+_GPL_TITLE = "GNU {} Version {}, {} Copyright (C) {} Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_1 = " 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+#: Header blocks, titles and paragraphs of full texts (fixed values).
+HEADERS = (
+    ("AGPL-3.0", _GPL.format("Affero General Public License", 3)),
+    ("AGPL-3.0", _GPL_TITLE.format("AFFERO GENERAL PUBLIC LICENSE", 3, "19 November 2007", "2007")),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-2-Clause", _BSD + _BSD_1),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-3-Clause", _BSD + _BSD_1 + _BSD_3),
+    ("BSD-3-Clause", _BSD_3),
+    ("GPL-2.0", _GPL.format("General Public License", 2)),
+    ("GPL-2.0", _GPL_TITLE.format("GENERAL PUBLIC LICENSE", 2, "June 1991", "1989, 1991")),
+    ("GPL-3.0", _GPL.format("General Public License", 3)),
+    ("GPL-3.0", _GPL_TITLE.format("GENERAL PUBLIC LICENSE", 3, "29 June 2007", "2007")),
+    ("LGPL-2.1", _GPL.format("Lesser General Public License", "2.1")),
+    ("LGPL-3.0", _GPL.format("Lesser General Public License", 3)),
+    ("LGPL-3.0", _GPL_TITLE.format("LESSER GENERAL PUBLIC LICENSE", 3, "29 June 2007", "2007")),
+    ("MIT", "MIT License"),
+    ("MIT", "The MIT License (MIT)"),
+    ("MIT", "Licensed under the MIT license."),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+)
+#: A declared identifier or expression; what follows says which versions it takes.
+_SPDX = r"(?i)spdx-license-identifier:\s*\(?\s*([a-z0-9.+-]+(?:\s+(?:or|and|with)\s+[a-z0-9.+-]+)*)"
+_SUFFIX = r"(?i)(-only|-or-later|\+)(?![a-z0-9.-])"
+_COMMENT = r"(?m)^[ \t]*(?:/\*+|\*+/|\*+|//+|#+|--+|;+|%+|<!--+)[ \t]*|[ \t]*(?:\*+/|--+>)[ \t]*\r?$"
+#: Year and holder between the two halves of a reservation.
+_HOLDER = r"(?i)copyright\s*(?:\(c\)|©)?\s*[0-9]{4}.*?all rights reserved"
 #: Lines without any of these are no notices.
 CUES = r"licen[sc]e|copyright|public domain|redistribution|permission is hereby|spdx|rights reserved"
 MIN_COSINE = 0.8
@@ -34,12 +70,12 @@ _TERM = r"[a-z0-9]+"
 
 
 def _template_rows() -> list[tuple[int, str, str, float]]:
-    """(number, name, term, unit-length weight): terms weigh (count) * (ln((1 + n) / (1 + templates with it)) + 1)."""
-    counts = [Counter(re.findall(_TERM, text.lower())) for _, text in TEMPLATES]
+    """(number, name, term, unit-length weight): terms weigh (count) * (ln((1 + n) / (1 + templates with it)) + 1); headers have the weights of the templates."""
+    counts = [Counter(re.findall(_TERM, text.lower())) for _, text in TEMPLATES + HEADERS]
     idf = _idf()
     rows = []
-    for n, ((name, _), c) in enumerate(zip(TEMPLATES, counts)):
-        w = {t: k * idf[t] for t, k in c.items()}
+    for n, ((name, _), c) in enumerate(zip(TEMPLATES + HEADERS, counts)):
+        w = {t: k * idf.get(t, _unseen()) for t, k in c.items()}
         norm = math.sqrt(sum(x * x for x in w.values()))
         rows += [(n, name, t, x / norm) for t, x in sorted(w.items())]
     return rows
@@ -50,22 +86,39 @@ def _idf() -> dict[str, float]:
     return {t: math.log((1 + len(TEMPLATES)) / (1 + k)) + 1 for t, k in seen.items()}
 
 
+def _unseen() -> float:
+    return math.log(1 + len(TEMPLATES)) + 1
+
+
 def _ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def notices(files: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
-    """(path, line, license, cosine, whole) of all lines of all texts that are like a template.
+    """(path, line, license, cosine, whole) of all notices of all texts that are like a template or header: lines, and blocks
+    of two lines or more that blank lines part, without comment marks, joined. A declared SPDX identifier is its own notice.
 
-    whole: the notice is all the text has, as in a licence file. Ties between templates go to the first name. Templates
-    are a fixed list, so their terms are broadcast."""
+    whole: the notice is all the text has, as in a licence file. A notice that is as like another licence is none, nor is
+    one of a family with several versions that does not say which. Templates are a fixed list, so their terms are broadcast."""
     spark = files.sparkSession
-    unseen = math.log(1 + len(TEMPLATES)) + 1
+    unseen = _unseen()
     idf = spark.createDataFrame(sorted(_idf().items()), "term string, idf double")
     known = spark.createDataFrame(_template_rows(), "template int, name string, term string, weight double")
-    texts = files.where(F.lower("text").rlike(CUES)).select("path", F.split("text", "\n").alias("lines"))
+    names = sorted({name for name, _ in TEMPLATES + HEADERS} - {"Proprietary"})
+    bare = F.trim(F.regexp_replace("text", r"\s+", " ")).isin(names)
+    texts = files.where(F.lower("text").rlike(CUES) | bare).select("path", "text", bare.alias("bare"), F.split("text", "\n").alias("lines"))
     texts = texts.withColumn("filled", F.size(F.filter("lines", lambda x: F.trim(x) != "")))
-    lines = texts.select("path", "filled", F.posexplode("lines").alias("line", "value")).where(F.lower("value").rlike(CUES))
+    single = texts.select("path", "filled", F.posexplode("lines").alias("line", "value"), F.lit(1).alias("size"), "bare").where(F.lower("value").rlike(CUES) | (F.col("bare") & (F.trim("value") != "")))
+    plain = texts.select("path", "filled", F.regexp_replace("text", _COMMENT, "").alias("plain"))
+    blocks = plain.select("path", "filled", "plain", F.explode(F.split("plain", r"\n(?:[ \t\r]*\n)+")).alias("block")).where(F.lower("block").rlike(CUES))
+    blocks = blocks.withColumn("size", F.size(F.filter(F.split("block", "\n"), lambda x: F.trim(x) != ""))).where("size > 1")
+    before = F.expr("left(plain, locate(block, plain) - 1)")
+    blocks = blocks.select("path", "filled", (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))).alias("line"), F.translate("block", "\n", " ").alias("value"), "size", F.lit(False).alias("bare"))
+    lines = single.unionByName(blocks)
+    lines = lines.withColumn("value", F.regexp_replace("value", _HOLDER, "Copyright. All rights reserved"))
+    declared = F.regexp_replace(F.upper(F.regexp_replace(F.regexp_extract("value", _SPDX, 1), _SUFFIX, "")), r"\s+", " ")
+    spelled = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for n in names for x in (n.upper(), n)]), declared), F.regexp_replace(F.regexp_extract("value", _SPDX, 1), _SUFFIX, ""))
+    said = lines.where("size = 1").select("path", "filled", "line", "size", F.when(F.col("bare") & F.trim("value").isin(names), F.trim("value")).otherwise(spelled).alias("license")).where("license <> ''")
     # equal lines are weighed once, however many documents have them
     distinct = lines.select("value").distinct()
     terms = distinct.select("value", F.explode(F.regexp_extract_all(_ascii_lower(F.col("value")), F.lit(_TERM), F.lit(0))).alias("term")).groupBy("value", "term").agg(F.count("*").alias("n"))
@@ -73,9 +126,15 @@ def notices(files: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
     dots = weighed.join(F.broadcast(known), "term").groupBy("value", "template", "name").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     norms = weighed.groupBy("value").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     scored = dots.join(norms, "value").select("value", "template", "name", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine")).where(F.col("cosine") >= min_cosine)
-    best = scored.groupBy("value").agg(F.min(F.struct(-F.col("cosine"), "name", "template")).alias("b"))
-    best = best.select("value", F.col("b.name").alias("license"), (-F.col("b.col1")).alias("cosine"))
-    return lines.join(best, "value").select("path", "line", "license", "cosine", (F.col("filled") == 1).alias("whole"))
+    best = scored.groupBy("value", "name").agg(F.max("cosine").alias("cosine")).groupBy("value").agg(F.sort_array(F.collect_list(F.struct("cosine", "name")), asc=False).alias("b"))
+    best = best.where((F.size("b") == 1) | (F.get("b", F.lit(0))["cosine"] > F.get("b", F.lit(1))["cosine"]))
+    best = best.select("value", F.col("b")[0]["name"].alias("license"), F.col("b")[0]["cosine"].alias("cosine"))
+    # of a family with several versions in the list, the notice must say its version
+    version = F.regexp_extract("license", r"^L?GPL-([0-9]+)", 1)
+    best = best.where((version == "") | F.rlike(F.col("value"), F.concat(F.lit("(?<![0-9.])"), version, F.lit("(?![0-9])"))))
+    found = lines.join(best, "value").select("path", "line", "license", "cosine", "filled", "size")
+    found = found.unionByName(said.select("path", "line", "license", F.lit(1.0).alias("cosine"), "filled", "size"))
+    return found.select("path", "line", "license", "cosine", (F.col("filled") == F.col("size")).alias("whole"))
 
 
 def _above(path: Column) -> Column:

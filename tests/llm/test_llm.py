@@ -329,3 +329,18 @@ def test_the_first_place_in_a_text_is_not_repeated(spark):
     assert min(s.first for s in got[1].spans) >= 40
     kept = {r.doc_id: r.text.split() for r in substrings.remove_repeats(d).collect()}
     assert len(kept[0]) == 41 and len(kept[1]) >= 50 and len(kept[2]) == 48
+
+
+def test_license_headers_ids_and_files(spark):
+    gpl = "/*\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version %s of the License, or\n * (at your option) any later version.\n */\nint main;"
+    mit = "MIT License\n\nCopyright (c) 2020 Foo\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:"
+    cases = [
+        ("// SPDX-License-Identifier: MIT\nx", "MIT"), ("SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"), ("# SPDX-License-Identifier: MIT OR Apache-2.0", "MIT OR Apache-2.0"), ("Apache-2.0\n", "Apache-2.0"),
+        ("Licensed under the MIT license.", "MIT"), ("MIT License", "MIT"), ("Copyright (c) 2020 Foo Inc. All rights reserved.", "Proprietary"), (gpl % 3, "GPL-3.0"), (gpl % 2, "GPL-2.0"),
+        ("# This work is licensed under the GNU General Public License,\n# version 3.\n\ncode", "GPL-3.0"), ("This work is licensed under the GNU General Public License.", None), ("Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\nTERMS", "Apache-2.0"), (mit, "MIT"),
+        ("the license of the code is no matter here\nand this is a comment", None),
+    ]
+    files = spark.createDataFrame([(f"d{i}/x/y/{i}", t, False) for i, (t, _) in enumerate(cases)] + [("p/LICENSE", mit, True), ("p/a/b/c", "x", False)], "path string, text string, is_license_file boolean")
+    got = {r.path: (r.own_license, r.license, r.license_from) for r in licenses.license_scan(files).collect()}
+    assert {t: got[f"d{i}/x/y/{i}"][0] for i, (t, _) in enumerate(cases)} == dict(cases)
+    assert got["p/a/b/c"] == (None, "MIT", "p")
