@@ -119,20 +119,21 @@ def notices(files: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
     declared = F.regexp_replace(F.upper(F.regexp_replace(F.regexp_extract("value", _SPDX, 1), _SUFFIX, "")), r"\s+", " ")
     spelled = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for n in names for x in (n.upper(), n)]), declared), F.regexp_replace(F.regexp_extract("value", _SPDX, 1), _SUFFIX, ""))
     said = lines.where("size = 1").select("path", "filled", "line", "size", F.when(F.col("bare") & F.trim("value").isin(names), F.trim("value")).otherwise(spelled).alias("license")).where("license <> ''")
-    # equal lines are weighed once, however many documents have them
-    distinct = lines.select("value").distinct()
-    terms = distinct.select("value", F.explode(F.regexp_extract_all(_ascii_lower(F.col("value")), F.lit(_TERM), F.lit(0))).alias("term")).groupBy("value", "term").agg(F.count("*").alias("n"))
-    weighed = terms.join(F.broadcast(idf), "term", "left").select("value", "term", (F.col("n") * F.coalesce("idf", F.lit(unseen))).alias("w"))
-    dots = weighed.join(F.broadcast(known), "term").groupBy("value", "template", "name").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    norms = weighed.groupBy("value").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    scored = dots.join(norms, "value").select("value", "template", "name", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine")).where(F.col("cosine") >= min_cosine)
-    best = scored.groupBy("value", "name").agg(F.max("cosine").alias("cosine")).groupBy("value").agg(F.sort_array(F.collect_list(F.struct("cosine", "name")), asc=False).alias("b"))
+    # equal notices are weighed once, however many documents have them, and under their digest: a block may be a whole text
+    lines = lines.withColumn("key", F.sha2("value", 256))
+    distinct = lines.select("key", "value").distinct()
+    terms = distinct.select("key", F.explode(F.regexp_extract_all(_ascii_lower(F.col("value")), F.lit(_TERM), F.lit(0))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("n"))
+    weighed = terms.join(F.broadcast(idf), "term", "left").select("key", "term", (F.col("n") * F.coalesce("idf", F.lit(unseen))).alias("w"))
+    dots = weighed.join(F.broadcast(known), "term").groupBy("key", "template", "name").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    norms = weighed.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    scored = dots.join(norms, "key").select("key", "name", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine")).where(F.col("cosine") >= min_cosine)
+    best = scored.groupBy("key", "name").agg(F.max("cosine").alias("cosine")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("cosine", "name")), asc=False).alias("b"))
     best = best.where((F.size("b") == 1) | (F.get("b", F.lit(0))["cosine"] > F.get("b", F.lit(1))["cosine"]))
-    best = best.select("value", F.col("b")[0]["name"].alias("license"), F.col("b")[0]["cosine"].alias("cosine"))
+    best = best.select("key", F.col("b")[0]["name"].alias("license"), F.col("b")[0]["cosine"].alias("cosine"))
     # of a family with several versions in the list, the notice must say its version
     version = F.regexp_extract("license", r"^L?GPL-([0-9]+)", 1)
-    best = best.where((version == "") | F.rlike(F.col("value"), F.concat(F.lit("(?<![0-9.])"), version, F.lit("(?![0-9])"))))
-    found = lines.join(best, "value").select("path", "line", "license", "cosine", "filled", "size")
+    stated = (version == "") | F.rlike(F.col("value"), F.concat(F.lit("(?<![0-9.])"), version, F.lit("(?![0-9])")))
+    found = lines.join(best, "key").where(stated).select("path", "line", "license", "cosine", "filled", "size")
     found = found.unionByName(said.select("path", "line", "license", F.lit(1.0).alias("cosine"), "filled", "size"))
     return found.select("path", "line", "license", "cosine", (F.col("filled") == F.col("size")).alias("whole"))
 
