@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 #: Okapi parameters (fixed values).
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K, ALPHA = 60, 0.7
+#: Hits of each run that a hybrid search fuses.
+CANDIDATES = 100
 #: Query vectors, in bytes, that are sent to every task; more go in more blocks.
 QUERY_BYTES = 32 << 20
 
@@ -107,6 +111,16 @@ def fuse_weighted(dense: DataFrame, lexical: DataFrame, k: int = 10, alpha: floa
     return rank_hits(both.select("query_id", "unit_id", F.round(alpha * F.coalesce("d", F.lit(0.0)) + (1 - alpha) * F.coalesce("x", F.lit(0.0)), digits).alias("score")), k)
 
 
+def hybrid(dense: Callable[[int], DataFrame], lexical: Callable[[int], DataFrame], k: int = 10, fusion: str = "rrf", candidates: int = CANDIDATES, **options) -> DataFrame:
+    """The k best of both runs fused ("rrf" or "weighted"), each asked for its max(candidates, k) first hits; scores are scaled over those lists."""
+    if fusion not in ("rrf", "weighted"):
+        raise ValueError("fusion must be rrf or weighted")
+    depth = max(candidates, k)
+    if fusion == "rrf":
+        return fuse_rrf([dense(depth), lexical(depth)], k, **options)
+    return fuse_weighted(dense(depth), lexical(depth), k, **options)
+
+
 def pool(runs: dict[str, DataFrame], judged: DataFrame) -> DataFrame:
     """(query_id, unit_id, n_systems, best_rank, best_score, found_by, judged): the union of runs, with judged(query_id,
     unit_id) pairs put in even if no run found them. found_by lists system:rank by rank, then name."""

@@ -150,3 +150,16 @@ def test_fingerprint_ignores_order(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "i int, t string")
     assert quality.fingerprint(a, "i", "t").first() == quality.fingerprint(a.orderBy(F.desc("i")), "i", "t").first()
     assert quality.fingerprint(a, "i", "t").first() != quality.fingerprint(a.where("i = 1"), "i", "t").first()
+
+
+def test_hybrid_fuses_deep_runs(spark):
+    rows = [(1, u, float(200 - u), u) for u in range(1, 151)]
+    run = lambda sign: lambda n: spark.createDataFrame([(q, u if sign else 161 - u, s, r) for q, u, s, r in rows if r <= n], "query_id long, unit_id long, score double, rank long")
+    first, second = {u: u for u in range(1, 101)}, {161 - u: u for u in range(1, 101)}
+    both = {u: sum(1 / (60 + x[u]) for x in (first, second) if u in x) for u in first | second}
+    want = sorted(both, key=lambda u: (-round(both[u], 6), u))[:10]
+    assert [r.unit_id for r in retrieval.hybrid(run(True), run(False)).orderBy("rank").collect()] == want
+    scaled = {u: 0.7 * (100 - first.get(u, 100)) / 99 + 0.3 * (100 - second.get(u, 100)) / 99 for u in both}
+    want = sorted(scaled, key=lambda u: (-round(scaled[u], 6), u))[:10]
+    assert [r.unit_id for r in retrieval.hybrid(run(True), run(False), fusion="weighted", alpha=0.7).orderBy("rank").collect()] == want
+    assert retrieval.hybrid(run(True), run(False), k=120).count() == 120
