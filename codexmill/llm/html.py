@@ -12,7 +12,13 @@ from pyspark.sql import functions as F
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never shown.
-UNSEEN = frozenset("head script style template noscript iframe object svg math select datalist audio video canvas title".split())
+UNSEEN = frozenset("head script style template noscript iframe datalist audio video canvas title annotation annotation-xml".split())
+#: Of a drawing only these are read.
+_DRAWN = frozenset(["text", "title", "foreignobject"])
+#: Marks between the parts of a formula that stand above each other.
+_STACKED = {"mfrac": "/", "msup": "^", "msub": "_"}
+#: Void elements of a head.
+_HEAD = frozenset("base link meta".split())
 #: Elements on lines of their own; those in SPACED have a blank line around them.
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre section summary table tbody tfoot thead tr ul".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr".split())
@@ -25,6 +31,8 @@ _IMPLIED = {
     "tr": (frozenset(["tr", "td", "th", "caption", "colgroup"]), frozenset(["table"])),
     "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
     "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
+    "option": (frozenset(["option"]), frozenset(["select", "datalist", "optgroup"])),
+    "optgroup": (frozenset(["option", "optgroup"]), frozenset(["select", "datalist"])),
     "tbody": (frozenset(["thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"]), frozenset(["table"])),
     "thead": (frozenset(["caption", "colgroup"]), frozenset(["table"])),
     "tfoot": (frozenset(["thead", "tbody", "tr", "td", "th"]), frozenset(["table"])),
@@ -70,7 +78,7 @@ class TreeBuilder(HTMLParser):
             self._end_implied(*_IMPLIED[tag])
         if tag in ("body", "html") and self.open[-1].tag == "head":
             self.open.pop()
-        elif self.open[-1].tag == "head" and tag not in UNSEEN and tag not in VOID:
+        elif self.open[-1].tag == "head" and tag not in UNSEEN and tag not in _HEAD:
             self.open.pop()
         if tag == "html":
             return
@@ -81,7 +89,7 @@ class TreeBuilder(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.open[-1].tag == tag and tag in ("svg", "math"):
+        if tag not in VOID and self.open[-1].tag == tag and any(n.tag in ("svg", "math") for n in self.open):
             self.open.pop()
 
     def handle_endtag(self, tag: str) -> None:
@@ -96,6 +104,8 @@ class TreeBuilder(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.open[-1].tag == "head" and data.strip():
+            self.open.pop()
         self.open[-1].children.append(data)
 
 
@@ -141,6 +151,18 @@ class _Page:
         self.flush()
         self.parts.append(s)
 
+    def kept(self, s: str) -> None:
+        """Text of a pre element: line feeds at its end become breaks, which end with the text around it."""
+        body = s.replace("\r\n", "\n")
+        lead = len(body) - len(body.lstrip("\n"))
+        body = body.strip("\n")
+        if lead or not body:
+            self.breaks, self.space = self.breaks + lead, False
+        if body:
+            self.flush()
+            self.parts.append(body)
+            self.breaks = len(s.replace("\r\n", "\n")) - lead - len(body)
+
     def result(self) -> str:
         return "".join(self.parts)
 
@@ -161,8 +183,8 @@ def _render(nodes: list, page: _Page, pre: bool) -> None:
         if isinstance(node, str):
             if not pre:
                 page.text(node)
-            elif node.strip("\n"):
-                page.raw(node.strip("\n"))
+            else:
+                page.kept(node)
             continue
         tag = node.tag
         if hidden(node):
@@ -176,6 +198,27 @@ def _render(nodes: list, page: _Page, pre: bool) -> None:
         if tag == "hr":
             page.gap(2)
             continue
+        if tag == "svg":
+            for part in _parts(node, _DRAWN, frozenset(["defs"])):
+                page.space = True
+                _render(part.children, page, False)
+                page.space = True
+            continue
+        if tag == "select":
+            options = _options(node)
+            for option in options:
+                if len(options) > 1:
+                    page.gap(1)
+                page.text(str(option.attrs.get("label") or _rendered(option.children)))
+            page.gap(1 if len(options) > 1 else 0)
+            continue
+        if tag in _STACKED:
+            for k, part in enumerate(x for x in node.children if isinstance(x, Node)):
+                if k:
+                    page.space = False
+                    page.text(_STACKED[tag])
+                _render([part], page, False)
+            continue
         around = 2 if tag in SPACED else 1 if tag in BLOCK else 0
         if around:
             page.gap(around)
@@ -198,11 +241,38 @@ def _render(nodes: list, page: _Page, pre: bool) -> None:
             page.space = False
             page.text("”")
         else:
-            _render(node.children, page, pre or tag in ("pre", "textarea"))
+            inner = node.children
+            if tag in ("pre", "textarea") and inner and isinstance(inner[0], str):  # the line feed after the start tag is none
+                inner = [re.sub(r"^\r?\n", "", inner[0]), *inner[1:]]
+            _render(inner, page, pre or tag in ("pre", "textarea"))
         if around:
             page.gap(around)
 
 
+def _parts(node: Node, wanted: frozenset, unseen: frozenset) -> list[Node]:
+    """The outermost wanted elements under a node, in order."""
+    out: list[Node] = []
+    for child in node.children:
+        if isinstance(child, str) or child.tag in unseen or (hidden(child) and child.tag not in wanted) or "hidden" in child.attrs:
+            continue
+        if child.tag in wanted:
+            if child.tag == "title" or not hidden(child):
+                out.append(child)
+        else:
+            out += _parts(child, wanted, unseen)
+    return out
+
+
+def _options(node: Node) -> list[Node]:
+    """The options that a select shows: all of a list box, else the last one selected, else the first."""
+    options = _parts(node, frozenset(["option"]), frozenset())
+    size = str(node.attrs.get("size") or "1")
+    if "multiple" in node.attrs or (re.fullmatch(r"\d{1,9}", size) and int(size) > 1):
+        return options
+    chosen = [o for o in options if "selected" in o.attrs]
+    return chosen[-1:] or [o for o in options if "disabled" not in o.attrs][:1] or options[:1]
+
+
 def _list(node: Node, page: _Page, pre: bool) -> None:
     start = str(node.attrs.get("start") or "1")
     number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1

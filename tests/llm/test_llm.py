@@ -344,3 +344,14 @@ def test_license_headers_ids_and_files(spark):
     got = {r.path: (r.own_license, r.license, r.license_from) for r in licenses.license_scan(files).collect()}
     assert {t: got[f"d{i}/x/y/{i}"][0] for i, (t, _) in enumerate(cases)} == dict(cases)
     assert got["p/a/b/c"] == (None, "MIT", "p")
+
+
+def test_html_formulas_drawings_options_and_pre():
+    assert html.extract("a <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>tex</annotation></math> b") == "a x=1/2 b"
+    assert html.extract("a<svg><title>Plan</title><path d='M'/><g><text>north</text></g><defs><text>no</text></defs></svg>b") == "a Plan north b"
+    assert html.extract("<p>c <select><option>one<option selected>two</select> d") == "c two d"
+    assert html.extract("<select multiple><option>one<option>two</select>") == "one\ntwo"
+    assert html.extract("<object data=x><param name=y>shown</object>") == "shown"
+    assert html.extract("<head><title>t</title>lost <b>x</b>") == "lost x"
+    assert html.extract("<pre>a\n<b>b</b>\nc</pre>d") == "a\nb\nc\n\nd"
+    assert html.extract("<pre>\n<i>if</i> x:\n\n  y\n</pre>") == "if x:\n\n  y"
