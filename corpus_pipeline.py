@@ -19,15 +19,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("toxicity") < toxicity.THRESHOLD).select(docs.columns)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with doc_id a row number in the order of (doc_id, text), null ids last; the id itself is in __id."""
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first(), F.xxhash64(*docs.columns))
+    return materialize(ordered.withColumn("__id", F.col("doc_id")).withColumn("doc_id", F.monotonically_increasing_id()), "numbered-rows")
+
+
+def _restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.withColumn("doc_id", F.col("__id")).select(docs.columns)
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group; repeated rows of an id are one row after."""
-    groups = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """Keeps the first row of each group by doc_id, then text; rows with a null id come last in their group and stay if it
+    has no other. An id held by texts of different groups keeps a row in each."""
+    rows = _numbered(docs)
+    firsts = simhash.near_duplicates(rows).where("doc_id = component_id").select("doc_id")
+    return _restored(rows.join(firsts, "doc_id", "left_semi"), docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages of 50 words or more that an earlier document has; a document left without words goes."""
-    return substrings.remove_repeats(docs)
+    """Cuts passages of 50 words or more that an earlier row has, by doc_id (nulls last), then text; a row left without words goes."""
+    return _restored(substrings.remove_repeats(_numbered(docs)), docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

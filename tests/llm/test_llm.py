@@ -355,3 +355,18 @@ def test_html_formulas_drawings_options_and_pre():
     assert html.extract("<head><title>t</title>lost <b>x</b>") == "lost x"
     assert html.extract("<pre>a\n<b>b</b>\nc</pre>d") == "a\nb\nc\n\nd"
     assert html.extract("<pre>\n<i>if</i> x:\n\n  y\n</pre>") == "if x:\n\n  y"
+
+
+def test_pipeline_keeps_null_ids_and_texts_that_share_an_id(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(12)
+    some = lambda n: " ".join(f"u{x}" for x in rng.integers(0, 10**9, n))
+    a, b, c, e = some(80), some(90), some(100), some(60)
+    rows = [(1, a), (5, a), (5, b), (5, b), (None, c), (None, c), (None, a), (7, f"{some(70)} {e}"), (7, f"{e} {some(80)}")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_copies(spark, d, "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, a), (5, b), (0, c), *rows[7:]])
+    cut = corpus_pipeline.drop_repeated_passages(spark, spark.createDataFrame(kept, d.schema), "").collect()
+    assert sum(e in r.text for r in cut if r.doc_id == 7) == 1 and len(cut) == 5
+    assert {(r.doc_id, r.text) for r in cut if r.doc_id != 7} == {(1, a), (5, b), (None, c)}
