@@ -44,7 +44,7 @@ def _segment(rows: list[tuple[int, list[bytes]]]) -> list:
 
 
 def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFrame:
-    """A stored index of all words of all texts: one row per segment of documents, so no term's postings meet in one task. Repeated doc_ids keep a place each."""
+    """A stored index of all words of all texts: one row per segment of documents, so no term's postings meet in one task. Repeated doc_ids keep a place each. segment is a stored id of the row."""
 
     def run(batches):
         held, total = [], 0
@@ -62,7 +62,7 @@ def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(_segment(held), kinds)], names)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    return materialize(texts.mapInArrow(run, _INDEX), "positional-index")
+    return materialize(texts.mapInArrow(run, _INDEX).withColumn("segment", F.expr("uuid()")), "positional-index")
 
 
 class Segment:
@@ -118,8 +118,7 @@ def matches(index: DataFrame, items: DataFrame, window: int = WINDOW, span: int
     """For every document of the index: doc_id, n_words, hits array<struct<first, last>> (word positions of merged
     occurrences), items array<long> (item_ids with occurrences). With span, proximity matches instead of exact phrases."""
     spark, found = index.sparkSession, None
-    schema = "segment long, place int, doc_id long, n_words long, hits array<struct<first:long,last:long>>, items array<long>"
-    index = index.withColumn("segment", F.xxhash64("ids", "postings"))
+    schema = "segment string, place int, doc_id long, n_words long, hits array<struct<first:long,last:long>>, items array<long>"
     for blocks, rows in _item_blocks(items, block_bytes):
         owners: dict[tuple[bytes, ...], set[int]] = {}
         for item, text in rows:
@@ -160,7 +159,7 @@ def _search(row: dict, wanted: list[tuple[tuple[bytes, ...], list[int]]], span:
     kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([row["segment"]] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(row["ids"], pa.int64()), pa.array(sizes),
+            pa.array([row["segment"]] * n, pa.string()), pa.array(range(n), pa.int32()), pa.array(row["ids"], pa.int64()), pa.array(sizes),
             pa.array(merged, kind), pa.array([sorted(items.get(i, ())) for i in range(n)], pa.list_(pa.int64())),
         ],
         ["segment", "place", "doc_id", "n_words", "hits", "items"],

@@ -370,3 +370,12 @@ def test_pipeline_keeps_null_ids_and_texts_that_share_an_id(spark):
     cut = corpus_pipeline.drop_repeated_passages(spark, spark.createDataFrame(kept, d.schema), "").collect()
     assert sum(e in r.text for r in cut if r.doc_id == 7) == 1 and len(cut) == 5
     assert {(r.doc_id, r.text) for r in cut if r.doc_id != 7} == {(1, a), (5, b), (None, c)}
+
+
+def test_equal_segments_stay_apart_over_blocks(spark):
+    items = spark.createDataFrame([(i, f"item{i} word{i}") for i in range(20)], "item_id long, text string")
+    rows = [(None, "item1 word1 x"), (None, "item1 word1 x"), (None, "item2 word2 y"), (None, "other words y")] * 2
+    d = spark.createDataFrame(spark.sparkContext.parallelize(rows, 8), "doc_id long, text string")
+    key = lambda r: (r.n_words, r.n_hit, r.n_items, r.items_sha256)
+    one, many = (sorted(map(key, decontam.decontaminate(d, items, block_bytes=n).collect())) for n in (10**6, 50))
+    assert len(one) == len(rows) and many == one
