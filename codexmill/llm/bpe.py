@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from codexmill.llm.common import released, values
+
 #: The pattern by which byte-level vocabularies of this kind split text before merging (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces whose ids a worker keeps; the memo never changes a result.
-MEMO_ROWS = 500_000
+#: Pieces whose ids each generation of a worker's memos keeps, of at most 64 characters; the memos never change a result.
+MEMO_ROWS = 250_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -153,7 +155,7 @@ def encode_decode(docs: DataFrame, path: str, digests: bool = True) -> DataFrame
         bpe, names = load(path), {}
         for batch in batches:
             counts, a, b = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in values(batch.column(1)):
                 ids = bpe.encode(text)
                 decoded = bpe.decode(ids)
                 counts.append(len(ids))
@@ -168,4 +170,4 @@ def encode_decode(docs: DataFrame, path: str, digests: bool = True) -> DataFrame
             kinds = (pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(a, kinds[0]), pa.array(b, kinds[1])], schema.names)
 
-    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(released(run), schema)

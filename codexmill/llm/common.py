@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 import zlib
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +18,8 @@ _ALNUM = bytes(
     b + 32 if 65 <= b <= 90 else (b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32)
     for b in range(256)
 )
-_WORD_CACHE_ROWS = 300_000
+#: Shuffle files go when the execution that wrote them ends (both names: the setting was renamed).
+_CLEANUP = ("spark.sql.shuffleDependency.fileCleanup.enabled", "spark.sql.classic.shuffleDependency.fileCleanup.enabled")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,12 +36,63 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextmanager
+def _cleaned_shuffles(spark: SparkSession):
+    before = {name: spark.conf.get(name, None) for name in _CLEANUP}
+    for name in _CLEANUP:
+        spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def materialize(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
-    """Write df once as Parquet under the shared folder and return a scan of it; cuts lineage and survives lost executors."""
+    """Write df once as Parquet under the shared folder and return a scan of it; cuts lineage and survives lost executors.
+
+    The shuffle files of the write go once it is done. The table stays until `discard` is called on what is returned."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=codec)
-    return spark.read.schema(df.schema).parquet(path)
+    with _cleaned_shuffles(spark):
+        df.write.parquet(path, compression=codec)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `materialize` returned, once nothing that is still to run reads them."""
+    for df in tables:
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def values(column: pa.Array, rows: int = 256) -> Iterator:
+    """The Python values of an Arrow column, a few at a time: a batch of long texts is never held twice."""
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).to_pylist()
+
+
+def give_back() -> None:
+    """Return freed memory of this process to the system; workers are kept for later tasks of other operators."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run` over the Arrow batches of a task, giving the worker's memory back when the task ends."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
 
 
 def held_out(id_col: Column) -> Column:
@@ -69,23 +125,10 @@ def alnum_words(raw: bytes) -> list[bytes]:
 
 
 class WordHasher:
-    """32-bit hashes of words with a bounded memo; the memo never changes a result."""
-
-    def __init__(self) -> None:
-        self._memo: dict[bytes, int] = {}
+    """32-bit hashes of words."""
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        memo = self._memo
-        if len(memo) > _WORD_CACHE_ROWS:
-            memo.clear()
-        try:
-            return np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
-        except KeyError:
-            crc = zlib.crc32
-            for w in words:
-                if w not in memo:
-                    memo[w] = crc(w)
-            return np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
+        return np.fromiter(map(zlib.crc32, words), dtype=np.uint64, count=len(words))
 
 
 def mix(h: np.ndarray) -> np.ndarray:

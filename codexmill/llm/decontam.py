@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexmill.llm.common import alnum_words, materialize
+from codexmill.llm.common import alnum_words, materialize, released, values
 
 WINDOW = 8
 #: Words that one index segment gathers (a longer document has a segment of its own).
@@ -51,7 +51,7 @@ def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFram
         names = [f.split(" ")[0] for f in _INDEX.split(", ")]
         kinds = [pa.list_(pa.int64())] * 3 + [pa.list_(pa.binary()), pa.binary(), pa.binary()]
         for batch in batches:
-            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for i, raw in zip(batch.column(0).to_pylist(), values(batch.column(1))):
                 words = alnum_words(raw)
                 held.append((i, words))
                 total += len(words) + GAP
@@ -62,7 +62,7 @@ def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(_segment(held), kinds)], names)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    return materialize(texts.mapInArrow(run, _INDEX).withColumn("segment", F.expr("uuid()")), "positional-index")
+    return materialize(texts.mapInArrow(released(run), _INDEX).withColumn("segment", F.expr("uuid()")), "positional-index")
 
 
 class Segment:
@@ -132,7 +132,7 @@ def matches(index: DataFrame, items: DataFrame, window: int = WINDOW, span: int
                 for row in batch.to_pylist():
                     yield _search(row, wanted, span)
 
-        part = index.mapInArrow(run, schema)
+        part = index.mapInArrow(released(run), schema)
         found = part if found is None else found.unionAll(part)
         if blocks == 1:
             return found.select("doc_id", "n_words", "hits", "items")

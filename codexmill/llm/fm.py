@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codexmill.llm.common import WordHasher, alnum_words, held_out, labelled_texts, mix
+from codexmill.llm.common import WordHasher, alnum_words, held_out, labelled_texts, mix, released, values
 
 #: Labelled rows that may be fitted on: the bound of the one task that learns.
 TRAIN_ROWS = 6_000
@@ -100,7 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", rows: int =
     def learn(batches):
         got, hasher = [], WordHasher()
         for batch in batches:
-            for i, t, n, y in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "n_chars", "label"))):
+            for i, t, n, y in zip(*(values(batch.column(c)) for c in ("doc_id", "text", "n_chars", "label"))):
                 got.append((i, *encode(t, n, hasher), y))
         got.sort(key=lambda r: r[0])
         w0, w, v, mean, spread = train([r[1:] for r in got])
@@ -108,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", rows: int =
         yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary())], ["model"])
 
     texts = labelled_texts(docs.select("doc_id", "text", _chars(docs)), labels, column, rows, "n_chars")
-    (row,) = texts.repartition(1).mapInArrow(learn, "model binary").collect()
+    (row,) = texts.repartition(1).mapInArrow(released(learn), "model binary").collect()
     flat = np.frombuffer(row["model"])
     k = len(STATS)
     return flat[0], flat[1 : 1 + _DIM], flat[1 + _DIM : -2 * k].reshape(_DIM, RANK), flat[-2 * k : -k], flat[-k:]
@@ -126,7 +126,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, t
         tail, hasher = np.arange(BUCKETS, _DIM), WordHasher()
         for batch in batches:
             out = []
-            for raw, n in zip(batch.column("text").to_pylist(), batch.column("n_chars").to_pylist()):
+            for raw, n in zip(values(batch.column("text")), values(batch.column("n_chars"))):
                 idx, x, s = encode(raw, n, hasher)
                 s = np.clip((s - mean) / spread, -4, 4) / 4
                 y = fm_score(w0, w, v, np.concatenate([idx, tail]), np.concatenate([x, s]))
@@ -134,5 +134,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, t
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64())], ["doc_id", "score"])
 
     schema = docs.select("doc_id").schema.add("score", "double")
-    scored = _inputs(docs).mapInArrow(run, schema)
+    scored = _inputs(docs).mapInArrow(released(run), schema)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexmill.llm.common import materialize
+from codexmill.llm.common import materialize, released, values
 from codexmill.llm.graph import connected_components
 
 SEED = 42
@@ -51,11 +51,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t) for t in values(batch.column(1))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, fp long")
+    return texts.mapInArrow(released(run), "doc_id long, fp long")
 
 
 def _block_bounds(blocks: int) -> list[tuple[int, int]]:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codexmill.llm.common import WordHasher, materialize, mix
+from codexmill.llm.common import discard, materialize, mix, released, values
 
 SHINGLE = 5
 MIN_WORDS = 50
@@ -23,18 +24,78 @@ HALF = WIDTH // 2 - 1
 MATCHED = int(np.ceil(WIDTH * 2 * SIMILARITY / (1 + SIMILARITY)))
 #: Places by which edits may move a shingle against its run's diagonal.
 DRIFT = 8
-#: Windows of a signature that others are held against at once in the second round; doubled in each further one.
-LEADERS = 32
+#: Windows of a signature that others are held against: the first one, then by this factor more in each further round.
+LEADERS = 8
+#: Places of a text that a candidate run may span besides its reach: what one task holds of a long text is bounded.
+BLOCK = 1024
 _P = np.uint64(0x9E3779B97F4A7C15)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def shingle_hashes(words: list[bytes], hasher: WordHasher) -> np.ndarray:
-    """64-bit hashes of all 5-word shingles."""
-    n = len(words) - SHINGLE + 1
+#: Bytes of text whose words are hashed at once.
+_PIECE = 1 << 18
+
+
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0.._PIECE of _P modulo 2 ** 64, and those of its inverse."""
+    made = []
+    for base in (int(_P), pow(int(_P), -1, 1 << 64)):
+        steps = np.full(_PIECE + 1, base, np.uint64)
+        steps[0] = 1
+        made.append(np.multiply.accumulate(steps))
+    return made[0], made[1]
+
+
+def _piece_hashes(piece: np.ndarray) -> np.ndarray:
+    up, down = _powers()
+    blank = (piece == 32) | ((piece >= 9) & (piece <= 13))
+    edge = np.empty(len(piece) + 1, bool)
+    edge[0], edge[-1] = not blank[0], not blank[-1]
+    np.not_equal(blank[1:], blank[:-1], out=edge[1:-1])
+    at = np.flatnonzero(edge)
+    total = np.zeros(len(piece) + 1, np.uint64)
+    np.cumsum(up[: len(piece)] * (piece.astype(np.uint16) + 1), out=total[1:])
+    return (total[at[1::2]] - total[at[::2]]) * down[at[::2]]
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words, runs of bytes other than white space: byte k of a word, plus one, counts times _P ** k, modulo 2 ** 64."""
+    raw = np.frombuffer(text, np.uint8)
+    if len(raw) <= _PIECE:
+        return _piece_hashes(raw) if len(raw) else np.empty(0, np.uint64)
+    out, at = [], 0
+    while at < len(raw):
+        stop = min(len(raw), at + _PIECE)
+        if stop < len(raw):
+            gaps = np.flatnonzero((raw[at:stop] == 32) | ((raw[at:stop] >= 9) & (raw[at:stop] <= 13)))
+            if not len(gaps):  # a word longer than a piece: its pieces' sums, moved to their places
+                value, moved = 0, 0
+                rest = raw[at:]
+                after = re.search(rb"[ \t-\r]", text[at:])
+                rest = rest[: after.start()] if after else rest
+                for k in range(0, len(rest), _PIECE):
+                    value += int(_piece_total(rest[k : k + _PIECE])) * pow(int(_P), moved, 1 << 64)
+                    moved += _PIECE
+                out.append(np.array([value % (1 << 64)], np.uint64))
+                at += len(rest)
+                continue
+            stop = at + int(gaps[-1]) + 1
+        out.append(_piece_hashes(raw[at:stop]))
+        at = stop
+    return np.concatenate(out)
+
+
+def _piece_total(piece: np.ndarray) -> np.uint64:
+    return (_powers()[0][: len(piece)] * (piece.astype(np.uint16) + 1)).sum(dtype=np.uint64)
+
+
+def shingle_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of all 5-word shingles of a text, A-Z lowered."""
+    h = mix(word_hashes(text.lower()) + np.uint64(1))
+    n = len(h) - SHINGLE + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    h = mix(hasher(words) + np.uint64(1))
     out = np.zeros(n, np.uint64)
     for k in range(SHINGLE):
         out = out * _P + h[k : k + n]
@@ -51,6 +112,14 @@ def _slide(v: np.ndarray, width: int, take) -> np.ndarray:
     return take(at[: len(at) - rest], at[rest:]) if rest else at
 
 
+def _extents(tables: list[np.ndarray], at: np.ndarray, fits) -> np.ndarray:
+    """How many places on from each of `at` fit, REACH at most: tables[i] holds the least of 2 ** i places, halved steps add up."""
+    out = np.zeros(len(at), np.int64)
+    for i in reversed(range(len(tables))):
+        out += np.where(fits(tables[i], at, out, 1 << i), 1 << i, 0)
+    return np.minimum(out, REACH)
+
+
 def compact_windows(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(centres, left ends, right ends): the nodes of v's Cartesian tree (least value on top, leftmost among equals) that
     span WIDTH places or more, cut to REACH places around their centre. Every run of WIDTH places has its least value at
@@ -62,18 +131,16 @@ def compact_windows(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     pad = np.zeros(REACH, np.uint64)
     highest = _slide(np.concatenate([pad, least, pad]), WIDTH, np.maximum)  # over the runs that hold a place
     centres = np.nonzero((highest == v) & (v > 0))[0]
-    edged = np.concatenate([pad, v, pad])
-    value, left, right = v[centres], np.full(len(centres), REACH), np.full(len(centres), REACH)
-    open_l, open_r = np.ones(len(centres), bool), np.ones(len(centres), bool)
-    for d in range(1, REACH + 1):
-        stop = open_l & (edged[centres + REACH - d] <= value)
-        left[stop] = d - 1
-        open_l &= ~stop
-        stop = open_r & (edged[centres + REACH + d] < value)
-        right[stop] = d - 1
-        open_r &= ~stop
+    edge = 1 << REACH.bit_length()
+    tables = [np.concatenate([np.zeros(edge, np.uint64), v, np.zeros(edge, np.uint64)])]
+    while 1 << len(tables) <= REACH:
+        half = 1 << (len(tables) - 1)
+        tables.append(np.minimum(tables[-1][:-half], tables[-1][half:]))
+    value, at = v[centres], centres + edge
+    left = _extents(tables, at, lambda t, p, done, step: t[p - done - step] > value)
+    right = _extents(tables, at, lambda t, p, done, step: t[p + done + 1] >= value)
     wide = left + right + 1 >= WIDTH
-    return centres[wide], centres[wide] - left[wide], centres[wide] + right[wide]
+    return centres[wide], (centres - left)[wide], (centres + right)[wide]
 
 
 def signatures(flat: np.ndarray, hashes: int = HASHES) -> tuple[np.ndarray, np.ndarray]:
@@ -89,10 +156,10 @@ def signatures(flat: np.ndarray, hashes: int = HASHES) -> tuple[np.ndarray, np.n
         c, lo, hi = compact_windows(v)
         if not len(c):
             continue
-        outer = _slide(np.where(flat == 0, _TOP, mix(flat ^ np.uint64(0xD1B54A32D192ED03 + k))), HALF - quarter, np.minimum)
+        outer = _slide(v, HALF - quarter, np.minimum)
         for side, fits, at in ((1, hi - c >= HALF, c + quarter + 1), (2, c - lo >= HALF, c - HALF)):
             fit_c, fit_at = c[fits], at[fits]
-            keys.append(mix(v[fit_c] * _P + outer[fit_at] + np.uint64(side)))
+            keys.append(mix(v[fit_c] * _P + mix(outer[fit_at]) + np.uint64(side)))
             where.append(fit_c)
     if not keys:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -104,90 +171,166 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _windows(docs: DataFrame, hashes: int) -> DataFrame:
-    """(doc_id, n_words, keys array<long>, centres array<int>) of every row; a batch of documents is laid out as one parted array."""
-    names = ["doc_id", "n_words", "keys", "centres"]
+    """(doc_id, c, key) of all compact windows of rows with an id; a batch of documents is laid out as one parted array.
 
-    def lay_out(ids, counts, parts):
+    Cheaper to make than to store, so it is made from the texts wherever it is read."""
+
+    def lay_out(ids, parts):
         starts = np.cumsum([0, *(len(p) + 1 for p in parts)])
         flat = np.zeros(starts[-1], np.uint64)
         for s, p in zip(starts, parts):
             flat[s : s + len(p)] = p | np.uint64(1)
         keys, at = signatures(flat, hashes)
-        order = np.argsort(at, kind="stable")
-        keys, at = keys[order].view(np.int64), at[order]
-        cut = np.searchsorted(at, starts)
-        owner = np.repeat(starts[:-1], np.diff(cut))
-        offsets = pa.array(cut.astype(np.int32))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(keys)), pa.ListArray.from_arrays(offsets, pa.array((at - owner).astype(np.int32)))], names
-        )
+        row = np.searchsorted(starts, at, side="right") - 1
+        return pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[row]), pa.array((at - starts[row]).astype(np.int32)), pa.array(keys.view(np.int64))], ["doc_id", "c", "key"])
 
     def run(batches):
-        hasher = WordHasher()
         for batch in batches:
-            ids, counts, parts, held = [], [], [], 0
-            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = raw.lower().split()
+            ids, parts, held = [], [], 0
+            for i, raw in zip(batch.column(0).to_pylist(), values(batch.column(1))):
+                shingles = shingle_hashes(raw)
+                if len(shingles) < WIDTH:
+                    continue
                 ids.append(i)
-                counts.append(len(words))
-                parts.append(shingle_hashes(words, hasher))
-                held += len(words)
-                if held > 200_000:
-                    yield lay_out(ids, counts, parts)
-                    ids, counts, parts, held = [], [], [], 0
+                parts.append(shingles)
+                held += len(shingles)
+                if held > 100_000:
+                    yield lay_out(ids, parts)
+                    ids, parts, held = [], [], 0
             if ids:
-                yield lay_out(ids, counts, parts)
+                yield lay_out(ids, parts)
+
+    return _texts(docs).where(F.col("doc_id").isNotNull()).mapInArrow(released(run), "doc_id long, c int, key long")
+
+
+class _Places:
+    """Places (doc_id, c) as one ordered column: a packed long where ids and lengths leave room for it, else a struct.
+
+    Both order alike; a long lets the least place of a signature be found by hashing instead of sorting."""
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n_words long, keys array<long>, centres array<int>")
+    def __init__(self, docs: DataFrame) -> None:
+        sized = _texts(docs).agg(F.min("doc_id"), F.max("doc_id"), F.max(F.octet_length("text"))).first()
+        self.bits = ((sized[2] or 0) // 2 + 1).bit_length()
+        self.packed = (sized[0] or 0) >= 0 and (sized[1] or 0).bit_length() + self.bits <= 63
 
+    def of(self, windows: DataFrame) -> DataFrame:
+        at = F.shiftleft("doc_id", self.bits).bitwiseOR(F.col("c").cast("long")) if self.packed else F.struct("doc_id", "c")
+        return windows.select("key", at.alias("at"))
 
-def _held(windows: DataFrame) -> DataFrame:
-    """(key, doc_id, c) of all windows of rows with an id."""
-    flat = windows.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(F.arrays_zip("keys", "centres")).alias("w"))
-    return flat.select(F.col("w.keys").alias("key"), "doc_id", F.col("w.centres").alias("c"))
+    def doc(self, at: str) -> Column:
+        return F.shiftright(at, self.bits) if self.packed else F.col(at)["doc_id"]
 
+    def c(self, at: str) -> Column:
+        return (F.col(at).bitwiseAND(F.lit((1 << self.bits) - 1)).cast("int") if self.packed else F.col(at)["c"])
 
-def _runs(held: DataFrame, leaders: int) -> DataFrame:
+
+def _runs(held: DataFrame, places: _Places, leaders: int) -> DataFrame:
     """Candidate runs (a_id, b_id, shift, a_lo, a_hi, b_lo, b_hi, held array<struct<key, c>>) in shingle places: each window
-    joined to the earlier ones of the first `leaders` windows of its signature, windows of a pair on one diagonal taken together.
+    joined to the earlier ones of the first `leaders` windows of its signature, windows of a pair on one diagonal and in
+    one block of the text taken together.
 
     A signature's windows are never all paired with each other: firsts are pre-aggregated, the join back may be split
     where a signature is hot."""
-    at = F.struct("doc_id", "c")
     if leaders == 1:
-        first = held.groupBy("key").agg(F.count("*").alias("n"), F.min(at).alias("f")).where("n > 1").select("key", F.col("f.doc_id").alias("a_id"), F.col("f.c").alias("a_c"))
+        first = held.groupBy("key").agg(F.count("*").alias("n"), F.min("at").alias("first")).where("n > 1").select("key", "first")
     else:  # a limit by rank is applied before the exchange too, so a hot signature sends few rows
-        ranked = held.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("doc_id", "c")))
-        first = ranked.where(F.col("rank") <= leaders).select("key", F.col("doc_id").alias("a_id"), F.col("c").alias("a_c"))
+        ranked = held.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("at")))
+        first = ranked.where(F.col("rank") <= leaders).select("key", F.col("at").alias("first"))
     # stored, so that both sides of the join come from plain exchanges and a hot signature's windows can be split
-    links = held.join(materialize(first, "first-windows"), "key").where((F.col("doc_id") > F.col("a_id")) | ((F.col("doc_id") == F.col("a_id")) & (F.col("c") > F.col("a_c"))))
-    return links.groupBy("a_id", F.col("doc_id").alias("b_id"), (F.col("c") - F.col("a_c")).alias("shift")).agg(
-        F.greatest(F.min("a_c") - REACH, F.lit(0)).alias("a_lo"), (F.max("a_c") + REACH).alias("a_hi"), F.greatest(F.min("c") - REACH, F.lit(0)).alias("b_lo"), (F.max("c") + REACH).alias("b_hi"),
-        F.collect_set(F.struct("key", "c")).alias("held"),
-    )
+    first = materialize(first, "first-windows")
+    links = held.join(first, "key").where(F.col("at") > F.col("first")).select("key", places.doc("first").alias("a_id"), places.doc("at").alias("b_id"), places.c("at").alias("c"), (places.c("at") - places.c("first")).alias("shift"))
+    runs = links.groupBy("a_id", "b_id", "shift", F.floor(F.col("c") / BLOCK).cast("int").alias("block")).agg(F.min("c").alias("least"), F.max("c").alias("most"), F.collect_list(F.struct("key", "c")).alias("held"))
+    lo, hi = F.col("least") - REACH, F.col("most") + REACH
+    made = materialize(
+        runs.select("a_id", "b_id", "shift", F.greatest(lo - F.col("shift"), F.lit(0)).alias("a_lo"), (hi - F.col("shift")).alias("a_hi"), F.greatest(lo, F.lit(0)).alias("b_lo"), hi.alias("b_hi"), "held"), "window-runs", "zstd"
+    )
+    discard(first)
+    return made
+
+
+_FOUND = "doc_id long, sources array<long>, spans array<struct<first:long,last:long>>, failed array<struct<key:long,c:int,end:int>>"
+_SPAN = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+_LEFT = pa.list_(pa.struct([("key", pa.int64()), ("c", pa.int32()), ("end", pa.int32())]))
+
+
+class _Found:
+    """What runs of several documents repeat: spans and sources of each, and the windows whose centre no span of their run holds."""
+
+    def __init__(self) -> None:
+        self.of: dict[int, tuple[list, set, list]] = {}
+
+    def add(self, b_id: int, a_id: int, a: np.ndarray, b: np.ndarray, a_lo: int, b_lo: int, shift: int, keys: np.ndarray, centres: np.ndarray) -> None:
+        found = verified_spans(a, b, a_lo, b_lo, shift, a_id == b_id)
+        lost = np.ones(len(keys), bool)
+        for first, last in found:
+            lost &= (centres < first) | (centres > last - SHINGLE + 1)
+        failing = lost.any()
+        if not found and not failing:
+            return
+        spans, sources, failed = self.of.setdefault(b_id, ([], set(), []))
+        if found:
+            spans += found
+            sources.add(a_id)
+        if failing:
+            top = b_lo + len(b) - 1
+            failed += [{"key": x, "c": y, "end": min(y + REACH, top)} for x, y in zip(keys[lost].tolist(), centres[lost].tolist())]
+
+    def columns(self) -> list[pa.Array]:
+        merged = [[{"first": x, "last": y} for x, y in merge_spans(v[0])] for v in self.of.values()]
+        return [pa.array(list(self.of), pa.int64()), pa.array([sorted(v[1]) for v in self.of.values()], pa.list_(pa.int64())), pa.array(merged, _SPAN), pa.array([v[2] for v in self.of.values()], _LEFT)]
+
+
+def _lists(column: pa.ListArray, *fields: str) -> tuple[list[int], list[np.ndarray]]:
+    """(ends, flat values of the fields) of an array<struct> column."""
+    inner = column.flatten()
+    ends = np.cumsum([0, *column.value_lengths().to_pylist()]).tolist()
+    return ends, [inner.field(f).to_numpy(zero_copy_only=False) for f in fields]
 
 
 def _slices(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """(doc_id, lo, hi, part) for all ranges that runs name: the 32-bit shingle hashes of places lo..hi."""
-    both = runs.select(F.col("a_id").alias("doc_id"), F.col("a_lo").alias("lo"), F.col("a_hi").alias("hi")).unionAll(runs.select("b_id", "b_lo", "b_hi"))
+    """Rows (doc_id, lo, hi, part) for all ranges that runs over two documents name: the 32-bit shingle hashes of places
+    lo..hi. Runs inside one document are verified here, where its text is: rows (doc_id, sources, spans, failed), part null."""
+    apart = runs.where("a_id <> b_id")
+    both = apart.select(F.col("a_id").alias("doc_id"), F.col("a_lo").alias("lo"), F.col("a_hi").alias("hi")).unionAll(apart.select("b_id", "b_lo", "b_hi"))
     # distinct first: a document of which many others repeat a passage still has few ranges of its own
-    wanted = both.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    ranges = both.distinct().select("doc_id", F.struct("lo", "hi").alias("range"), F.lit(None).cast("struct<shift:int,lo:int,hi:int,held:array<struct<key:long,c:int>>>").alias("own"))
+    own = runs.where("a_id = b_id").select(F.col("b_id").alias("doc_id"), F.lit(None).cast("struct<lo:int,hi:int>").alias("range"), F.struct("shift", F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi"), "held").alias("own"))
+    wanted = ranges.unionAll(own).groupBy("doc_id").agg(F.collect_list("range").alias("ranges"), F.collect_list("own").alias("own"))
+    names = ["doc_id", "lo", "hi", "part", "sources", "spans", "failed"]
 
     def run(batches):
-        hasher = WordHasher()
         for batch in batches:
-            ids, los, his, parts = [], [], [], []
-            for i, raw, ranges in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                h = (shingle_hashes(raw.lower().split(), hasher) >> np.uint64(32)).astype("<u4")
+            ids, los, his, parts, size = [], [], [], [], 0
+            found = _Found()
+            rows, (shift, lo, hi) = _lists(batch.column(3), "shift", "lo", "hi")
+            held, (keys, centres) = _lists(batch.column(3).flatten().field("held"), "key", "c")
+            runs = list(zip(shift.tolist(), lo.tolist(), hi.tolist(), held, held[1:]))
+            for k, (i, raw, ranges) in enumerate(zip(*(values(batch.column(c), 16) for c in range(3)))):
+                h = (shingle_hashes(raw) >> np.uint64(32)).astype("<u4")
+                for move, first, last, x, y in runs[rows[k] : rows[k + 1]]:
+                    a_lo = max(0, first - move)
+                    found.add(i, i, h[a_lo : last - move + 1], h[first : last + 1], a_lo, first, move, keys[x:y], centres[x:y])
                 for r in ranges:
                     ids.append(i)
                     los.append(r["lo"])
                     his.append(r["hi"])
                     parts.append(h[r["lo"] : r["hi"] + 1].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(los, pa.int32()), pa.array(his, pa.int32()), pa.array(parts, pa.binary())], ["doc_id", "lo", "hi", "part"])
+                    size += len(parts[-1])
+                    if size > 8 << 20:
+                        yield slice_rows(ids, los, his, parts)
+                        ids, los, his, parts, size = [], [], [], [], 0
+            yield slice_rows(ids, los, his, parts)
+            doc, *rest = found.columns()
+            none = pa.nulls(len(doc), pa.int32())
+            yield pa.RecordBatch.from_arrays([doc, none, none, pa.nulls(len(doc), pa.binary()), *rest], names)
+
+    def slice_rows(ids, los, his, parts):
+        n = len(ids)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(los, pa.int32()), pa.array(his, pa.int32()), pa.array(parts, pa.binary()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, _SPAN), pa.nulls(n, _LEFT)], names)
 
-    texts = _texts(docs).join(wanted, "doc_id").select("doc_id", "text", "ranges")
-    return texts.mapInArrow(run, "doc_id long, lo int, hi int, part binary").dropDuplicates(["doc_id", "lo", "hi"])
+    texts = _texts(docs).join(wanted, "doc_id").select("doc_id", "text", "ranges", "own")
+    schema = _FOUND.replace("doc_id long", "doc_id long, lo int, hi int, part binary")
+    return texts.mapInArrow(released(run), schema).dropDuplicates(["doc_id", "lo", "hi"])
 
 
 def _near_diagonal(a: np.ndarray, b: np.ndarray, off: int, above: int = DRIFT) -> np.ndarray:
@@ -233,63 +376,30 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _verified(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """(doc_id, sources, spans, failed array<struct<key, c>>): what runs repeat, and their windows whose centre no span holds."""
+    """A stored table (doc_id, sources, spans, failed array<struct<key, c, end>>): what runs repeat, and their windows whose
+    centre no span of the run holds, with the last place that a passage around it can reach."""
     parts = materialize(_slices(docs, runs), "window-slices")
-    of = lambda x: parts.select(F.col("doc_id").alias(f"{x}_id"), F.col("lo").alias(f"{x}_lo"), F.col("hi").alias(f"{x}_hi"), F.col("part").alias(x))
-    paired = runs.join(of("a"), ["a_id", "a_lo", "a_hi"]).join(of("b"), ["b_id", "b_lo", "b_hi"])
+    of = lambda x: parts.where(F.col("part").isNotNull()).select(F.col("doc_id").alias(f"{x}_id"), F.col("lo").alias(f"{x}_lo"), F.col("hi").alias(f"{x}_hi"), F.col("part").alias(x))
+    paired = runs.where("a_id <> b_id").join(of("a"), ["a_id", "a_lo", "a_hi"]).join(of("b"), ["b_id", "b_lo", "b_hi"])
 
     def run(batches):
-        kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-        left = pa.list_(pa.struct([("key", pa.int64()), ("c", pa.int32())]))
         for batch in batches:
-            held: dict[int, tuple[list, set, list]] = {}  # rows of a document stand together after the join
-            columns = [batch.column(c).to_pylist() for c in range(7)]
-            lists = batch.column(7)
-            ends, inner = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten()
-            keys, centres = inner.field("key").to_numpy(), inner.field("c").to_numpy()
-            for k, (b_id, a_id, a, b, a_lo, b_lo, shift) in enumerate(zip(*columns)):
-                found = verified_spans(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), a_lo, b_lo, shift, a_id == b_id)
-                at = slice(ends[k], ends[k + 1])
-                lost = np.ones(ends[k + 1] - ends[k], bool)
-                for first, last in found:
-                    lost &= (centres[at] < first) | (centres[at] > last - SHINGLE + 1)
-                if not found and not lost.any():
-                    continue
-                spans, sources, failed = held.setdefault(b_id, ([], set(), []))
-                if found:
-                    spans += found
-                    sources.add(a_id)
-                if lost.any():
-                    failed += [{"key": x, "c": y} for x, y in zip(keys[at][lost].tolist(), centres[at][lost].tolist())]
-            merged = [[{"first": x, "last": y} for x, y in merge_spans(v[0])] for v in held.values()]
-            sources = [sorted(v[1]) for v in held.values()]
-            failed = [v[2] for v in held.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(sources, pa.list_(pa.int64())), pa.array(merged, kind), pa.array(failed, left)], ["doc_id", "sources", "spans", "failed"])
-
-    schema = "doc_id long, sources array<long>, spans array<struct<first:long,last:long>>, failed array<struct<key:long,c:int>>"
-    return paired.select("b_id", "a_id", "a", "b", "a_lo", "b_lo", "shift", "held").mapInArrow(run, schema)
-
-
-def repeated_spans(docs: DataFrame, hashes: int = HASHES) -> tuple[DataFrame, DataFrame]:
-    """(windows, spans): stored (doc_id, n_words, ..) of every row, and (doc_id, spans array<struct<first, last>>, sources)
-    of the documents that repeat a passage of an earlier place; ends included, merged, in words of the whole text.
-
-    The first place is the one of the smallest doc_id (then the first in the text); it is never in a span for that passage. Windows that fail against the first of their signature are held against the next,
-    in rounds until none is left: copies of one content are never paired with each other."""
-    windows = materialize(_windows(docs, hashes), "compact-windows")
-    held, leaders, rounds = _held(windows), 1, []
-    while True:
-        runs = materialize(_runs(held, leaders), "window-runs")
-        if rounds and runs.isEmpty():
-            break
-        rounds.append(materialize(_verified(docs, runs), "verified-runs"))
-        # windows found in none of the leaders go on among themselves; a leader was held against fewer and stays behind
-        failed = rounds[-1].select("doc_id", F.explode("failed").alias("w")).select("w.key", "doc_id", "w.c")
-        held = materialize(failed.groupBy("key", "doc_id", "c").agg(F.count("*").alias("n")).where(F.col("n") == leaders).drop("n"), "open-windows")
-        leaders = LEADERS if leaders == 1 else 2 * leaders
-        if held.isEmpty():
-            break
-    found = reduce(DataFrame.unionAll, rounds).where(F.size("spans") > 0)
+            found = _Found()  # rows of a document stand together after the join
+            ends, (keys, centres) = _lists(batch.column(7), "key", "c")
+            rows = zip(*(values(batch.column(c)) for c in range(7)))
+            for k, (b_id, a_id, a, b, a_lo, b_lo, shift) in enumerate(rows):
+                found.add(b_id, a_id, np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), a_lo, b_lo, shift, keys[ends[k] : ends[k + 1]], centres[ends[k] : ends[k + 1]])
+            yield pa.RecordBatch.from_arrays(found.columns(), ["doc_id", "sources", "spans", "failed"])
+
+    apart = paired.select("b_id", "a_id", "a", "b", "a_lo", "b_lo", "shift", "held").mapInArrow(released(run), _FOUND)
+    own = parts.where(F.col("part").isNull()).select("doc_id", "sources", "spans", "failed")
+    made = materialize(apart.unionAll(own), "verified-runs")
+    discard(parts)
+    return made
+
+
+def _merged(found: DataFrame) -> DataFrame:
+    """(doc_id, spans, sources) of several tables' spans: sorted, joined where they touch."""
     zero = F.array().cast("array<struct<first:long,last:long>>")
     one = lambda h: F.struct(h["first"].alias("first"), h["last"].alias("last"))
 
@@ -299,8 +409,59 @@ def repeated_spans(docs: DataFrame, hashes: int = HASHES) -> tuple[DataFrame, Da
         return F.when(F.size(acc) == 0, F.array(one(h))).when(h["first"] > top["last"] + 1, F.concat(acc, F.array(one(h)))).otherwise(merged)
 
     merged = F.aggregate(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))), zero, joined)
-    spans = found.groupBy("doc_id").agg(merged.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
-    return windows, spans
+    return found.where(F.size("spans") > 0).groupBy("doc_id").agg(merged.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
+
+
+def _open_windows(found: DataFrame, last: DataFrame, places: _Places, leaders: int) -> DataFrame:
+    """(key, at) of the windows that failed against all `leaders` of their signature, unless all places that a passage
+    around them can reach are in spans already: such a window can mark no further word."""
+    failed = last.select("doc_id", F.explode("failed").alias("w")).groupBy("w.key", "doc_id", "w.c").agg(F.count("*").alias("n"), F.max("w.end").alias("end"))
+    # windows found in none of the leaders go on among themselves; a leader was held against fewer and stays behind
+    failed = failed.where(F.col("n") == leaders).join(_merged(found).select("doc_id", "spans"), "doc_id", "left")
+    marked = F.exists("spans", lambda s: (s["first"] <= F.greatest(F.col("c") - REACH, F.lit(0))) & (s["last"] >= F.col("end") + SHINGLE - 1))
+    return places.of(failed.where(~F.coalesce(marked, F.lit(False))))
+
+
+def repeated_spans(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
+    """(doc_id, spans array<struct<first, last>>, sources), stored, of the documents that repeat a passage of an earlier
+    place; ends included, merged, in words of the whole text.
+
+    The first place is the one of the smallest doc_id (then the first in the text); it is never in a span for that passage.
+    Windows that fail against the first of their signature are held against the next, in rounds until none is left: copies
+    of one content are never paired with each other."""
+    places, leaders, rounds = _Places(docs), 1, []
+    held = places.of(_windows(docs, hashes))
+    opened = None
+    while True:
+        runs = _runs(held, places, leaders)
+        if opened is not None:
+            discard(opened)
+        if runs.isEmpty():
+            discard(runs)
+            break
+        rounds.append(_verified(docs, runs))
+        discard(runs)
+        held = opened = materialize(_open_windows(reduce(DataFrame.unionAll, rounds), rounds[-1], places, leaders), "open-windows")
+        leaders *= LEADERS
+        if held.isEmpty():
+            discard(opened)
+            break
+    if not rounds:
+        return docs.sparkSession.createDataFrame([], "doc_id long, spans array<struct<first:long,last:long>>, sources array<long>")
+    spans = materialize(_merged(reduce(DataFrame.unionAll, rounds)), "repeated-spans")
+    discard(*rounds)
+    return spans
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_words) of every row."""
+
+    def run(batches):
+        for batch in batches:
+            counts = [len(raw.split()) for raw in values(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["doc_id", "n_words"])
+
+    return _texts(docs).mapInArrow(released(run), "doc_id long, n_words long")
 
 
 def substring_duplicates(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
@@ -311,15 +472,15 @@ def substring_duplicates(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
     Null and empty texts and texts under MIN_WORDS repeat nothing. doc_id names a document: rows that repeat an id repeat
     its text and get its result each; rows with a null id are not searched. Extra columns are ignored; an empty table
     gives an empty result."""
-    windows, spans = repeated_spans(docs, hashes)
+    spans = repeated_spans(docs, hashes)
     count = F.aggregate("spans", F.lit(0).cast("long"), lambda n, h: n + h["last"] - h["first"] + 1)
-    return windows.select("doc_id", "n_words").join(spans, "doc_id", "left").select("doc_id", "n_words", F.coalesce(count, F.lit(0).cast("long")).alias("n_repeated"), "spans", "sources")
+    return _counted(docs).join(spans, "doc_id", "left").select("doc_id", "n_words", F.coalesce(count, F.lit(0).cast("long")).alias("n_repeated"), "spans", "sources")
 
 
 def remove_repeats(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
     """docs without its repeated passages: each goes from all texts but the first that has it. Words outside spans, and the
     white space between them, stay as they are; a text left without words is dropped; n_chars, if there, is counted anew."""
-    _, spans = repeated_spans(docs, hashes)
+    spans = repeated_spans(docs, hashes)
     cut = docs.join(spans.select("doc_id", F.col("spans").alias("__spans")), "doc_id", "left")
     others = docs.columns
     schema = docs.schema
@@ -327,13 +488,13 @@ def remove_repeats(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = []
-            for text, held in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist()):
+            for text, held in zip(values(batch.column("text")), values(batch.column("__spans"))):
                 texts.append(without_spans(text, held) if held else text)
             columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in others]
             made = pa.RecordBatch.from_arrays(columns, others)
             yield made.filter(pa.array([not h or bool(t.split()) for t, h in zip(texts, batch.column("__spans").to_pylist())]))
 
-    out = cut.mapInArrow(run, schema)
+    out = cut.mapInArrow(released(run), schema)
     if "n_chars" in others:
         out = out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)).select(others)
     return out

@@ -6,8 +6,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from codexmill.llm.common import WordHasher, alnum_words, held_out, labelled_texts, mix
+from codexmill.llm.common import WordHasher, alnum_words, held_out, labelled_texts, mix, released, values
 
 #: Labelled rows that may be fitted on: the bound of the one task that learns.
 TRAIN_ROWS = 8_000
@@ -66,30 +67,34 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", rows: int = T
     def featurise(batches):
         hasher = WordHasher()
         for batch in batches:
-            found = [np.unique(features(alnum_words(t), hasher, buckets)) for t in batch.column("text").to_pylist()]
+            found = [np.unique(features(alnum_words(t), hasher, buckets)) for t in values(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.int64())), batch.column("label")], ["doc_id", "idx", "label"])
 
     def learn(batches):
         got = []
         for batch in batches:
-            got += zip(batch.column("doc_id").to_pylist(), map(np.array, batch.column("idx").to_pylist()), batch.column("label").to_pylist())
+            lists, idx = batch.column("idx"), batch.column("idx").flatten().to_numpy().astype(np.int32)
+            ends = np.cumsum([0, *lists.value_lengths().to_pylist()])
+            got += zip(batch.column("doc_id").to_pylist(), [idx[a:b] for a, b in zip(ends, ends[1:])], batch.column("label").to_pylist())
         got.sort(key=lambda r: r[0])
-        bias, kept, weights = ftrl([(idx.astype(np.int64), label) for _, idx, label in got], buckets)
+        bias, kept, weights = ftrl([(idx, label) for _, idx, label in got], buckets)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *kept.tolist()], pa.int64()), pa.array([bias, *weights.tolist()], pa.float64())], ["idx", "weight"])
 
-    made = labelled_texts(docs, labels, column, rows).mapInArrow(featurise, "doc_id long, idx array<long>, label int")
-    model = made.repartition(1).mapInArrow(learn, "idx long, weight double").collect()
+    made = labelled_texts(docs, labels, column, rows).mapInArrow(released(featurise), "doc_id long, idx array<long>, label int")
+    model = made.repartition(1).mapInArrow(released(learn), "idx long, weight double").collect()
     bias = sum(r["weight"] for r in model if r["idx"] < 0)
     rest = sorted((r["idx"], r["weight"]) for r in model if r["idx"] >= 0)
     return bias, np.array([i for i, _ in rest], np.int64), np.array([w for _, w in rest])
 
 
-def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], buckets: int = BUCKETS) -> DataFrame:
-    """docs with a double column toxicity (0 to 1) from the whole text; null and empty texts get the bias's score."""
-    bias, kept, weights = model
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((bias, kept, weights))
-    rest = [c for c in docs.columns if c != "toxicity"]
+def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], buckets: int = BUCKETS, name: str = "toxicity") -> DataFrame:
+    """docs with a double column `name` (0 to 1) from the whole text; null and empty texts get the bias's score.
+
+    A column of that name already there is an error, not overwritten."""
+    if name in docs.columns:
+        raise ValueError(f"docs have a column {name} already")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
 
     def run(batches):
         bias, kept, weights = shared.value
@@ -98,16 +103,13 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], buckets:
         used, hasher = dense != 0, WordHasher()
         for batch in batches:
             out = []
-            for raw in batch.column(0).to_pylist():
-                idx = features(alnum_words(raw), hasher, buckets)
+            for raw in values(batch.column(place).cast(pa.binary())):
+                idx = features(alnum_words(raw or b""), hasher, buckets)
                 total = bias + dense[np.unique(idx[used[idx]])].sum()
                 out.append(1 / (1 + np.exp(-np.clip(total, -30, 30))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.float64())], [*batch.schema.names[1:], "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, name])
 
-    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("__raw")
-    kept_cols = docs.select(rest)
-    schema = kept_cols.schema.add("toxicity", "double")
-    return docs.select(raw, *rest).mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:

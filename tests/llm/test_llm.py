@@ -285,6 +285,22 @@ def test_repeat_words_match_counting(spark):
         assert got[i] == len({k + j for k, g in enumerate(grams) if grams.count(g) > 1 for j in range(3)})
 
 
+def test_word_hashes_do_not_depend_on_place(monkeypatch):
+    monkeypatch.setattr(substrings, "_PIECE", 16)
+    substrings._powers.cache_clear()
+    words = ["a", "bb", "é日本", "x" * 15, "y" * 16, "z" * 17, "w" * 70, "a\x00", "\x1c"]
+    one = {w: substrings.word_hashes(w.encode()) for w in words}
+    assert all(len(h) == 1 for h in one.values()) and len({int(h[0]) for h in one.values()}) == len(words)
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        picked = [words[k] for k in rng.integers(0, len(words), 9)]
+        gaps = [" \t\n\x0b\x0c\r"[k : k + 1 + k % 2] for k in rng.integers(0, 6, 10)]
+        text = gaps[0] + "".join(w + g for w, g in zip(picked, gaps[1:]))
+        assert substrings.word_hashes(text.encode()).tolist() == [int(one[w][0]) for w in picked]
+    assert len(substrings.word_hashes(b"")) == len(substrings.word_hashes(b"  \n" * 40)) == 0
+    substrings._powers.cache_clear()
+
+
 def test_repeats_of_a_later_holder_are_found(spark):
     rng = np.random.default_rng(8)
     some = lambda n: [f"u{x}" for x in rng.integers(0, 10**9, n)]
@@ -301,9 +317,8 @@ def test_repeats_of_a_later_holder_are_found(spark):
 
 def test_near_passages_against_brute_force(spark):
     rng = np.random.default_rng(9)
-    hasher = substrings.WordHasher()
     some = lambda n: [f"u{x}" for x in rng.integers(0, 10**9, n)]
-    low = lambda words: (substrings.shingle_hashes([w.encode() for w in words], hasher) >> np.uint64(32)).astype("<u4")
+    low = lambda words: (substrings.shingle_hashes(" ".join(words).encode()) >> np.uint64(32)).astype("<u4")
     texts, want = [], {}
     for n in (50, 55, 60) * 100:
         passage = some(n)
