@@ -14,9 +14,14 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents scored below the threshold. The model is fitted on the labelled rows of the given documents."""
-    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
-    return scored.where(F.col("toxicity") < toxicity.THRESHOLD).select(docs.columns)
+    """Keeps documents scored below the threshold; those at it go. The model is fitted on the labelled rows of the given
+    documents. Rows are judged each, whatever their id; null and empty texts have the score of the bias alone. A column
+    of docs keeps its values whatever its name. An empty table stays empty."""
+    name = "toxicity"
+    while name in docs.columns:
+        name += "_"
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), name=name)
+    return scored.where(F.col(name) < toxicity.THRESHOLD).select(docs.columns)
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
