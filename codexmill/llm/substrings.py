@@ -24,8 +24,8 @@ HALF = WIDTH // 2 - 1
 MATCHED = int(np.ceil(WIDTH * 2 * SIMILARITY / (1 + SIMILARITY)))
 #: Places by which edits may move a shingle against its run's diagonal.
 DRIFT = 8
-#: Windows of a signature that others are held against: the first one, then by this factor more in each further round.
-LEADERS = 8
+#: Grades of place of a centre in its passage: those of one grade have a block of MATCHED places in common.
+GRADE = WIDTH - MATCHED + 1
 #: Places of a text that a candidate run may span besides its reach: what one task holds of a long text is bounded.
 BLOCK = 1024
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -215,7 +215,7 @@ class _Places:
 
     def of(self, windows: DataFrame) -> DataFrame:
         at = F.shiftleft("doc_id", self.bits).bitwiseOR(F.col("c").cast("long")) if self.packed else F.struct("doc_id", "c")
-        return windows.select("key", at.alias("at"))
+        return windows.withColumn("at", at).drop("doc_id", "c")
 
     def doc(self, at: str) -> Column:
         return F.shiftright(at, self.bits) if self.packed else F.col(at)["doc_id"]
@@ -224,202 +224,284 @@ class _Places:
         return (F.col(at).bitwiseAND(F.lit((1 << self.bits) - 1)).cast("int") if self.packed else F.col(at)["c"])
 
 
-def _runs(held: DataFrame, places: _Places, leaders: int) -> DataFrame:
-    """Candidate runs (a_id, b_id, shift, a_lo, a_hi, b_lo, b_hi, held array<struct<key, c>>) in shingle places: each window
-    joined to the earlier ones of the first `leaders` windows of its signature, windows of a pair on one diagonal and in
-    one block of the text taken together.
+def _links(held: DataFrame, asked: Column | None = None) -> DataFrame:
+    """A stored table (key, first, at): each window, or each `asked` one, with the first of its signature, if that is another one.
 
-    A signature's windows are never all paired with each other: firsts are pre-aggregated, the join back may be split
-    where a signature is hot."""
-    if leaders == 1:
-        first = held.groupBy("key").agg(F.count("*").alias("n"), F.min("at").alias("first")).where("n > 1").select("key", "first")
-    else:  # a limit by rank is applied before the exchange too, so a hot signature sends few rows
-        ranked = held.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("at")))
-        first = ranked.where(F.col("rank") <= leaders).select("key", F.col("at").alias("first"))
+    A signature's windows are never paired with each other: firsts are pre-aggregated, the join back may be split where a
+    signature is hot."""
+    first = held.groupBy("key").agg(F.count("*").alias("n"), F.min("at").alias("first")).where("n > 1").select("key", "first")
     # stored, so that both sides of the join come from plain exchanges and a hot signature's windows can be split
     first = materialize(first, "first-windows")
-    links = held.join(first, "key").where(F.col("at") > F.col("first")).select("key", places.doc("first").alias("a_id"), places.doc("at").alias("b_id"), places.c("at").alias("c"), (places.c("at") - places.c("first")).alias("shift"))
-    runs = links.groupBy("a_id", "b_id", "shift", F.floor(F.col("c") / BLOCK).cast("int").alias("block")).agg(F.min("c").alias("least"), F.max("c").alias("most"), F.collect_list(F.struct("key", "c")).alias("held"))
-    lo, hi = F.col("least") - REACH, F.col("most") + REACH
-    made = materialize(
-        runs.select("a_id", "b_id", "shift", F.greatest(lo - F.col("shift"), F.lit(0)).alias("a_lo"), (hi - F.col("shift")).alias("a_hi"), F.greatest(lo, F.lit(0)).alias("b_lo"), hi.alias("b_hi"), "held"), "window-runs", "zstd"
-    )
+    asking = held if asked is None else held.where(asked)
+    made = materialize(asking.join(first, "key").where(F.col("at") > F.col("first")).select("key", "first", "at"), "window-links", "zstd")
     discard(first)
     return made
 
 
-_FOUND = "doc_id long, sources array<long>, spans array<struct<first:long,last:long>>, failed array<struct<key:long,c:int,end:int>>"
-_SPAN = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-_LEFT = pa.list_(pa.struct([("key", pa.int64()), ("c", pa.int32()), ("end", pa.int32())]))
-
-
-class _Found:
-    """What runs of several documents repeat: spans and sources of each, and the windows whose centre no span of their run holds."""
+def _named(links: DataFrame, places: _Places) -> DataFrame:
+    return links.select("key", places.doc("first").alias("a_id"), places.doc("at").alias("b_id"), places.c("at").alias("c"), (places.c("at") - places.c("first")).alias("shift"))
 
-    def __init__(self) -> None:
-        self.of: dict[int, tuple[list, set, list]] = {}
 
-    def add(self, b_id: int, a_id: int, a: np.ndarray, b: np.ndarray, a_lo: int, b_lo: int, shift: int, keys: np.ndarray, centres: np.ndarray) -> None:
-        found = verified_spans(a, b, a_lo, b_lo, shift, a_id == b_id)
-        lost = np.ones(len(keys), bool)
-        for first, last in found:
-            lost &= (centres < first) | (centres > last - SHINGLE + 1)
-        failing = lost.any()
-        if not found and not failing:
-            return
-        spans, sources, failed = self.of.setdefault(b_id, ([], set(), []))
-        if found:
-            spans += found
-            sources.add(a_id)
-        if failing:
-            top = b_lo + len(b) - 1
-            failed += [{"key": x, "c": y, "end": min(y + REACH, top)} for x, y in zip(keys[lost].tolist(), centres[lost].tolist())]
-
-    def columns(self) -> list[pa.Array]:
-        merged = [[{"first": x, "last": y} for x, y in merge_spans(v[0])] for v in self.of.values()]
-        return [pa.array(list(self.of), pa.int64()), pa.array([sorted(v[1]) for v in self.of.values()], pa.list_(pa.int64())), pa.array(merged, _SPAN), pa.array([v[2] for v in self.of.values()], _LEFT)]
+def _runs(links: DataFrame, places: _Places) -> DataFrame:
+    """A stored table of candidate runs (a_id, b_id, shift, least, most, a_lo, a_hi, b_lo, b_hi), in shingle places: the
+    windows of a pair on one diagonal and in one block of the text, from their least centre to their most."""
+    grouped = _named(links, places).groupBy("a_id", "b_id", "shift", F.floor(F.col("c") / BLOCK).cast("int").alias("block"))
+    lo, hi = F.col("least") - REACH, F.col("most") + REACH
+    runs = grouped.agg(F.min("c").alias("least"), F.max("c").alias("most")).select(
+        "a_id", "b_id", "shift", "least", "most", F.greatest(lo - F.col("shift"), F.lit(0)).alias("a_lo"), (hi - F.col("shift")).alias("a_hi"), F.greatest(lo, F.lit(0)).alias("b_lo"), hi.alias("b_hi")
+    )
+    return materialize(runs, "window-runs")
+
+
+def _spread(into: np.ndarray, at: np.ndarray, values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+    """into[at[i] : at[i] + sizes[i]] = values[starts[i] : starts[i] + sizes[i]] for every i."""
+    step = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    into[np.repeat(at, sizes) + step] = values[np.repeat(starts, sizes) + step]
+
+
+def verified_runs(a: np.ndarray, a_at, a_len, b: np.ndarray, b_at, b_len, off, above, least, most) -> tuple[tuple, tuple]:
+    """((run, first, last), (run, first, last)): spans that runs repeat, and intervals of centres least..most in no span; places count in b's part.
+
+    Part i of b is b[b_at[i] : b_at[i] + b_len[i]], its first place stands at off[i] in part i of a. A place of b is matched
+    if its shingle is among a's within DRIFT places of their diagonal, above[i] at most after it. A span is a run of places
+    of which any WIDTH in a row have MATCHED matched ones or more, without the unmatched at its ends. All runs are laid out
+    in one array, a cell each, so that a diagonal of all of them is compared at once."""
+    cell = b_len + 2 * DRIFT
+    ends = np.cumsum(cell)
+    starts = ends - cell
+    total = int(ends[-1]) if len(ends) else 0
+    if total < WIDTH:
+        none = (np.empty(0, np.int64),) * 3
+        return none, none
+    left, right = np.full(total, -2, np.int64), np.full(total, -1, np.int64)
+    _spread(right, starts + DRIFT, b, b_at, b_len)
+    lo = off - DRIFT
+    skip = np.maximum(0, -lo)
+    _spread(left, starts + skip, a, a_at + lo + skip, np.maximum(0, np.minimum(cell, a_len - lo) - skip))
+    inner = right[DRIFT : total - DRIFT]
+    same = np.zeros(total, bool)
+    near = same[DRIFT : total - DRIFT]
+    bounded = bool((above < DRIFT).any())
+    limit = np.repeat(above, cell)[DRIFT : total - DRIFT] if bounded else None
+    for e in range(2 * DRIFT + 1):
+        equal = inner == left[e : e + len(inner)]
+        if bounded and e > DRIFT:
+            equal &= limit >= e - DRIFT
+        near |= equal
+    owner = np.repeat(np.arange(len(cell)), cell)
+    counts = np.concatenate([[0], np.cumsum(same)])
+    good = np.flatnonzero(counts[WIDTH:] - counts[:-WIDTH] >= MATCHED)
+    base = starts + DRIFT
+    good = good[(good >= base[owner[good]]) & (good + WIDTH <= (base + b_len)[owner[good]])]
+    begins = good[np.diff(good, prepend=-2) > 1] if len(good) else good
+    stops = good[np.diff(good, append=total + 2) > 1] if len(good) else good
+    where = np.flatnonzero(same)
+    first = where[np.searchsorted(where, begins)] if len(begins) else begins
+    last = where[np.searchsorted(where, stops + WIDTH) - 1] if len(begins) else begins
+    run = owner[begins]
+    change = np.zeros(total + 1, np.int64)
+    np.add.at(change, base + least, 1)
+    np.add.at(change, base + most + 1, -1)
+    asked = np.cumsum(change[:-1]) > 0
+    change[:] = 0
+    np.add.at(change, first, 1)
+    np.add.at(change, last + 1, -1)
+    lost = asked & (np.cumsum(change[:-1]) == 0)
+    edge = np.diff(np.concatenate([[False], lost, [False]]).astype(np.int8))
+    x, y = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+    return (run, first - base[run], last - base[run]), (owner[x], x - base[owner[x]], y - base[owner[x]])
 
 
-def _lists(column: pa.ListArray, *fields: str) -> tuple[list[int], list[np.ndarray]]:
-    """(ends, flat values of the fields) of an array<struct> column."""
-    inner = column.flatten()
-    ends = np.cumsum([0, *column.value_lengths().to_pylist()]).tolist()
-    return ends, [inner.field(f).to_numpy(zero_copy_only=False) for f in fields]
+def verified_spans(a: np.ndarray, b: np.ndarray, a_lo: int, b_lo: int, shift: int, same_text: bool = False) -> list[tuple[int, int]]:
+    """Word spans (first, last) of b's text that one run repeats; in the same text only of places strictly before."""
+    one = lambda x: np.array([x], np.int64)
+    spans, _ = verified_runs(a, one(0), one(len(a)), b, one(0), one(len(b)), one(b_lo - shift - a_lo), one(min(DRIFT, shift - 1) if same_text else DRIFT), one(0), one(-1))
+    return [(x + b_lo, y + b_lo + SHINGLE - 1) for x, y in zip(spans[1].tolist(), spans[2].tolist())]
+
+
+_FOUND = "kind int, doc_id long, a_id long, shift int, lo int, hi int, end int"
+_SPAN, _SOURCE, _OPEN = 0, 1, 2
+
+
+def _found_rows(b_id, a_id, shift, b_lo, b_len, spans, lost) -> pa.RecordBatch:
+    """Rows of _FOUND: merged word spans of each document, sources of each, intervals of centres left open with the last place of their part."""
+    run, first, last = spans
+    doc, first, last = b_id[run], first + b_lo[run], last + b_lo[run] + SHINGLE - 1
+    order = np.lexsort((first, doc))
+    doc_s, first_s, last_s = doc[order], first[order], last[order]
+    if len(order):
+        number = np.cumsum(np.diff(doc_s, prepend=doc_s[0]) != 0)
+        lift = number * (int(last_s.max()) + 2)
+        reach = np.maximum.accumulate(last_s + lift)
+        new = np.ones(len(order), bool)
+        new[1:] = (first_s + lift)[1:] > reach[:-1] + 1
+        at = np.flatnonzero(new)
+        doc_s, first_s, last_s = doc_s[at], first_s[at], (reach - lift)[np.append(at[1:], len(order)) - 1]
+    source = np.unique(np.stack([doc, a_id[run]], axis=1), axis=0) if len(run) else np.empty((0, 2), np.int64)
+    o_run, o_first, o_last = lost
+    sizes = (len(doc_s), len(source), len(o_run))
+    void = [np.zeros(n, np.int64) for n in sizes]
+    parts = [
+        (doc_s, void[0], void[0], first_s, last_s, void[0]),
+        (source[:, 0], source[:, 1], void[1], void[1], void[1], void[1]),
+        (b_id[o_run], a_id[o_run], shift[o_run], o_first + b_lo[o_run], o_last + b_lo[o_run], (b_lo + b_len - 1)[o_run]),
+    ]
+    columns = [np.repeat([_SPAN, _SOURCE, _OPEN], sizes).astype(np.int32)] + [np.concatenate(c) for c in zip(*parts)]
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(columns, kinds)], ["kind", "doc_id", "a_id", "shift", "lo", "hi", "end"])
+
+
+def _parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, starts, sizes) of a column of parts."""
+    column = column.cast(pa.binary())
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 4
+    held = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    return held[: len(held) // 4 * 4].view("<u4"), ends[:-1], np.diff(ends)
 
 
 def _slices(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """Rows (doc_id, lo, hi, part) for all ranges that runs over two documents name: the 32-bit shingle hashes of places
-    lo..hi. Runs inside one document are verified here, where its text is: rows (doc_id, sources, spans, failed), part null."""
+    lo..hi. Runs inside one document are verified here, where its text is: rows of _FOUND, part null."""
     apart = runs.where("a_id <> b_id")
     both = apart.select(F.col("a_id").alias("doc_id"), F.col("a_lo").alias("lo"), F.col("a_hi").alias("hi")).unionAll(apart.select("b_id", "b_lo", "b_hi"))
     # distinct first: a document of which many others repeat a passage still has few ranges of its own
-    ranges = both.distinct().select("doc_id", F.struct("lo", "hi").alias("range"), F.lit(None).cast("struct<shift:int,lo:int,hi:int,held:array<struct<key:long,c:int>>>").alias("own"))
-    own = runs.where("a_id = b_id").select(F.col("b_id").alias("doc_id"), F.lit(None).cast("struct<lo:int,hi:int>").alias("range"), F.struct("shift", F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi"), "held").alias("own"))
-    wanted = ranges.unionAll(own).groupBy("doc_id").agg(F.collect_list("range").alias("ranges"), F.collect_list("own").alias("own"))
-    names = ["doc_id", "lo", "hi", "part", "sources", "spans", "failed"]
+    none = F.lit(None).cast("int")
+    ranges = both.distinct().select("doc_id", F.struct("lo", "hi", none.alias("shift"), none.alias("least"), none.alias("most")).alias("w"))
+    own = runs.where("a_id = b_id").select(F.col("b_id").alias("doc_id"), F.struct(F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi"), "shift", "least", "most").alias("w"))
+    wanted = ranges.unionAll(own).groupBy("doc_id").agg(F.collect_list("w").alias("wanted"))
+    found_names = [f.split(" ")[0] for f in _FOUND.split(", ")]
+    names = ["part", *found_names]
+
+    def rows(ids, lo, hi, parts):
+        n = len(ids)
+        void = pa.nulls(n, pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(parts, pa.binary()), void, pa.array(ids, pa.int64()), pa.nulls(n, pa.int64()), void, pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), void], names)
 
     def run(batches):
         for batch in batches:
             ids, los, his, parts, size = [], [], [], [], 0
-            found = _Found()
-            rows, (shift, lo, hi) = _lists(batch.column(3), "shift", "lo", "hi")
-            held, (keys, centres) = _lists(batch.column(3).flatten().field("held"), "key", "c")
-            runs = list(zip(shift.tolist(), lo.tolist(), hi.tolist(), held, held[1:]))
-            for k, (i, raw, ranges) in enumerate(zip(*(values(batch.column(c), 16) for c in range(3)))):
+            inner, ends = batch.column(2).flatten(), np.cumsum([0, *batch.column(2).value_lengths().to_pylist()]).tolist()
+            field = {f: inner.field(f).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("lo", "hi", "shift", "least", "most")}
+            for k, (i, raw) in enumerate(zip(batch.column(0).to_pylist(), values(batch.column(1), 16))):
                 h = (shingle_hashes(raw) >> np.uint64(32)).astype("<u4")
-                for move, first, last, x, y in runs[rows[k] : rows[k + 1]]:
-                    a_lo = max(0, first - move)
-                    found.add(i, i, h[a_lo : last - move + 1], h[first : last + 1], a_lo, first, move, keys[x:y], centres[x:y])
-                for r in ranges:
+                lo, hi, shift, least, most = (v[ends[k] : ends[k + 1]] for v in field.values())
+                own = shift >= 0
+                if own.any():
+                    at, to, move = lo[own], hi[own], shift[own]
+                    a_lo = np.maximum(0, at - move)
+                    b_len = np.minimum(to + 1, len(h)) - at
+                    args = (h, a_lo, np.minimum(to - move + 1, len(h)) - a_lo, h, at, b_len, at - move - a_lo, np.minimum(DRIFT, move - 1), least[own] - at, most[own] - at)
+                    me = np.full(len(at), i, np.int64)
+                    found = _found_rows(me, me, move, at, b_len, *verified_runs(*args))
+                    yield pa.RecordBatch.from_arrays([pa.nulls(found.num_rows, pa.binary()), *found.columns], names)
+                for x, y in zip(lo[~own].tolist(), hi[~own].tolist()):
                     ids.append(i)
-                    los.append(r["lo"])
-                    his.append(r["hi"])
-                    parts.append(h[r["lo"] : r["hi"] + 1].tobytes())
+                    los.append(x)
+                    his.append(y)
+                    parts.append(h[x : y + 1].tobytes())
                     size += len(parts[-1])
                     if size > 8 << 20:
-                        yield slice_rows(ids, los, his, parts)
+                        yield rows(ids, los, his, parts)
                         ids, los, his, parts, size = [], [], [], [], 0
-            yield slice_rows(ids, los, his, parts)
-            doc, *rest = found.columns()
-            none = pa.nulls(len(doc), pa.int32())
-            yield pa.RecordBatch.from_arrays([doc, none, none, pa.nulls(len(doc), pa.binary()), *rest], names)
-
-    def slice_rows(ids, los, his, parts):
-        n = len(ids)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(los, pa.int32()), pa.array(his, pa.int32()), pa.array(parts, pa.binary()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, _SPAN), pa.nulls(n, _LEFT)], names)
-
-    texts = _texts(docs).join(wanted, "doc_id").select("doc_id", "text", "ranges", "own")
-    schema = _FOUND.replace("doc_id long", "doc_id long, lo int, hi int, part binary")
-    return texts.mapInArrow(released(run), schema).dropDuplicates(["doc_id", "lo", "hi"])
-
-
-def _near_diagonal(a: np.ndarray, b: np.ndarray, off: int, above: int = DRIFT) -> np.ndarray:
-    """Which of b are in a within DRIFT places of their diagonal, `above` at most after it; off is the place in a of b's first."""
-    n, lo = len(b), off - DRIFT
-    if 0 <= off <= len(a) - n and (a[off : off + n] == b).all():
-        return np.ones(n, bool)
-    held = np.full(n + 2 * DRIFT, -1, np.int64)
-    x, y = max(0, lo), min(len(a), off + n + DRIFT)
-    if x < y:
-        held[x - lo : y - lo] = a[x:y]
-    # row e holds the places that lie e - DRIFT off the diagonal: overlapping views of one array
-    near = np.ndarray((2 * DRIFT + 1, n), np.int64, held, 0, (8, 8))
-    return np.logical_or.reduce(near[: DRIFT + above + 1] == b.astype(np.int64), axis=0)
+            yield rows(ids, los, his, parts)
 
-
-def verified_spans(a: np.ndarray, b: np.ndarray, a_lo: int, b_lo: int, shift: int, same_text: bool = False) -> list[tuple[int, int]]:
-    """Word spans (first, last) of b's text: runs of WIDTH places of which MATCHED or more are a's shingles near the diagonal;
-    in the same text only such that lie strictly before."""
-    if len(b) < WIDTH or len(a) < MATCHED:
-        return []
-    same = _near_diagonal(a, b, b_lo - shift - a_lo, min(DRIFT, shift - 1) if same_text else DRIFT)
-    total = np.concatenate([[0], np.cumsum(same)])
-    good = np.nonzero(total[WIDTH:] - total[:-WIDTH] >= MATCHED)[0]
-    if not len(good):
-        return []
-    out, parts = [], np.split(good, np.nonzero(np.diff(good) > 1)[0] + 1)
-    for part in parts:
-        held = np.nonzero(same[part[0] : part[-1] + WIDTH])[0] + part[0] + b_lo
-        out.append((int(held[0]), int(held[-1]) + SHINGLE - 1))
-    return out
-
-
-def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Sorted, joined where they touch or overlap; ends included."""
-    out: list[tuple[int, int]] = []
-    for first, last in sorted(spans):
-        if out and first <= out[-1][1] + 1:
-            out[-1] = (out[-1][0], max(out[-1][1], last))
-        else:
-            out.append((first, last))
-    return out
+    return _texts(docs).join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(released(run), f"part binary, {_FOUND}").dropDuplicates(found_names)
 
 
 def _verified(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """A stored table (doc_id, sources, spans, failed array<struct<key, c, end>>): what runs repeat, and their windows whose
-    centre no span of the run holds, with the last place that a passage around it can reach."""
+    """A stored table of _FOUND: what the runs repeat and what they leave open."""
     parts = materialize(_slices(docs, runs), "window-slices")
     of = lambda x: parts.where(F.col("part").isNotNull()).select(F.col("doc_id").alias(f"{x}_id"), F.col("lo").alias(f"{x}_lo"), F.col("hi").alias(f"{x}_hi"), F.col("part").alias(x))
     paired = runs.where("a_id <> b_id").join(of("a"), ["a_id", "a_lo", "a_hi"]).join(of("b"), ["b_id", "b_lo", "b_hi"])
 
     def run(batches):
         for batch in batches:
-            found = _Found()  # rows of a document stand together after the join
-            ends, (keys, centres) = _lists(batch.column(7), "key", "c")
-            rows = zip(*(values(batch.column(c)) for c in range(7)))
-            for k, (b_id, a_id, a, b, a_lo, b_lo, shift) in enumerate(rows):
-                found.add(b_id, a_id, np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), a_lo, b_lo, shift, keys[ends[k] : ends[k + 1]], centres[ends[k] : ends[k + 1]])
-            yield pa.RecordBatch.from_arrays(found.columns(), ["doc_id", "sources", "spans", "failed"])
-
-    apart = paired.select("b_id", "a_id", "a", "b", "a_lo", "b_lo", "shift", "held").mapInArrow(released(run), _FOUND)
-    own = parts.where(F.col("part").isNull()).select("doc_id", "sources", "spans", "failed")
+            (a, a_at, a_len), (b, b_at, b_len) = _parts(batch.column(0)), _parts(batch.column(1))
+            a_id, b_id, a_lo, b_lo, shift, least, most = (batch.column(c).to_numpy().astype(np.int64) for c in range(2, 9))
+            piece = np.cumsum(b_len + 2 * DRIFT) // 300_000
+            for at, to in zip(*(np.searchsorted(piece, np.unique(piece), side=x) for x in ("left", "right"))):
+                k = slice(at, to)
+                spans, lost = verified_runs(a, a_at[k], a_len[k], b, b_at[k], b_len[k], (b_lo - shift - a_lo)[k], np.full(to - at, DRIFT), (least - b_lo)[k], (most - b_lo)[k])
+                yield _found_rows(b_id[k], a_id[k], shift[k], b_lo[k], b_len[k], spans, lost)
+
+    apart = paired.select("a", "b", "a_id", "b_id", "a_lo", "b_lo", "shift", "least", "most").mapInArrow(released(run), _FOUND)
+    own = parts.where(F.col("part").isNull()).select(*(f.split(" ")[0] for f in _FOUND.split(", ")))
     made = materialize(apart.unionAll(own), "verified-runs")
     discard(parts)
     return made
 
 
 def _merged(found: DataFrame) -> DataFrame:
-    """(doc_id, spans, sources) of several tables' spans: sorted, joined where they touch."""
-    zero = F.array().cast("array<struct<first:long,last:long>>")
-    one = lambda h: F.struct(h["first"].alias("first"), h["last"].alias("last"))
+    """(doc_id, spans): sorted, joined where they touch or overlap."""
+    by = Window.partitionBy("doc_id").orderBy("lo", "hi")
+    before = F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    marked = found.where(F.col("kind") == _SPAN).select("doc_id", "lo", "hi", (before.isNull() | (F.col("lo") > before + 1)).cast("int").alias("new"))
+    spans = marked.withColumn("n", F.sum("new").over(by)).groupBy("doc_id", "n").agg(F.min("lo").cast("long").alias("first"), F.max("hi").cast("long").alias("last"))
+    return spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
+
+
+def _open_places(found: DataFrame, links: DataFrame, places: _Places) -> DataFrame:
+    """(doc_id, places array<struct<c, open>>): the centres of all windows that are linked under a signature under which
+    some window failed against the first. Those of failed windows are open, unless all places that a passage around them
+    can reach are in spans already: such a window can mark no further word."""
+    lost = found.where(F.col("kind") == _OPEN).select("a_id", F.col("doc_id").alias("b_id"), "shift", "lo", "hi", "end")
+    failed = _named(links, places).join(lost, ["a_id", "b_id", "shift"]).where("c between lo and hi").join(_merged(found).withColumnRenamed("doc_id", "b_id"), "b_id", "left")
+    reach = F.least(F.col("c") + REACH, F.col("end")) + SHINGLE - 1
+    marked = F.exists("spans", lambda s: (s["first"] <= F.greatest(F.col("c") - REACH, F.lit(0))) & (s["last"] >= reach))
+    failed = materialize(failed.where(~F.coalesce(marked, F.lit(False))).select("key", F.col("b_id").alias("doc_id"), "c"), "open-windows")
+    members = links.join(failed.select("key").distinct(), "key", "left_semi").select(places.doc("at").alias("doc_id"), places.c("at").alias("c"), F.lit(False).alias("open"))
+    every = members.unionAll(failed.select("doc_id", "c", F.lit(True))).groupBy("doc_id", "c").agg(F.max("open").alias("open"))
+    made = materialize(every.groupBy("doc_id").agg(F.collect_list(F.struct("c", "open")).alias("places")), "open-places")
+    discard(failed)
+    return made
 
-    def joined(acc, h):
-        top = F.element_at(acc, -1)
-        merged = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(top["first"].alias("first"), F.greatest(top["last"], h["last"]).alias("last"))))
-        return F.when(F.size(acc) == 0, F.array(one(h))).when(h["first"] > top["last"] + 1, F.concat(acc, F.array(one(h)))).otherwise(merged)
 
-    merged = F.aggregate(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))), zero, joined)
-    return found.where(F.size("spans") > 0).groupBy("doc_id").agg(merged.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
+def block_keys(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, indices in c): second signatures of the centres c in the shingle hashes h of a text.
 
+    A passage of WIDTH places around a centre has its centre in one of several grades, and holds the block of MATCHED
+    places that all passages of its grade share: texts with that block are similar, so the first holder of the block's
+    hash always verifies. For near passages there are also two least hashes of coarser blocks, four to a centre."""
+    n = len(h)
+    powers = np.full(n + 1, _P, np.uint64)
+    powers[0] = 1
+    powers = np.multiply.accumulate(powers)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers[:n])])
+    keys, where = [], []
+    for g in range(0, WIDTH, GRADE):
+        lo = c - g
+        fits = (lo >= 0) & (lo + MATCHED <= n)
+        lo = lo[fits]
+        # the block's sum, moved to the same power for every place
+        keys.append(mix((total[lo + MATCHED] - total[lo]) * powers[n - lo]))
+        where.append(np.flatnonzero(fits))
+    step = GRADE * 2
+    size = WIDTH - step + 1
+    if n >= size:
+        tops = [_slide(mix(h ^ np.uint64(0xA0761D6478BD642F + k)), size, np.minimum) for k in range(2)]
+        for g in range(0, WIDTH, step):
+            lo = c - g
+            fits = (lo >= 0) & (lo + size <= n)
+            lo = lo[fits]
+            keys.append(mix(tops[0][lo] * _P + mix(tops[1][lo]) + np.uint64(g + 1)))
+            where.append(np.flatnonzero(fits))
+    return np.concatenate(keys), np.concatenate(where)
+
+
+def _blocks(docs: DataFrame, opened: DataFrame) -> DataFrame:
+    """(doc_id, c, key, open) of the second signatures of places."""
+
+    def run(batches):
+        for batch in batches:
+            inner, ends = batch.column(2).flatten(), np.cumsum([0, *batch.column(2).value_lengths().to_pylist()]).tolist()
+            centres, opened = inner.field("c").to_numpy().astype(np.int64), inner.field("open").to_numpy(zero_copy_only=False)
+            for k, (i, raw) in enumerate(zip(batch.column(0).to_pylist(), values(batch.column(1), 16))):
+                own = slice(ends[k], ends[k + 1])
+                keys, row = block_keys(shingle_hashes(raw), centres[own])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), i, np.int64)), pa.array(centres[own][row].astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(opened[own][row])], ["doc_id", "c", "key", "open"])
 
-def _open_windows(found: DataFrame, last: DataFrame, places: _Places, leaders: int) -> DataFrame:
-    """(key, at) of the windows that failed against all `leaders` of their signature, unless all places that a passage
-    around them can reach are in spans already: such a window can mark no further word."""
-    failed = last.select("doc_id", F.explode("failed").alias("w")).groupBy("w.key", "doc_id", "w.c").agg(F.count("*").alias("n"), F.max("w.end").alias("end"))
-    # windows found in none of the leaders go on among themselves; a leader was held against fewer and stays behind
-    failed = failed.where(F.col("n") == leaders).join(_merged(found).select("doc_id", "spans"), "doc_id", "left")
-    marked = F.exists("spans", lambda s: (s["first"] <= F.greatest(F.col("c") - REACH, F.lit(0))) & (s["last"] >= F.col("end") + SHINGLE - 1))
-    return places.of(failed.where(~F.coalesce(marked, F.lit(False))))
+    return _texts(docs).join(opened, "doc_id").select("doc_id", "text", "places").mapInArrow(released(run), "doc_id long, c int, key long, open boolean")
 
 
 def repeated_spans(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
@@ -427,29 +509,24 @@ def repeated_spans(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
     place; ends included, merged, in words of the whole text.
 
     The first place is the one of the smallest doc_id (then the first in the text); it is never in a span for that passage.
-    Windows that fail against the first of their signature are held against the next, in rounds until none is left: copies
-    of one content are never paired with each other."""
-    places, leaders, rounds = _Places(docs), 1, []
-    held = places.of(_windows(docs, hashes))
-    opened = None
-    while True:
-        runs = _runs(held, places, leaders)
-        if opened is not None:
-            discard(opened)
-        if runs.isEmpty():
-            discard(runs)
-            break
+    A window is held against the first of its signature. Where a window fails, all windows of its signature go on to
+    second signatures, under which an exact repeat cannot fail: no repeat of MIN_WORDS words is lost, and no two windows
+    of a signature are ever paired beyond its first."""
+    places, rounds = _Places(docs), []
+    windows, opened = _windows(docs, hashes), None
+    for turn in range(2):
+        links = _links(places.of(windows), F.col("open") if turn else None)
+        runs = _runs(links, places)
         rounds.append(_verified(docs, runs))
         discard(runs)
-        held = opened = materialize(_open_windows(reduce(DataFrame.unionAll, rounds), rounds[-1], places, leaders), "open-windows")
-        leaders *= LEADERS
-        if held.isEmpty():
-            discard(opened)
-            break
-    if not rounds:
-        return docs.sparkSession.createDataFrame([], "doc_id long, spans array<struct<first:long,last:long>>, sources array<long>")
-    spans = materialize(_merged(reduce(DataFrame.unionAll, rounds)), "repeated-spans")
-    discard(*rounds)
+        if turn == 0:
+            opened = _open_places(rounds[0], links, places)
+            windows = _blocks(docs, opened)
+        discard(links)
+    found = reduce(DataFrame.unionAll, rounds)
+    sources = found.where(F.col("kind") == _SOURCE).groupBy("doc_id").agg(F.array_sort(F.collect_set("a_id")).alias("sources"))
+    spans = materialize(_merged(found).join(sources, "doc_id"), "repeated-spans")
+    discard(opened, *rounds)
     return spans
 
 
