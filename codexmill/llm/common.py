@@ -37,7 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _cleaned_shuffles(spark: SparkSession):
+def cleaned_shuffles(spark: SparkSession):
+    """Shuffle files of what runs inside go when each execution ends."""
     before = {name: spark.conf.get(name, None) for name in _CLEANUP}
     for name in _CLEANUP:
         spark.conf.set(name, "true")
@@ -54,7 +55,7 @@ def materialize(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     The shuffle files of the write go once it is done. The table stays until `discard` is called on what is returned."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    with _cleaned_shuffles(spark):
+    with cleaned_shuffles(spark):
         df.write.parquet(path, compression=codec)
     stored = spark.read.schema(df.schema).parquet(path)
     stored.stored_at = path

@@ -7,17 +7,19 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codexmill.llm import bpe
-from codexmill.llm.common import materialize, shared_dir
+from codexmill.llm.common import cleaned_shuffles, discard, materialize, released, shared_dir, values
 
 SEQUENCE = 512
 KEY = 20_240_229
 ROUNDS = 4
 #: Sequences in one shard file.
 SHARD_ROWS = 8_192
+#: Consecutive shards that one task writes at most, and tasks wanted for each core before shards share one.
+TASK_SHARDS, CORE_TASKS = 16, 4
 #: A record is the sequence as little-endian 16-bit ids, then one line feed: the stride of every shard.
 STRIDE = 2 * SEQUENCE + 1
 
@@ -64,74 +66,106 @@ def _walks(n: int, domain: int) -> int:
     return min(512, 1 + int((80 + n.bit_length()) * 0.6931 / -np.log1p(-inside)))
 
 
+_PIECES = [("doc_id", pa.int64()), ("doc_offset", pa.int64()), ("first", pa.int32()), ("n", pa.int32())]
+
+
 def sequences(docs: DataFrame, path: str, length: int = SEQUENCE) -> DataFrame:
-    """(doc_id, place, n_tokens, tokens binary) of every document: its ids and one end id, cut into `length` and the
-    last piece filled with the end id. place counts the pieces of a document. Null and empty texts have one piece."""
+    """(n_tokens, pieces, tokens binary): the token stream of each partition of docs, cut into `length` ids.
+
+    Every text gives its ids and one end id; a text goes on in the next sequence, and the next text follows it at once.
+    Only the last sequence of a partition is filled up with end ids; n_tokens counts those before. pieces, in stream order,
+    are struct<doc_id, doc_offset, first, n>: n ids of a document from its id number doc_offset on stand from place first
+    on. Null and empty texts have their end id only; rows with a null doc_id keep their null."""
 
     def run(batches):
         tokenizer = bpe.load(path)
         if tokenizer.code != "H":
             raise ValueError("records hold 16-bit ids")
         end = max(tokenizer.bytes_of).to_bytes(2, sys.byteorder)
-        stride = 2 * length
+        stride, now = 2 * length, bytearray()
+        records, counts, ends = [], [], [0]
+        pieces: tuple[list, ...] = ([], [], [], [])
+
+        def cut() -> None:
+            records.append(bytes(now) + end * (length - len(now) // 2))
+            counts.append(len(now) // 2)
+            ends.append(len(pieces[0]))
+            now.clear()
+
+        def made() -> pa.RecordBatch:
+            inner = pa.StructArray.from_arrays([pa.array(v, k) for v, (_, k) in zip(pieces, _PIECES)], [f for f, _ in _PIECES])
+            raw = records if sys.byteorder == "little" else [np.frombuffer(r, "u2").astype("<u2").tobytes() for r in records]
+            return pa.RecordBatch.from_arrays([pa.array(counts, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner), pa.array(raw, pa.binary())], ["n_tokens", "pieces", "tokens"])
+
         for batch in batches:
-            ids, places, counts, raw = [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                packed = tokenizer.encode_packed(text) + end
-                if sys.byteorder == "big":
-                    packed = np.frombuffer(packed, "u2").astype("<u2").tobytes()
-                n = len(packed) // 2
-                packed += end * (-n % length)
-                for k in range(0, len(packed), stride):
-                    ids.append(doc)
-                    places.append(k // stride)
-                    counts.append(min(length, n - k // 2))
-                    raw.append(packed[k : k + stride])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(counts, pa.int32()), pa.array(raw, pa.binary())], ["doc_id", "place", "n_tokens", "tokens"])
+            for doc, text in zip(batch.column(0).to_pylist(), values(batch.column(1))):
+                packed, at = tokenizer.encode_packed(text) + end, 0
+                while at < len(packed):
+                    take = min(stride - len(now), len(packed) - at)
+                    for column, value in zip(pieces, (doc, at // 2, len(now) // 2, take // 2)):
+                        column.append(value)
+                    now += packed[at : at + take]
+                    at += take
+                    if len(now) == stride:
+                        cut()
+                if len(records) >= 4096:  # the open sequence's pieces wait for it
+                    wait = tuple(column[ends[-1] :] for column in pieces)
+                    for column in pieces:
+                        del column[ends[-1] :]
+                    yield made()
+                    records, counts, ends, pieces = [], [], [0], wait
+        if now:
+            cut()
+        if records:
+            yield made()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(run, "doc_id long, place int, n_tokens int, tokens binary")
+    return texts.mapInArrow(released(run), "n_tokens int, pieces array<struct<doc_id:long,doc_offset:long,first:int,n:int>>, tokens binary")
 
 
-def _numbered(stored: DataFrame) -> DataFrame:
-    """Rows of a stored Parquet table plus a dense index 0..n-1: the rows of the files before, and the row's place in its file.
+def _numbered(stored: DataFrame) -> tuple[DataFrame, int]:
+    """(rows of a stored Parquet table plus a dense index 0..n-1, n): the rows of the files before, and the row's place in its file.
 
-    Both are properties of the files, so a task that runs again, or another job, gives the same index."""
+    Both are properties of the files, so a task that runs again, or another job, gives the same index. What is joined has a
+    row for each file; it is broadcast only if Spark finds it small."""
     marked = stored.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    starts, at = [], 0
-    for r in sorted(marked.groupBy("__file").agg(F.count("*").alias("n")).collect()):  # one row for each file
-        starts.append((r["__file"], at))
-        at += r["n"]
-    lookup = stored.sparkSession.createDataFrame(starts, "__file string, start long")
-    return marked.join(F.broadcast(lookup), "__file").withColumn("index", F.col("start") + F.col("__row")).drop("__file", "__row", "start")
+    sizes = materialize(marked.groupBy("__file").agg(F.count("*").alias("n")), "sequence-files")
+    before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return marked.join(starts, "__file").withColumn("index", F.col("start") + F.col("__row")).drop("__file", "__row", "start"), sizes.agg(F.sum("n")).first()[0] or 0
 
 
 def write_training_order(docs: DataFrame, path: str, folder: str | None = None, length: int = SEQUENCE, shard_rows: int = SHARD_ROWS, key: int = KEY) -> tuple[DataFrame, str]:
-    """Writes the shards and returns (manifest, folder).
+    """Writes the shards and returns (stored manifest, folder).
 
-    Every sequence gets one of the slots 0..n-1 by a keyed permutation of a dense index over (doc_id, place). Slots s
-    with s div shard_rows = k form shard k, in slot order, at offset (s mod shard_rows) * stride of its one file: a
-    reader at any slot seeks there and reads on. Files go through Spark's own writer and commit, so a lost executor's
-    tasks are run again. manifest: doc_id, place, n_tokens, slot, shard, offset, sha256 of the record's ids.
+    Every sequence gets one of the slots 0..n-1 by a keyed permutation of a dense index. Slots s with s div shard_rows = k
+    form shard k, in slot order, at offset (s mod shard_rows) * stride of its one file: a reader at any slot seeks there
+    and reads on. A task writes some consecutive shards. Files go through Spark's own writer and commit, so a lost
+    executor's tasks are run again. manifest: slot, shard, offset, n_tokens, doc_ids, pieces, sha256 of the record's ids.
+    The unpermuted sequences are deleted once shards and manifest stand.
 
-    Repeated rows get a slot each; an empty table gives an empty manifest and no shards."""
+    Repeated rows are written each; an empty table gives an empty manifest and no shards."""
     spark = docs.sparkSession
     stored = materialize(sequences(docs, path, length), "token-sequences", "zstd")
-    n = stored.count()
+    numbered, n = _numbered(stored)
     folder = folder or f"{shared_dir(spark)}/token-shards-{uuid.uuid4().hex}"
-    if not n:
-        empty = stored.select("doc_id", "place", "n_tokens", F.lit(0).cast("long").alias("slot"), F.lit(0).cast("long").alias("shard"), F.lit(0).cast("long").alias("offset"), F.sha2("tokens", 256).alias("sha256"))
-        return empty, folder
     shards = -(-n // shard_rows)
-    placed = permuted(_numbered(stored), "index", n, key).withColumn("shard", F.floor(F.col("slot") / shard_rows).cast("long"))
-    # slots are dense, so equal ranges of slots need no sampling: range k goes to partition k
-    ranged = placed.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "slot")
-    records = ranged.select("shard", F.col("tokens").cast("string").alias("value"))
-    records.write.partitionBy("shard").option("lineSep", "\n").text(folder)
-    slots = placed.select(
-        "doc_id", "place", "n_tokens", "slot", "shard", ((F.col("slot") % shard_rows) * (2 * length + 1)).alias("offset"), F.sha2("tokens", 256).alias("sha256")
+    placed = permuted(numbered, "index", max(n, 1), key).withColumn("shard", F.floor(F.col("slot") / shard_rows).cast("long"))
+    if n:
+        tasks = max(-(-shards // TASK_SHARDS), min(shards, CORE_TASKS * spark.sparkContext.defaultParallelism))
+        each = -(-shards // tasks)
+        # slots are dense, so equal ranges of slots need no sampling: range k goes to partition k
+        ranged = placed.repartitionById(-(-shards // each), F.floor(F.col("shard") / each).cast("int")).sortWithinPartitions("shard", "slot")
+        records = ranged.select("shard", F.col("tokens").cast("string").alias("value"))
+        with cleaned_shuffles(spark):
+            records.write.partitionBy("shard").option("lineSep", "\n").text(folder)
+    manifest = materialize(
+        placed.select("slot", "shard", ((F.col("slot") % shard_rows) * (2 * length + 1)).alias("offset"), "n_tokens", F.col("pieces.doc_id").alias("doc_ids"), "pieces", F.sha2("tokens", 256).alias("sha256")),
+        "token-manifest",
+        "zstd",
     )
-    return slots, folder
+    discard(stored)
+    return manifest, folder
 
 
 def read_slots(spark, folder: str, first: int, count: int, length: int = SEQUENCE, shard_rows: int = SHARD_ROWS) -> list[np.ndarray]:

@@ -119,11 +119,21 @@ def test_token_files_round_trip(spark, awkward, nothing, tmp_path):
     found = {}
     for r, ids in zip(rows, back):
         assert hashlib.sha256(ids.tobytes()).hexdigest() == r.sha256
-        found.setdefault(r.doc_id, {})[r.place] = ids[: r.n_tokens]
+        assert r.n_tokens == sum(p.n for p in r.pieces) and list(r.doc_ids) == [p.doc_id for p in r.pieces]
+        assert all(p.first == sum(q.n for q in r.pieces[:k]) for k, p in enumerate(r.pieces)) and (ids[r.n_tokens :] == 50256).all()
+        for p in r.pieces:
+            found.setdefault(p.doc_id, []).append((p.doc_offset, ids[p.first : p.first + p.n].tolist()))
+    # only the last sequence of a partition is filled up
+    assert sum(r.n_tokens < 16 for r in rows) <= awkward.rdd.getNumPartitions()
     coder = bpe.load(vocabulary())
     for i, text in enumerate(AWKWARD):
-        ids = np.concatenate([found[i][p] for p in sorted(found[i])]).tolist()
+        ids = []
+        for at, part in sorted(found[i]):
+            assert at == len(ids)
+            ids += part
         assert ids[-1] == 50256 and coder.decode(ids[:-1]) == (text or "")
+    part = tokenfiles.read_slots(spark, folder, 45, 20, 16, 50)
+    assert [p.tolist() for p in part] == [p.tolist() for p in back[45:65]]
     assert tokenfiles.write_training_order(nothing, vocabulary(), str(tmp_path / "e"))[0].count() == 0
 
 
