@@ -20,12 +20,33 @@ GAP = 64
 _INDEX = "ids array<long>, starts array<long>, sizes array<long>, terms array<binary>, offsets binary, postings binary"
 
 
-def item_windows(text: str | None, window: int = WINDOW) -> list[tuple[bytes, ...]]:
-    """All runs of `window` words; a shorter item, but not one without words, is one run."""
-    words = alnum_words((text or "").encode())
-    if not words:
-        return []
-    return [tuple(words[i : i + window]) for i in range(max(1, len(words) - window + 1))]
+class ItemBlock:
+    """Windows of test items over one coded text: what is sent to every task is a word list and arrays, some 30 bytes a window."""
+
+    def __init__(self, rows: list[tuple[int, str]], window: int = WINDOW) -> None:
+        number: dict[bytes, int] = {}
+        codes, at, sizes, owners, place = [], [], [], [], 0
+        for item, text in rows:
+            words = alnum_words(text.encode())
+            if not words:
+                continue
+            codes.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
+            n = max(1, len(words) - window + 1)
+            at.append(place + np.arange(n))
+            sizes.append(np.full(n, min(window, len(words))))
+            owners.append(np.full(n, item))
+            place += len(words)
+        join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.empty(0, kind)
+        self.terms, self.codes = list(number), join(codes, np.int32)
+        self.at, self.sizes, self.owners = join(at, np.int32), join(sizes, np.int32), join(owners, np.int64)
+
+    def present(self, number: dict[bytes, int]):
+        """(terms' numbers, owner) of the windows all of whose words are numbered."""
+        found = np.fromiter((number.get(t, -1) for t in self.terms), np.int64, len(self.terms))[self.codes]
+        lacking = np.concatenate([[0], np.cumsum(found < 0)])
+        whole = np.flatnonzero(lacking[self.at + self.sizes] == lacking[self.at])
+        for a, n, owner in zip(self.at[whole].tolist(), self.sizes[whole].tolist(), self.owners[whole].tolist()):
+            yield tuple(found[a : a + n].tolist()), owner
 
 
 def _segment(rows: list[tuple[int, list[bytes]]]) -> list:
@@ -73,15 +94,12 @@ class Segment:
         self.offsets = np.frombuffer(offsets, "<u4")
         self.postings = np.frombuffer(postings, "<u4")
 
-    def positions(self, term: bytes) -> np.ndarray:
-        n = self.number.get(term)
-        return self.postings[:0] if n is None else self.postings[self.offsets[n] : self.offsets[n + 1]]
+    def positions(self, n: int) -> np.ndarray:
+        return self.postings[self.offsets[n] : self.offsets[n + 1]]
 
-    def phrase(self, words: tuple[bytes, ...]) -> np.ndarray:
+    def phrase(self, numbers: tuple[int, ...]) -> np.ndarray:
         """First positions of exact occurrences: lists moved by their word's offset, intersected from the rarest on."""
-        if any(w not in self.number for w in words):
-            return np.empty(0, np.int64)
-        lists = sorted(((self.positions(w), k) for k, w in enumerate(words)), key=lambda x: len(x[0]))
+        lists = sorted(((self.positions(w), k) for k, w in enumerate(numbers)), key=lambda x: len(x[0]))
         first = lists[0][0].astype(np.int64) - lists[0][1]
         for found, k in lists[1:]:
             if not len(first):
@@ -91,11 +109,9 @@ class Segment:
             first = first[found[at] == first + k]
         return first
 
-    def proximity(self, words: tuple[bytes, ...], span: int) -> np.ndarray:
+    def proximity(self, numbers: tuple[int, ...], span: int) -> np.ndarray:
         """Positions of the rarest word where all words lie within `span` words around it, in any order."""
-        distinct = sorted(set(words), key=lambda w: len(self.positions(w)))
-        if any(w not in self.number for w in distinct):
-            return np.empty(0, np.int64)
+        distinct = sorted(set(numbers), key=lambda w: len(self.positions(w)))
         here = self.positions(distinct[0]).astype(np.int64)
         for w in distinct[1:]:
             found = self.positions(w).astype(np.int64)
@@ -120,17 +136,13 @@ def matches(index: DataFrame, items: DataFrame, window: int = WINDOW, span: int
     spark, found = index.sparkSession, None
     schema = "segment string, place int, doc_id long, n_words long, hits array<struct<first:long,last:long>>, items array<long>"
     for blocks, rows in _item_blocks(items, block_bytes):
-        owners: dict[tuple[bytes, ...], set[int]] = {}
-        for item, text in rows:
-            for w in item_windows(text, window):
-                owners.setdefault(w, set()).add(item)
-        shared = spark.sparkContext.broadcast([(w, sorted(o)) for w, o in owners.items()])
+        shared = spark.sparkContext.broadcast(ItemBlock(rows, window))
 
         def run(batches, shared=shared):
             wanted = shared.value
             for batch in batches:
-                for row in batch.to_pylist():
-                    yield _search(row, wanted, span)
+                for at in range(batch.num_rows):
+                    yield _search(batch.slice(at, 1).to_pylist()[0], wanted, span)
 
         part = index.mapInArrow(released(run), schema)
         found = part if found is None else found.unionAll(part)
@@ -142,18 +154,23 @@ def matches(index: DataFrame, items: DataFrame, window: int = WINDOW, span: int
     return merged.select("doc_id", "n_words", "hits", "items")
 
 
-def _search(row: dict, wanted: list[tuple[tuple[bytes, ...], list[int]]], span: int | None) -> pa.RecordBatch:
+def _search(row: dict, wanted: ItemBlock, span: int | None) -> pa.RecordBatch:
     seg = Segment(row["terms"], row["offsets"], row["postings"])
     starts, sizes = np.array(row["starts"], np.int64), np.array(row["sizes"], np.int64)
     hits: dict[int, list[tuple[int, int]]] = {}
     items: dict[int, set[int]] = {}
-    for words, owners in wanted:
-        at = seg.phrase(words) if span is None else seg.proximity(words, span)
-        if len(at):
-            for doc, p in zip((np.searchsorted(starts, at, side="right") - 1).tolist(), at.tolist()):
+    known: dict[tuple[int, ...], list[int]] = {}
+    for numbers, owner in wanted.present(seg.number):
+        docs = known.get(numbers)
+        if docs is None:
+            at = seg.phrase(numbers) if span is None else seg.proximity(numbers, span)
+            docs = (np.searchsorted(starts, at, side="right") - 1).tolist()
+            for doc, p in zip(docs, at.tolist()):
                 first = p - int(starts[doc])
-                hits.setdefault(doc, []).append((first, first + (len(words) if span is None else 1) - 1))
-                items.setdefault(doc, set()).update(owners)
+                hits.setdefault(doc, []).append((first, first + (len(numbers) if span is None else 1) - 1))
+            docs = known[numbers] = sorted(set(docs))
+        for doc in docs:
+            items.setdefault(doc, set()).add(owner)
     n = len(starts)
     merged = [[{"first": a, "last": b} for a, b in merge_spans(hits.get(i, []))] for i in range(n)]
     kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
