@@ -105,6 +105,60 @@ def test_toxicity(spark, corpus, awkward, nothing):
     assert toxicity.toxicity(nothing, labels).count() == 0
 
 
+def test_ftrl_against_a_plain_loop():
+    rng = np.random.default_rng(21)
+    rows = [(np.unique(rng.integers(0, 40, 9)), int(rng.integers(2))) for _ in range(60)]
+    z, n = [0.0] * 41, [0.0] * 41
+
+    def weight(j):
+        l1, l2 = (0.0, 0.0) if j == 40 else (toxicity.L1, toxicity.L2)
+        if abs(z[j]) <= l1:
+            return 0.0
+        return -(z[j] - (l1 if z[j] > 0 else -l1)) / ((toxicity.BETA + n[j] ** 0.5) / toxicity.ALPHA + l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(toxicity.EPOCHS):
+        for i in order.permutation(len(rows)):
+            used = [*rows[i][0].tolist(), 40]
+            w = {j: weight(j) for j in used}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - rows[i][1]
+            for j in used:
+                step = ((n[j] + g * g) ** 0.5 - n[j] ** 0.5) / toxicity.ALPHA
+                z[j] += g - step * w[j]
+                n[j] += g * g
+    bias, kept, weights = toxicity.ftrl(rows, 40)
+    assert bias == pytest.approx(weight(40))
+    assert dict(zip(kept.tolist(), weights)) == pytest.approx({j: weight(j) for j in range(40) if weight(j)})
+
+
+def test_scores_never_take_a_column_of_the_documents(spark, corpus):
+    import corpus_pipeline
+
+    d, labels = corpus
+    with pytest.raises(ValueError):
+        toxicity.score(d.withColumn("toxicity", F.lit(9.5)), toxicity.fit(d, labels))
+    name = "toxicity"
+    clash = d.withColumn(name, F.lit(9.5)).withColumn("toxicity_", F.lit("x"))
+    model = toxicity.fit(d, labels)
+    scored = toxicity.score(clash, model, name="toxicity__")
+    assert scored.columns == [*clash.columns, "toxicity__"] and scored.where("toxicity = 9.5 and toxicity_ = 'x'").count() == d.count()
+    assert clash.columns == [*d.columns, "toxicity", "toxicity_"] and corpus_pipeline.STAGES[0][1] is corpus_pipeline.drop_toxic
+
+
+def test_rule_statistics_equal_their_sql(spark):
+    import duckdb
+
+    from codexmill.llm import sql
+
+    where = "/root/testdata/sf0.001/documents.parquet"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{where}'")
+    want = con.execute(sql.OP1_STATS).df()
+    got = rules.statistics(spark.read.parquet(where)).select(*want.columns).toPandas()
+    key = list(want.columns)
+    assert got.sort_values(key).reset_index(drop=True).astype(want.dtypes.to_dict()).equals(want.sort_values(key).reset_index(drop=True))
+
+
 def test_feistel_is_a_permutation(spark):
     for n in (1, 2, 7, 100, 4097):
         got = tokenfiles.permuted(spark.range(n).withColumnRenamed("id", "index"), "index", n).select("slot").collect()
