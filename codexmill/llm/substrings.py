@@ -233,7 +233,8 @@ def _links(held: DataFrame, asked: Column | None = None) -> DataFrame:
     # stored, so that both sides of the join come from plain exchanges and a hot signature's windows can be split
     first = materialize(first, "first-windows")
     asking = held if asked is None else held.where(asked)
-    made = materialize(asking.join(first, "key").where(F.col("at") > F.col("first")).select("key", "first", "at"), "window-links", "zstd")
+    # each signature is once in `first`: a table of it needs no sort of the windows
+    made = materialize(asking.join(first.hint("shuffle_hash"), "key").where(F.col("at") > F.col("first")).select("key", "first", "at"), "window-links", "zstd")
     discard(first)
     return made
 
@@ -450,10 +451,11 @@ def _open_places(found: DataFrame, links: DataFrame, places: _Places) -> DataFra
     reach = F.least(F.col("c") + REACH, F.col("end")) + SHINGLE - 1
     marked = F.exists("spans", lambda s: (s["first"] <= F.greatest(F.col("c") - REACH, F.lit(0))) & (s["last"] >= reach))
     failed = materialize(failed.where(~F.coalesce(marked, F.lit(False))).select("key", F.col("b_id").alias("doc_id"), "c"), "open-windows")
-    members = links.join(failed.select("key").distinct(), "key", "left_semi").select(places.doc("at").alias("doc_id"), places.c("at").alias("c"), F.lit(False).alias("open"))
+    keys = materialize(failed.select("key").distinct(), "open-signatures")
+    members = links.join(keys, "key", "left_semi").select(places.doc("at").alias("doc_id"), places.c("at").alias("c"), F.lit(False).alias("open"))
     every = members.unionAll(failed.select("doc_id", "c", F.lit(True))).groupBy("doc_id", "c").agg(F.max("open").alias("open"))
     made = materialize(every.groupBy("doc_id").agg(F.collect_list(F.struct("c", "open")).alias("places")), "open-places")
-    discard(failed)
+    discard(failed, keys)
     return made
 
 
@@ -530,12 +532,17 @@ def repeated_spans(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
     return spans
 
 
+def _word_count(raw: np.ndarray) -> int:
+    blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    return int(np.count_nonzero(blank[:-1] & ~blank[1:])) + int(len(raw) > 0 and not blank[0])
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words) of every row."""
 
     def run(batches):
         for batch in batches:
-            counts = [len(raw.split()) for raw in values(batch.column(1))]
+            counts = [_word_count(np.frombuffer(raw, np.uint8)) for raw in values(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["doc_id", "n_words"])
 
     return _texts(docs).mapInArrow(released(run), "doc_id long, n_words long")
