@@ -25,8 +25,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with doc_id a row number in the order of (doc_id, text), null ids last; the id itself is in __id."""
-    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first(), F.xxhash64(*docs.columns))
+    """docs with doc_id a row number in the order of doc_id, null ids last, then of a hash of the text, then of the row; the
+    id itself is in __id. Texts are no sort keys, so none is sampled to the driver."""
+    if "__id" in docs.columns:
+        raise ValueError("docs have a column __id already")
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.xxhash64(*docs.columns))
     return materialize(ordered.withColumn("__id", F.col("doc_id")).withColumn("doc_id", F.monotonically_increasing_id()), "numbered-rows")
 
 
@@ -35,26 +38,32 @@ def _restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first row of each group by doc_id, then text; rows with a null id come last in their group and stay if it
-    has no other. An id held by texts of different groups keeps a row in each."""
+    """Keeps the first row of each group by doc_id, then a hash of the text; rows with a null id come last in their group and
+    stay if it has no other. An id held by texts of different groups keeps a row in each; of equal rows one stays. Null,
+    empty and blank texts are one group. An empty table stays empty; other columns are kept whatever their names, but
+    for __id, which is an error."""
     rows = _numbered(docs)
     firsts = simhash.near_duplicates(rows).where("doc_id = component_id").select("doc_id")
     return _restored(rows.join(firsts, "doc_id", "left_semi"), docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages of 50 words or more that an earlier row has, by doc_id (nulls last), then text; a row left without words goes."""
+    """Cuts passages of 50 words or more that an earlier row has, by doc_id (nulls last), then a hash of the text; a row left
+    without words goes. Rows without words before stay, null texts too; of equal rows the first stays whole. n_chars, if
+    there, is counted anew. An empty table stays empty; __id is the one name that docs may not have."""
     return _restored(substrings.remove_repeats(_numbered(docs)), docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold windows of two or more benchmark items."""
-    bad = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """Drops documents that hold windows of two or more benchmark items. Rows are numbered and
+    judged each, so rows with a null or repeated id do not share a verdict. Null and empty texts stay, as does an empty table."""
+    rows = _numbered(docs)
+    bad = decontam.decontaminate(rows, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
+    return _restored(rows.join(bad, "doc_id", "left_anti"), docs)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each text and their decoded text, as digests."""
+    """Ids of each text and their decoded text, as digests; one row for each of docs, null texts as empty ones."""
     return bpe.encode_decode(docs, vocabulary())
 
 
