@@ -29,7 +29,6 @@ GRADE = WIDTH - MATCHED + 1
 #: Places of a text that a candidate run may span besides its reach: what one task holds of a long text is bounded.
 BLOCK = 1024
 _P = np.uint64(0x9E3779B97F4A7C15)
-_TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 #: Bytes of text whose words are hashed at once.
@@ -128,11 +127,11 @@ def compact_windows(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if n < WIDTH:
         return (np.empty(0, np.int64),) * 3
     least = _slide(v, WIDTH, np.minimum)
-    pad = np.zeros(REACH, np.uint64)
+    pad = np.zeros(REACH, v.dtype)
     highest = _slide(np.concatenate([pad, least, pad]), WIDTH, np.maximum)  # over the runs that hold a place
     centres = np.nonzero((highest == v) & (v > 0))[0]
     edge = 1 << REACH.bit_length()
-    tables = [np.concatenate([np.zeros(edge, np.uint64), v, np.zeros(edge, np.uint64)])]
+    tables = [np.concatenate([np.zeros(edge, v.dtype), v, np.zeros(edge, v.dtype)])]
     while 1 << len(tables) <= REACH:
         half = 1 << (len(tables) - 1)
         tables.append(np.minimum(tables[-1][:-half], tables[-1][half:]))
@@ -152,14 +151,14 @@ def signatures(flat: np.ndarray, hashes: int = HASHES) -> tuple[np.ndarray, np.n
     keys, where = [], []
     quarter = HALF // 2
     for k in range(hashes):
-        v = np.where(flat == 0, np.uint64(0), mix(flat + np.uint64((2 * k + 1) * int(_P) % (1 << 64))) | np.uint64(1))
+        v = np.where(flat == 0, np.uint32(0), np.maximum((mix(flat + np.uint64((2 * k + 1) * int(_P) % (1 << 64))) >> np.uint64(32)).astype(np.uint32), np.uint32(1)))
         c, lo, hi = compact_windows(v)
         if not len(c):
             continue
         outer = _slide(v, HALF - quarter, np.minimum)
         for side, fits, at in ((1, hi - c >= HALF, c + quarter + 1), (2, c - lo >= HALF, c - HALF)):
             fit_c, fit_at = c[fits], at[fits]
-            keys.append(mix(v[fit_c] * _P + mix(outer[fit_at]) + np.uint64(side)))
+            keys.append(mix(v[fit_c].astype(np.uint64) * _P + mix(outer[fit_at].astype(np.uint64)) + np.uint64(side)))
             where.append(fit_c)
     if not keys:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -170,8 +169,8 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
 
 
-def _windows(docs: DataFrame, hashes: int) -> DataFrame:
-    """(doc_id, c, key) of all compact windows of rows with an id; a batch of documents is laid out as one parted array.
+def _windows(texts: DataFrame, hashes: int) -> DataFrame:
+    """(doc_id, c, key) of all compact windows of the texts; a batch of documents is laid out as one parted array.
 
     Cheaper to make than to store, so it is made from the texts wherever it is read."""
 
@@ -200,7 +199,7 @@ def _windows(docs: DataFrame, hashes: int) -> DataFrame:
             if ids:
                 yield lay_out(ids, parts)
 
-    return _texts(docs).where(F.col("doc_id").isNotNull()).mapInArrow(released(run), "doc_id long, c int, key long")
+    return texts.mapInArrow(released(run), "doc_id long, c int, key long")
 
 
 class _Places:
@@ -209,7 +208,8 @@ class _Places:
     Both order alike; a long lets the least place of a signature be found by hashing instead of sorting."""
 
     def __init__(self, docs: DataFrame) -> None:
-        sized = _texts(docs).agg(F.min("doc_id"), F.max("doc_id"), F.max(F.octet_length("text"))).first()
+        sized = _texts(docs).agg(F.min("doc_id"), F.max("doc_id"), F.max(F.octet_length("text")), F.count("doc_id") - F.count_distinct("doc_id")).first()
+        self.repeated = sized[3] > 0
         self.bits = ((sized[2] or 0) // 2 + 1).bit_length()
         self.packed = (sized[0] or 0) >= 0 and (sized[1] or 0).bit_length() + self.bits <= 63
 
@@ -361,7 +361,7 @@ def _parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return held[: len(held) // 4 * 4].view("<u4"), ends[:-1], np.diff(ends)
 
 
-def _slices(docs: DataFrame, runs: DataFrame) -> DataFrame:
+def _slices(texts: DataFrame, runs: DataFrame) -> DataFrame:
     """Rows (doc_id, lo, hi, part) for all ranges that runs over two documents name: the 32-bit shingle hashes of places
     lo..hi. Runs inside one document are verified here, where its text is: rows of _FOUND, part null."""
     apart = runs.where("a_id <> b_id")
@@ -407,12 +407,13 @@ def _slices(docs: DataFrame, runs: DataFrame) -> DataFrame:
                         ids, los, his, parts, size = [], [], [], [], 0
             yield rows(ids, los, his, parts)
 
-    return _texts(docs).join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(released(run), f"part binary, {_FOUND}").dropDuplicates(found_names)
+    # a table of what is wanted, so that texts are not sorted
+    return texts.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "wanted").mapInArrow(released(run), f"part binary, {_FOUND}")
 
 
-def _verified(docs: DataFrame, runs: DataFrame) -> DataFrame:
+def _verified(texts: DataFrame, runs: DataFrame) -> DataFrame:
     """A stored table of _FOUND: what the runs repeat and what they leave open."""
-    parts = materialize(_slices(docs, runs), "window-slices")
+    parts = materialize(_slices(texts, runs), "window-slices")
     of = lambda x: parts.where(F.col("part").isNotNull()).select(F.col("doc_id").alias(f"{x}_id"), F.col("lo").alias(f"{x}_lo"), F.col("hi").alias(f"{x}_hi"), F.col("part").alias(x))
     paired = runs.where("a_id <> b_id").join(of("a"), ["a_id", "a_lo", "a_hi"]).join(of("b"), ["b_id", "b_lo", "b_hi"])
 
@@ -442,20 +443,27 @@ def _merged(found: DataFrame) -> DataFrame:
     return spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
 
 
+def _settled(spans: str, lo: Column, hi: Column) -> Column:
+    """Whether places lo..hi are all in one of the spans: nothing more can be marked there."""
+    return F.coalesce(F.exists(spans, lambda s: (s["first"] <= F.greatest(lo, F.lit(0))) & (s["last"] >= hi + SHINGLE - 1)), F.lit(False))
+
+
 def _open_places(found: DataFrame, links: DataFrame, places: _Places) -> DataFrame:
     """(doc_id, places array<struct<c, open>>): the centres of all windows that are linked under a signature under which
     some window failed against the first. Those of failed windows are open, unless all places that a passage around them
-    can reach are in spans already: such a window can mark no further word."""
-    lost = found.where(F.col("kind") == _OPEN).select("a_id", F.col("doc_id").alias("b_id"), "shift", "lo", "hi", "end")
-    failed = _named(links, places).join(lost, ["a_id", "b_id", "shift"]).where("c between lo and hi").join(_merged(found).withColumnRenamed("doc_id", "b_id"), "b_id", "left")
-    reach = F.least(F.col("c") + REACH, F.col("end")) + SHINGLE - 1
-    marked = F.exists("spans", lambda s: (s["first"] <= F.greatest(F.col("c") - REACH, F.lit(0))) & (s["last"] >= reach))
-    failed = materialize(failed.where(~F.coalesce(marked, F.lit(False))).select("key", F.col("b_id").alias("doc_id"), "c"), "open-windows")
+    can reach are in one span already: such a window can mark no further word, but may be the first holder of others."""
+    spans = materialize(_merged(found), "first-spans")
+    lost = found.where(F.col("kind") == _OPEN).join(spans, "doc_id", "left").where(~_settled("spans", F.col("lo") - REACH, F.least(F.col("hi") + REACH, F.col("end"))))
+    lost = lost.select("a_id", F.col("doc_id").alias("b_id"), "shift", "lo", "hi", "end").hint("shuffle_hash")
+    failed = _named(links, places).join(lost, ["a_id", "b_id", "shift"]).where("c between lo and hi").join(spans.withColumnRenamed("doc_id", "b_id"), "b_id", "left")
+    failed = failed.where(~_settled("spans", F.col("c") - REACH, F.least(F.col("c") + REACH, F.col("end"))))
+    failed = materialize(failed.select("key", F.col("b_id").alias("doc_id"), "c"), "open-windows")
     keys = materialize(failed.select("key").distinct(), "open-signatures")
-    members = links.join(keys, "key", "left_semi").select(places.doc("at").alias("doc_id"), places.c("at").alias("c"), F.lit(False).alias("open"))
+    members = links.join(keys.hint("shuffle_hash"), "key", "left_semi").select(places.doc("at").alias("doc_id"), places.c("at").alias("c"))
+    members = members.withColumn("open", F.lit(False))
     every = members.unionAll(failed.select("doc_id", "c", F.lit(True))).groupBy("doc_id", "c").agg(F.max("open").alias("open"))
     made = materialize(every.groupBy("doc_id").agg(F.collect_list(F.struct("c", "open")).alias("places")), "open-places")
-    discard(failed, keys)
+    discard(failed, keys, spans)
     return made
 
 
@@ -491,7 +499,7 @@ def block_keys(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(where)
 
 
-def _blocks(docs: DataFrame, opened: DataFrame) -> DataFrame:
+def _blocks(texts: DataFrame, opened: DataFrame) -> DataFrame:
     """(doc_id, c, key, open) of the second signatures of places."""
 
     def run(batches):
@@ -503,7 +511,7 @@ def _blocks(docs: DataFrame, opened: DataFrame) -> DataFrame:
                 keys, row = block_keys(shingle_hashes(raw), centres[own])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), i, np.int64)), pa.array(centres[own][row].astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(opened[own][row])], ["doc_id", "c", "key", "open"])
 
-    return _texts(docs).join(opened, "doc_id").select("doc_id", "text", "places").mapInArrow(released(run), "doc_id long, c int, key long, open boolean")
+    return texts.join(opened.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "places").mapInArrow(released(run), "doc_id long, c int, key long, open boolean")
 
 
 def repeated_spans(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
@@ -515,15 +523,18 @@ def repeated_spans(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
     second signatures, under which an exact repeat cannot fail: no repeat of MIN_WORDS words is lost, and no two windows
     of a signature are ever paired beyond its first."""
     places, rounds = _Places(docs), []
-    windows, opened = _windows(docs, hashes), None
+    texts = _texts(docs).where(F.col("doc_id").isNotNull())
+    if places.repeated:
+        texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
+    windows, opened = _windows(texts, hashes), None
     for turn in range(2):
         links = _links(places.of(windows), F.col("open") if turn else None)
         runs = _runs(links, places)
-        rounds.append(_verified(docs, runs))
+        rounds.append(_verified(texts, runs))
         discard(runs)
         if turn == 0:
             opened = _open_places(rounds[0], links, places)
-            windows = _blocks(docs, opened)
+            windows = _blocks(texts, opened)
         discard(links)
     found = reduce(DataFrame.unionAll, rounds)
     sources = found.where(F.col("kind") == _SOURCE).groupBy("doc_id").agg(F.array_sort(F.collect_set("a_id")).alias("sources"))
