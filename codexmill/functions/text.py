@@ -56,9 +56,11 @@ def join_context(parts: Column) -> Column:
 
 def contains_term(haystack: Column, needle: Column) -> Column:
     """needle in haystack with word boundaries at those of its ends that are word characters."""
-    start = F.when(F.left(needle, F.lit(1)).rlike(r"(?U)\w"), F.lit(r"(?<!\w)")).otherwise(F.lit(""))
-    end = F.when(F.right(needle, F.lit(1)).rlike(r"(?U)\w"), F.lit(r"(?!\w)")).otherwise(F.lit(""))
-    return F.rlike(haystack, F.concat(F.lit(r"(?U)"), start, F.lit(r"\Q"), needle, F.lit(r"\E"), end))
+    alnum = r"[\p{L}\p{N}]"
+    start = F.when(F.left(needle, F.lit(1)).rlike(alnum), F.lit(r"(?<!\w)")).otherwise(F.lit(""))
+    end = F.when(F.right(needle, F.lit(1)).rlike(alnum), F.lit(r"(?!\w)")).otherwise(F.lit(""))
+    quoted = F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    return F.when(needle == "", F.lit(False)).otherwise(F.rlike(haystack, F.concat(F.lit(r"(?U)"), start, F.lit(r"\Q"), quoted, F.lit(r"\E"), end)))
 
 
 def is_table_class(c: Column) -> Column:
@@ -91,11 +93,63 @@ def correctness_label(score: Column) -> Column:
 
 def abstention_outcome(answered: Column, answerable: Column) -> Column:
     return (
-        F.when(answered & answerable, "answered_answerable").when(answered, "undue_answer")
+        F.when(answered & answerable, "answered").when(answered, "false_answer")
         .when(answerable, "over_abstention").otherwise("correct_abstention")
     )
 
 
+def abstention_point(answered: Column, asked_model: Column) -> Column:
+    """Where it was decided: answered, by the model, or before it was asked."""
+    return F.when(answered, "answered").when(asked_model, "llm_decided").otherwise("pre_llm")
+
+
+def faithfulness_score(supported: Column) -> Column:
+    """Share of true values of an array<boolean>; null for none."""
+    return F.when(F.size(supported) > 0, F.size(F.filter(supported, lambda x: x)) / F.greatest(F.size(supported), F.lit(1)))
+
+
+def is_faithful(score: Column, threshold: float) -> Column:
+    """score >= threshold; null stays null."""
+    return score >= threshold
+
+
+def coded(code: Column, label: Column) -> Column:
+    """struct<code, label> of a coded element; null if it is absent, which a null label stands for."""
+    return F.when(label.isNotNull(), F.struct(code.alias("code"), clean_text(label).alias("label")))
+
+
+def fill(template: str, **values: Column) -> Column:
+    """The placeholders {name} of a model's template replaced one after the other, a value's own braces included."""
+    made = F.lit(template)
+    for name, value in values.items():
+        made = F.replace(made, F.lit("{" + name + "}"), value)
+    return made
+
+
+def token_profile(n: Column, limit: Column) -> Column:
+    """struct<n_tokens, truncated, margin, excess> of a text of n tokens against a limit."""
+    return F.struct(n.alias("n_tokens"), (n > limit).alias("truncated"), (limit - n).alias("margin"), F.greatest(F.lit(0), n - limit).alias("excess"))
+
+
+def effective_limit(declared: Column, tokenizer: Column) -> Column:
+    """struct<limit, origin>: the tokenizer's limit if it is a sensible number (1 to 100000), else the declared one."""
+    sensible = tokenizer.isNotNull() & (tokenizer > 0) & (tokenizer <= 100_000)
+    return F.struct(F.when(sensible, tokenizer).otherwise(declared).alias("limit"), F.when(sensible, "tokenizer").otherwise("declared").alias("origin"))
+
+
+def retrieval_text(text: Column, short_title: Column, hierarchy: Column, heading: Column) -> Column:
+    """What is indexed of a chunk: short title, hierarchy, heading and text; a heading with which the text begins goes."""
+    body = clean_text(text)
+    head = clean_text(heading)
+    shown = F.when((head != "") & body.startswith(head), F.lit("")).otherwise(head)
+    return join_context(F.concat(F.array(clean_text(short_title)), F.transform(hierarchy, clean_text), F.array(shown, body)))
+
+
+def artificial_stops(c: Column) -> Column:
+    """Two full stops that are no part of an ellipsis."""
+    return c.rlike(r"(?<!\.)\.\.(?!\.)")
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets; two empty ones give 0."""
     union = F.size(F.array_union(a, b))

@@ -34,10 +34,12 @@ def ranking_metrics(hits: DataFrame, judgments: DataFrame, k: int = 10) -> DataF
     )
 
 
-def raw_hit_metrics(hits: DataFrame, k: int) -> DataFrame:
-    """(query_id, unique_parents, duplicate_rate) of the first k raw hits."""
+def raw_hit_metrics(hits: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
+    """(query_id, unique_parents, duplicate_rate) of the first k raw hits; with queries, those without hits have zeros."""
     top = hits.where(F.col("rank") <= k).groupBy("query_id").agg(F.count("*").alias("n"), F.countDistinct("parent_id").alias("unique_parents"))
-    return top.select("query_id", "unique_parents", (1 - F.col("unique_parents") / F.col("n")).alias("duplicate_rate"))
+    if queries is not None:
+        top = queries.select("query_id").distinct().join(top, "query_id", "left").na.fill(0, ["unique_parents"])
+    return top.select("query_id", "unique_parents", F.coalesce(1 - F.col("unique_parents") / F.col("n"), F.lit(0.0)).alias("duplicate_rate"))
 
 
 def evidence_recall(hits: DataFrame, evidence: DataFrame, k: int) -> DataFrame:
@@ -96,9 +98,12 @@ def wilson(k: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
 
 
 def agreement(pairs: DataFrame, labels: list) -> DataFrame:
-    """One row (n, agreement, kappa, weighted_kappa, ac1) of pairs(human, judge) over an ordered list of labels.
+    """One row (n, agreement, kappa, weighted_kappa, ac1) of pairs(human, judge) over an ordered list of labels; labels
+    outside the list come after it, sorted.
 
     Only the confusion matrix (one row for each pair of labels) is gathered in one place."""
+    seen = pairs.select(F.explode(F.array("human", "judge")).alias("x")).where("x is not null").distinct()
+    labels = [*labels, *sorted(r["x"] for r in seen.collect() if r["x"] not in labels)]
     spark, q = pairs.sparkSession, len(labels)
     places = spark.createDataFrame([(x, i) for i, x in enumerate(labels)], StructType([StructField("label", pairs.schema["human"].dataType), StructField("place", IntegerType())]))
     cell = pairs.groupBy("human", "judge").agg(F.count("*").alias("c"))

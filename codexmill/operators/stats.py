@@ -13,8 +13,12 @@ SEED, RESAMPLES, LEVEL = 12345, 1000, 0.95
 
 
 def _means(values: np.ndarray, seed: int, resamples: int) -> np.ndarray:
-    draws = np.random.default_rng(seed).integers(0, len(values), size=(resamples, len(values)))
-    return values[draws].mean(axis=1)
+    """Means of the resamples; the generator's stream is drawn in slices, so that a large sample is never held many times."""
+    rng, n, out = np.random.default_rng(seed), len(values), []
+    each = max(1, 4_000_000 // n)
+    for at in range(0, resamples, each):
+        out.append(values[rng.integers(0, n, size=(min(each, resamples - at), n))].mean(axis=1))
+    return np.concatenate(out)
 
 
 def bootstrap_ci(values, seed: int = SEED, resamples: int = RESAMPLES, level: float = LEVEL) -> dict:
@@ -58,7 +62,9 @@ def bca_ci(values, seed: int = SEED, resamples: int = RESAMPLES, level: float =
 
 
 def tost(a, b, margin: float, seed: int = SEED, resamples: int = RESAMPLES, alpha: float = 0.05) -> dict:
-    """Two one-sided tests: equivalent if the 1 - 2 alpha interval of mean(a - b) lies within the margin."""
+    """Two one-sided tests: equivalent if the 1 - 2 alpha interval of mean(a - b) lies within the margin, a positive number."""
+    if margin <= 0:
+        raise ValueError("the margin must be positive")
     if len(a) != len(b):
         raise ValueError("paired values of unequal number")
     d = np.asarray(a, float) - np.asarray(b, float)

@@ -44,11 +44,11 @@ def window_anchors(spark, d):
 
 
 @query("""WITH r AS (SELECT source, toxic = 0 AS answered, quality = 1 AS answerable, l.doc_id % 17 = 0 AS bad FROM labels l JOIN documents USING (doc_id)),
-c AS (SELECT source, count(*) AS n, count(*) FILTER (bad) AS n_errors, count(*) FILTER (NOT bad AND answered AND answerable) AS answered_answerable, count(*) FILTER (NOT bad AND answered AND NOT answerable) AS undue_answer,
+c AS (SELECT source, count(*) AS n, count(*) FILTER (bad) AS n_errors, count(*) FILTER (NOT bad AND answered AND answerable) AS "answered", count(*) FILTER (NOT bad AND answered AND NOT answerable) AS false_answer,
   count(*) FILTER (NOT bad AND NOT answered AND answerable) AS over_abstention, count(*) FILTER (NOT bad AND NOT answered AND NOT answerable) AS correct_abstention FROM r GROUP BY source),
-a AS (SELECT *, CASE WHEN answered_answerable + over_abstention > 0 THEN answered_answerable / (answered_answerable + over_abstention)::DOUBLE END AS x,
-  CASE WHEN correct_abstention + undue_answer > 0 THEN correct_abstention / (correct_abstention + undue_answer)::DOUBLE END AS y FROM c)
-SELECT source, n, n_errors, answered_answerable, undue_answer, over_abstention, correct_abstention, round(x, 6) AS answer_accuracy, round(y, 6) AS abstention_accuracy,
+a AS (SELECT *, CASE WHEN "answered" + over_abstention > 0 THEN "answered" / ("answered" + over_abstention)::DOUBLE END AS x,
+  CASE WHEN correct_abstention + false_answer > 0 THEN correct_abstention / (correct_abstention + false_answer)::DOUBLE END AS y FROM c)
+SELECT source, n, n_errors, "answered", false_answer, over_abstention, correct_abstention, round(x, 6) AS answer_accuracy, round(y, 6) AS abstention_accuracy,
   round(CASE WHEN x IS NULL THEN y WHEN y IS NULL THEN x ELSE (x + y) / 2 END, 6) AS balanced_accuracy FROM a""")
 def answer_outcomes(spark, d):
     """Answered against answerable by source; labels stand for both."""
