@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Okapi parameters (fixed values).
@@ -69,19 +69,39 @@ def bm25_search(rows: DataFrame, queries: DataFrame, k: int = 10, digits: int =
 
     A row is eligible if it shares a token, whatever its score; a query's repeated tokens count each time; a term in over
     half of the rows has a negative idf, replaced by EPSILON times the mean idf of all terms. heading tokens, repeated
-    boost times, count in frequencies, lengths and eligibility. Postings join queries on the token; statistics are one
-    row (sizes) or one row a term, nothing grows with rows on one side of a broadcast."""
+    boost times, count in frequencies, lengths and eligibility."""
+    return search_index(bm25_index(rows, boost), queries, k, digits, k1, b)
+
+
+def bm25_index(rows: DataFrame, boost: int = 0) -> DataFrame:
+    """(unit_id, tokens, dl) of rows(unit_id, tokens[, heading]): what a lexical index stores of each row, heading tokens put in
+    boost times. Written as a table it is an index that many searches share (`write_index`, `read_index`)."""
     words = F.col("tokens")
     if boost:
         words = F.concat(words, F.flatten(F.array_repeat(F.coalesce("heading", F.array().cast("array<string>")), boost)))
-    rows = rows.select("unit_id", words.alias("tokens"))
-    tf = rows.select("unit_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("token")).groupBy("token", "unit_id", "dl").agg(F.count("*").alias("tf"))
-    sizes = rows.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    df = tf.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(sizes))
+    return rows.select("unit_id", words.alias("tokens")).withColumn("dl", F.size("tokens"))
+
+
+def write_index(index: DataFrame, path: str) -> None:
+    """Stores a lexical index; a path that exists is an error."""
+    index.write.mode("errorifexists").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def search_index(index: DataFrame, queries: DataFrame, k: int = 10, digits: int = 6, k1: float = K1, b: float = B) -> DataFrame:
+    """bm25_search over a stored index. Document frequencies are counted from each row's distinct tokens, combined where they
+    are; frequencies in rows are counted for asked tokens only, so other postings are never shuffled."""
+    sizes = index.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    df = index.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(sizes))
     idf = df.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = idf.agg((EPSILON * F.avg("idf")).alias("floor"))
     idf = idf.crossJoin(F.broadcast(floor)).withColumn("idf", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")))
     asked = queries.select("query_id", F.explode("tokens").alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
+    tokens = asked.select("token").distinct()
+    tf = index.select("unit_id", "dl", F.explode("tokens").alias("token")).join(tokens, "token", "left_semi").groupBy("token", "unit_id", "dl").agg(F.count("*").alias("tf"))
     asked = asked.join(idf, "token").select("query_id", "token", "times", "idf", "avgdl")
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = asked.join(tf, "token").groupBy("query_id", "unit_id").agg(F.round(F.sum(part), digits).alias("score"))
@@ -136,3 +156,121 @@ def pool(runs: dict[str, DataFrame], judged: DataFrame) -> DataFrame:
     return found.join(marked, ["query_id", "unit_id"], "full_outer").select(
         "query_id", "unit_id", F.coalesce("n_systems", F.lit(0)).cast("long").alias("n_systems"), "best_rank", "best_score", F.coalesce("found_by", F.lit("")).alias("found_by"), F.coalesce("judged", F.lit(False)).alias("judged")
     )
+
+
+#: Attributes that a search may be narrowed by: scalars for equality, flags that may only be asked to be true (fixed values).
+SCALARS, FLAGS = ("rank_code", "scope_code", "semantic_role"), ("without_content", "annex", "table", "image")
+
+
+def active_filters(**wanted) -> dict:
+    """Only the filters that narrow anything: values that are set, flags that ask for true, subject codes if any. Others raise."""
+    unknown = set(wanted) - {*SCALARS, *FLAGS, "subject_codes"}
+    if unknown:
+        raise ValueError(f"unknown filters {sorted(unknown)}")
+    return {k: v for k, v in wanted.items() if (k in FLAGS and v is True) or (k not in FLAGS and v)}
+
+
+def matches(filters: dict) -> Column:
+    """The rows that pass: equal scalars, flags (a missing one is false), some common subject code. No filters: all rows."""
+    test = F.lit(True)
+    for name, value in filters.items():
+        if name == "subject_codes":
+            test = test & F.coalesce(F.arrays_overlap("subject_codes", F.array(*map(F.lit, value))), F.lit(False))
+        elif name in FLAGS:
+            test = test & F.coalesce(F.col(name), F.lit(False)).eqNullSafe(F.lit(bool(value)))
+        else:
+            test = test & F.coalesce(F.col(name) == value, F.lit(False))
+    return test
+
+
+def filter_attributes(rows: DataFrame, chunks: DataFrame, parents: DataFrame) -> DataFrame:
+    """rows(row_index, chunk_id, parent_id) plus the attributes of their chunk or, without one, of their parent.
+
+    chunks and parents are keyed by chunk_id and parent_id and hold SCALARS, FLAGS and subject_codes."""
+    names = [*SCALARS, *FLAGS, "subject_codes"]
+    c = chunks.select("chunk_id", F.lit(True).alias("__c"), *[F.col(n).alias(f"__c_{n}") for n in names])
+    p = parents.select("parent_id", *[F.col(n).alias(f"__p_{n}") for n in names])
+    both = rows.join(c, "chunk_id", "left").join(p, "parent_id", "left")
+    return both.select(*rows.columns, *[F.when(F.col("__c"), F.col(f"__c_{n}")).otherwise(F.col(f"__p_{n}")).alias(n) for n in names])
+
+
+def row_texts(rows: DataFrame, chunks: DataFrame, parents: DataFrame) -> DataFrame:
+    """rows(.., kind, field, chunk_id, parent_id, derived_text) plus retrieval_text, citation_label and citation_url: a derived
+    row's own text; of a chunk the named field (retrieval_text, or text where that is null or not named); else the
+    parent's text. A blank label becomes the parent's id."""
+    c = chunks.select("chunk_id", F.col("text").alias("__text"), F.col("retrieval_text").alias("__retrieval"), F.col("label").alias("__c_label"), F.col("url").alias("__c_url"))
+    p = parents.select("parent_id", F.col("text").alias("__p_text"), F.col("label").alias("__p_label"), F.col("url").alias("__p_url"))
+    both = rows.join(c, "chunk_id", "left").join(p, "parent_id", "left")
+    own = F.when(F.col("kind") == "derived", F.col("derived_text")).when(F.col("kind") == "chunk", F.when(F.col("field") == "retrieval_text", F.coalesce("__retrieval", "__text")).otherwise(F.col("__text"))).otherwise(F.col("__p_text"))
+    label = F.coalesce(F.nullif(F.coalesce("__c_label", "__p_label"), F.lit("")), F.col("parent_id"))
+    return both.select(*rows.columns, F.coalesce(own, F.lit("")).alias("retrieval_text"), label.alias("citation_label"), F.coalesce("__c_url", "__p_url").alias("citation_url"))
+
+
+def boost_text(label: Column, full_title: Column, title: Column) -> Column:
+    """What a heading boost repeats: citation label and full title, or else the plain title."""
+    return F.trim(F.concat_ws(" ", F.nullif(label, F.lit("")), F.coalesce(F.nullif(full_title, F.lit("")), F.nullif(title, F.lit("")))))
+
+
+def checked_queries(queries: DataFrame, k: int) -> DataFrame:
+    """queries(query_id, query, ..) as they are; k below 1 or a blank query raises."""
+    if k <= 0:
+        raise ValueError("k must be positive")
+    blank = F.trim(F.coalesce("query", F.lit(""))) == ""
+    return queries.where(~F.when(blank, F.raise_error(F.concat(F.lit("blank query "), F.col("query_id").cast("string"))).cast("boolean")).otherwise(F.lit(False)))
+
+
+def resolved(hits: DataFrame, texts: DataFrame) -> DataFrame:
+    """hits(query_id, unit_id, score, rank) with what row_texts knows of their unit, score to 4 digits in brief_score."""
+    return hits.join(texts, "unit_id", "left").withColumn("brief_score", F.round("score", 4))
+
+
+def dense_retrieve(rows: DataFrame, texts: DataFrame, queries: DataFrame, encode: Callable[[DataFrame], DataFrame], k: int = 10, filters: dict | None = None) -> DataFrame:
+    """Resolved exact dense hits of queries(query_id, query); encode gives (query_id, vector) of them. rows(unit_id, vector,
+    filter attributes) are narrowed before they are scored."""
+    kept = rows.where(matches(filters or {}))
+    return resolved(dense_search(kept, encode(checked_queries(queries, k)), k), texts)
+
+
+def lexical_retrieve(index: DataFrame, texts: DataFrame, queries: DataFrame, analyze: Callable[[Column], Column], k: int = 10, filters: dict | None = None) -> DataFrame:
+    """Resolved BM25 hits. Statistics are those of the whole index; filters, attributes of index rows, narrow what is ranked."""
+    asked = checked_queries(queries, k).select("query_id", analyze(F.col("query")).alias("tokens"))
+    if not filters:
+        return resolved(search_index(index, asked, k), texts)
+    allowed = index.where(matches(filters)).select("unit_id")
+    every = search_index(index, asked, 2**31 - 1).join(allowed, "unit_id", "left_semi")
+    return resolved(rank_hits(every.drop("rank"), k), texts)
+
+
+def representatives(fused: DataFrame, dense: DataFrame, lexical: DataFrame) -> DataFrame:
+    """fused hits with the other columns of the dense hit of their unit, or else of the lexical one."""
+    extra = [c for c in dense.columns if c in lexical.columns and c not in ("query_id", "unit_id", "score", "rank")]
+    d = dense.select("query_id", "unit_id", F.lit(True).alias("__d"), *[F.col(c).alias(f"__d_{c}") for c in extra])
+    x = lexical.select("query_id", "unit_id", *[F.col(c).alias(f"__x_{c}") for c in extra])
+    both = fused.join(d, ["query_id", "unit_id"], "left").join(x, ["query_id", "unit_id"], "left")
+    return both.select(*fused.columns, *[F.when(F.col("__d"), F.col(f"__d_{c}")).otherwise(F.col(f"__x_{c}")).alias(c) for c in extra])
+
+
+def strategies(names: list[str], known: dict[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
+    """The runs of the named strategies, each made once; unknown names raise."""
+    lost = [n for n in names if n not in known]
+    if lost:
+        raise ValueError(f"unknown strategies {lost}; known are {sorted(known)}")
+    return {n: known[n]() for n in dict.fromkeys(names)}
+
+
+def representative_rows(rows: DataFrame, n: int = 10) -> DataFrame:
+    """At most n of rows(unit_id, text, role, is_table), the same every time: the shortest, the median and the longest, the
+    first of each role, the first table, then by length. Ranks by length are made from counts of each length."""
+    sized = rows.withColumn("size", F.length("text"))
+    count = sized.count()
+    per = sized.groupBy("size").agg(F.count("*").alias("c"))
+    at = per.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy("size").orderBy("unit_id")) - 1
+    # only lengths that hold the median or lie at the ends are looked into; lengths are few, rows many
+    wanted = at.where((F.col("before") < n + 1) | ((F.col("before") <= count // 2) & (F.col("before") + F.col("c") > count // 2)) | (F.col("before") + F.col("c") == count))
+    near = sized.join(wanted, "size").withColumn("place", F.col("before") + own)
+    firsts = sized.groupBy("role").agg(F.min_by(F.struct("unit_id", "size"), F.struct("size", "unit_id")).alias("f")).select(F.lit(3).alias("why"), "f.unit_id", "f.size")
+    table = sized.where("is_table").orderBy("size", "unit_id").limit(1).select(F.lit(4).alias("why"), "unit_id", "size")
+    why = F.when(F.col("place") == 0, 0).when(F.col("place") == count // 2, 1).when(F.col("place") == count - 1, 2).otherwise(5)
+    named = near.select(why.alias("why"), "unit_id", "size").unionByName(firsts).unionByName(table)
+    return named.groupBy("unit_id", "size").agg(F.min("why").alias("why")).orderBy("why", "size", "unit_id").limit(n)
