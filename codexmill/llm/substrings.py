@@ -361,61 +361,70 @@ def _parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return held[: len(held) // 4 * 4].view("<u4"), ends[:-1], np.diff(ends)
 
 
+_RUN = 3
+_PARTS = f"part binary, {_FOUND}, least int, most int, a_lo int, a_hi int"
+
+
 def _slices(texts: DataFrame, runs: DataFrame) -> DataFrame:
-    """Rows (doc_id, lo, hi, part) for all ranges that runs over two documents name: the 32-bit shingle hashes of places
-    lo..hi. Runs inside one document are verified here, where its text is: rows of _FOUND, part null."""
+    """Rows of _PARTS. Of every range that runs over two documents name in their first one: the 32-bit shingle hashes of places
+    lo..hi, kind null. Of every such run: its hashes in the second document, kind _RUN. Runs inside one document are
+    verified here, where its text is: rows of _FOUND, part null."""
     apart = runs.where("a_id <> b_id")
-    both = apart.select(F.col("a_id").alias("doc_id"), F.col("a_lo").alias("lo"), F.col("a_hi").alias("hi")).unionAll(apart.select("b_id", "b_lo", "b_hi"))
     # distinct first: a document of which many others repeat a passage still has few ranges of its own
-    none = F.lit(None).cast("int")
-    ranges = both.distinct().select("doc_id", F.struct("lo", "hi", none.alias("shift"), none.alias("least"), none.alias("most")).alias("w"))
-    own = runs.where("a_id = b_id").select(F.col("b_id").alias("doc_id"), F.struct(F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi"), "shift", "least", "most").alias("w"))
+    names = ("shift", "least", "most", "a_id", "a_lo", "a_hi")
+    none = [F.lit(None).cast("long" if n == "a_id" else "int").alias(n) for n in names]
+    ranges = apart.select(F.col("a_id").alias("doc_id"), F.col("a_lo").alias("lo"), F.col("a_hi").alias("hi")).distinct().select("doc_id", F.struct("lo", "hi", *none).alias("w"))
+    own = runs.select(F.col("b_id").alias("doc_id"), F.struct(F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi"), *names).alias("w"))
     wanted = ranges.unionAll(own).groupBy("doc_id").agg(F.collect_list("w").alias("wanted"))
-    found_names = [f.split(" ")[0] for f in _FOUND.split(", ")]
-    names = ["part", *found_names]
+    columns = [f.split(" ")[0] for f in _PARTS.split(", ")]
+    n_found = len(_FOUND.split(", "))
 
-    def rows(ids, lo, hi, parts):
-        n = len(ids)
-        void = pa.nulls(n, pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(parts, pa.binary()), void, pa.array(ids, pa.int64()), pa.nulls(n, pa.int64()), void, pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), void], names)
+    def rows(held):
+        doc, part, kind, lo, hi, shift, least, most, a_id, a_lo, a_hi = (list(x) for x in zip(*held)) if held else ([] for _ in range(11))
+        whole = lambda v: pa.array(v, pa.int32())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(part, pa.binary()), whole(kind), pa.array(doc, pa.int64()), pa.array(a_id, pa.int64()), whole(shift), whole(lo), whole(hi), pa.nulls(len(doc), pa.int32()), whole(least), whole(most), whole(a_lo), whole(a_hi)], columns
+        )
 
     def run(batches):
         for batch in batches:
-            ids, los, his, parts, size = [], [], [], [], 0
+            held, size = [], 0
             inner, ends = batch.column(2).flatten(), np.cumsum([0, *batch.column(2).value_lengths().to_pylist()]).tolist()
-            field = {f: inner.field(f).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("lo", "hi", "shift", "least", "most")}
+            field = {f: inner.field(f).to_pylist() for f in ("lo", "hi", *names)}
             for k, (i, raw) in enumerate(zip(batch.column(0).to_pylist(), values(batch.column(1), 16))):
                 h = (shingle_hashes(raw) >> np.uint64(32)).astype("<u4")
-                lo, hi, shift, least, most = (v[ends[k] : ends[k + 1]] for v in field.values())
-                own = shift >= 0
-                if own.any():
-                    at, to, move = lo[own], hi[own], shift[own]
+                own = []
+                for lo, hi, shift, least, most, a_id, a_lo, a_hi in zip(*(v[ends[k] : ends[k + 1]] for v in field.values())):
+                    if a_id == i:
+                        own.append((lo, hi, shift, least, most))
+                        continue
+                    part = h[lo : hi + 1].tobytes()
+                    held.append((i, part, None if a_id is None else _RUN, lo, hi, shift, least, most, a_id, a_lo, a_hi))
+                    size += len(part)
+                    if size > 8 << 20:
+                        yield rows(held)
+                        held, size = [], 0
+                if own:
+                    at, to, move, least, most = np.array(own, np.int64).T
                     a_lo = np.maximum(0, at - move)
                     b_len = np.minimum(to + 1, len(h)) - at
-                    args = (h, a_lo, np.minimum(to - move + 1, len(h)) - a_lo, h, at, b_len, at - move - a_lo, np.minimum(DRIFT, move - 1), least[own] - at, most[own] - at)
+                    args = (h, a_lo, np.minimum(to - move + 1, len(h)) - a_lo, h, at, b_len, at - move - a_lo, np.minimum(DRIFT, move - 1), least - at, most - at)
                     me = np.full(len(at), i, np.int64)
                     found = _found_rows(me, me, move, at, b_len, *verified_runs(*args))
-                    yield pa.RecordBatch.from_arrays([pa.nulls(found.num_rows, pa.binary()), *found.columns], names)
-                for x, y in zip(lo[~own].tolist(), hi[~own].tolist()):
-                    ids.append(i)
-                    los.append(x)
-                    his.append(y)
-                    parts.append(h[x : y + 1].tobytes())
-                    size += len(parts[-1])
-                    if size > 8 << 20:
-                        yield rows(ids, los, his, parts)
-                        ids, los, his, parts, size = [], [], [], [], 0
-            yield rows(ids, los, his, parts)
+                    void = pa.nulls(found.num_rows, pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.nulls(found.num_rows, pa.binary()), *found.columns[:n_found], void, void, void, void], columns)
+            yield rows(held)
 
     # a table of what is wanted, so that texts are not sorted
-    return texts.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "wanted").mapInArrow(released(run), f"part binary, {_FOUND}")
+    return texts.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "wanted").mapInArrow(released(run), _PARTS)
 
 
 def _verified(texts: DataFrame, runs: DataFrame) -> DataFrame:
     """A stored table of _FOUND: what the runs repeat and what they leave open."""
     parts = materialize(_slices(texts, runs), "window-slices")
-    of = lambda x: parts.where(F.col("part").isNotNull()).select(F.col("doc_id").alias(f"{x}_id"), F.col("lo").alias(f"{x}_lo"), F.col("hi").alias(f"{x}_hi"), F.col("part").alias(x))
-    paired = runs.where("a_id <> b_id").join(of("a"), ["a_id", "a_lo", "a_hi"]).join(of("b"), ["b_id", "b_lo", "b_hi"])
+    firsts = parts.where("kind is null").select(F.col("doc_id").alias("a_id"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"), F.col("part").alias("a"))
+    seconds = parts.where(F.col("kind") == _RUN).select("a_id", "a_lo", "a_hi", F.col("part").alias("b"), F.col("doc_id").alias("b_id"), F.col("lo").alias("b_lo"), "shift", "least", "most")
+    paired = seconds.join(firsts, ["a_id", "a_lo", "a_hi"])
 
     def run(batches):
         for batch in batches:
