@@ -173,9 +173,9 @@ def signature(stop_words: bool = True, stemmed: bool = True, min_length: int = 2
 @cache
 def _plain_letters() -> tuple[str, str, dict[str, str]]:
     """(letters, their one-letter forms and then those without any, longer forms) of the characters that compatibility
-    decomposition without combining marks changes, below the ideographs."""
+    decomposition without combining marks changes, below the ideographs and among the presentation forms."""
     one, gone, more = {}, "", {}
-    for code in range(0x80, 0x2E80):
+    for code in (*range(0x80, 0x2E80), *range(0xFB00, 0xFFF0)):
         c = chr(code)
         form = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
         if form == c:
