@@ -150,8 +150,11 @@ def signatures(flat: np.ndarray, hashes: int = HASHES) -> tuple[np.ndarray, np.n
     that share the passage share that signature."""
     keys, where = [], []
     quarter = HALF // 2
+    gaps = np.flatnonzero(flat == 0)
     for k in range(hashes):
-        v = np.where(flat == 0, np.uint32(0), np.maximum((mix(flat + np.uint64((2 * k + 1) * int(_P) % (1 << 64))) >> np.uint64(32)).astype(np.uint32), np.uint32(1)))
+        v = (mix(flat + np.uint64((2 * k + 1) * int(_P) % (1 << 64))) >> np.uint64(32)).astype(np.uint32)
+        np.maximum(v, np.uint32(1), out=v)
+        v[gaps] = 0
         c, lo, hi = compact_windows(v)
         if not len(c):
             continue
@@ -234,7 +237,7 @@ def _links(held: DataFrame, asked: Column | None = None) -> DataFrame:
     first = materialize(first, "first-windows")
     asking = held if asked is None else held.where(asked)
     # each signature is once in `first`: a table of it needs no sort of the windows
-    made = materialize(asking.join(first.hint("shuffle_hash"), "key").where(F.col("at") > F.col("first")).select("key", "first", "at"), "window-links", "zstd")
+    made = materialize(asking.join(first.hint("shuffle_hash"), "key").where(F.col("at") > F.col("first")).select("key", "first", "at"), "window-links")
     discard(first)
     return made
 
@@ -256,8 +259,9 @@ def _runs(links: DataFrame, places: _Places) -> DataFrame:
 
 def _spread(into: np.ndarray, at: np.ndarray, values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
     """into[at[i] : at[i] + sizes[i]] = values[starts[i] : starts[i] + sizes[i]] for every i."""
-    step = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    into[np.repeat(at, sizes) + step] = values[np.repeat(starts, sizes) + step]
+    before = np.cumsum(sizes) - sizes
+    step = np.arange(int(sizes.sum()))
+    into[np.repeat(at - before, sizes) + step] = values[np.repeat(starts - before, sizes) + step]
 
 
 def verified_runs(a: np.ndarray, a_at, a_len, b: np.ndarray, b_at, b_len, off, above, least, most) -> tuple[tuple, tuple]:
@@ -274,7 +278,9 @@ def verified_runs(a: np.ndarray, a_at, a_len, b: np.ndarray, b_at, b_len, off, a
     if total < WIDTH:
         none = (np.empty(0, np.int64),) * 3
         return none, none
-    left, right = np.full(total, -2, np.int64), np.full(total, -1, np.int64)
+    # 0 and 1 stand for no place, on one side each
+    left, right = np.zeros(total, np.uint32), np.ones(total, np.uint32)
+    a, b = np.maximum(a, np.uint32(2)), np.maximum(b, np.uint32(2))
     _spread(right, starts + DRIFT, b, b_at, b_len)
     lo = off - DRIFT
     skip = np.maximum(0, -lo)
@@ -380,32 +386,30 @@ def _slices(texts: DataFrame, runs: DataFrame) -> DataFrame:
     n_found = len(_FOUND.split(", "))
 
     def rows(held):
-        doc, part, kind, lo, hi, shift, least, most, a_id, a_lo, a_hi = (list(x) for x in zip(*held)) if held else ([] for _ in range(11))
-        whole = lambda v: pa.array(v, pa.int32())
+        """One batch of the blocks (doc_id, parts, values of the fields, which of them are of runs)."""
+        parts = [p for block in held for p in block[1]]
+        doc = np.concatenate([np.full(len(block[1]), block[0], np.int64) for block in held]) if held else np.empty(0, np.int64)
+        of_run = np.concatenate([block[3] for block in held]) if held else np.empty(0, bool)
+        at = {f: np.concatenate([block[2][f] for block in held]) if held else np.empty(0, np.int64) for f in ("lo", "hi", *names)}
+        whole = lambda f, mask=None: pa.array(at[f].astype(np.int32), pa.int32(), mask=mask)
+        kind = pa.array(np.full(len(doc), _RUN, np.int32), mask=~of_run)
+        a_id = pa.array(at["a_id"], pa.int64(), mask=~of_run)
         return pa.RecordBatch.from_arrays(
-            [pa.array(part, pa.binary()), whole(kind), pa.array(doc, pa.int64()), pa.array(a_id, pa.int64()), whole(shift), whole(lo), whole(hi), pa.nulls(len(doc), pa.int32()), whole(least), whole(most), whole(a_lo), whole(a_hi)], columns
+            [pa.array(parts, pa.binary()), kind, pa.array(doc), a_id, whole("shift", ~of_run), whole("lo"), whole("hi"), pa.nulls(len(doc), pa.int32()), *(whole(f, ~of_run) for f in ("least", "most", "a_lo", "a_hi"))], columns
         )
 
     def run(batches):
         for batch in batches:
             held, size = [], 0
             inner, ends = batch.column(2).flatten(), np.cumsum([0, *batch.column(2).value_lengths().to_pylist()]).tolist()
-            field = {f: inner.field(f).to_pylist() for f in ("lo", "hi", *names)}
+            field = {f: inner.field(f).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("lo", "hi", *names)}
+            of_run = inner.field("a_id").is_valid().to_numpy(zero_copy_only=False)
             for k, (i, raw) in enumerate(zip(batch.column(0).to_pylist(), values(batch.column(1), 16))):
                 h = (shingle_hashes(raw) >> np.uint64(32)).astype("<u4")
-                own = []
-                for lo, hi, shift, least, most, a_id, a_lo, a_hi in zip(*(v[ends[k] : ends[k + 1]] for v in field.values())):
-                    if a_id == i:
-                        own.append((lo, hi, shift, least, most))
-                        continue
-                    part = h[lo : hi + 1].tobytes()
-                    held.append((i, part, None if a_id is None else _RUN, lo, hi, shift, least, most, a_id, a_lo, a_hi))
-                    size += len(part)
-                    if size > 8 << 20:
-                        yield rows(held)
-                        held, size = [], 0
-                if own:
-                    at, to, move, least, most = np.array(own, np.int64).T
+                mine = slice(ends[k], ends[k + 1])
+                own = of_run[mine] & (field["a_id"][mine] == i)
+                if own.any():
+                    at, to, move, least, most = (field[f][mine][own] for f in ("lo", "hi", "shift", "least", "most"))
                     a_lo = np.maximum(0, at - move)
                     b_len = np.minimum(to + 1, len(h)) - at
                     args = (h, a_lo, np.minimum(to - move + 1, len(h)) - a_lo, h, at, b_len, at - move - a_lo, np.minimum(DRIFT, move - 1), least - at, most - at)
@@ -413,6 +417,15 @@ def _slices(texts: DataFrame, runs: DataFrame) -> DataFrame:
                     found = _found_rows(me, me, move, at, b_len, *verified_runs(*args))
                     void = pa.nulls(found.num_rows, pa.int32())
                     yield pa.RecordBatch.from_arrays([pa.nulls(found.num_rows, pa.binary()), *found.columns[:n_found], void, void, void, void], columns)
+                rest = ~own
+                if rest.any():
+                    block = {f: v[mine][rest] for f, v in field.items()}
+                    raw_h, lo, hi = h.tobytes(), (4 * block["lo"]).tolist(), (4 * block["hi"] + 4).tolist()
+                    held.append((i, [raw_h[x:y] for x, y in zip(lo, hi)], block, of_run[mine][rest]))
+                    size += sum(hi) - sum(lo)
+                    if size > 8 << 20:
+                        yield rows(held)
+                        held, size = [], 0
             yield rows(held)
 
     # a table of what is wanted, so that texts are not sorted
