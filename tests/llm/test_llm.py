@@ -451,6 +451,20 @@ def test_pipeline_keeps_null_ids_and_texts_that_share_an_id(spark):
     assert {(r.doc_id, r.text) for r in cut if r.doc_id != 7} == {(1, a), (5, b), (None, c)}
 
 
+def test_contaminated_rows_are_judged_each(spark, tmp_path):
+    import corpus_pipeline
+
+    items = spark.createDataFrame([(1, "alpha beta"), (2, "gamma delta")], "item_id long, text string")
+    items.write.parquet(str(tmp_path / "benchmark.parquet"))
+    bad = "alpha beta gamma delta"
+    rows = [(1, bad, 5), (1, "clean", 5), (None, bad, 5), (None, "clean", 5), (2, None, 5), (3, "", 5), (4, "alpha beta", 5), (4, "alpha beta", 5)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, contaminated int")
+    kept = corpus_pipeline.drop_contaminated(spark, d, str(tmp_path))
+    assert kept.columns == d.columns
+    assert sorted(map(str, kept.collect())) == sorted(str(r) for r in d.collect() if r.text != bad)
+    assert corpus_pipeline.drop_contaminated(spark, d.limit(0), str(tmp_path)).count() == 0
+
+
 def test_equal_segments_stay_apart_over_blocks(spark):
     items = spark.createDataFrame([(i, f"item{i} word{i}") for i in range(20)], "item_id long, text string")
     rows = [(None, "item1 word1 x"), (None, "item1 word1 x"), (None, "item2 word2 y"), (None, "other words y")] * 2
