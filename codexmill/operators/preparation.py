@@ -111,11 +111,12 @@ def prepare_inputs(texts: DataFrame, tokenize: Callable[[str], list], join: Call
 
 
 def length_summary(profiles: DataFrame, limit: int, *cuts: str, value: str = "n_tokens") -> DataFrame:
-    """Number, truncated, their share (2 digits), longest and interpolated percentiles (1 digit) overall and by each cut."""
+    """Number, truncated, their share (2 digits), longest and interpolated percentiles (1 digit, after the noise of interpolation
+    is rounded off at 6) overall and by each cut."""
     p = F.percentile(value, F.array(*map(F.lit, (0.5, 0.9, 0.95, 0.99))))
     made = profiles.groupingSets([[], *[[c] for c in cuts]], *cuts).agg(F.count("*").alias("n"), F.count_if(F.col(value) > limit).alias("n_truncated"), F.max(value).alias("longest"), p.alias("__p"))
     share = F.round(100.0 * F.col("n_truncated") / F.nullif(F.col("n"), F.lit(0)), 2)
-    return made.select(*cuts, "n", "n_truncated", share.alias("pct_truncated"), "longest", *[F.round(F.get("__p", F.lit(i)), 1).alias(x) for i, x in enumerate(("p50", "p90", "p95", "p99"))])
+    return made.select(*cuts, "n", "n_truncated", share.alias("pct_truncated"), "longest", *[F.round(F.round(F.get("__p", F.lit(i)), 6), 1).alias(x) for i, x in enumerate(("p50", "p90", "p95", "p99"))])
 
 
 def window_touches(intervals: Column, n: Column, width: int, overlap: int) -> Column:
