@@ -132,8 +132,18 @@ class WordHasher:
         return np.fromiter(map(zlib.crc32, words), dtype=np.uint64, count=len(words))
 
 
+def mix_into(h: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser (xor-shift and multiply) for uint64 arrays, in place."""
+    moved = np.empty_like(h)
+    for times in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        np.right_shift(h, np.uint64(33), out=moved)
+        h ^= moved
+        h *= np.uint64(times)
+    np.right_shift(h, np.uint64(33), out=moved)
+    h ^= moved
+    return h
+
+
 def mix(h: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (xor-shift and multiply) for uint64 arrays."""
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
+    """`mix_into` of a copy."""
+    return mix_into(np.array(h, np.uint64))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from functools import cache, reduce
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codexmill.llm.common import discard, materialize, mix, released, values
+from codexmill.llm.common import discard, materialize, mix, mix_into, released, values
 
 SHINGLE = 5
 MIN_WORDS = 50
@@ -29,10 +30,15 @@ GRADE = WIDTH - MATCHED + 1
 #: Places of a text that a candidate run may span besides its reach: what one task holds of a long text is bounded.
 BLOCK = 1024
 _P = np.uint64(0x9E3779B97F4A7C15)
+#: Places of zeros before and after an array of which runs are asked.
+_EDGE = 1 << REACH.bit_length()
+#: The upper half of a 64-bit number among its two 32-bit halves.
+_HIGH = 1 if sys.byteorder == "little" else 0
 
 
-#: Bytes of text whose words are hashed at once.
+#: Bytes of text whose words are hashed at once, and of short texts that are laid out together.
 _PIECE = 1 << 18
+_GROUP = 1 << 19
 
 
 @cache
@@ -46,7 +52,8 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
     return made[0], made[1]
 
 
-def _piece_hashes(piece: np.ndarray) -> np.ndarray:
+def _piece_hashes(piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first bytes) of the words of a piece."""
     up, down = _powers()
     blank = (piece == 32) | ((piece >= 9) & (piece <= 13))
     edge = np.empty(len(piece) + 1, bool)
@@ -55,15 +62,16 @@ def _piece_hashes(piece: np.ndarray) -> np.ndarray:
     at = np.flatnonzero(edge)
     total = np.zeros(len(piece) + 1, np.uint64)
     np.cumsum(up[: len(piece)] * (piece.astype(np.uint16) + 1), out=total[1:])
-    return (total[at[1::2]] - total[at[::2]]) * down[at[::2]]
+    first = at[::2]
+    return (total[at[1::2]] - total[first]) * down[first], first
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """64-bit hashes of the words, runs of bytes other than white space: byte k of a word, plus one, counts times _P ** k, modulo 2 ** 64."""
+def placed_words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes, first bytes) of the words, runs of bytes other than white space: byte k of a word, plus one, counts times _P ** k, modulo 2 ** 64."""
     raw = np.frombuffer(text, np.uint8)
     if len(raw) <= _PIECE:
-        return _piece_hashes(raw) if len(raw) else np.empty(0, np.uint64)
-    out, at = [], 0
+        return _piece_hashes(raw) if len(raw) else (np.empty(0, np.uint64), np.empty(0, np.int64))
+    out, first, at = [], [], 0
     while at < len(raw):
         stop = min(len(raw), at + _PIECE)
         if stop < len(raw):
@@ -77,28 +85,68 @@ def word_hashes(text: bytes) -> np.ndarray:
                     value += int(_piece_total(rest[k : k + _PIECE])) * pow(int(_P), moved, 1 << 64)
                     moved += _PIECE
                 out.append(np.array([value % (1 << 64)], np.uint64))
+                first.append(np.array([at], np.int64))
                 at += len(rest)
                 continue
             stop = at + int(gaps[-1]) + 1
-        out.append(_piece_hashes(raw[at:stop]))
+        hashes, begins = _piece_hashes(raw[at:stop])
+        out.append(hashes)
+        first.append(begins + at)
         at = stop
-    return np.concatenate(out)
+    return np.concatenate(out), np.concatenate(first)
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    return placed_words(text)[0]
 
 
 def _piece_total(piece: np.ndarray) -> np.uint64:
     return (_powers()[0][: len(piece)] * (piece.astype(np.uint16) + 1)).sum(dtype=np.uint64)
 
 
+def shingles_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, starts, ends): 64-bit hashes of all 5-word shingles of the texts, A-Z lowered, one to a word; those of text
+    i begin at starts[i], the last SHINGLE - 1 places before ends[i] hold nothing of use. Many short texts are one array."""
+    h, first = placed_words(b" ".join(texts).lower())
+    bounds = np.searchsorted(first, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    h += np.uint64(1)
+    mix_into(h)
+    n = max(0, len(h) - SHINGLE + 1)
+    out = h.copy()
+    for k in range(1, SHINGLE):
+        out[:n] *= _P
+        out[:n] += h[k : k + n]
+    return mix_into(out), bounds[:-1], bounds[1:]
+
+
+def _own(flat: np.ndarray, start: int, end: int) -> np.ndarray:
+    return flat[start : max(start, end - SHINGLE + 1)]
+
+
 def shingle_hashes(text: bytes) -> np.ndarray:
     """64-bit hashes of all 5-word shingles of a text, A-Z lowered."""
-    h = mix(word_hashes(text.lower()) + np.uint64(1))
-    n = len(h) - SHINGLE + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for k in range(SHINGLE):
-        out = out * _P + h[k : k + n]
-    return mix(out)
+    flat, _, ends = shingles_of([text])
+    return _own(flat, 0, int(ends[0]))
+
+
+def _shingled(column: pa.Array, rows: int = 256):
+    """The texts of an Arrow column as (row of the first, hashes, starts, ends), about _GROUP bytes at a time."""
+    at, group, size = 0, [], 0
+    for raw in values(column, rows):
+        group.append(raw)
+        size += len(raw)
+        if size >= _GROUP:
+            yield (at, *shingles_of(group))
+            at, group, size = at + len(group), [], 0
+    if group:
+        yield (at, *shingles_of(group))
+
+
+def _each(column: pa.Array):
+    """The shingle hashes of each text of an Arrow column."""
+    for _, flat, starts, ends in _shingled(column, 16):
+        for start, end in zip(starts.tolist(), ends.tolist()):
+            yield _own(flat, start, end)
 
 
 def _slide(v: np.ndarray, width: int, take) -> np.ndarray:
@@ -119,29 +167,60 @@ def _extents(tables: list[np.ndarray], at: np.ndarray, fits) -> np.ndarray:
     return np.minimum(out, REACH)
 
 
+def _doubled(v: np.ndarray, width: int, held: list[np.ndarray] | None = None) -> list[np.ndarray]:
+    """The least of 1, 2, 4 .. places from each place on, up to `width`; in the arrays `held`, if given, of an earlier table of this length."""
+    tables = [v]
+    while 1 << len(tables) <= width:
+        half = 1 << (len(tables) - 1)
+        tables.append(np.minimum(tables[-1][:-half], tables[-1][half:], out=held[len(tables)] if held else None))
+    return tables
+
+
+def _least(tables: list[np.ndarray], width: int) -> np.ndarray:
+    """The least of each run of `width` places, from two entries of a doubled table."""
+    top = width.bit_length() - 1
+    rest = width - (1 << top)
+    return np.minimum(tables[top][: len(tables[top]) - rest], tables[top][rest:]) if rest else tables[top]
+
+
 def compact_windows(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(centres, left ends, right ends): the nodes of v's Cartesian tree (least value on top, leftmost among equals) that
     span WIDTH places or more, cut to REACH places around their centre. Every run of WIDTH places has its least value at
     the centre of exactly one of these that holds it. Zeros part documents and are no part of any window."""
-    n = len(v)
-    if n < WIDTH:
+    if len(v) < WIDTH:
         return (np.empty(0, np.int64),) * 3
-    least = _slide(v, WIDTH, np.minimum)
-    pad = np.zeros(REACH, v.dtype)
-    highest = _slide(np.concatenate([pad, least, pad]), WIDTH, np.maximum)  # over the runs that hold a place
-    centres = np.nonzero((highest == v) & (v > 0))[0]
-    edge = 1 << REACH.bit_length()
-    tables = [np.concatenate([np.zeros(edge, v.dtype), v, np.zeros(edge, v.dtype)])]
-    while 1 << len(tables) <= REACH:
-        half = 1 << (len(tables) - 1)
-        tables.append(np.minimum(tables[-1][:-half], tables[-1][half:]))
-    value, at = v[centres], centres + edge
-    left = _extents(tables, at, lambda t, p, done, step: t[p - done - step] > value)
-    right = _extents(tables, at, lambda t, p, done, step: t[p + done + 1] >= value)
+    edge = np.zeros(_EDGE, v.dtype)
+    tables = _doubled(np.concatenate([edge, v, edge]), REACH)
+    centres = _centres(v, tables)
+    left, right = _reaches(tables, centres)
     wide = left + right + 1 >= WIDTH
     return centres[wide], (centres - left)[wide], (centres + right)[wide]
 
 
+def _centres(v: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+    """Places that are a least value of some run of WIDTH places, from the doubled table of v between two edges of zeros."""
+    inside = _least(tables, WIDTH)[_EDGE - REACH : _EDGE + len(v)]  # over all runs that hold a place of v; 0 across an end
+    return np.flatnonzero((_slide(inside, WIDTH, np.maximum) == v) & (v > 0))
+
+
+def _reaches(tables: list[np.ndarray], centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How far the windows of centres go to the left and to the right."""
+    at = centres + _EDGE
+    value = tables[0][at]
+    left = _extents(tables, at, lambda t, p, done, step: t[p - done - step] > value)
+    return left, _extents(tables, at, lambda t, p, done, step: t[p + done + 1] >= value)
+
+
+def _window_centres(v: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+    """The centres of `compact_windows`. Only an equal value before it in its run, then the centre before it, can make a centre's window too short."""
+    c = _centres(v, tables)
+    tied = np.flatnonzero((np.diff(c) <= REACH) & (np.diff(v[c]) == 0)) + 1
+    if len(tied):
+        left, right = _reaches(tables, c[tied])
+        c = np.delete(c, tied[left + right + 1 < WIDTH])
+    return c
+
+
 def signatures(flat: np.ndarray, hashes: int = HASHES) -> tuple[np.ndarray, np.ndarray]:
     """(keys, centres) of all compact windows of the parted shingle hashes `flat`.
 
@@ -150,16 +229,24 @@ def signatures(flat: np.ndarray, hashes: int = HASHES) -> tuple[np.ndarray, np.n
     that share the passage share that signature."""
     keys, where = [], []
     quarter = HALF // 2
+    if len(flat) < WIDTH:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
     gaps = np.flatnonzero(flat == 0)
+    mixed = np.empty_like(flat)
+    held = np.zeros(len(flat) + 2 * _EDGE, np.uint32)
+    v, tables = held[_EDGE:-_EDGE], None
     for k in range(hashes):
-        v = (mix(flat + np.uint64((2 * k + 1) * int(_P) % (1 << 64))) >> np.uint64(32)).astype(np.uint32)
+        np.add(flat, np.uint64((2 * k + 1) * int(_P) % (1 << 64)), out=mixed)
+        v[:] = mix_into(mixed).view(np.uint32)[_HIGH::2]
         np.maximum(v, np.uint32(1), out=v)
         v[gaps] = 0
-        c, lo, hi = compact_windows(v)
+        tables = _doubled(held, REACH, tables)
+        c = _window_centres(v, tables)
         if not len(c):
             continue
-        outer = _slide(v, HALF - quarter, np.minimum)
-        for side, fits, at in ((1, hi - c >= HALF, c + quarter + 1), (2, c - lo >= HALF, c - HALF)):
+        value, half = v[c], _least(tables, HALF)[_EDGE - HALF :]  # half[i]: of the HALF places before i
+        outer = _least(tables, HALF - quarter)[_EDGE:]
+        for side, fits, at in ((1, half[c + HALF + 1] >= value, c + quarter + 1), (2, half[c] > value, c - HALF)):
             fit_c, fit_at = c[fits], at[fits]
             keys.append(mix(v[fit_c].astype(np.uint64) * _P + mix(outer[fit_at].astype(np.uint64)) + np.uint64(side)))
             where.append(fit_c)
@@ -177,30 +264,16 @@ def _windows(texts: DataFrame, hashes: int) -> DataFrame:
 
     Cheaper to make than to store, so it is made from the texts wherever it is read."""
 
-    def lay_out(ids, parts):
-        starts = np.cumsum([0, *(len(p) + 1 for p in parts)])
-        flat = np.zeros(starts[-1], np.uint64)
-        for s, p in zip(starts, parts):
-            flat[s : s + len(p)] = p | np.uint64(1)
-        keys, at = signatures(flat, hashes)
-        row = np.searchsorted(starts, at, side="right") - 1
-        return pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[row]), pa.array((at - starts[row]).astype(np.int32)), pa.array(keys.view(np.int64))], ["doc_id", "c", "key"])
-
     def run(batches):
         for batch in batches:
-            ids, parts, held = [], [], 0
-            for i, raw in zip(batch.column(0).to_pylist(), values(batch.column(1))):
-                shingles = shingle_hashes(raw)
-                if len(shingles) < WIDTH:
-                    continue
-                ids.append(i)
-                parts.append(shingles)
-                held += len(shingles)
-                if held > 100_000:
-                    yield lay_out(ids, parts)
-                    ids, parts, held = [], [], 0
-            if ids:
-                yield lay_out(ids, parts)
+            ids = batch.column(0).to_numpy()
+            for first, flat, starts, ends in _shingled(batch.column(1)):
+                flat |= np.uint64(1)
+                for k in range(1, SHINGLE):  # places of no shingle part the texts
+                    flat[np.maximum(ends - k, starts)[ends > starts]] = 0
+                keys, at = signatures(flat, hashes)
+                row = np.searchsorted(starts, at, side="right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(ids[first + row]), pa.array((at - starts[row]).astype(np.int32)), pa.array(keys.view(np.int64))], ["doc_id", "c", "key"])
 
     return texts.mapInArrow(released(run), "doc_id long, c int, key long")
 
@@ -404,8 +477,8 @@ def _slices(texts: DataFrame, runs: DataFrame) -> DataFrame:
             inner, ends = batch.column(2).flatten(), np.cumsum([0, *batch.column(2).value_lengths().to_pylist()]).tolist()
             field = {f: inner.field(f).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("lo", "hi", *names)}
             of_run = inner.field("a_id").is_valid().to_numpy(zero_copy_only=False)
-            for k, (i, raw) in enumerate(zip(batch.column(0).to_pylist(), values(batch.column(1), 16))):
-                h = (shingle_hashes(raw) >> np.uint64(32)).astype("<u4")
+            for k, (i, h) in enumerate(zip(batch.column(0).to_pylist(), _each(batch.column(1)))):
+                h = (h >> np.uint64(32)).astype("<u4")
                 mine = slice(ends[k], ends[k + 1])
                 own = of_run[mine] & (field["a_id"][mine] == i)
                 if own.any():
@@ -528,9 +601,9 @@ def _blocks(texts: DataFrame, opened: DataFrame) -> DataFrame:
         for batch in batches:
             inner, ends = batch.column(2).flatten(), np.cumsum([0, *batch.column(2).value_lengths().to_pylist()]).tolist()
             centres, opened = inner.field("c").to_numpy().astype(np.int64), inner.field("open").to_numpy(zero_copy_only=False)
-            for k, (i, raw) in enumerate(zip(batch.column(0).to_pylist(), values(batch.column(1), 16))):
+            for k, (i, h) in enumerate(zip(batch.column(0).to_pylist(), _each(batch.column(1)))):
                 own = slice(ends[k], ends[k + 1])
-                keys, row = block_keys(shingle_hashes(raw), centres[own])
+                keys, row = block_keys(h, centres[own])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), i, np.int64)), pa.array(centres[own][row].astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(opened[own][row])], ["doc_id", "c", "key", "open"])
 
     return texts.join(opened.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "places").mapInArrow(released(run), "doc_id long, c int, key long, open boolean")

@@ -250,6 +250,33 @@ def test_compact_windows_cover_each_run_once():
             assert len(held) == 1 and c[held[0]] == i + int(np.argmin(v[i : i + 46]))
 
 
+def test_window_centres_and_sides_equal_the_windows():
+    rng = np.random.default_rng(8)
+    for most in (2, 5, 40, 2**32):
+        for n in (0, 10, 45, 46, 47, 300, 2000):
+            v = rng.integers(1, most, n, dtype=np.uint64, endpoint=True).clip(1, 2**32 - 1).astype(np.uint32)
+            v[rng.random(n) < 0.004] = 0
+            edge = np.zeros(substrings._EDGE, np.uint32)
+            tables = substrings._doubled(np.concatenate([edge, v, edge]), substrings.REACH)
+            want = substrings.compact_windows(v)[0].tolist()
+            assert n < substrings.WIDTH or substrings._window_centres(v, tables).tolist() == want
+    flat = rng.integers(1, 30, 900, dtype=np.uint64)
+    flat[[0, 200, 899]] = 0
+    keys, at = substrings.signatures(flat, 1)
+    v = (substrings.mix(flat + substrings._P) >> np.uint64(32)).astype(np.uint32)
+    v[flat == 0] = 0
+    c, lo, hi = substrings.compact_windows(v)
+    assert at.tolist() == [*c[hi - c >= substrings.HALF].tolist(), *c[c - lo >= substrings.HALF].tolist()]
+
+
+def test_shingles_of_many_texts_are_those_of_each():
+    texts = [b"", b"A b", b" ", b"a b c d e f", "\u00e9 b\tC d\x0be f g".encode(), b"x" * 70, b"", b"one two three four five", b" \n"]
+    flat, starts, ends = substrings.shingles_of(texts)
+    got = [substrings._own(flat, s, e).tolist() for s, e in zip(starts, ends)]
+    assert got == [substrings.shingle_hashes(t).tolist() for t in texts]
+    assert [len(x) for x in got] == [max(0, len(t.decode().split()) - 4) for t in texts]
+
+
 def test_repeated_passages(spark, nothing):
     rng = np.random.default_rng(2)
     some = lambda n: " ".join(f"u{x}" for x in rng.integers(0, 10**9, n))
