@@ -463,6 +463,71 @@ def test_html_formulas_drawings_options_and_pre():
     assert html.extract("<pre>\n<i>if</i> x:\n\n  y\n</pre>") == "if x:\n\n  y"
 
 
+def test_html_tables_against_a_naive_grid():
+    assert html.extract("<table><tr><td rowspan=2>A<td>b<tr><td>c<td>d</table>") == "A  b\n   c  d"
+    assert html.extract("<table><tr><td colspan=2>wide wide wide<td>z<tr><td>1<td>2<td>3</table>") == "wide wide wide  z\n1  2            3"
+    assert html.extract("<table><tr><td>a<td>" + "long " * 30 + "</table>") == "a  " + ("long " * 30).strip()
+    lines = html.extract("<table><tr><td>" + "long " * 30 + "<td>b<tr><td>c<td>d</table>").split("\n")
+    assert lines[0] == ("long " * 12).ljust(61) + "b" and lines[-1].index("d") == 61
+    rng = np.random.default_rng(11)
+    for _ in range(60):
+        n_rows, page, taken, place = int(rng.integers(1, 6)), "<table>", set(), {}
+        for r in range(n_rows):
+            page += "<tr>"
+            for k in range(int(rng.integers(1, 5))):
+                wide, high = int(rng.integers(1, 4)), int(rng.integers(1, 4))
+                c = next(c for c in range(100) if (r, c) not in taken)
+                taken |= {(r + i, c + j) for i in range(high) for j in range(wide)}
+                word = f"r{r}k{k}" + "x" * int(rng.integers(0, 9))
+                place[word] = (r, c)
+                page += f"<td colspan={wide} rowspan={high}>{word}"
+        lines = html.extract(page + "</table>").split("\n")
+        assert len(lines) == n_rows
+        begins = {}
+        for word, (r, c) in place.items():
+            begins.setdefault(c, set()).add(lines[r].split(" ").index(word) >= 0 and lines[r].index(word))
+        assert all(len(x) == 1 for x in begins.values())
+        order = [x.pop() for _, x in sorted(begins.items())]
+        assert order == sorted(set(order))
+
+
+def test_html_visibility_against_a_plain_recursion():
+    css = "<style>/* .c{display:none} */ .gone{display:none} span.veil , #v { visibility : hidden } @media print { .c { display:none } } .late{display:none} .late{display:block}</style>"
+    kinds = ["", " hidden", " class='c gone'", " class=veil", " id=v", " style='visibility:visible'", " style='display:none'", " class='gone' style='display:block'", " class=late"]
+    rng = np.random.default_rng(12)
+    words = []
+
+    def grow(depth, seen, veiled):
+        tag, kind = ("div", "span")[int(rng.integers(2))], int(rng.choice([0, 0, 0, 0, *range(len(kinds))]))
+        seen = seen and kind not in (1, 2, 6)
+        veiled = True if kind == 4 or (kind == 3 and tag == "span") else False if kind == 5 else veiled
+        word = f"w{len(words)}."
+        words.append((word, seen and not veiled))
+        inner = "".join(grow(depth + 1, seen, veiled) for _ in range(int(rng.integers(0, 4)))) if depth < 5 else ""
+        return f"<{tag}{kinds[kind]}> {word} {inner}</{tag}>"
+
+    for _ in range(40):
+        words.clear()
+        page = css + grow(0, True, False) + grow(0, True, False)
+        assert html.extract(page).split() == [w for w, shown in words if shown]
+    assert html.extract("<details>no<summary>S</summary>no</details><details open><summary>T</summary>here</details>") == "S\nT\nhere"
+
+
+@pytest.mark.parametrize("tag", ["div", "span", "ul><li", "blockquote", "table><tr><td", "thead", "p><b"])
+def test_html_of_any_depth(tag):
+    page = "".join(f"<{tag}> w{i} " for i in range(4000)) + "<script>var x</script><i hidden>secret</i></nope> end"
+    got = html.extract(page).split()
+    assert [w for w in got if w not in ("-",)] == [*(f"w{i}" for i in range(4000)), "end"]
+
+
+def test_html_pages_empty_and_clashing(spark):
+    schema = "page_id long, url string, html string, text string, n_chars int"
+    assert html.extract_pages(spark.createDataFrame([], schema)).count() == 0
+    rows = [(1, "u", "<p>x", "no", 9), (1, "u", "<p>x", "no", 9), (None, None, "<p>" + "y " * 400_000, "", 0)]
+    got = sorted((r.page_id or 0, r.n_chars) for r in html.extract_pages(spark.createDataFrame(rows, schema)).collect())
+    assert got == [(0, 799_999), (1, 1), (1, 1)]
+
+
 def test_pipeline_keeps_null_ids_and_texts_that_share_an_id(spark):
     import corpus_pipeline
 
