@@ -2,11 +2,28 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 Z95 = 1.959963984540054
+#: Ranges into which an ordered running value is cut: one row of each is carried on, whatever the input's size.
+RANGES = 1024
+
+
+def _ranged(rows: DataFrame, column: str) -> DataFrame:
+    """rows with __range, which never falls as the column grows: at most RANGES + 1 of about equal size, NaN in the last.
+
+    Equal values are in one range. The quantiles are approximate and change only the sizes; what is gathered are RANGES numbers."""
+    held = rows.withColumn("__value", F.col(column).cast("double"))
+    inner = [k / RANGES for k in range(1, RANGES)]
+    found = {x for x in held.approxQuantile("__value", inner, 1 / (4 * RANGES)) if abs(x) != float("inf")}
+    splits = [float("-inf"), *sorted(found), float("inf")]
+    if len(splits) < 3:
+        splits.insert(1, 0.0)
+    cut = Bucketizer(splits=splits, inputCol="__value", outputCol="__range", handleInvalid="keep")
+    return cut.transform(held).drop("__value")
 
 
 def unique_parents(hits: DataFrame) -> DataFrame:
@@ -34,6 +51,23 @@ def ranking_metrics(hits: DataFrame, judgments: DataFrame, k: int = 10) -> DataF
     )
 
 
+def label_metrics(hits: DataFrame, queries: DataFrame, members: DataFrame, k: int = 10) -> DataFrame:
+    """What `ranking_metrics` gives if a parent is relevant, at 1, to the queries of its label: of hits(query_id, parent_id, rank),
+    queries(query_id, label) and members(parent_id, label). Relevant pairs are never listed: a label's members are counted,
+    labels are joined to the hits. Queries of a label without members, or of none, are not judged; repeated members count once."""
+    sizes = members.where("label is not null").distinct().groupBy("label").agg(F.count("*").alias("n"))
+    ideals = F.lit([0.0]) if k < 1 else F.array(*[sum((1 / F.log2(F.lit(i + 1.0)) for i in range(1, m + 1)), F.lit(0.0)) for m in range(1, k + 1)])
+    asked = queries.distinct().join(sizes, "label").select("query_id", "label", "n", F.element_at(ideals, F.least("n", F.lit(max(k, 1))).cast("int")).alias("ideal"))
+    top = unique_parents(hits).where(F.col("rank") <= k).join(asked.select("query_id", "label"), "query_id")
+    top = top.join(members.distinct(), ["parent_id", "label"], "left_semi")
+    got = top.groupBy("query_id").agg(F.count("*").alias("found"), F.min("rank").alias("first"), F.sum(1 / F.log2(F.col("rank") + 1.0)).alias("dcg"))
+    zero = F.lit(0.0)
+    return asked.join(got, "query_id", "left").select(
+        "query_id", F.coalesce((F.col("first") == 1).cast("double"), zero).alias("hit_at_1"), F.coalesce(1.0 / F.col("first"), zero).alias("mrr"),
+        F.coalesce(F.col("found") / F.col("n"), zero).alias("recall"), F.coalesce(F.col("dcg") / F.nullif("ideal", zero), zero).alias("ndcg"),
+    )
+
+
 def raw_hit_metrics(hits: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
     """(query_id, unique_parents, duplicate_rate) of the first k raw hits; with queries, those without hits have zeros."""
     top = hits.where(F.col("rank") <= k).groupBy("query_id").agg(F.count("*").alias("n"), F.countDistinct("parent_id").alias("unique_parents"))
@@ -56,11 +90,11 @@ def pareto_front(points: DataFrame, key: str, quality: str, cost: str) -> DataFr
     stay together. One pass over costs: the best quality of each cost, and the best of all lower costs."""
     by_cost = points.groupBy(cost).agg(F.max(quality).alias("__best"))
     # a running maximum over the distinct costs, cut into ranges so that no task gets all of them
-    ranged = by_cost.withColumn("__range", F.floor(F.col(cost) / 64))
+    ranged = _ranged(by_cost.where(F.col(cost).isNotNull()), cost)
     inner = Window.partitionBy("__range").orderBy(cost).rowsBetween(Window.unboundedPreceding, -1)
     heads = ranged.groupBy("__range").agg(F.max("__best").alias("__top"))
     before = heads.withColumn("__before", F.max("__top").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))).select("__range", "__before")
-    cheaper = ranged.withColumn("__inside", F.max("__best").over(inner)).join(before, "__range").select(cost, "__best", F.greatest("__inside", "__before").alias("__cheaper"))
+    cheaper = ranged.withColumn("__inside", F.max("__best").over(inner)).join(F.broadcast(before), "__range").select(cost, "__best", F.greatest("__inside", "__before").alias("__cheaper"))
     kept = cheaper.where(F.col("__cheaper").isNull() | (F.col("__best") > F.col("__cheaper"))).select(cost, "__best")
     return points.join(kept, cost).where(F.col(quality) == F.col("__best")).select(key, quality, cost)
 
@@ -69,10 +103,15 @@ def auc_threshold(scored: DataFrame) -> DataFrame:
     """One row (auc, threshold, balanced_accuracy) of scored(score, positive).
 
     auc counts pairs, ties as half; the threshold (score >= it is positive) is the lowest of those with the best balanced
-    accuracy. Scores are counted first, so what is ordered is one row for each distinct score."""
+    accuracy. Scores are counted first, then cut into ranges whose sums are carried on, so no task gets all of them."""
     by = scored.where("score is not null").groupBy("score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
-    up = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    steps = by.select("score", "p", "n", F.coalesce(F.sum("p").over(up), F.lit(0)).alias("p_below"), F.coalesce(F.sum("n").over(up), F.lit(0)).alias("n_below"))
+    ranged = _ranged(by, "score")
+    heads = ranged.groupBy("__range").agg(F.sum("p").alias("__p"), F.sum("n").alias("__n"))
+    lower = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
+    before = heads.select("__range", F.coalesce(F.sum("__p").over(lower), F.lit(0)).alias("__p"), F.coalesce(F.sum("__n").over(lower), F.lit(0)).alias("__n"))
+    up = Window.partitionBy("__range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    inside = ranged.withColumn("p_below", F.coalesce(F.sum("p").over(up), F.lit(0))).withColumn("n_below", F.coalesce(F.sum("n").over(up), F.lit(0)))
+    steps = inside.join(F.broadcast(before), "__range").select("score", "p", "n", (F.col("p_below") + F.col("__p")).alias("p_below"), (F.col("n_below") + F.col("__n")).alias("n_below"))
     totals = by.agg(F.sum("p").alias("np"), F.sum("n").alias("nn"))
     at = steps.crossJoin(F.broadcast(totals)).withColumn("bal", F.round(((F.col("np") - F.col("p_below")) / F.col("np") + F.col("n_below") / F.col("nn")) / 2, 10))
     return at.agg(

@@ -47,8 +47,7 @@ def retrieval_quality_by_label(spark, d):
     """Dense search, judged by equal labels, averaged by the query's label."""
     e = _t(spark, d, "embeddings").select("vec_id", "label")
     asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label"))
-    judged = asked.join(e, "label").select("query_id", F.col("vec_id").alias("parent_id"), F.lit(1).alias("relevance"))
-    per_query = metrics.ranking_metrics(_dense(spark, d).withColumnRenamed("unit_id", "parent_id"), judged)
+    per_query = metrics.label_metrics(_dense(spark, d).withColumnRenamed("unit_id", "parent_id"), asked, e.withColumnRenamed("vec_id", "parent_id"))
     return per_query.join(asked, "query_id").groupBy("label").agg(F.count("*").alias("n_queries"), *[F.round(F.avg(c), 6).alias(c) for c in ("hit_at_1", "mrr", "recall", "ndcg")])
 
 

@@ -163,3 +163,36 @@ def test_hybrid_fuses_deep_runs(spark):
     want = sorted(scaled, key=lambda u: (-round(scaled[u], 6), u))[:10]
     assert [r.unit_id for r in retrieval.hybrid(run(True), run(False), fusion="weighted", alpha=0.7).orderBy("rank").collect()] == want
     assert retrieval.hybrid(run(True), run(False), k=120).count() == 120
+
+
+def test_label_metrics_equal_listed_pairs(spark):
+    rng = np.random.default_rng(4)
+    members = [(i, int(rng.integers(5)) if i % 9 else None) for i in range(60)] + [(1, 1), (1, 1)]
+    asked = [(q, int(rng.integers(7)) if q % 5 else None) for q in range(20)]
+    hits = [(q, int(p), r + 1) for q in range(19) for r, p in enumerate(rng.integers(0, 60, 12))]
+    m = spark.createDataFrame(members, "parent_id long, label int")
+    a, h = spark.createDataFrame(asked, "query_id long, label int"), spark.createDataFrame(hits, "query_id long, parent_id long, rank int")
+    pairs = a.join(m.distinct(), "label").select("query_id", "parent_id", F.lit(1).alias("relevance"))
+    for k in (1, 3, 10):
+        got, want = rows(metrics.label_metrics(h, a, m, k), "query_id"), rows(metrics.ranking_metrics(h, pairs, k), "query_id")
+        assert [x[0] for x in got] == [x[0] for x in want]
+        assert np.allclose([x[1:] for x in got], [x[1:] for x in want])
+    assert metrics.label_metrics(h, a, m.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("ranges", [2, 7, 1024])
+def test_carried_ranges_against_brute_force(spark, monkeypatch, ranges):
+    monkeypatch.setattr(metrics, "RANGES", ranges)
+    rng = np.random.default_rng(ranges)
+    scored = [(float(x) / 8, bool(y)) for x, y in zip(rng.integers(-40, 40, 200), rng.integers(0, 2, 200))] + [(None, True), (1e300, True), (-math.inf, False)]
+    held = [x for x in scored if x[0] is not None]
+    up, down = [s for s, y in held if y], [s for s, y in held if not y]
+    auc = sum((a > b) + (a == b) / 2 for a in up for b in down) / len(up) / len(down)
+    best = max({s for s, _ in held}, key=lambda t: (round((sum(s >= t for s in up) / len(up) + sum(s < t for s in down) / len(down)) / 2, 10), -t))
+    got = metrics.auc_threshold(spark.createDataFrame(scored, "score double, positive boolean")).first()
+    assert got["auc"] == pytest.approx(auc, abs=1e-4) and got["threshold"] == best
+    points = [(i, int(rng.integers(0, 30)), float(rng.integers(0, 50))) for i in range(150)]
+    front = [p[0] for p in points if not any(q[1] >= p[1] and q[2] <= p[2] and (q[1] > p[1] or q[2] < p[2]) for q in points)]
+    table = spark.createDataFrame(points, "k long, q int, c double")
+    assert [r[0] for r in rows(metrics.pareto_front(table, "k", "q", "c"), "k")] == front
+    assert metrics.pareto_front(table.limit(0), "k", "q", "c").count() == 0
