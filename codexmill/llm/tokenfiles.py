@@ -20,6 +20,8 @@ ROUNDS = 4
 SHARD_ROWS = 8_192
 #: Consecutive shards that one task writes at most, and tasks wanted for each core before shards share one.
 TASK_SHARDS, CORE_TASKS = 16, 4
+#: Rounds in which shards are written. Each reads the stored sequences again; only its own shuffle is on disk meanwhile.
+ROUNDS_OF_SHARDS = 2
 #: A record is the sequence as little-endian 16-bit ids, then one line feed: the stride of every shard.
 STRIDE = 2 * SEQUENCE + 1
 
@@ -140,7 +142,8 @@ def write_training_order(docs: DataFrame, path: str, folder: str | None = None,
 
     Every sequence gets one of the slots 0..n-1 by a keyed permutation of a dense index. Slots s with s div shard_rows = k
     form shard k, in slot order, at offset (s mod shard_rows) * stride of its one file: a reader at any slot seeks there
-    and reads on. A task writes some consecutive shards. Files go through Spark's own writer and commit, so a lost
+    and reads on. A task writes some consecutive shards; they are written in rounds, so that a part of the records is
+    shuffled at a time, and the last round leaves _SUCCESS. Files go through Spark's own writer and commit, so a lost
     executor's tasks are run again. manifest: slot, shard, offset, n_tokens, doc_ids, pieces, sha256 of the record's ids.
     The unpermuted sequences are deleted once shards and manifest stand.
 
@@ -151,14 +154,20 @@ def write_training_order(docs: DataFrame, path: str, folder: str | None = None,
     folder = folder or f"{shared_dir(spark)}/token-shards-{uuid.uuid4().hex}"
     shards = -(-n // shard_rows)
     placed = permuted(numbered, "index", max(n, 1), key).withColumn("shard", F.floor(F.col("slot") / shard_rows).cast("long"))
-    if n:
-        tasks = max(-(-shards // TASK_SHARDS), min(shards, CORE_TASKS * spark.sparkContext.defaultParallelism))
-        each = -(-shards // tasks)
+    share = -(-shards // ROUNDS_OF_SHARDS)
+    for first in range(0, shards, max(share, 1)):
+        count = min(share, shards - first)
+        tasks = max(-(-count // TASK_SHARDS), min(count, CORE_TASKS * spark.sparkContext.defaultParallelism))
+        each = -(-count // tasks)
         # slots are dense, so equal ranges of slots need no sampling: range k goes to partition k
-        ranged = placed.repartitionById(-(-shards // each), F.floor(F.col("shard") / each).cast("int")).sortWithinPartitions("shard", "slot")
+        # a filter would be pushed below the projections and work out each slot several times; an explode is not
+        own = F.when((F.col("shard") >= first) & (F.col("shard") < first + count), F.array("slot"))
+        chosen = placed.select("shard", "tokens", F.explode(own).alias("slot"))
+        ranged = chosen.repartitionById(-(-count // each), F.floor((F.col("shard") - first) / each).cast("int")).sortWithinPartitions("shard", "slot")
         records = ranged.select("shard", F.col("tokens").cast("string").alias("value"))
-        with cleaned_shuffles(spark):
-            records.write.partitionBy("shard").option("lineSep", "\n").text(folder)
+        writer = records.write.mode("append" if first else "errorifexists").partitionBy("shard").option("lineSep", "\n")
+        with cleaned_shuffles(spark):  # only the last round marks the folder as whole
+            writer.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", str(first + count == shards).lower()).text(folder)
     manifest = materialize(
         placed.select("slot", "shard", ((F.col("slot") % shard_rows) * (2 * length + 1)).alias("offset"), "n_tokens", F.col("pieces.doc_id").alias("doc_ids"), "pieces", F.sha2("tokens", 256).alias("sha256")),
         "token-manifest",

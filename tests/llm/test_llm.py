@@ -4,6 +4,8 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from codexmill.llm import bpe, decontam, fm, html, licenses, rules, simhash, substrings, tokenfiles, toxicity
@@ -191,6 +193,29 @@ def test_token_files_round_trip(spark, awkward, nothing, tmp_path):
     assert tokenfiles.write_training_order(nothing, vocabulary(), str(tmp_path / "e"))[0].count() == 0
 
 
+def test_shards_are_written_in_rounds(spark, tmp_path, monkeypatch):
+    """No round shuffles much more than its share of the records, and the folder counts as whole after the last only."""
+    written, folder, text = [], str(tmp_path / "t"), DataFrameWriter.text
+
+    def spy(self, path):
+        rows = self._df.groupBy("shard").count().collect()
+        text(self, path)
+        written.append(({r.shard for r in rows}, sum(r["count"] for r in rows), (tmp_path / "t/_SUCCESS").exists()))
+
+    monkeypatch.setattr(DataFrameWriter, "text", spy)
+    long = docs(spark, [f"{i} " + "some words " * 150 for i in range(20)])
+    manifest, _ = tokenfiles.write_training_order(long, vocabulary(), folder, length=16, shard_rows=50)
+    rows = sorted(manifest.collect(), key=lambda r: r.slot)
+    shards, rounds = -(-len(rows) // 50), tokenfiles.ROUNDS_OF_SHARDS
+    assert len(written) == rounds > 1 and [whole for *_, whole in written] == [False] * (rounds - 1) + [True]
+    assert max(n for _, n, _ in written) <= 50 * -(-shards // rounds) and sum(n for _, n, _ in written) == len(rows)
+    assert sorted(s for some, *_ in written for s in some) == list(range(shards))
+    back = tokenfiles.read_slots(spark, folder, 0, len(rows), 16, 50)
+    assert [hashlib.sha256(ids.tobytes()).hexdigest() for ids in back] == [r.sha256 for r in rows]
+    with pytest.raises(AnalysisException):  # a folder that is there is not added to
+        tokenfiles.write_training_order(long, vocabulary(), folder, length=16, shard_rows=50)
+
+
 def test_html_layout():
     page = "<p>a<p>b <b>c</b>\n d<ul><li>x<li>y</ul><table><tr><th>Name<th>N<tr><td>long name<td>1<tr><td>s<td>22</table>t<div hidden>no</div><span style='display: none'>no</span><script>var t='</p>'</script>&amp;<pre>  q\n   r</pre>"
     assert html.extract(page) == "a\n\nb c d\n\n- x\n- y\n\nName       N\nlong name  1\ns          22\n\nt&\n\n  q\n   r"
