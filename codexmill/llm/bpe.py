@@ -39,8 +39,7 @@ class _Memo(dict):
     def __missing__(self, piece: str) -> bytes:
         got = self.older.get(piece)
         if got is None:
-            whole = self.before + piece
-            got = self.encode(whole) if whole else b""
+            got = self.encode(self.before, piece) if self.before or piece else b""
         if len(piece) <= 64:
             if len(self) > MEMO_ROWS:
                 self.older = dict(self)
@@ -71,37 +70,49 @@ class ByteBpe:
             ranks.setdefault(to_bytes(a + b), len(ranks))
         engine = tiktoken.Encoding("fragments", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
         self.merge_ranks = engine._core_bpe.encode_single_piece
-        self.id_of_rank = [ids_of[t] for t in sorted(ranks, key=ranks.get)]
+        self.code = "H" if max(self.bytes_of) < 1 << 16 else "I"
+        #: Packed id of each rank, and of each fragment that is a token by itself: the engine gives it its own rank.
+        self.packed = [self._pack([ids_of[t]]) for t in sorted(ranks, key=ranks.get)]
+        self.packed_of = {t: self.packed[r] for t, r in ranks.items()}
         inside = {pair for t in map(to_bytes, ids) for pair in zip(t, t[1:])}
         #: Where these two bytes meet, no merge can ever span them.
         self.cut_pairs = frozenset((a, b) for a in range(256) for b in range(256)) - inside
         self.split = regex.compile(PATTERN).findall
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
-        self.code = "H" if max(self.bytes_of) < 1 << 16 else "I"
         self.bare, self.spaced, self.broken = (_Memo(self._piece, before) for before in ("", " ", "\n"))
 
     def _encode_pretoken(self, raw: bytes) -> bytes:
         """Cuts at the forced boundaries, merges each fragment alone, lowest rank first, concatenates."""
-        cut, ids = self.cut_pairs, self.id_of_rank
+        cut, packed = self.cut_pairs, self.packed
         if cut.isdisjoint(zip(raw, raw[1:])):
-            return self._pack([ids[r] for r in self.merge_ranks(raw)])
-        at = [i for i, pair in enumerate(zip(raw, raw[1:]), 1) if pair in cut]
-        return self._pack([ids[r] for a, b in zip([0, *at], [*at, len(raw)]) for r in self.merge_ranks(raw[a:b])])
-
-    def _piece(self, piece: str) -> bytes:
-        """Packed ids of a piece. What the pattern splits it into goes by the memos too: a word with a comma finds the word."""
-        if not (piece[0] == " " and piece[1:].isalpha()):
-            parts = self.split(piece)
-            if len(parts) > 1:
-                return b"".join([self.spaced[p[1:]] if p[0] == " " else self.bare[p] for p in parts])
-        return self._encode_pretoken(piece.encode())
+            return b"".join([packed[r] for r in self.merge_ranks(raw)])
+        out, whole, begin = [], self.packed_of, 0
+        for at, pair in enumerate(zip(raw, raw[1:]), 1):
+            if pair in cut:
+                out.append(raw[begin:at])
+                begin = at
+        out.append(raw[begin:])
+        return b"".join([whole[f] if f in whole else b"".join([packed[r] for r in self.merge_ranks(f)]) for f in out])
+
+    def _piece(self, before: str, piece: str) -> bytes:
+        """Packed ids of a piece after a fixed character. What the pattern splits it into goes by the memos too: a word with a comma finds the word."""
+        if before != "\n":
+            if piece.isalpha():
+                return self._encode_pretoken((before + piece).encode())
+            if piece[-1:] in _STOPS and piece[:-1].isalpha():  # the pattern cuts nowhere but before the stop
+                return (self.spaced if before else self.bare)[piece[:-1]] + self.bare[piece[-1]]
+        whole = before + piece
+        parts = self.split(whole)
+        if len(parts) > 1:
+            return b"".join([self.spaced[p[1:]] if p[0] == " " else self.bare[p] for p in parts])
+        return self._encode_pretoken(whole.encode())
 
     def _pack(self, ids) -> bytes:
         return array(self.code, ids).tobytes()
 
     def _encode_plain(self, text: str) -> bytes:
         """Where no white space meets white space, the pattern never looks past the place before a white-space character, so the text falls into pieces there."""
-        if _DOUBLE(text):
+        if _doubled(text):
             return b"".join(map(self.bare.__getitem__, self.split(text)))
         out: list[bytes] = []
         first, spaced = self.bare, self.spaced.__getitem__
@@ -128,8 +139,27 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", errors="replace")
 
 
+#: Marks that may end a word: the pattern takes one after letters by itself.
+_STOPS = frozenset(".,;:!?")
 #: Two white-space characters in a row, or one of those that readers of \s disagree on.
-_DOUBLE = re.compile(r"\s\s|[\x1c-\x1f\x85᠎​﻿]").search
+_PAIR = re.compile(r"\s\s|[\x1c-\x1f\x85\u180e\u200b\ufeff]").search
+#: White space other than the space and the line feed, and those characters: in ASCII, and beyond.
+_RARE_ASCII = "\t\v\f\r\x1c\x1d\x1e\x1f"
+_RARE = [c for c in map(chr, range(128, 0x10000)) if c.isspace() or c in "\u180e\u200b\ufeff"]
+
+
+def _doubled(text: str) -> bool:
+    """Whether _PAIR finds something. Most texts have only spaces and line feeds, and finding a fixed string is quicker."""
+    for c in _RARE_ASCII:
+        if c in text:
+            return _PAIR(text) is not None
+    if not text.isascii():
+        for c in _RARE:
+            if c in text:
+                return _PAIR(text) is not None
+    return "  " in text or "\n\n" in text or " \n" in text or "\n " in text
+
+
 _loaded: dict[str, ByteBpe] = {}
 
 

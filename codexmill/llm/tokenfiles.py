@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import uuid
 
@@ -72,12 +73,12 @@ _PIECES = [("doc_id", pa.int64()), ("doc_offset", pa.int64()), ("first", pa.int3
 
 
 def sequences(docs: DataFrame, path: str, length: int = SEQUENCE) -> DataFrame:
-    """(n_tokens, pieces, tokens binary): the token stream of each partition of docs, cut into `length` ids.
+    """(n_tokens, pieces, tokens binary, digest binary): the token stream of each partition of docs, cut into `length` ids.
 
     Every text gives its ids and one end id; a text goes on in the next sequence, and the next text follows it at once.
-    Only the last sequence of a partition is filled up with end ids; n_tokens counts those before. pieces, in stream order,
-    are struct<doc_id, doc_offset, first, n>: n ids of a document from its id number doc_offset on stand from place first
-    on. Null and empty texts have their end id only; rows with a null doc_id keep their null."""
+    Only the last sequence of a partition is filled up with end ids; n_tokens counts those before. digest is the SHA-256 of
+    tokens. pieces, in stream order, are struct<doc_id, doc_offset, first, n>: n ids of a document from its id number
+    doc_offset on stand from place first on. Null and empty texts have their end id only; rows with a null doc_id keep their null."""
 
     def run(batches):
         tokenizer = bpe.load(path)
@@ -97,7 +98,9 @@ def sequences(docs: DataFrame, path: str, length: int = SEQUENCE) -> DataFrame:
         def made() -> pa.RecordBatch:
             inner = pa.StructArray.from_arrays([pa.array(v, k) for v, (_, k) in zip(pieces, _PIECES)], [f for f, _ in _PIECES])
             raw = records if sys.byteorder == "little" else [np.frombuffer(r, "u2").astype("<u2").tobytes() for r in records]
-            return pa.RecordBatch.from_arrays([pa.array(counts, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner), pa.array(raw, pa.binary())], ["n_tokens", "pieces", "tokens"])
+            digests = [hashlib.sha256(r).digest() for r in raw]
+            columns = [pa.array(counts, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner), pa.array(raw, pa.binary()), pa.array(digests, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["n_tokens", "pieces", "tokens", "digest"])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), values(batch.column(1))):
@@ -122,7 +125,7 @@ def sequences(docs: DataFrame, path: str, length: int = SEQUENCE) -> DataFrame:
             yield made()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(released(run), "n_tokens int, pieces array<struct<doc_id:long,doc_offset:long,first:int,n:int>>, tokens binary")
+    return texts.mapInArrow(released(run), "n_tokens int, pieces array<struct<doc_id:long,doc_offset:long,first:int,n:int>>, tokens binary, digest binary")
 
 
 def _numbered(stored: DataFrame) -> tuple[DataFrame, int]:
@@ -169,7 +172,7 @@ def write_training_order(docs: DataFrame, path: str, folder: str | None = None,
         with cleaned_shuffles(spark):  # only the last round marks the folder as whole
             writer.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", str(first + count == shards).lower()).text(folder)
     manifest = materialize(
-        placed.select("slot", "shard", ((F.col("slot") % shard_rows) * (2 * length + 1)).alias("offset"), "n_tokens", F.col("pieces.doc_id").alias("doc_ids"), "pieces", F.sha2("tokens", 256).alias("sha256")),
+        placed.select("slot", "shard", ((F.col("slot") % shard_rows) * (2 * length + 1)).alias("offset"), "n_tokens", F.col("pieces.doc_id").alias("doc_ids"), "pieces", F.lower(F.hex("digest")).alias("sha256")),
         "token-manifest",
         "zstd",
     )

@@ -265,6 +265,27 @@ def test_bpe_equals_the_library(spark, awkward):
         assert r.ids == theirs.encode(AWKWARD[r.doc_id] or "", add_special_tokens=False).ids and r.decoded == (AWKWARD[r.doc_id] or "")
 
 
+def test_bpe_of_words_with_stops_and_cuts_equals_the_library(monkeypatch):
+    """Words, words before a stop and cut fragments have short ways of their own, with memos that overflow as well."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "MEMO_ROWS", 50)
+    mine, theirs, rng = bpe.ByteBpe(vocabulary()), Tokenizer.from_file(vocabulary()), random.Random(8)
+    for _ in range(2000):
+        words = ("".join(rng.choices(["é", "ŉ", "ªb", "qx", "the", "s", "日", "zj", "ing", "'", "7", "\u0301"], k=rng.randrange(4))) + rng.choice(["", *".,;:!?", "..", "'", ".5", "é,"]) for _ in range(8))
+        text = "".join(w + rng.choice(" \n") for w in words).strip()
+        assert mine.encode(text) == theirs.encode(text, add_special_tokens=False).ids, text
+
+
+def test_doubled_white_space_is_that_of_the_pattern():
+    marks = [c for c in map(chr, range(0x110000)) if c.isspace() or re.match(r"\s", c) or c in "\u180e\u200b\ufeff"]
+    for c in marks:
+        for text in (c, f"a{c}b", f"é{c} b", f"日 {c}", f"a\n{c}", f"{c}{c}", f"a b\n{c}c"):
+            assert bpe._doubled(text) == (bpe._PAIR(text) is not None), repr(text)
+
+
 def test_compact_windows_cover_each_run_once():
     rng = np.random.default_rng(1)
     for n, top in ((46, 5), (120, 5), (400, 10**6)):
