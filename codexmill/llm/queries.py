@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexmill.llm import bpe, decontam, fm, html, licenses, rules, simhash, sql, substrings, tokenfiles, toxicity
+from codexmill.llm import bpe, decontam, exactdups, fm, html, licenses, resampling, rules, simhash, sql, substrings, tokenfiles, toxicity, whitening
 from codexmill.llm.common import table
 
 
@@ -64,10 +64,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdups.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_quality_rules, op2_license_scan, op3_quality_classifier, op4_token_files, op5_html_text, op6_decontamination, op7_bpe, op8_substring_dedup, op9_simhash, op10_toxicity)
+    ops = (op1_quality_rules, op2_license_scan, op3_quality_classifier, op4_token_files, op5_html_text, op6_decontamination, op7_bpe, op8_substring_dedup, op9_simhash, op10_toxicity, op11_exact_dedup, op12_whitening, op13_resampling)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": sql.OP6, "op2_license_scan": sql.OP2}
+    return {"op6_decontamination": sql.OP6, "op2_license_scan": sql.OP2, "op11_exact_dedup": sql.OP11, "op13_resampling": sql.OP13}
