@@ -70,6 +70,39 @@ def discard(*tables: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def reading(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """df with the stored tables that it still reads named in `df.reads`: a caller who is done with df may discard them."""
+    df.reads = tables
+    return df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores behind as keep it from the columns of df (compared as Spark does, without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str | None]:
+    """(docs whose doc_id tells rows apart, the column that holds the ids given).
+
+    Where ids are unique and none is null, docs are that already and come back as they are, with no such column. Else rows are
+    stored with a row number for their id, in the order of doc_id, nulls last, then of a hash of the text, then of the row;
+    texts are no sort keys, so none is sampled to the driver. Equal rows get numbers of their own."""
+    ids = docs.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")).first()
+    if ids["n"] == ids["ids"]:
+        return docs, None
+    given = free_name(docs, "given_id")
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.xxhash64(*docs.columns))
+    return materialize(ordered.withColumn(given, F.col("doc_id")).withColumn("doc_id", F.monotonically_increasing_id()), "numbered-rows"), given
+
+
+def with_given_ids(rows: DataFrame, given: str | None, columns: list[str]) -> DataFrame:
+    """`columns` of numbered rows, doc_id being the id that was given."""
+    return (rows if given is None else rows.withColumn("doc_id", F.col(given))).select(columns)
+
+
 def values(column: pa.Array, rows: int = 256) -> Iterator:
     """The Python values of an Arrow column, a few at a time: a batch of long texts is never held twice."""
     for at in range(0, len(column), rows):

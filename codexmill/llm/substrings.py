@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codexmill.llm.common import discard, materialize, mix, mix_into, released, values
+from codexmill.llm.common import discard, free_name, materialize, mix, mix_into, numbered, reading, released, values, with_given_ids
 
 SHINGLE = 5
 MIN_WORDS = 50
@@ -611,7 +611,7 @@ def _blocks(texts: DataFrame, opened: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
     """(doc_id, spans array<struct<first, last>>, sources), stored, of the documents that repeat a passage of an earlier
-    place; ends included, merged, in words of the whole text.
+    place; ends included, merged, in words of the whole text. doc_id must tell rows apart; rows without one are not searched.
 
     The first place is the one of the smallest doc_id (then the first in the text); it is never in a span for that passage.
     A window is held against the first of its signature. Where a window fails, all windows of its signature go on to
@@ -620,7 +620,7 @@ def repeated_spans(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
     places, rounds = _Places(docs), []
     texts = _texts(docs).where(F.col("doc_id").isNotNull())
     if places.repeated:
-        texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
+        raise ValueError("doc_id must tell rows apart")
     windows, opened = _windows(texts, hashes), None
     for turn in range(2):
         links = _links(places.of(windows), F.col("open") if turn else None)
@@ -658,36 +658,50 @@ def substring_duplicates(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
     """(doc_id, n_words, n_repeated, spans, sources) for every row of docs.
 
     n_repeated words lie in passages of MIN_WORDS or more that an earlier place of the corpus has too, with a Jaccard
-    similarity of 5-word shingles of SIMILARITY or more; sources are the documents that have the first place of one.
-    Null and empty texts and texts under MIN_WORDS repeat nothing. doc_id names a document: rows that repeat an id repeat
-    its text and get its result each; rows with a null id are not searched. Extra columns are ignored; an empty table
-    gives an empty result."""
-    spans = repeated_spans(docs, hashes)
+    similarity of 5-word shingles of SIMILARITY or more; sources are the doc_ids of rows that have the first place of one.
+    Null and empty texts and texts under MIN_WORDS repeat nothing. Rows are searched each: one that shares its id with
+    others has the spans of its own text, and earlier means by doc_id, then by a hash of the text; rows with a null id come
+    last, and are not named as sources. Extra columns are ignored; an empty table gives an empty result."""
+    rows, given = numbered(docs.select("doc_id", "text"))
+    spans = repeated_spans(rows, hashes)
     count = F.aggregate("spans", F.lit(0).cast("long"), lambda n, h: n + h["last"] - h["first"] + 1)
-    return _counted(docs).join(spans, "doc_id", "left").select("doc_id", "n_words", F.coalesce(count, F.lit(0).cast("long")).alias("n_repeated"), "spans", "sources")
+    found, sources, row_id = _counted(rows), spans.select("doc_id", "sources"), F.col("doc_id")
+    if given is not None:
+        ids = rows.select("doc_id", F.col(given).cast("long").alias("id"))
+        named = sources.select(F.col("doc_id").alias("row"), F.explode("sources").alias("doc_id")).join(ids, "doc_id")
+        sources = named.groupBy(F.col("row").alias("doc_id")).agg(F.array_sort(F.collect_set("id")).alias("sources"))
+        found, row_id = found.join(ids, "doc_id"), F.col("id").alias("doc_id")
+    found = found.join(spans.drop("sources").join(sources, "doc_id") if given is not None else spans, "doc_id", "left")
+    return found.select(row_id, "n_words", F.coalesce(count, F.lit(0).cast("long")).alias("n_repeated"), "spans", "sources")
 
 
 def remove_repeats(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
     """docs without its repeated passages: each goes from all texts but the first that has it. Words outside spans, and the
-    white space between them, stay as they are; a text left without words is dropped; n_chars, if there, is counted anew."""
-    spans = repeated_spans(docs, hashes)
-    cut = docs.join(spans.select("doc_id", F.col("spans").alias("__spans")), "doc_id", "left")
-    others = docs.columns
-    schema = docs.schema
+    white space between them, stay as they are; n_chars, if there, is counted anew.
+
+    The first text is that of the least doc_id, then of the least hash of the text; rows with a null id come last. Rows are
+    cut each by their own text, also where they share an id; of equal rows the first stays whole. A row that is left without
+    words goes; rows that had none before stay, null texts too, as do rows under MIN_WORDS words. Other columns are kept,
+    whatever their names; an empty table stays empty; a text may be as long as a row may."""
+    rows, given = numbered(docs)
+    held = free_name(rows, "spans")
+    spans = repeated_spans(rows.select("doc_id", "text"), hashes)
+    cut = rows.join(spans.select("doc_id", F.col("spans").alias(held)), "doc_id", "left")
+    others = rows.columns
 
     def run(batches):
         for batch in batches:
             texts = []
-            for text, held in zip(values(batch.column("text")), values(batch.column("__spans"))):
-                texts.append(without_spans(text, held) if held else text)
+            for text, spans in zip(values(batch.column("text")), values(batch.column(held))):
+                texts.append(without_spans(text, spans) if spans else text)
             columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in others]
             made = pa.RecordBatch.from_arrays(columns, others)
-            yield made.filter(pa.array([not h or bool(t.split()) for t, h in zip(texts, batch.column("__spans").to_pylist())]))
+            yield made.filter(pa.array([not h or bool(t.split()) for t, h in zip(texts, batch.column(held).to_pylist())], pa.bool_()))
 
-    out = cut.mapInArrow(released(run), schema)
-    if "n_chars" in others:
-        out = out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)).select(others)
-    return out
+    out = with_given_ids(cut.mapInArrow(released(run), rows.schema), given, docs.columns)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    return reading(out, spans, *[rows] * (given is not None))
 
 
 def without_spans(text: str, spans: list[dict]) -> str:
