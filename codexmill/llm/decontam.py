@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexmill.llm.common import alnum_words, materialize, released, values
+from codexmill.llm.common import alnum_words, materialize, reading, released, values
 
 WINDOW = 8
 #: Words that one index segment gathers (a longer document has a segment of its own).
@@ -200,7 +200,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
     Null and empty texts have no words and no hits; items without words or with a null id never match; items that
     share an id count once; repeated documents are judged each; a document with occurrences of two or more items is
     contaminated; extra columns are ignored; empty tables give an empty result or no hits."""
-    found = matches(build_index(docs), items, window, block_bytes=block_bytes)
+    index = build_index(docs)
+    found = matches(index, items, window, block_bytes=block_bytes)
     # hits of one block are merged already; several blocks' spans are merged by their covered positions
     covered = F.aggregate(
         F.array_sort("hits"), F.struct(F.lit(-1).cast("long").alias("last"), F.lit(0).cast("long").alias("n")),
@@ -208,6 +209,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
         lambda acc: acc["n"],
     )
     names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
-    return found.select(
+    judged = found.select(
         "doc_id", "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.size("items") >= 2).alias("contaminated")
     )
+    return reading(judged, index)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexmill.llm.common import materialize, released, values
+from codexmill.llm.common import materialize, reading, released, values
 
 #: Bits of a key; a bucket holds the keys that share its leading bits.
 KEY_BITS = 63
@@ -242,4 +242,4 @@ def exact_duplicates(docs: DataFrame, bits: int = KEY_BITS, capacity: int | None
     records = index.where("record is not null").select("key", "chain", F.floor(F.col("record") / RECORDS_PER_COPY).cast("long").alias("copy"), "record", "ids")
     rows = records.join(entries, ["key", "chain", "copy"]).select("*", F.posexplode("ids").alias("at", "doc_id"))
     kept = (F.col("record") == F.col("keep_record")) & (F.col("at") == F.col("keep_at"))
-    return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("sha256").alias("text_sha256"))
+    return reading(rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("sha256").alias("text_sha256")), index)

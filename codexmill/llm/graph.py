@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexmill.llm.common import materialize
+from codexmill.llm.common import discard, materialize, reading
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
@@ -32,15 +32,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges (u, v), longs; component is the least node reachable.
 
     Self-links and repeated links are harmless, rows with a null end are ignored, an empty input gives an empty
-    result. Each round is written to shared storage, so lineage stays short. Raises if max_rounds did not suffice."""
+    result. Each round is written to shared storage, so lineage stays short, and the round before is deleted; the result
+    reads the last one. Raises if max_rounds did not suffice."""
     now = materialize(edges.where("u <> v").select("u", "v").distinct(), "links")
     mark = None
     for _ in range(max_rounds):
         row = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (row["n"], row["h"]) == mark or not row["n"]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
-                now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
+            heads = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            return reading(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(heads), now)
         mark = (row["n"], row["h"])
-        now = materialize(_small_star(_large_star(now)), "links")
+        before, now = now, materialize(_small_star(_large_star(now)), "links")
+        discard(before)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codexmill.llm.common import discard, materialize
+from codexmill.llm.common import discard, materialize, reading
 
 BUCKETS = 10_000
 #: Longest run of words that is a feature; documents under MIN_WORDS words are never drawn; PERCENT of the others are.
@@ -101,4 +101,4 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, min_wor
     drawn = (sizes.agg(F.sum("able_rows")).first()[0] or 0) * percent // 100
     numbered = ordered.withColumn("part", part).join(starts, "part")
     rank = F.col("start") + F.col("at").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)) + 1
-    return numbered.select("doc_id", "n_features", "weight", "score", F.when(F.col("able") & (rank <= drawn), rank).alias("rank"))
+    return reading(numbered.select("doc_id", "n_features", "weight", "score", F.when(F.col("able") & (rank <= drawn), rank).alias("rank")), ordered)

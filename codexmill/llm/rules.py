@@ -9,7 +9,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codexmill.llm.common import materialize, sample_labels
+from codexmill.llm.common import discard, materialize, sample_labels
 
 #: Labelled rows whose statistics the driver learns from, a few numbers each.
 TRAIN_ROWS = 4_000
@@ -193,6 +193,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     known = materialize(known.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")), "rule-texts")
     measured = statistics(known, "label").select("doc_id", "label", "base_failed", *FEATURES)
     found = sorted((r.asDict() for r in measured.collect() if not r["base_failed"]), key=lambda r: (r["doc_id"], r["mean_word"]))
+    discard(known)
     rules = learn_rules(found)
     judged = statistics(docs).withColumn("rule", F.when(F.col("base_failed"), F.lit(None)).otherwise(verdict(rules)))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", F.coalesce(F.col("rule") == 0, F.lit(False)).alias("kept"))

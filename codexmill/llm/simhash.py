@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexmill.llm.common import materialize, released, values
+from codexmill.llm.common import discard, materialize, reading, released, values
 from codexmill.llm.graph import connected_components
 
 SEED = 42
@@ -246,6 +246,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket_rows: int = BU
     groups = connected_components(links(nodes.select("fp"), radius, bucket_rows))
     tagged = nodes.join(groups, nodes.fp == groups.node, "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
     tagged = materialize(tagged, "fingerprint-groups")
+    discard(nodes, *groups.reads)
     heads = tagged.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = tagged.join(heads, "component").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return reading(fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"), fps, tagged)

@@ -128,16 +128,18 @@ def sequences(docs: DataFrame, path: str, length: int = SEQUENCE) -> DataFrame:
     return texts.mapInArrow(released(run), "n_tokens int, pieces array<struct<doc_id:long,doc_offset:long,first:int,n:int>>, tokens binary, digest binary")
 
 
-def _numbered(stored: DataFrame) -> tuple[DataFrame, int]:
-    """(rows of a stored Parquet table plus a dense index 0..n-1, n): the rows of the files before, and the row's place in its file.
+def _numbered(stored: DataFrame) -> tuple[DataFrame, int, DataFrame]:
+    """(rows of a stored Parquet table plus a dense index 0..n-1, n, a stored table that the rows read): the rows of the files
+    before, and the row's place in its file.
 
     Both are properties of the files, so a task that runs again, or another job, gives the same index. What is joined has a
-    row for each file; it is broadcast only if Spark finds it small."""
+    row for each file, and so has the one window without a partition; it is broadcast only if Spark finds it small."""
     marked = stored.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
     sizes = materialize(marked.groupBy("__file").agg(F.count("*").alias("n")), "sequence-files")
     before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("__file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    return marked.join(starts, "__file").withColumn("index", F.col("start") + F.col("__row")).drop("__file", "__row", "start"), sizes.agg(F.sum("n")).first()[0] or 0
+    rows = marked.join(starts, "__file").withColumn("index", F.col("start") + F.col("__row")).drop("__file", "__row", "start")
+    return rows, sizes.agg(F.sum("n")).first()[0] or 0, sizes
 
 
 def write_training_order(docs: DataFrame, path: str, folder: str | None = None, length: int = SEQUENCE, shard_rows: int = SHARD_ROWS, key: int = KEY) -> tuple[DataFrame, str]:
@@ -153,7 +155,7 @@ def write_training_order(docs: DataFrame, path: str, folder: str | None = None,
     Repeated rows are written each; an empty table gives an empty manifest and no shards."""
     spark = docs.sparkSession
     stored = materialize(sequences(docs, path, length), "token-sequences", "zstd")
-    numbered, n = _numbered(stored)
+    numbered, n, sizes = _numbered(stored)
     folder = folder or f"{shared_dir(spark)}/token-shards-{uuid.uuid4().hex}"
     shards = -(-n // shard_rows)
     placed = permuted(numbered, "index", max(n, 1), key).withColumn("shard", F.floor(F.col("slot") / shard_rows).cast("long"))
@@ -176,7 +178,7 @@ def write_training_order(docs: DataFrame, path: str, folder: str | None = None,
         "token-manifest",
         "zstd",
     )
-    discard(stored)
+    discard(stored, sizes)
     return manifest, folder
 
 
