@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codexmill.llm import bpe, decontam, simhash, substrings, toxicity
-from codexmill.llm.common import materialize, table
+from codexmill.llm.common import discard, materialize, numbered, reading, table, with_given_ids
 from codexmill.llm.queries import vocabulary
 
 #: Not expressible in SQL: the toxicity model is fitted and SimHash needs XXH64; tests hold SimHash links and planted near passages against brute force.
@@ -24,43 +24,32 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col(name) < toxicity.THRESHOLD).select(docs.columns)
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with doc_id a row number in the order of doc_id, null ids last, then of a hash of the text, then of the row; the
-    id itself is in __id. Texts are no sort keys, so none is sampled to the driver."""
-    if "__id" in docs.columns:
-        raise ValueError("docs have a column __id already")
-    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.xxhash64(*docs.columns))
-    return materialize(ordered.withColumn("__id", F.col("doc_id")).withColumn("doc_id", F.monotonically_increasing_id()), "numbered-rows")
-
-
-def _restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    return rows.withColumn("doc_id", F.col("__id")).select(docs.columns)
-
-
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first row of each group by doc_id, then a hash of the text; rows with a null id come last in their group and
     stay if it has no other. An id held by texts of different groups keeps a row in each; of equal rows one stays. Null,
-    empty and blank texts are one group. An empty table stays empty; other columns are kept whatever their names, but
-    for __id, which is an error."""
-    rows = _numbered(docs)
-    firsts = simhash.near_duplicates(rows).where("doc_id = component_id").select("doc_id")
-    return _restored(rows.join(firsts, "doc_id", "left_semi"), docs)
+    empty and blank texts are one group. An empty table stays empty; other columns are kept whatever their names."""
+    rows, given = numbered(docs)
+    near = simhash.near_duplicates(rows)
+    firsts = materialize(near.where("doc_id = component_id").select("doc_id"), "first-copies")
+    discard(*near.reads)
+    return reading(with_given_ids(rows.join(firsts, "doc_id", "left_semi"), given, docs.columns), firsts, *[rows] * (given is not None))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages of 50 words or more that an earlier row has, by doc_id (nulls last), then a hash of the text; a row left
     without words goes. Rows without words before stay, null texts too; of equal rows the first stays whole. n_chars, if
-    there, is counted anew. An empty table stays empty; __id is the one name that docs may not have."""
-    return _restored(substrings.remove_repeats(_numbered(docs)), docs)
+    there, is counted anew. An empty table stays empty; columns may have any name."""
+    return substrings.remove_repeats(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold windows of two or more benchmark items. Rows are judged by a 64-bit hash of id and text, so
-    rows with a null or repeated id do not share a verdict but with equal rows. Null and empty texts stay, as does an empty table."""
-    row = F.xxhash64("doc_id", "text")
-    judged = docs.select(row.alias("doc_id"), "text")
-    bad = decontam.decontaminate(judged, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("__row")).distinct()
-    return docs.join(bad, row == F.col("__row"), "left_anti").select(docs.columns)
+    """Drops documents that hold windows of two or more benchmark items. Rows are judged each, also where they share an id or
+    have none. Null and empty texts stay, as does an empty table; columns may have any name."""
+    rows, given = numbered(docs)
+    judged = decontam.decontaminate(rows, table(spark, sf_dir, "benchmark"))
+    bad = materialize(judged.where("contaminated").select("doc_id"), "contaminated-rows")
+    discard(*judged.reads)
+    return reading(with_given_ids(rows.join(bad, "doc_id", "left_anti"), given, docs.columns), bad, *[rows] * (given is not None))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,8 +67,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is written as Parquet and read again."""
+    """All stages over documents; each stage's result is written as Parquet and read again. What a stage read goes once its
+    result stands, and so do the tables it wrote for itself where it names them."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    for place, (name, stage) in enumerate(STAGES[:-1]):
+        before, made = docs, stage(spark, docs, sf_dir)
+        docs = materialize(made, f"stage-{name}")
+        discard(*getattr(made, "reads", ()), *[before] * (place > 0))
     return STAGES[-1][1](spark, docs, sf_dir)
