@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Okapi parameters (fixed values).
-K1, B, EPSILON = 1.5, 0.75, 0.25
+from codexmill.operators import postings
+from codexmill.operators.postings import K1, B
+
 RRF_K, ALPHA = 60, 0.7
 #: Hits of each run that a hybrid search fuses.
 CANDIDATES = 100
@@ -64,48 +65,37 @@ def dense_search(rows: DataFrame, queries: DataFrame, k: int = 10, digits: int =
     return rank_hits(found, k)
 
 
-def bm25_search(rows: DataFrame, queries: DataFrame, k: int = 10, digits: int = 6, k1: float = K1, b: float = B, boost: int = 0) -> DataFrame:
-    """Okapi BM25 of queries(query_id, tokens) against rows(unit_id, tokens[, heading]).
-
-    A row is eligible if it shares a token, whatever its score; a query's repeated tokens count each time; a term in over
-    half of the rows has a negative idf, replaced by EPSILON times the mean idf of all terms. heading tokens, repeated
-    boost times, count in frequencies, lengths and eligibility."""
-    return search_index(bm25_index(rows, boost), queries, k, digits, k1, b)
-
-
-def bm25_index(rows: DataFrame, boost: int = 0) -> DataFrame:
-    """(unit_id, tokens, dl) of rows(unit_id, tokens[, heading]): what a lexical index stores of each row, heading tokens put in
-    boost times. Written as a table it is an index that many searches share (`write_index`, `read_index`)."""
-    words = F.col("tokens")
-    if boost:
-        words = F.concat(words, F.flatten(F.array_repeat(F.coalesce("heading", F.array().cast("array<string>")), boost)))
-    return rows.select("unit_id", words.alias("tokens")).withColumn("dl", F.size("tokens"))
+def bm25_search(rows: DataFrame, queries: DataFrame, k: int = 10, digits: int = 6, k1: float = K1, b: float = B, boost: int = 0, tokens: Column | None = None) -> DataFrame:
+    """Okapi BM25 of queries(query_id, tokens) against rows(unit_id, tokens[, heading]), by an index made for this search.
 
+    tokens, an expression over rows, stands for the column of that name. heading tokens, repeated boost times, count in
+    frequencies, lengths and eligibility. See `postings.search` for what is found."""
+    index = postings.build_scratch(rows, tokens=tokens, heading=F.col("heading") if boost else None, k1=k1, b=b, boost=boost)
+    return postings.search(index, queries, k, digits)
 
-def write_index(index: DataFrame, path: str) -> None:
-    """Stores a lexical index; a path that exists is an error."""
-    index.write.mode("errorifexists").parquet(path)
 
+def one_factor(base: dict, changes: dict[str, list]) -> list[tuple[str, dict]]:
+    """(name, settings): base, then base with each single value of changes put in."""
+    return [("base", base), *((f"{key}_{value}".lower(), base | {key: value}) for key, values in changes.items() for value in values)]
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
 
+def lexical_ablation(rows: DataFrame, queries: DataFrame, settings: list[tuple[str, dict]], analyze: Callable[..., Column], k: int = 10) -> DataFrame:
+    """(setting, query_id, unit_id, score, rank) of queries(query_id, query) against rows(unit_id, text, heading) under each of settings.
 
-def search_index(index: DataFrame, queries: DataFrame, k: int = 10, digits: int = 6, k1: float = K1, b: float = B) -> DataFrame:
-    """bm25_search over a stored index. Document frequencies are counted from each row's distinct tokens, combined where they
-    are; frequencies in rows are counted for asked tokens only, so other postings are never shuffled."""
-    sizes = index.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = index.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(sizes))
-    idf = df.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    floor = idf.agg((EPSILON * F.avg("idf")).alias("floor"))
-    idf = idf.crossJoin(F.broadcast(floor)).withColumn("idf", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")))
-    asked = queries.select("query_id", F.explode("tokens").alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    tokens = asked.select("token").distinct()
-    tf = index.select("unit_id", "dl", F.explode("tokens").alias("token")).join(tokens, "token", "left_semi").groupBy("token", "unit_id", "dl").agg(F.count("*").alias("tf"))
-    asked = asked.join(idf, "token").select("query_id", "token", "times", "idf", "avgdl")
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = asked.join(tf, "token").groupBy("query_id", "unit_id").agg(F.round(F.sum(part), digits).alias("score"))
-    return rank_hits(scored, k)
+    k1, b and boost are settings of a search; all others go to analyze(text column, **others). Settings of one analysis share
+    one index, so texts are analysed and shuffled once for each analysis, not for each setting."""
+    indexes, found = {}, None
+    for name, setting in settings:
+        how = {key: v for key, v in setting.items() if key not in ("k1", "b", "boost")}
+        key = tuple(sorted(how.items()))
+        if key not in indexes:
+            index = postings.build_scratch(rows, tokens=analyze(F.col("text"), **how), heading=analyze(F.col("heading"), **how))
+            indexes[key] = index, queries.select("query_id", analyze(F.col("query"), **how).alias("tokens"))
+        index, asked = indexes[key]
+        run = postings.search(index, asked, k, k1=setting.get("k1"), b=setting.get("b"), boost=setting.get("boost"))
+        run = run.select(F.lit(name).alias("setting"), "*")
+        found = run if found is None else found.unionAll(run)
+    return found
 
 
 def fuse_rrf(runs: list[DataFrame], k: int = 10, rrf_k: int = RRF_K, digits: int = 6) -> DataFrame:
@@ -231,14 +221,14 @@ def dense_retrieve(rows: DataFrame, texts: DataFrame, queries: DataFrame, encode
     return resolved(dense_search(kept, encode(checked_queries(queries, k)), k), texts)
 
 
-def lexical_retrieve(index: DataFrame, texts: DataFrame, queries: DataFrame, analyze: Callable[[Column], Column], k: int = 10, filters: dict | None = None) -> DataFrame:
-    """Resolved BM25 hits. Statistics are those of the whole index; filters, attributes of index rows, narrow what is ranked."""
+def lexical_retrieve(index: postings.Index, texts: DataFrame, queries: DataFrame, analyze: Callable[[Column], Column], k: int = 10, filters: dict | None = None, attributes: DataFrame | None = None) -> DataFrame:
+    """Resolved BM25 hits of queries(query_id, query). Statistics are those of the whole index; filters, over
+    attributes(unit_id, ..), narrow what is ranked."""
     asked = checked_queries(queries, k).select("query_id", analyze(F.col("query")).alias("tokens"))
-    if not filters:
-        return resolved(search_index(index, asked, k), texts)
-    allowed = index.where(matches(filters)).select("unit_id")
-    every = search_index(index, asked, 2**31 - 1).join(allowed, "unit_id", "left_semi")
-    return resolved(rank_hits(every.drop("rank"), k), texts)
+    if filters and attributes is None:
+        raise ValueError("filters need the attributes of the index's rows")
+    allowed = attributes.where(matches(filters)) if filters else None
+    return resolved(postings.search(index, asked, k, allowed=allowed), texts)
 
 
 def representatives(fused: DataFrame, dense: DataFrame, lexical: DataFrame) -> DataFrame:

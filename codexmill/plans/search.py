@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codexmill.functions import text as T
-from codexmill.operators import retrieval
-from codexmill.plans.catalogue import _BM25, _DENSE, _dense, _t
+from codexmill.operators import postings, retrieval
+from codexmill.plans.catalogue import _BM25, _DENSE, _TOKENS, _dense, _t
 from codexmill.registry import query
 
 _ATTR = """attr AS (SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN NULL ELSE 'c' || vec_id END AS chunk_id, 'p' || vec_id % 30 AS parent_id,
@@ -78,10 +78,33 @@ def hybrid_weighted(spark, d):
 def bm25_filtered(spark, d):
     """BM25 with whole-corpus statistics over the rows that pass a filter."""
     docs = _t(spark, d, "documents")
-    index = retrieval.bm25_index(docs.select(F.col("doc_id").alias("unit_id"), T.tokens(F.col("text")).alias("tokens"))).withColumn("annex", F.col("unit_id") % 2 == 0)
+    rows = docs.select(F.col("doc_id").alias("unit_id"), "text", (F.col("doc_id") % 2 == 0).alias("annex"))
+    index = postings.build_scratch(rows, tokens=T.tokens(F.col("text")))
     asked = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     texts = docs.select(F.col("doc_id").alias("unit_id"), "source")
-    return retrieval.lexical_retrieve(index, texts, asked, T.tokens, filters={"annex": True}).select("query_id", "unit_id", "score", "rank")
+    return retrieval.lexical_retrieve(index, texts, asked, T.tokens, filters={"annex": True}, attributes=rows).select("query_id", "unit_id", "score", "rank")
+
+
+#: One-factor settings of the ablation (fixed values); the stemmer and the stop words are left to the tests.
+_ABLATION = retrieval.one_factor({"boost": 0, "k1": 1.5, "b": 0.75}, {"boost": [1, 2, 3], "k1": [0.9, 1.2, 2.0], "b": [0.3, 0.5, 0.9]})
+_SETTINGS = ", ".join(f"('{name}', {s['boost']}, {s['k1']}::DOUBLE, {s['b']}::DOUBLE)" for name, s in _ABLATION)
+
+
+@query(f"""WITH c(setting, boost, k1, b) AS (VALUES {_SETTINGS}),
+d AS (SELECT doc_id AS unit_id, {_TOKENS} AS w, {_TOKENS.replace("text", "source")} AS h FROM documents),
+x AS (SELECT boost, unit_id, len(w) + boost * len(h) AS dl, w, h FROM d, (SELECT DISTINCT boost FROM c)),
+tf AS (SELECT boost, token, unit_id, dl, sum(n) AS tf FROM (SELECT boost, unit_id, dl, unnest(w) AS token, 1 AS n FROM x UNION ALL SELECT boost, unit_id, dl, unnest(h), boost FROM x WHERE boost > 0) GROUP BY ALL),
+z AS (SELECT boost, count(*) AS n, avg(dl) AS avgdl FROM x GROUP BY boost),
+i0 AS (SELECT boost, token, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM (SELECT boost, token, count(*) AS df FROM tf GROUP BY ALL) JOIN z USING (boost)),
+i AS (SELECT boost, token, CASE WHEN idf < 0 THEN 0.25 * avg(idf) OVER (PARTITION BY boost) ELSE idf END AS idf FROM i0),
+q AS (SELECT query_id, token, count(*) AS times FROM (SELECT item_id AS query_id, unnest({_TOKENS}) AS token FROM benchmark) GROUP BY ALL),
+s AS (SELECT setting, query_id, unit_id, round(sum(times * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))), 6) AS score FROM q JOIN i USING (token) JOIN tf USING (boost, token) JOIN z USING (boost) JOIN c USING (boost) GROUP BY ALL)
+SELECT setting, query_id, unit_id, score, row_number() OVER (PARTITION BY setting, query_id ORDER BY score DESC, unit_id) AS rank FROM s QUALIFY rank <= 10""")
+def bm25_ablation(spark, d):
+    """Ten settings over one analysis and one index; sources stand for headings."""
+    rows = _t(spark, d, "documents").select(F.col("doc_id").alias("unit_id"), "text", F.col("source").alias("heading"))
+    asked = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return retrieval.lexical_ablation(rows, asked, _ABLATION, T.tokens)
 
 
 @query("""WITH s AS (SELECT doc_id AS unit_id, len(coalesce(text, '')) AS size, lang AS role, doc_id % 9 = 4 AS is_table FROM documents), o AS (SELECT *, row_number() OVER (ORDER BY size, unit_id) - 1 AS place, count(*) OVER () AS n FROM s),

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codexmill.functions import analysis, text
-from codexmill.operators import answering, artifacts, context, evaluation, generation, metrics, preparation, retrieval, stats
+from codexmill.operators import answering, artifacts, context, evaluation, generation, metrics, preparation, postings, retrieval, stats
 from codexmill.sources import norms, reports
 
 
@@ -227,9 +227,9 @@ def test_titles(spark):
 def test_stored_index_and_unknown_names(spark, tmp_path):
     rows = spark.createDataFrame([(1, ["a", "b"]), (2, ["a"])], "unit_id long, tokens array<string>")
     asked = spark.createDataFrame([(1, ["b"])], "query_id long, tokens array<string>")
-    retrieval.write_index(retrieval.bm25_index(rows), str(tmp_path / "i"))
-    stored = retrieval.search_index(retrieval.read_index(spark, str(tmp_path / "i")), asked)
-    assert stored.collect() == retrieval.bm25_search(rows, asked).collect()
+    index = postings.build(rows, str(tmp_path / "i"))
+    stored = postings.search(postings.read(spark, str(tmp_path / "i")), asked)
+    assert stored.collect() == postings.search(index, asked).collect() == retrieval.bm25_search(rows, asked).collect()
     with pytest.raises(ValueError):
         retrieval.active_filters(colour="red")
     with pytest.raises(ValueError):
