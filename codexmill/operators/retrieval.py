@@ -15,8 +15,12 @@ from codexmill.operators.postings import K1, B
 RRF_K, ALPHA = 60, 0.7
 #: Hits of each run that a hybrid search fuses.
 CANDIDATES = 100
-#: Query vectors, in bytes, that are sent to every task; more go in more blocks.
-QUERY_BYTES = 32 << 20
+#: Query vectors, in bytes, that are sent to every task, or make one side of a cell of the grid; row vectors of a cell.
+QUERY_BYTES, ROW_BYTES = 32 << 20, 128 << 20
+#: Values of a score that count when hits are ranked: what is left off is noise of the summation.
+EXACT = 12
+#: A product is made in tiles of so many queries and rows.
+TILE_QUERIES, TILE_ROWS = 256, 4096
 
 
 def rank_hits(scored: DataFrame, k: int) -> DataFrame:
@@ -27,42 +31,103 @@ def rank_hits(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "unit_id", "score", "rank")
 
 
-def dense_search(rows: DataFrame, queries: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
-    """Exact top-k dot products of queries(query_id, vector) against rows(unit_id, vector), in double precision.
-
-    Filters belong on rows, before the search. Each task multiplies its rows with all queries and keeps its own k best of
-    each, so k rows a query and task are shuffled. Vectors of another length than the queries' raise."""
-    spark, found = rows.sparkSession, None
-    size = queries.select(F.size("vector").alias("n"), F.lit(1).alias("one")).agg(F.max("n").alias("n"), F.count("one").alias("rows")).first()
-    dim, total = size["n"] or 0, size["rows"]
-    blocks = 1 + (8 * dim * total) // QUERY_BYTES
-    for block in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        got = part.select("query_id", "vector").collect()
-        shared = spark.sparkContext.broadcast(([r[0] for r in got], np.array([r[1] for r in got], np.float64).reshape(len(got), dim)))
-
-        def run(batches, shared=shared):
-            ids, q = shared.value
-            ids = np.array(ids)
-            best_s, best_u = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                column = batch.column(1)
-                flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                if len(flat) != batch.num_rows * dim:
-                    raise ValueError("vectors of unequal length")
-                s = np.round(q @ flat.reshape(-1, dim).T, digits)
-                u = np.broadcast_to(batch.column(0).to_numpy(), s.shape)
-                s, u = np.concatenate([best_s, s], axis=1), np.concatenate([best_u, u], axis=1)
-                order = np.lexsort((u, -s), axis=1)[:, :k]
-                best_s, best_u = np.take_along_axis(s, order, 1), np.take_along_axis(u, order, 1)
-            n = best_s.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n), pa.int64()), pa.array(best_u.ravel(), pa.int64()), pa.array(best_s.ravel(), pa.float64())], ["query_id", "unit_id", "score"])
-
-        scored = rows.select(F.col("unit_id").cast("long").alias("unit_id"), F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, "query_id long, unit_id long, score double")
-        found = scored if found is None else found.unionAll(scored)
-    return rank_hits(found, k)
+class _Best:
+    """The k best rows of each query so far, by score (noise of the summation rounded off), then by unit."""
+
+    def __init__(self, queries: np.ndarray, k: int) -> None:
+        self.queries, self.k = queries, k
+        self.scores, self.units = np.full((len(queries), 0), -np.inf), np.zeros((len(queries), 0), np.int64)
+
+    def add(self, units: np.ndarray, vectors: np.ndarray) -> None:
+        """Tiles of the product of all queries and these rows, none over TILE values."""
+        kept = []
+        for q in range(0, len(self.queries), TILE_QUERIES):
+            own = slice(q, q + TILE_QUERIES)
+            scores, found = self.scores[own], self.units[own]
+            for at in range(0, len(units), TILE_ROWS):
+                part = np.round(self.queries[own] @ vectors[at : at + TILE_ROWS].T, EXACT)
+                scores = np.concatenate([scores, part], axis=1)
+                found = np.concatenate([found, np.broadcast_to(units[at : at + TILE_ROWS], part.shape)], axis=1)
+                order = np.lexsort((found, -scores), axis=1)[:, : self.k]
+                scores, found = np.take_along_axis(scores, order, 1), np.take_along_axis(found, order, 1)
+            kept.append((scores, found))
+        if kept:
+            self.scores, self.units = (np.concatenate(x) for x in zip(*kept))
+
+    def columns(self, ids: np.ndarray) -> list[pa.Array]:
+        n = self.scores.shape[1]
+        return [pa.array(np.repeat(ids, n), pa.int64()), pa.array(self.units.ravel(), pa.int64()), pa.array(self.scores.ravel(), pa.float64())]
+
+
+def _matrix(column, dim: int) -> np.ndarray:
+    """The vectors of an Arrow column; one of another length than dim, or a null one, raises."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if lists.null_count or not (lists.value_lengths().to_numpy() == dim).all():
+        raise ValueError(f"vectors of another length than {dim}")
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+_SCORED, _NAMES = "query_id long, unit_id long, raw double", ["query_id", "unit_id", "raw"]
+
+
+def dense_search(rows: DataFrame, queries: DataFrame, k: int = 10, digits: int = 6, query_bytes: int | None = None, row_bytes: int | None = None) -> DataFrame:
+    """(query_id, unit_id, score, rank): exact top-k dot products of queries(query_id, vector) against rows(unit_id, vector), in
+    double precision, ranked by the score before it is rounded to `digits`, ties by unit_id.
+
+    Filters belong on rows, before the search. Vectors of another length than the queries' raise, null ones too. Queries of up
+    to query_bytes are sent to every task, which multiplies its rows where they are. More of them meet the rows in a grid:
+    groups of rows of about row_bytes by groups of queries of about query_bytes are the partitions of one join, rows are
+    read once, and each cell is a product of bounded tiles. Either way a task or a cell keeps k rows a query, merged by one
+    ranking. No rows or no queries give no hits."""
+    if k <= 0:
+        raise ValueError("k must be positive")
+    query_bytes, row_bytes = query_bytes or QUERY_BYTES, row_bytes or ROW_BYTES
+    size = queries.agg(F.count("*").alias("n"), F.min(F.size("vector")).alias("low"), F.max(F.size("vector")).alias("high"), F.count("vector").alias("known")).first()
+    dim = size["high"] or 0
+    if size["n"] and (size["low"] != dim or size["known"] < size["n"] or not dim):
+        raise ValueError("query vectors of unequal length")
+    units = rows.select(F.col("unit_id").cast("long").alias("unit_id"), "vector")
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector")
+    if 8 * dim * size["n"] <= query_bytes:
+        raw = _beside(units, asked, dim, k)
+    else:
+        raw = _grid(units, asked, dim, k, -(-8 * dim * size["n"] // query_bytes), row_bytes)
+    order = Window.partitionBy("query_id").orderBy(F.col("raw").desc(), F.col("unit_id"))
+    best = raw.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.select("query_id", "unit_id", F.round("raw", digits).alias("score"), "rank")
+
+
+def _beside(units: DataFrame, asked: DataFrame, dim: int, k: int) -> DataFrame:
+    """Each task multiplies its own rows with all queries, whose size the caller has checked."""
+    got = asked.toArrow()
+    shared = units.sparkSession.sparkContext.broadcast((got["query_id"].to_numpy(), _matrix(got["vector"], dim) if len(got) else np.zeros((0, dim))))
+
+    def run(batches):
+        ids, q = shared.value
+        best = _Best(q, k)
+        for batch in batches:
+            if batch.num_rows and len(ids):
+                best.add(batch.column(0).to_numpy(), _matrix(batch.column(1), dim))
+        yield pa.RecordBatch.from_arrays(best.columns(ids), _NAMES)
+
+    return units.mapInArrow(run, _SCORED)
+
+
+def _grid(units: DataFrame, asked: DataFrame, dim: int, k: int, query_groups: int, row_bytes: int) -> DataFrame:
+    """Row groups by query groups; a row goes to one cell of each query group, a query to one cell of each row group."""
+    row_groups = max(1, -(-8 * dim * units.count() // row_bytes))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = units.select("unit_id", "vector", F.pmod(F.xxhash64("unit_id", "vector"), F.lit(row_groups)).cast("int").alias("rg"), every(query_groups).alias("qg"))
+    right = asked.select("query_id", "vector", F.pmod(F.xxhash64("query_id", "vector"), F.lit(query_groups)).cast("int").alias("qg"), every(row_groups).alias("rg"))
+
+    def cell(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        if not len(rows) or not len(queries):
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names=_NAMES)
+        best = _Best(_matrix(queries["vector"], dim), k)
+        best.add(rows["unit_id"].to_numpy(), _matrix(rows["vector"], dim))
+        return pa.table(best.columns(queries["query_id"].to_numpy()), names=_NAMES)
+
+    return left.groupBy("rg", "qg").cogroup(right.groupBy("rg", "qg")).applyInArrow(cell, _SCORED)
 
 
 def bm25_search(rows: DataFrame, queries: DataFrame, k: int = 10, digits: int = 6, k1: float = K1, b: float = B, boost: int = 0, tokens: Column | None = None) -> DataFrame:

@@ -16,8 +16,9 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 _DENSE = """
 s AS (SELECT q.vec_id AS query_id, r.vec_id AS unit_id, q.label AS query_label, r.label AS label,
-  round(list_dot_product(q.embedding::DOUBLE[], r.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings r WHERE q.vec_id % 100 = 0),
-dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM s QUALIFY rank <= 10)"""
+  round(list_dot_product(q.embedding::DOUBLE[], r.embedding::DOUBLE[]), 12) AS raw, round(list_dot_product(q.embedding::DOUBLE[], r.embedding::DOUBLE[]), 6) AS score
+  FROM embeddings q, embeddings r WHERE q.vec_id % 100 = 0),
+dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, unit_id) AS rank FROM s QUALIFY rank <= 10)"""
 
 
 def _dense(spark: SparkSession, d: str, k: int = 10, rows=None) -> DataFrame:
@@ -80,7 +81,7 @@ def _other(spark, d):
     return _dense(spark, d, rows=lambda e: e.where("label % 2 = 0"))
 
 
-_EVEN = f"""WITH {_DENSE}, e AS (SELECT query_id, unit_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM s WHERE label % 2 = 0 QUALIFY rank <= 10)"""
+_EVEN = f"""WITH {_DENSE}, e AS (SELECT query_id, unit_id, score, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, unit_id) AS rank FROM s WHERE label % 2 = 0 QUALIFY rank <= 10)"""
 
 
 @query(f"""{_EVEN}, u AS (SELECT query_id, unit_id, rank FROM dense UNION ALL SELECT query_id, unit_id, rank FROM e),

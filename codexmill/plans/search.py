@@ -52,7 +52,7 @@ def resolved_dense_hits(spark, d):
 
 
 _DEEP = _DENSE.replace("rank <= 10", "rank <= 100")
-_SIDE = "e AS (SELECT query_id, unit_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM s WHERE label % 2 = 0 QUALIFY rank <= 100)"
+_SIDE = "e AS (SELECT query_id, unit_id, score, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, unit_id) AS rank FROM s WHERE label % 2 = 0 QUALIFY rank <= 100)"
 _SCALED = "CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) WHEN score > 0 THEN 1 ELSE 0 END"
 
 

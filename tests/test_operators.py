@@ -34,11 +34,42 @@ def test_dense_ties_and_blocks(spark, monkeypatch):
     want = [(1, 1, 1.0, 1), (1, 3, 1.0, 2), (1, 5, 1.0, 3), (2, 0, 1.0, 1), (2, 1, 1.0, 2), (2, 2, 1.0, 3)]
     assert rows(retrieval.dense_search(units, queries, 3), "query_id", "rank") == want
     monkeypatch.setattr(retrieval, "QUERY_BYTES", 16)
+    monkeypatch.setattr(retrieval, "ROW_BYTES", 40)
     assert rows(retrieval.dense_search(units, queries, 3), "query_id", "rank") == want
     with pytest.raises(ValueError):
         retrieval.dense_search(units, queries, 0)
 
 
+def test_dense_grid_against_numpy(spark, monkeypatch):
+    """Seven groups of queries by many of rows; near ties keep the order of their full scores."""
+    rng = np.random.default_rng(4)
+    r, q = rng.normal(size=(500, 8)), rng.normal(size=(40, 8))
+    r[100], r[7], r[8] = r[3], r[3] * (1 + 1e-9), r[3]
+    units = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(r)], "unit_id long, vector array<double>").repartition(5)
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id long, vector array<double>")
+    scores = np.round(q @ r.T, 12)
+    want = [(i, int(u), round(float(scores[i, u]), 6), n) for i in range(40) for n, u in enumerate(sorted(range(500), key=lambda u: (-scores[i, u], u))[:9], 1)]
+    monkeypatch.setattr(retrieval, "TILE_ROWS", 64)
+    monkeypatch.setattr(retrieval, "TILE_QUERIES", 3)
+    for how in ({}, {"query_bytes": 400, "row_bytes": 3000}, {"query_bytes": 400}):
+        assert rows(retrieval.dense_search(units, queries, 9, **how), "query_id", "rank") == want, how
+    assert retrieval.dense_search(units.limit(0), queries, 3, query_bytes=400).count() == retrieval.dense_search(units, queries.limit(0)).count() == 0
+    assert retrieval.dense_search(units.limit(2), queries, 9, query_bytes=400).count() == 80
+
+
+@pytest.mark.parametrize("bad", [[1.0], [1.0, 2.0, 3.0], None])
+def test_dense_lengths(spark, bad):
+    two = spark.createDataFrame([(1, [1.0, 2.0]), (2, [0.5, 2.0])], "unit_id long, vector array<float>")
+    other = spark.createDataFrame([(1, bad), (2, [1.0, 2.0, 3.0] if bad and len(bad) == 1 else [1.0, 2.0])], "unit_id long, vector array<float>")
+    as_queries = lambda df: df.withColumnRenamed("unit_id", "query_id")
+    with pytest.raises(Exception, match="length"):
+        retrieval.dense_search(other, as_queries(two)).collect()
+    with pytest.raises(Exception, match="length"):
+        retrieval.dense_search(other, as_queries(two), query_bytes=1).collect()
+    with pytest.raises(ValueError):
+        retrieval.dense_search(two, as_queries(other))
+
+
 def test_bm25_boost_and_overlap(spark):
     docs = spark.createDataFrame([(1, ["a", "b"], ["z"]), (2, ["a"], []), (3, ["c"], [])], "unit_id long, tokens array<string>, heading array<string>")
     asked = spark.createDataFrame([(1, ["z"]), (2, ["q"])], "query_id long, tokens array<string>")
