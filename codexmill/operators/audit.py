@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codexmill.functions.text import STRUCTURAL
+from codexmill.functions.text import STRUCTURAL, is_table_class
 from codexmill.operators.artifacts import EXCLUDED
+from codexmill.operators.stored import store
 
 #: Severities and classes of findings, block types, the version of the document's contract and its keys (fixed values).
 ERROR, WARN = "ERROR", "WARN"
@@ -188,3 +189,88 @@ def audit_documents(documents: DataFrame, rules: list[Rule] | None = None) -> Da
     """Findings of documents(document_id, schema_version, keys array<string>, manifest_ref, metadata struct<identifier,
     publication_date, document_date, effective_date, last_update_datetime>); keys are those that the stored object has."""
     return findings(documents, rules or DOCUMENT_RULES)
+
+
+#: From this share of dropped paragraphs on, and for these lengths of cells and samples, a block is shown (fixed values).
+DROP_SHARE, CELL_CHARS = 0.5, 4
+EDITORIAL_RULES = [
+    Rule("block.editorial_invariant", ERROR, REVIEW, "absent", "'the block is not in the raw norm'", "block_id"),
+    Rule(
+        "block.editorial_invariant", ERROR, REVIEW, "first IS NOT NULL", "concat(IF(n_stored > n_kept, 'leak', 'overdeletion'), ': stored paragraphs are not those of the raw norm from place ', CAST(first AS STRING), ' on')",
+        "block_id", "concat(coalesce(expected, 'None'), ' | ', coalesce(actual, 'None'))",
+    ),
+    Rule("block.editorial_drop_structural", WARN, REVIEW, "size(suspicious) > 0", "concat('dropped from quotes: ', array_join(suspicious, ', '))", "block_id", "sample"),
+    Rule("block.editorial_drop_fraction", WARN, REVIEW, f"dropped_fraction > {DROP_SHARE}", "concat('dropped ', CAST(n_dropped AS STRING), ' of ', CAST(n_kept + n_notes + n_dropped AS STRING))", "block_id", "sample"),
+    Rule("block.table_cell_dropped", ERROR, REVIEW, "n_cells > 0", "concat(CAST(n_cells AS STRING), ' cells of tables are not in the text')", "block_id", "left(array_join(cells, ' | '), 160)"),
+]
+
+
+def editorial_state(raw: DataFrame, stored: DataFrame) -> DataFrame:
+    """What raw rows (`sources.stream`, with document_id for file) say of stored blocks(document_id, block_id, index_date, latest
+    struct<publication_date, source_norm_id, text, paragraphs array<struct<class, text>>>): a row for each block that has a
+    current version, if the raw norm lacks the block (absent) or both sides name the same version as the one in force.
+
+    The version in force is worked out from the raw versions. Paragraphs are compared by their places in one join and one
+    aggregation: first is the first place where both lists differ (null: none), expected and actual what stands there; n_kept,
+    n_stored, n_notes, n_dropped, dropped_fraction, dropped_classes map<class, n>, suspicious classes, sample; n_cells loose
+    cells of CELL_CHARS characters and a letter that the text lacks, cells the first three. Norms with an error are left out. raw
+    is written once, as its parts are read by several joins."""
+    keys, raw = ["document_id", "block_id"], store(raw, "norm-rows")
+    failed = raw.where(F.col("error").isNotNull()).select("document_id").distinct()
+    raw = raw.join(failed, "document_id", "left_anti")
+    day = F.when(F.col("published").rlike("^[0-9]{8}$"), F.regexp_replace("published", "^(....)(..)(..)$", "$1-$2-$3"))
+    known = raw.where("role = 'block'").select(*keys).distinct()
+    versions = raw.where("role = 'version'").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("version", day.alias("publication_date"), F.col("norm_id").alias("source_norm_id")))).alias("versions"))
+    present = raw.where("role = 'block'").select("document_id").distinct().withColumn("__read", F.lit(True))
+    current = stored.where("latest IS NOT NULL").select(*keys, "index_date", "latest")
+    found = current.join(present, "document_id").join(known.withColumn("__known", F.lit(True)), keys, "left").join(versions, keys, "left")
+    none = F.array().cast(versions.schema["versions"].dataType)
+    resolved = with_resolution(found.withColumn("versions", F.coalesce("versions", none)))
+    agreed = (F.col("status") == "resolved") & F.col("selected_norm_id").eqNullSafe(F.col("latest.source_norm_id")) & F.col("index_date").eqNullSafe(F.col("latest.publication_date"))
+    chosen = resolved.select(*keys, "latest", F.col("__known").isNull().alias("absent"), F.when(agreed, F.get(_in_force(), F.lit(0))["version"]).alias("version")).where("absent OR version IS NOT NULL")
+    own = raw.where("role NOT IN ('block', 'version')").join(chosen.where("NOT absent").select(*keys, "version", F.col("latest.text").alias("body")), [*keys, "version"])
+    letter = F.col("text").rlike(r"\p{L}")
+    lost = (F.col("role") == "cell") & (F.length("text") >= CELL_CHARS) & letter & ~F.contains(F.coalesce("body", F.lit("")), F.col("text"))
+    order = Window.partitionBy(*keys, "role").orderBy("place")
+    placed = own.select(*keys, "role", "class", "text", "place", lost.alias("lost"), (F.row_number().over(order) - 1).alias("at"))
+    kept = placed.where("role = 'kept'").select(*keys, "at", F.col("text").alias("expected"), F.lit(True).alias("__e"))
+    held = chosen.where("NOT absent").select(*keys, F.posexplode("latest.paragraphs").alias("at", "p")).select(*keys, "at", F.col("p.text").alias("actual"), F.lit(True).alias("__a"))
+    pairs = kept.join(held, [*keys, "at"], "full_outer")
+    unlike = ~F.col("expected").eqNullSafe(F.col("actual")) | F.col("__e").isNull() | F.col("__a").isNull()
+    compared = pairs.groupBy(*keys).agg(
+        F.count("__e").alias("n_kept"), F.count("__a").alias("n_stored"), F.min(F.when(unlike, F.struct("at", "expected", "actual"))).alias("f"),
+    ).select(*keys, "n_kept", "n_stored", F.col("f.at").alias("first"), F.col("f.expected").alias("expected"), F.col("f.actual").alias("actual"))
+    cut = lambda c: F.left(c, F.lit(SHOWN))
+    by_class = placed.where("role = 'dropped'").groupBy(*keys, "class").agg(F.count("*").alias("n"), F.min(F.struct("place", cut(F.col("text")).alias("text"))).alias("s"))
+    suspect = F.col("class").isin(*STRUCTURAL) | (F.col("class") == "articulo") | is_table_class(F.col("class"))
+    dropped = by_class.groupBy(*keys).agg(
+        F.sum("n").alias("n_dropped"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("class", "n")))).alias("dropped_classes"), F.array_sort(F.collect_list(F.when(suspect, F.col("class")))).alias("suspicious"), F.min("s")["text"].alias("sample"),
+    )
+    others = placed.groupBy(*keys).agg(F.count_if(F.col("role") == "note").alias("n_notes"), F.count_if("lost").alias("n_cells"))
+    first = Window.partitionBy(*keys).orderBy(F.col("class") != "td", "place")
+    shown = placed.where("lost").withColumn("k", F.row_number().over(first)).where("k <= 3").groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda c: c["text"]).alias("cells"))
+    out = chosen.select(*keys, "absent")
+    for part in (compared, dropped, others, shown):
+        out = out.join(part, keys, "left")
+    zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_kept", "n_stored", "n_notes", "n_dropped", "n_cells")}
+    share = F.col("n_dropped") / F.greatest(F.col("n_kept") + F.col("n_notes") + F.col("n_dropped"), F.lit(1))
+    return out.withColumns(zero).withColumn("dropped_fraction", share)
+
+
+def editorial_findings(state: DataFrame) -> DataFrame:
+    """Findings of EDITORIAL_RULES over `editorial_state`."""
+    return findings(state, EDITORIAL_RULES)
+
+
+def drop_records(state: DataFrame) -> DataFrame:
+    """(document_id, block_id, n_kept, n_notes, n_dropped, dropped_fraction to 3 digits, dropped_classes, sample, anomaly) of the blocks that drop anything."""
+    anomaly = F.array_compact(F.array(F.when(F.col("dropped_fraction") > DROP_SHARE, "high_fraction"), F.when(F.size("suspicious") > 0, "structural_class")))
+    return state.where("n_dropped > 0").select("document_id", "block_id", "n_kept", "n_notes", "n_dropped", F.round("dropped_fraction", 3).alias("dropped_fraction"), "dropped_classes", "sample", anomaly.alias("anomaly"))
+
+
+def drop_summary(records: DataFrame) -> DataFrame:
+    """One row of `drop_records`: n_blocks, n_dropped, n_anomalies, and dropped_classes array<struct<class, n>> by falling n, then class."""
+    per = records.select(F.explode("dropped_classes").alias("class", "n")).groupBy("class").agg(F.sum("n").alias("n"))
+    classes = per.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "class", "n"))).alias("c")).select(F.transform("c", lambda c: F.struct(c["class"], c["n"])).alias("dropped_classes"))
+    totals = records.agg(F.count("*").alias("n_blocks"), F.coalesce(F.sum("n_dropped"), F.lit(0).cast("long")).alias("n_dropped"), F.count_if(F.size("anomaly") > 0).alias("n_anomalies"))
+    return totals.crossJoin(F.broadcast(classes))  # one row each

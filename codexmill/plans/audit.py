@@ -8,6 +8,7 @@ from codexmill.functions.text import STRUCTURAL
 from codexmill.operators import audit
 from codexmill.plans.catalogue import _t
 from codexmill.registry import query
+from codexmill.sources import stream
 
 #: Classes of a line by its length modulo 9; types of a block and roles by the length of its text modulo 6 and 3 (of these queries alone).
 _CLASSES = ("titulo_num", "articulo", "capitulo_num", "seccion", "anexo_num", "libro_num")
@@ -125,3 +126,61 @@ def document_audit(spark, d):
         "CASE n % 5 WHEN 0 THEN concat('/', source) WHEN 1 THEN concat('file:', source) WHEN 2 THEN source END AS manifest_ref",
     )
     return audit.audit_documents(rows)
+
+
+#: A norm for each document: its sentences are paragraphs, quotes, notes or table rows by their length and place modulo 7.
+_RAW = r"""a AS (SELECT doc_id::VARCHAR AS id, length(coalesce(text, '')) AS n, list_filter(list_transform(string_split_regex(coalesce(text, ''), '[.\n]'), lambda x: trim(regexp_replace(x, '[^A-Za-z0-9,]+', ' ', 'g'))), lambda x: x <> '') AS lines FROM documents),
+p AS (SELECT id, n, i, lines[i] AS line, (length(lines[i]) + i) % 7 AS kind FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM a)),
+k AS (SELECT id, list(CASE WHEN kind = 2 THEN line || ' | ' || length(line) ELSE line END ORDER BY i) FILTER (kind > 1) AS kept, list(line ORDER BY i) FILTER (kind > 2) AS plain, count(*) FILTER (kind = 1) AS n_notes, count(*) FILTER (kind = 0) AS n_dropped,
+  arg_min(line, i) FILTER (kind = 0) AS sample, coalesce(bool_or(kind = 0 AND length(line) % 2 = 0), false) AS article FROM p GROUP BY id),
+s AS (SELECT a.id, n, coalesce(kept, []) AS kept, coalesce(plain, []) AS plain, coalesce(n_notes, 0) AS n_notes, coalesce(n_dropped, 0) AS n_dropped, sample, coalesce(article, false) AS article, n % 17 = 0 AS gone FROM a LEFT JOIN k USING (id)
+  WHERE n % 10 > 0 AND (n % 17 = 0 OR (n % 11 > 0 AND n % 13 > 0))),
+t AS (SELECT *, CASE n % 6 WHEN 0 THEN kept[:len(kept) - 1] WHEN 1 THEN list_append(kept, 'extra') WHEN 2 THEN list_concat(list_transform(kept[1:1], lambda x: x || '!'), kept[2:]) ELSE kept END AS held, CASE WHEN n % 4 = 0 THEN array_to_string(plain, ' ') ELSE array_to_string(kept, ' ') END AS body FROM s),
+u AS (SELECT *, list_position(list_transform(range(1, greatest(len(kept), len(held)) + 1), lambda i: kept[i] IS DISTINCT FROM held[i]), true) - 1 AS first, n_dropped / greatest(len(kept) + n_notes + n_dropped, 1) AS share FROM t),
+c AS (SELECT u.id, count(*) AS n_cells, array_to_string((list(line ORDER BY i))[:3], ' | ') AS cells FROM p JOIN u USING (id) WHERE kind = 2 AND NOT gone AND length(line) >= 4 AND regexp_matches(line, '[A-Za-z]') AND NOT contains(body, line) GROUP BY u.id)"""
+
+
+def _editorial(spark, d):
+    docs = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.coalesce("text", F.lit("")).alias("t"))
+    lines = F.filter(F.transform(F.split("t", r"[.\n]"), lambda x: F.trim(F.regexp_replace(x, "[^A-Za-z0-9,]+", " "))), lambda x: x != "")
+    rows = docs.select("document_id", F.length("t").alias("n"), lines.alias("lines")).withColumn("kinds", F.transform("lines", lambda x, i: (F.length(x) + i + 1) % 7))
+    quote = lambda x: F.concat(F.lit('<blockquote><p class="'), F.when(F.length(x) % 2 == 0, "articulo").otherwise("cita"), F.lit('">'), x, F.lit("</p></blockquote>"))
+    table = lambda x: F.concat(F.lit("<table><tr><td>"), x, F.lit("</td><td>"), F.length(x).cast("string"), F.lit("</td></tr></table>"))
+    one = lambda x, k: F.when(k == 0, quote(x)).when(k == 1, F.concat(F.lit('<p class="nota_pie">'), x, F.lit("</p>"))).when(k == 2, table(x)).otherwise(F.concat(F.lit('<p class="parrafo">'), x, F.lit("</p>")))
+    body = F.array_join(F.zip_with("lines", "kinds", one), "\n")
+    version = lambda norm, day, text: F.concat(F.lit(f'<version id_norma="{norm}" fecha_publicacion="{day}">'), text, F.lit("</version>"))
+    xml = F.concat(F.lit('<response><status><code>200</code></status><data><texto><bloque id="b" tipo="precepto">'), version("M", "20190101", F.lit("<p>old</p>")), version("N", "20200101", body), F.lit("</bloque></texto></data></response>"))
+    raw = stream.stream_norms(rows.select(F.col("document_id").alias("file"), xml.cast("binary").alias("content"))).withColumnRenamed("file", "document_id")
+    pairs = F.zip_with("lines", "kinds", lambda x, k: F.struct(x.alias("x"), k.alias("k")))
+    some = lambda least: F.transform(F.filter(pairs, lambda p: p["k"] > least), lambda p: F.when(p["k"] == 2, F.concat(p["x"], F.lit(" | "), F.length(p["x"]).cast("string"))).otherwise(p["x"]))
+    made = rows.select("document_id", "n", some(1).alias("kept"), some(2).alias("plain"))
+    m = F.col("n") % 6
+    held = F.when(m == 0, F.slice("kept", F.lit(1), F.greatest(F.size("kept") - 1, F.lit(0)))).when(m == 1, F.array_append("kept", "extra")).when(m == 2, F.transform("kept", lambda x, i: F.when(i == 0, F.concat(x, F.lit("!"))).otherwise(x))).otherwise(F.col("kept"))
+    norm, text = F.when(F.col("n") % 11 > 0, "N").otherwise("M"), F.when(F.col("n") % 4 == 0, F.array_join("plain", " ")).otherwise(F.array_join("kept", " "))
+    latest = F.struct(F.lit("2020-01-01").alias("publication_date"), norm.alias("source_norm_id"), text.alias("text"), F.transform(held, lambda x: F.struct(F.lit("parrafo").alias("class"), x.alias("text"))).alias("paragraphs"))
+    return raw, made.select(
+        "document_id", F.when(F.col("n") % 17 == 0, "x").otherwise("b").alias("block_id"), F.when(F.col("n") % 13 > 0, "2020-01-01").otherwise("2018-01-01").alias("index_date"), F.when(F.col("n") % 10 > 0, latest).alias("latest"),
+    )
+
+
+_E = "id AS document_id, CASE WHEN gone THEN 'x' ELSE 'b' END AS ref"
+
+
+@query(f"""WITH {_RAW}
+SELECT 'block.editorial_invariant' AS check_name, 'ERROR' AS severity, {_R} AS classification, {_E}, 'the block is not in the raw norm' AS message, NULL::VARCHAR AS evidence FROM u WHERE gone
+UNION ALL SELECT 'block.editorial_invariant', 'ERROR', {_R}, {_E}, CASE WHEN len(held) > len(kept) THEN 'leak' ELSE 'overdeletion' END || ': stored paragraphs are not those of the raw norm from place ' || first || ' on', coalesce(kept[first + 1], 'None') || ' | ' || coalesce(held[first + 1], 'None') FROM u WHERE NOT gone AND first >= 0
+UNION ALL SELECT 'block.editorial_drop_structural', 'WARN', {_R}, {_E}, 'dropped from quotes: articulo', left(sample, 80) FROM u WHERE NOT gone AND article
+UNION ALL SELECT 'block.editorial_drop_fraction', 'WARN', {_R}, {_E}, 'dropped ' || n_dropped || ' of ' || len(kept) + n_notes + n_dropped, left(sample, 80) FROM u WHERE NOT gone AND share > 0.5
+UNION ALL SELECT 'block.table_cell_dropped', 'ERROR', {_R}, {_E}, n_cells || ' cells of tables are not in the text', left(cells, 160) FROM u JOIN c USING (id)""")
+def editorial_audit(spark, d):
+    """Stored paragraphs against those that a stream over the raw XML of each document gives anew."""
+    return audit.editorial_findings(audit.editorial_state(*_editorial(spark, d)))
+
+
+@query(f"""WITH {_RAW}, r AS (SELECT u.id, n_dropped, share, count(*) FILTER (length(line) % 2 = 0) AS articles, count(*) FILTER (length(line) % 2 = 1) AS quotes FROM u JOIN p ON p.id = u.id AND kind = 0 WHERE NOT gone GROUP BY ALL)
+SELECT count(*) AS n_blocks, sum(n_dropped)::BIGINT AS n_dropped, count(*) FILTER (share > 0.5 OR articles > 0) AS n_anomalies, sum(articles)::BIGINT AS articles, sum(quotes)::BIGINT AS quotes FROM r""")
+def editorial_drops(spark, d):
+    """What the same reading drops, over all documents."""
+    s = audit.drop_summary(audit.drop_records(audit.editorial_state(*_editorial(spark, d))))
+    of = lambda c: F.get(F.transform(F.filter("dropped_classes", lambda x: x["class"] == c), lambda x: x["n"]), F.lit(0))
+    return s.select("n_blocks", "n_dropped", "n_anomalies", of("articulo").alias("articles"), of("cita").alias("quotes"))
