@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 
 def resolve_versions(versions: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
@@ -77,3 +81,65 @@ def neighbour_overlap(rows: DataFrame, group: str, order: str, text: str, above:
     union = F.size(F.array_union("w", "n"))
     j = F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect("w", "n")) / F.greatest(union, F.lit(1)))
     return pairs.select(group, order, F.round(j, 6).alias("jaccard"), (j > above).alias("near_duplicate"))
+
+
+@F.pandas_udf(IntegerType())
+def _longest_common(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """The longest suffix of the first list that begins the second: one fold of the prefix function over both, whatever its length."""
+
+    def one(a, b) -> int:
+        if a is None or b is None or not len(a) or not len(b):
+            return 0
+        a, b = list(a)[-len(b) :], list(b)
+        back, at = [0] * len(b), 0
+        for i in range(1, len(b)):
+            while at and b[i] != b[at]:
+                at = back[at - 1]
+            at += b[i] == b[at]
+            back[i] = at
+        at = 0
+        for i, word in enumerate(a):
+            if at == len(b):  # only possible before the last word, as a is not longer than b
+                at = back[at - 1]
+            while at and word != b[at]:
+                at = back[at - 1]
+            at += word == b[at]
+        return at
+
+    for firsts, seconds in pairs:
+        yield pd.Series([one(a, b) for a, b in zip(firsts, seconds)], dtype="int32")
+
+
+def boundary_overlaps(chunks: DataFrame, parent: str = "parent_id", place: str = "position", text: str = "text", split: str = "\n", above: float = 0.8) -> DataFrame:
+    """(parent, place, n_shared, shared_chars, near_duplicate) of each chunk of a parent and the next one by place: the lines (parts
+    between `split`, a pattern) that end the one and begin the other, as many as possible, their characters, and whether the
+    Jaccard similarity of both texts' words is over `above` (not if one has none). Null texts are empty."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    held = chunks.select(F.col(parent), F.col(place), F.split(body, split).alias("a"), F.array_distinct(F.filter(F.split(body, r"\s+"), lambda w: w != "")).alias("w"))
+    order = Window.partitionBy(parent).orderBy(place)
+    pairs = held.withColumn("b", F.lead("a").over(order)).withColumn("v", F.lead("w").over(order)).where("b IS NOT NULL")
+    counted = pairs.withColumn("n_shared", _longest_common("a", "b"))
+    chars = F.aggregate(F.slice("b", F.lit(1), F.col("n_shared")), F.lit(0), lambda n, x: n + F.length(x))
+    both = F.size(F.array_intersect("w", "v"))
+    alike = (F.size("w") > 0) & (F.size("v") > 0) & (both / F.greatest(F.size("w") + F.size("v") - both, F.lit(1)) > above)
+    return counted.select(parent, place, "n_shared", chars.alias("shared_chars"), alike.alias("near_duplicate"))
+
+
+def overlap_by_parent(chunks: DataFrame, parents: DataFrame, lines: int = 1) -> DataFrame:
+    """(parent_id, n_chunks, boundaries_ok, order_kept, shared_lines, shared_chars, near_duplicates) of each parent with two chunks
+    or more, of chunks(parent_id, position, text) and parents(parent_id, paragraphs array<string>).
+
+    boundaries_ok: every chunk begins with the last `lines` lines of the one before, no more. order_kept: the chunks, each
+    without what it shares with the one before, are the parent's paragraphs in their order. A parent that is not there has none."""
+    found = boundary_overlaps(chunks).select("parent_id", (F.col("position")).alias("before"), "n_shared", "shared_chars", "near_duplicate")
+    order = Window.partitionBy("parent_id").orderBy("position")
+    own = chunks.select("parent_id", "position", F.split(F.coalesce("text", F.lit("")), "\n").alias("l")).withColumn("before", F.lag("position").over(order)).withColumn("first", F.row_number().over(order) == 1)
+    both = own.join(found, ["parent_id", "before"], "left")
+    fresh = F.slice("l", F.coalesce("n_shared", F.lit(0)) + 1, F.size("l"))
+    made = both.groupBy("parent_id").agg(
+        F.count("*").alias("n_chunks"), F.bool_and(F.col("first") | (F.col("n_shared") == lines)).alias("boundaries_ok"), F.coalesce(F.sum("n_shared"), F.lit(0)).alias("shared_lines"),
+        F.coalesce(F.sum("shared_chars"), F.lit(0)).alias("shared_chars"), F.count_if("near_duplicate").alias("near_duplicates"), F.array_sort(F.collect_list(F.struct("position", fresh.alias("l")))).alias("parts"),
+    ).where("n_chunks > 1")
+    merged = F.flatten(F.transform("parts", lambda p: p["l"]))
+    kept = merged.eqNullSafe(F.coalesce("paragraphs", F.array().cast("array<string>")))
+    return made.join(parents.select("parent_id", "paragraphs"), "parent_id", "left").select("parent_id", "n_chunks", "boundaries_ok", kept.alias("order_kept"), "shared_lines", "shared_chars", "near_duplicates")

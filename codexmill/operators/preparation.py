@@ -72,6 +72,50 @@ def paragraph_tokens(paragraphs: DataFrame, tokenize: Callable[[str], list], gap
     return counts.select("parent_id", spans.alias("intervals"), total.alias("total"))
 
 
+def prefix_offsets(text: str, paragraphs: list[tuple[int, str]], tokenize: Callable[[str], list], settled: Callable[[str, int], int] | None = None) -> tuple[list[tuple[int, int, int]], str | None]:
+    """([(order, start, stop)], error): token offsets of paragraphs in text, start and stop being the tokens of the exact prefixes
+    that end where a paragraph begins and ends.
+
+    A cursor moves on from each paragraph to the next. settled(text, at) names a place up to `at` before which no later
+    character changes the tokens (0 if not known): tokens up to there are counted once, and only what is open behind it is
+    tokenised for each prefix. Tokenizers that merge over a gap so get the right offsets; sums of counts would not give them."""
+    found, cursor, base, counted = [], 0, 0, 0
+
+    def tokens(at: int) -> int:
+        nonlocal base, counted
+        safe = max(settled(text, at), base) if settled else 0
+        if safe > base:
+            counted += len(tokenize(text[base:safe]))
+            base = safe
+        return counted + len(tokenize(text[base:at]))
+
+    for order, paragraph in paragraphs:
+        if not paragraph:
+            return found, f"paragraph {order} is empty"
+        first = text.find(paragraph, cursor)
+        if first < 0:
+            return found, f"paragraph {order} is not in the text"
+        cursor = first + len(paragraph)
+        start = tokens(first)
+        found.append((order, start, tokens(cursor)))
+    return found, None
+
+
+def text_offsets(texts: DataFrame, tokenize: Callable[[str], list], settled: Callable[[str, int], int] | None = None) -> DataFrame:
+    """(unit_id, intervals array<struct<order, start, stop>>, error) of texts(unit_id, text, paragraphs array<struct<order, text>>):
+    `prefix_offsets` of each row. A paragraph that is empty, or not found behind the one before, is an error, not a failure of
+    the job; intervals then end before it. Null texts and lists count as empty."""
+    kind = "struct<intervals:array<struct<order:int,start:int,stop:int>>,error:string>"
+
+    @F.pandas_udf(kind)
+    def offsets(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for bodies, lists in batches:
+            rows = [prefix_offsets(t or "", [(p["order"], p["text"]) for p in (ps if ps is not None else [])], tokenize, settled) for t, ps in zip(bodies, lists)]
+            yield pd.DataFrame({"intervals": [[{"order": o, "start": a, "stop": b} for o, a, b in r[0]] for r in rows], "error": [r[1] for r in rows]})
+
+    return texts.withColumn("__o", offsets("text", "paragraphs")).select("unit_id", "__o.intervals", "__o.error")
+
+
 def prepare_inputs(texts: DataFrame, tokenize: Callable[[str], list], join: Callable[[list], str], limit: int, overlap: int, reserved: int = 0) -> DataFrame:
     """(row_index, embedding_input_id, key, window, n_tokens, overflow, text, first, last, sha256) of texts(key long, text,
     paragraphs array<string>, first): one row a text that fits limit - reserved tokens, else windows of it, never cut off.

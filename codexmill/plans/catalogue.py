@@ -151,6 +151,18 @@ def neighbour_overlap(spark, d):
     return blocks.neighbour_overlap(_t(spark, d, "conversations"), "conv_id", "turn", "text")
 
 
+@query("""WITH c AS (SELECT conv_id, turn, md5(coalesce(text, '')) AS h, regexp_split_to_array(coalesce(text, ''), '\\s') AS a FROM conversations),
+n AS (SELECT *, lead(a) OVER (PARTITION BY conv_id ORDER BY turn, h) AS b FROM c),
+p AS (SELECT *, coalesce(list_max(list_filter(range(1, least(len(a), len(b)) + 1), lambda k: a[len(a) - k + 1:] = b[:k])), 0) AS k FROM n WHERE b IS NOT NULL),
+w AS (SELECT *, list_distinct(list_filter(a, lambda x: x <> '')) AS v, list_distinct(list_filter(b, lambda x: x <> '')) AS u FROM p)
+SELECT conv_id, turn, h, k AS n_shared, coalesce(list_sum(list_transform(b[:k], lambda x: length(x))), 0)::BIGINT AS shared_chars,
+  len(v) > 0 AND len(u) > 0 AND len(list_intersect(v, u)) / greatest(len(list_distinct(list_concat(v, u))), 1) > 0.8 AS near_duplicate FROM w""")
+def boundary_overlap(spark, d):
+    """Words that end a turn and begin the next one, as many as possible; the SQL tries every length."""
+    c = _t(spark, d, "conversations").select("conv_id", F.struct("turn", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("h")).alias("place"), "text")
+    return blocks.boundary_overlaps(c, "conv_id", "place", split=r"\s").select("conv_id", "place.*", "n_shared", F.col("shared_chars").cast("long").alias("shared_chars"), "near_duplicate")
+
+
 @query("""WITH p AS (SELECT p_partkey, p_size, p_retailprice FROM part)
 SELECT p_partkey, p_size, p_retailprice FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.p_size >= a.p_size AND b.p_retailprice <= a.p_retailprice AND (b.p_size > a.p_size OR b.p_retailprice < a.p_retailprice))""")
 def pareto_front(spark, d):
