@@ -6,6 +6,9 @@ import json
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,11 +18,11 @@ from codexmill.sources import files
 #: Okapi parameters (fixed values).
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Rows of a block, on average. A block's postings of one term are one row, which a search reads or skips.
-BLOCK_ROWS = 1_024
+BLOCK_ROWS = 256
 #: Folders by a hash of the term, and rows whose postings one file of such a folder holds, about.
 SHARDS, RANGE_ROWS = 16, 4 << 20
 #: Blocks of the highest bounds that are scored first for each query; their k-th score decides which others can be skipped.
-SEEDS = 16
+SEEDS = 64
 
 
 @dataclass
@@ -66,41 +69,81 @@ def _idf(rows: int, df: Column) -> Column:
     return F.log(rows - df + 0.5) - F.log(df + 0.5)
 
 
-def build(rows: DataFrame, path: str, tokens: Column | None = None, heading: Column | None = None, k1: float = K1, b: float = B, boost: int = 0, block_rows: int = BLOCK_ROWS) -> Index:
+_HITS = pa.struct([("unit_id", pa.int64()), ("tf", pa.int32()), ("ht", pa.int32()), ("dl", pa.int32()), ("hl", pa.int32())])
+_LISTS = (
+    "block long, term string, n long, n_any long, hits array<struct<unit_id:long,tf:int,ht:int,dl:int,hl:int>>, words long, heading_words long, tf_max int, ht_max int, dl_min int, hl_min int"
+)
+
+
+def _block_lists(block: int, units: pa.Array, words: pa.ListArray, heads: pa.ListArray) -> pa.RecordBatch:
+    """_LISTS of the rows of one block: a list for each term, in the order of the terms' first places."""
+    n, body, head = len(units), words.value_lengths().to_numpy().astype(np.int64), heads.value_lengths().to_numpy().astype(np.int64)
+    flat = pa.concat_arrays([words.flatten(), heads.flatten()]).dictionary_encode()
+    codes, rows = flat.indices.fill_null(-1).to_numpy().astype(np.int64), np.concatenate([np.repeat(np.arange(n), body), np.repeat(np.arange(n), head)])
+    known, in_body = codes >= 0, np.arange(len(codes)) < body.sum()
+    pairs, at = np.unique(codes[known] * n + rows[known], return_inverse=True)
+    tf = np.bincount(at[in_body[known]], minlength=len(pairs))
+    ht = np.bincount(at[~in_body[known]], minlength=len(pairs))
+    term, row = pairs // max(n, 1), pairs % max(n, 1)
+    starts = np.flatnonzero(np.diff(term, prepend=-1))
+    if not len(starts):
+        return pa.RecordBatch.from_arrays([pa.array([], f.type) for f in _SCHEMA], schema=_SCHEMA)
+    columns = [units.take(pa.array(row)), *(pa.array(x.astype(np.int32)) for x in (tf, ht, body[row], head[row]))]
+    hits = pa.ListArray.from_arrays(pa.array(np.append(starts, len(pairs)).astype(np.int32)), pa.StructArray.from_arrays(columns, fields=list(_HITS)))
+    each = lambda f, x, kind=np.int64: pa.array(f.reduceat(x.astype(kind), starts))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.full(len(starts), block)), flat.dictionary.take(pa.array(term[starts])), each(np.add, tf > 0), pa.array(np.diff(np.append(starts, len(pairs)))), hits, each(np.add, tf), each(np.add, ht),
+            each(np.maximum, tf, np.int32), each(np.maximum, ht, np.int32), each(np.minimum, body[row], np.int32), each(np.minimum, head[row], np.int32),
+        ],
+        schema=_SCHEMA,
+    )
+
+
+_SCHEMA = pa.schema(
+    [("block", pa.int64()), ("term", pa.string()), ("n", pa.int64()), ("n_any", pa.int64()), ("hits", pa.list_(pa.field("item", _HITS))), ("words", pa.int64()), ("heading_words", pa.int64())]
+    + [(c, pa.int32()) for c in ("tf_max", "ht_max", "dl_min", "hl_min")]
+)
+
+
+def build(rows: DataFrame, path: str, tokens: Column | None = None, heading: Column | None = None, k1: float = K1, b: float = B, boost: int = 0, block_rows: int = BLOCK_ROWS, spread: int | None = None) -> Index:
     """Writes the index of rows to a new path. tokens and heading are expressions over rows for array<string> of words (default:
-    the column tokens, no heading); they are worked out once, after rows have been dealt to blocks by a hash of unit_id.
+    the column tokens, no heading); they are worked out once.
 
-    Rows are shuffled once as they are; a block's postings are then made where the block is, and go once more, as lists, to
-    the folder of their term and the file of their range of blocks: a term of all rows is spread over as many tasks as there
-    are ranges. Rows with null words are counted but found by none; unit_id should be unique (rows that share one are one
-    unit, its frequencies added); an empty table gives an index that finds nothing."""
+    Blocks are runs of rows as a task reads them, so their lists are made where the rows are. What is shuffled are these lists,
+    once, each to the folder of its term and the file of its range of blocks: a term of all rows is spread over as many tasks
+    as there are ranges. spread, if given, deals the rows out to so many tasks first, for input of a few large row groups.
+    Rows with null words are counted but found by none; unit_id should be unique (of rows that share one, scores are added);
+    an empty table gives an index that finds nothing."""
     spark, n = rows.sparkSession, rows.count()
-    blocks = max(1, -(-n // block_rows))
-    words = F.coalesce(tokens if tokens is not None else F.col("tokens"), F.array().cast("array<string>"))
-    heads = F.coalesce(heading, F.array().cast("array<string>")) if heading is not None else F.array().cast("array<string>")
-    dealt = rows.withColumn("__block", F.pmod(F.xxhash64("unit_id"), F.lit(blocks)).cast("int")).repartition("__block")
-    held = dealt.select(F.col("__block").alias("block"), F.col("unit_id").cast("long").alias("unit_id"), words.alias("w"), heads.alias("h"))
-    tagged = F.concat(F.transform("w", lambda t: F.struct(t.alias("term"), F.lit(1).alias("body"))), F.transform("h", lambda t: F.struct(t.alias("term"), F.lit(0).alias("body"))))
-    single = held.select("block", "unit_id", F.size("w").alias("dl"), F.size("h").alias("hl"), F.explode(tagged).alias("x"))
-    counted = single.groupBy("block", "unit_id", F.col("x.term").alias("term")).agg(F.sum("x.body").cast("int").alias("tf"), F.sum(1 - F.col("x.body")).cast("int").alias("ht"), F.max("dl").alias("dl"), F.max("hl").alias("hl"))
-    lists = counted.groupBy("block", "term").agg(
-        F.count_if(F.col("tf") > 0).alias("n"), F.count("*").alias("n_any"), F.collect_list(F.struct("unit_id", "tf", "ht", "dl", "hl")).alias("hits"),
-        F.sum("tf").alias("words"), F.sum("ht").alias("heading_words"), F.max("tf").alias("tf_max"), F.max("ht").alias("ht_max"), F.min("dl").alias("dl_min"), F.min("hl").alias("hl_min"),
-    )
+    empty = F.array().cast("array<string>")
+    words = F.coalesce(tokens if tokens is not None else F.col("tokens"), empty)
+    heads = F.coalesce(heading, empty) if heading is not None else empty
+    held = (rows.repartition(spread) if spread else rows).select(F.col("unit_id").cast("long").alias("unit_id"), words.alias("w"), heads.alias("h"))
+
+    def run(batches):
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for at in range(0, batch.num_rows, block_rows):
+                part = batch.slice(at, block_rows)
+                yield _block_lists(block, *part.columns)
+                block += 1
+
     staged = scratch(spark, "postings-by-block")
-    lists.write.parquet(staged)
-    lists = spark.read.schema(lists.schema).parquet(staged)
-    terms = lists.groupBy(_shard().alias("shard"), "term").agg(F.sum("n").alias("df"), F.sum("n_any").alias("df_any"), F.sum("words").alias("words"), F.sum("heading_words").alias("heading_words"))
-    terms.write.partitionBy("shard").parquet(f"{path}/terms")
+    held.mapInArrow(run, _LISTS).write.parquet(staged)
+    lists = spark.read.schema(_LISTS).parquet(staged).withColumn("shard", _shard())
+    terms = lists.groupBy("shard", "term").agg(F.sum("n").alias("df"), F.sum("n_any").alias("df_any"), F.sum("words").alias("words"), F.sum("heading_words").alias("heading_words"))
+    terms.repartition("shard").write.partitionBy("shard").parquet(f"{path}/terms")
     terms = spark.read.schema(terms.schema).parquet(f"{path}/terms")
     all_of = terms.agg(
         F.sum("words").alias("w"), F.sum("heading_words").alias("h"), F.avg(F.when(F.col("df") > 0, _idf(n, F.col("df")))).alias("idf"), F.avg(_idf(n, F.col("df_any"))).alias("idf_any"),
     ).first()
+    blocks = lists.select("block").distinct().count()
     facts = Facts(n, blocks, all_of["w"] or 0, all_of["h"] or 0, all_of["idf"] or 0.0, all_of["idf_any"] or 0.0, k1, b, boost)
     part = lambda x: _saturated(x["tf"] + boost * x["ht"], x["dl"] + boost * x["hl"], k1, b, facts.mean_length(boost) or 1.0)
     ranges = -(-n // RANGE_ROWS)
-    filed = lists.drop("words", "heading_words").withColumn("best", F.array_max(F.transform("hits", part))).withColumn("shard", _shard())
-    filed = filed.repartition("shard", F.col("block") % max(1, ranges)).sortWithinPartitions("shard", "term", "block")
+    filed = lists.drop("words", "heading_words").withColumn("best", F.array_max(F.transform("hits", part)))
+    filed = filed.repartition("shard", F.pmod(F.xxhash64("block"), F.lit(max(1, ranges)))).sortWithinPartitions("shard", "term", "block")
     filed.write.partitionBy("shard").parquet(f"{path}/postings")
     spark.createDataFrame([(json.dumps(asdict(facts)),)], "value string").coalesce(1).write.text(f"{path}/facts")
     remove(spark, staged)
@@ -111,7 +154,7 @@ def read(spark: SparkSession, path: str) -> Index:
     """The index at a path."""
     facts = Facts(**json.loads(spark.read.text(f"{path}/facts").first()["value"]))
     hit = "array<struct<unit_id:long,tf:int,ht:int,dl:int,hl:int>>"
-    postings = spark.read.schema(f"block int, term string, n long, n_any long, hits {hit}, tf_max int, ht_max int, dl_min int, hl_min int, best double, shard int").parquet(f"{path}/postings")
+    postings = spark.read.schema(f"block long, term string, n long, n_any long, hits {hit}, tf_max int, ht_max int, dl_min int, hl_min int, best double, shard int").parquet(f"{path}/postings")
     return Index(postings, spark.read.schema("term string, df long, df_any long, shard int").parquet(f"{path}/terms"), facts)
 
 

@@ -130,12 +130,12 @@ def _grid(units: DataFrame, asked: DataFrame, dim: int, k: int, query_groups: in
     return left.groupBy("rg", "qg").cogroup(right.groupBy("rg", "qg")).applyInArrow(cell, _SCORED)
 
 
-def bm25_search(rows: DataFrame, queries: DataFrame, k: int = 10, digits: int = 6, k1: float = K1, b: float = B, boost: int = 0, tokens: Column | None = None) -> DataFrame:
+def bm25_search(rows: DataFrame, queries: DataFrame, k: int = 10, digits: int = 6, k1: float = K1, b: float = B, boost: int = 0, tokens: Column | None = None, spread: int | None = None) -> DataFrame:
     """Okapi BM25 of queries(query_id, tokens) against rows(unit_id, tokens[, heading]), by an index made for this search.
 
     tokens, an expression over rows, stands for the column of that name. heading tokens, repeated boost times, count in
-    frequencies, lengths and eligibility. See `postings.search` for what is found."""
-    index = postings.build_scratch(rows, tokens=tokens, heading=F.col("heading") if boost else None, k1=k1, b=b, boost=boost)
+    frequencies, lengths and eligibility. spread: see `postings.build`; `postings.search` says what is found."""
+    index = postings.build_scratch(rows, tokens=tokens, heading=F.col("heading") if boost else None, k1=k1, b=b, boost=boost, spread=spread)
     return postings.search(index, queries, k, digits)
 
 
@@ -144,7 +144,7 @@ def one_factor(base: dict, changes: dict[str, list]) -> list[tuple[str, dict]]:
     return [("base", base), *((f"{key}_{value}".lower(), base | {key: value}) for key, values in changes.items() for value in values)]
 
 
-def lexical_ablation(rows: DataFrame, queries: DataFrame, settings: list[tuple[str, dict]], analyze: Callable[..., Column], k: int = 10) -> DataFrame:
+def lexical_ablation(rows: DataFrame, queries: DataFrame, settings: list[tuple[str, dict]], analyze: Callable[..., Column], k: int = 10, spread: int | None = None) -> DataFrame:
     """(setting, query_id, unit_id, score, rank) of queries(query_id, query) against rows(unit_id, text, heading) under each of settings.
 
     k1, b and boost are settings of a search; all others go to analyze(text column, **others). Settings of one analysis share
@@ -154,7 +154,7 @@ def lexical_ablation(rows: DataFrame, queries: DataFrame, settings: list[tuple[s
         how = {key: v for key, v in setting.items() if key not in ("k1", "b", "boost")}
         key = tuple(sorted(how.items()))
         if key not in indexes:
-            index = postings.build_scratch(rows, tokens=analyze(F.col("text"), **how), heading=analyze(F.col("heading"), **how))
+            index = postings.build_scratch(rows, tokens=analyze(F.col("text"), **how), heading=analyze(F.col("heading"), **how), spread=spread)
             indexes[key] = index, queries.select("query_id", analyze(F.col("query"), **how).alias("tokens"))
         index, asked = indexes[key]
         run = postings.search(index, asked, k, k1=setting.get("k1"), b=setting.get("b"), boost=setting.get("boost"))

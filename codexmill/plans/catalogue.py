@@ -68,7 +68,7 @@ def _bm25(spark, d, k=10, rows=None):
     docs = _t(spark, d, "documents")
     docs = docs if rows is None else rows(docs)
     queries = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), T.tokens(F.col("text")).alias("tokens"))
-    return retrieval.bm25_search(docs.select(F.col("doc_id").alias("unit_id"), "text"), queries, k, tokens=T.tokens(F.col("text")))
+    return retrieval.bm25_search(docs.select(F.col("doc_id").alias("unit_id"), "text"), queries, k, tokens=T.tokens(F.col("text")), spread=spark.sparkContext.defaultParallelism)
 
 
 @query(f"WITH {_BM25} SELECT query_id, unit_id, score, rank FROM bm25")

@@ -79,7 +79,7 @@ def bm25_filtered(spark, d):
     """BM25 with whole-corpus statistics over the rows that pass a filter."""
     docs = _t(spark, d, "documents")
     rows = docs.select(F.col("doc_id").alias("unit_id"), "text", (F.col("doc_id") % 2 == 0).alias("annex"))
-    index = postings.build_scratch(rows, tokens=T.tokens(F.col("text")))
+    index = postings.build_scratch(rows, tokens=T.tokens(F.col("text")), spread=spark.sparkContext.defaultParallelism)
     asked = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     texts = docs.select(F.col("doc_id").alias("unit_id"), "source")
     return retrieval.lexical_retrieve(index, texts, asked, T.tokens, filters={"annex": True}, attributes=rows).select("query_id", "unit_id", "score", "rank")
@@ -104,7 +104,7 @@ def bm25_ablation(spark, d):
     """Ten settings over one analysis and one index; sources stand for headings."""
     rows = _t(spark, d, "documents").select(F.col("doc_id").alias("unit_id"), "text", F.col("source").alias("heading"))
     asked = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return retrieval.lexical_ablation(rows, asked, _ABLATION, T.tokens)
+    return retrieval.lexical_ablation(rows, asked, _ABLATION, T.tokens, spread=spark.sparkContext.defaultParallelism)
 
 
 @query("""WITH s AS (SELECT doc_id AS unit_id, len(coalesce(text, '')) AS size, lang AS role, doc_id % 9 = 4 AS is_table FROM documents), o AS (SELECT *, row_number() OVER (ORDER BY size, unit_id) - 1 AS place, count(*) OVER () AS n FROM s),
