@@ -18,6 +18,9 @@ _ALNUM = bytes(
     b + 32 if 65 <= b <= 90 else (b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32)
     for b in range(256)
 )
+#: Writer options for rows of megabytes: a row group is closed after few of them. By default sizes are first looked at after 100
+#: rows, and a reader takes up to 4,096 rows of a row group at once.
+LARGE_ROWS = {"parquet.block.size": 4 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 4}
 #: Shuffle files go when the execution that wrote them ends (both names: the setting was renamed).
 _CLEANUP = ("spark.sql.shuffleDependency.fileCleanup.enabled", "spark.sql.classic.shuffleDependency.fileCleanup.enabled")
 
@@ -49,14 +52,15 @@ def cleaned_shuffles(spark: SparkSession):
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
-def materialize(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
+def materialize(df: DataFrame, label: str, codec: str = "snappy", **options: str | int) -> DataFrame:
     """Write df once as Parquet under the shared folder and return a scan of it; cuts lineage and survives lost executors.
 
-    The shuffle files of the write go once it is done. The table stays until `discard` is called on what is returned."""
+    The shuffle files of the write go once it is done. The table stays until `discard` is called on what is returned. options
+    are those of the Parquet writer, such as `LARGE_ROWS`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     with cleaned_shuffles(spark):
-        df.write.parquet(path, compression=codec)
+        df.write.options(**options).parquet(path, compression=codec)
     stored = spark.read.schema(df.schema).parquet(path)
     stored.stored_at = path
     return stored

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexmill.llm.common import alnum_words, materialize, reading, released, values
+from codexmill.llm.common import LARGE_ROWS, alnum_words, materialize, reading, released, values
 
 WINDOW = 8
 #: Words that one index segment gathers (a longer document has a segment of its own).
@@ -83,7 +83,7 @@ def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(_segment(held), kinds)], names)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    return materialize(texts.mapInArrow(released(run), _INDEX).withColumn("segment", F.expr("uuid()")), "positional-index")
+    return materialize(texts.mapInArrow(released(run), _INDEX).withColumn("segment", F.expr("uuid()")), "positional-index", **LARGE_ROWS)
 
 
 class Segment:
