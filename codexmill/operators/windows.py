@@ -52,10 +52,10 @@ def embedding_inputs(texts: DataFrame, key: str, width: int, overlap: int) -> Da
 
     A text over `width` tokens is repaired into windows, never cut off; ids are ein_ and six digits or more."""
     n = F.size("tokens")
-    cut = texts.select(key, "tokens", n.alias("__n"), F.posexplode(token_windows(n, width, overlap)).alias("window", "w"))
+    part = lambda w: F.array_join(F.slice("tokens", w["start"] + 1, w["stop"] - w["start"]), " ")
+    windows = F.transform(token_windows(n, width, overlap), lambda w: F.struct((w["stop"] - w["start"]).alias("n_tokens"), part(w).alias("text")))
+    # what is shuffled are the windows, never a text's tokens beside each of them
+    cut = texts.select(key, (n > width).alias("overflow"), F.posexplode(windows).alias("window", "w"))
+    cut = cut.select(key, "window", "w.n_tokens", "overflow", "w.text", F.sha2("w.text", 256).alias("sha256"))
     rows = numbered(cut, key, "window")
-    text = F.array_join(F.slice("tokens", F.col("w.start") + 1, F.col("w.stop") - F.col("w.start")), " ")
-    return rows.select(
-        "row_index", F.format_string("ein_%06d", "row_index").alias("embedding_input_id"), key, "window", (F.col("w.stop") - F.col("w.start")).alias("n_tokens"),
-        (F.col("__n") > width).alias("overflow"), text.alias("text"), F.sha2(text, 256).alias("sha256"),
-    )
+    return rows.select("row_index", F.format_string("ein_%06d", "row_index").alias("embedding_input_id"), key, "window", "n_tokens", "overflow", "text", "sha256")
