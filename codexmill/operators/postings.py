@@ -19,8 +19,8 @@ from codexmill.sources import files
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Rows of a block, on average. A block's postings of one term are one row, which a search reads or skips.
 BLOCK_ROWS = 256
-#: Folders by a hash of the term, and rows whose postings one file of such a folder holds, about.
-SHARDS, RANGE_ROWS = 16, 4 << 20
+#: Folders by a hash of the term, and hits (a row's use of a term) that one file of such a folder holds, about.
+SHARDS, RANGE_HITS = 16, 1 << 20
 #: Blocks of the highest bounds that are scored first for each query; their k-th score decides which others can be skipped.
 SEEDS = 64
 
@@ -111,8 +111,8 @@ def build(rows: DataFrame, path: str, tokens: Column | None = None, heading: Col
     the column tokens, no heading); they are worked out once.
 
     Blocks are runs of rows as a task reads them, so their lists are made where the rows are. What is shuffled are these lists,
-    once, each to the folder of its term and the file of its range of blocks: a term of all rows is spread over as many tasks
-    as there are ranges. spread, if given, deals the rows out to so many tasks first, for input of a few large row groups.
+    once, each to the folder of its term and the file of its range of blocks: there are as many ranges as hits ask for, and a term
+    of all rows is spread over as many tasks as there are ranges. spread, if given, deals the rows out to so many tasks first, for input of a few large row groups.
     Rows with null words are counted but found by none; unit_id should be unique (of rows that share one, scores are added);
     an empty table gives an index that finds nothing."""
     spark, n = rows.sparkSession, rows.count()
@@ -137,13 +137,15 @@ def build(rows: DataFrame, path: str, tokens: Column | None = None, heading: Col
     terms = spark.read.schema(terms.schema).parquet(f"{path}/terms")
     all_of = terms.agg(
         F.sum("words").alias("w"), F.sum("heading_words").alias("h"), F.avg(F.when(F.col("df") > 0, _idf(n, F.col("df")))).alias("idf"), F.avg(_idf(n, F.col("df_any"))).alias("idf_any"),
+        F.sum("df_any").alias("hits"),
     ).first()
     blocks = lists.select("block").distinct().count()
     facts = Facts(n, blocks, all_of["w"] or 0, all_of["h"] or 0, all_of["idf"] or 0.0, all_of["idf_any"] or 0.0, k1, b, boost)
     part = lambda x: _saturated(x["tf"] + boost * x["ht"], x["dl"] + boost * x["hl"], k1, b, facts.mean_length(boost) or 1.0)
-    ranges = -(-n // RANGE_ROWS)
+    ranges = max(1, -(-(all_of["hits"] or 0) // (SHARDS * RANGE_HITS)))
     filed = lists.drop("words", "heading_words").withColumn("best", F.array_max(F.transform("hits", part)))
-    filed = filed.repartition("shard", F.pmod(F.xxhash64("block"), F.lit(max(1, ranges)))).sortWithinPartitions("shard", "term", "block")
+    # the number is given: without one, tasks are as many as the session's shuffle partitions, whatever the postings weigh
+    filed = filed.repartition(SHARDS * ranges, "shard", F.pmod(F.xxhash64("block"), F.lit(ranges))).sortWithinPartitions("shard", "term", "block")
     filed.write.partitionBy("shard").parquet(f"{path}/postings")
     spark.createDataFrame([(json.dumps(asdict(facts)),)], "value string").coalesce(1).write.text(f"{path}/facts")
     remove(spark, staged)
