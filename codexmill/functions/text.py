@@ -60,7 +60,8 @@ def contains_term(haystack: Column, needle: Column) -> Column:
     start = F.when(F.left(needle, F.lit(1)).rlike(alnum), F.lit(r"(?<!\w)")).otherwise(F.lit(""))
     end = F.when(F.right(needle, F.lit(1)).rlike(alnum), F.lit(r"(?!\w)")).otherwise(F.lit(""))
     quoted = F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
-    return F.when(needle == "", F.lit(False)).otherwise(F.rlike(haystack, F.concat(F.lit(r"(?U)"), start, F.lit(r"\Q"), quoted, F.lit(r"\E"), end)))
+    # a pattern that looks behind is tried at every place: it is asked only where the needle occurs at all
+    return F.when(needle == "", F.lit(False)).when(~F.contains(haystack, needle), F.lit(False)).otherwise(F.rlike(haystack, F.concat(F.lit(r"(?U)"), start, F.lit(r"\Q"), quoted, F.lit(r"\E"), end)))
 
 
 def is_table_class(c: Column) -> Column:

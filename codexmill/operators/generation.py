@@ -55,10 +55,16 @@ def set_scores(cited: Column, gold: Column) -> dict[str, Column]:
     return {"precision": p, "recall": r, "f1": F.when(ok, F.when(p + r > 0, 2 * p * r / F.nullif(p + r, F.lit(0.0))).otherwise(0.0))}
 
 
+def facts_in(norm: Column, facts: Column) -> Column:
+    """Those of the facts that a text in normal form contains, between word ends."""
+    # a fact's normal form is made once, not in every use
+    return F.filter(facts, lambda f: F.exists(F.transform(F.array(f), normalize_text), lambda n: contains_term(norm, n)))
+
+
 def facts_present(answer: Column, facts: Column) -> Column:
     """Those of the facts that the answer contains, both in normal form, between word ends."""
     # inside a lambda of its own, so that the answer's normal form is made once and not for each fact
-    return F.flatten(F.transform(F.array(normalize_text(answer)), lambda norm: F.filter(facts, lambda f: contains_term(norm, normalize_text(f)))))
+    return F.flatten(F.transform(F.array(normalize_text(answer)), lambda norm: facts_in(norm, facts)))
 
 
 def fact_recall(answer: Column, facts: Column) -> Column:
@@ -78,7 +84,8 @@ def answer_metrics(rows: DataFrame) -> DataFrame:
     on = lambda c: F.when(scored, c)
     lists = {c: F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("key_facts", "forbidden_facts", "cited", "expected")}
     # normal forms are made once, not in every use
-    facts = rows.select("*", *[on(facts_present(F.col("answer"), lists[c])).alias(f"__{c}") for c in ("key_facts", "forbidden_facts")])
+    norm = rows.withColumn("__norm", on(normalize_text(F.col("answer"))))
+    facts = norm.select("*", *[on(facts_in(F.col("__norm"), lists[c])).alias(f"__{c}") for c in ("key_facts", "forbidden_facts")])
     scores = set_scores(lists["cited"], lists["expected"])
     ok = F.col("error").isNull()
     return facts.select(
