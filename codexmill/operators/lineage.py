@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codexmill.operators.stored import remove, scratch
+from codexmill.operators.stored import remove, scratch, store
 
 #: Kinds of nodes, in the order in which one is made from the other.
 RAW, DOCUMENT, PARENT, CHUNK, ROW = KINDS = ("raw", "document", "parent", "chunk", "row")
@@ -15,6 +15,19 @@ RAW, DOCUMENT, PARENT, CHUNK, ROW = KINDS = ("raw", "document", "parent", "chunk
 MOST_ROUNDS = 64
 
 
+#: Rows of a partition, about, in distinct rows and in the joins of breaks: what a task holds does not grow with the artefacts.
+PARTITION_ROWS = 500_000
+
+
+def _spread(df: DataFrame) -> int:
+    session = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(session, 1 + df.count() // PARTITION_ROWS)
+
+
+def _once(df: DataFrame) -> DataFrame:
+    return df.repartition(_spread(df), *df.columns).distinct()
+
+
 def block_key() -> Column:
     return F.concat_ws("/", "document_id", "block_id")
 
@@ -24,7 +37,7 @@ def nodes(raw: DataFrame, documents: DataFrame, parents: DataFrame, chunks: Data
     chunks(chunk_id, parent_id) and rows(row_id, chunk_id, parent_id). Null keys are no nodes."""
     keys = ((RAW, raw, block_key()), (DOCUMENT, documents, block_key()), (PARENT, parents, F.col("parent_id")), (CHUNK, chunks, F.col("chunk_id")), (ROW, rows, F.col("row_id")))
     found = [df.select(F.lit(kind).alias("kind"), key.cast("string").alias("key")) for kind, df, key in keys]
-    return reduce(DataFrame.unionAll, found).where("key IS NOT NULL").distinct()
+    return reduce(DataFrame.unionAll, found).where("key IS NOT NULL").transform(_once)
 
 
 def edges(raw: DataFrame, documents: DataFrame, parents: DataFrame, chunks: DataFrame, rows: DataFrame) -> DataFrame:
@@ -38,7 +51,7 @@ def edges(raw: DataFrame, documents: DataFrame, parents: DataFrame, chunks: Data
         named(documents, RAW, block_key(), DOCUMENT, block_key()), named(documents, DOCUMENT, block_key(), PARENT, F.col("parent_id")), named(chunks, PARENT, F.col("parent_id"), CHUNK, F.col("chunk_id")),
         named(rows.where("chunk_id IS NOT NULL"), CHUNK, F.col("chunk_id"), ROW, F.col("row_id")), named(rows.where("chunk_id IS NULL"), PARENT, F.col("parent_id"), ROW, F.col("row_id")),
     )
-    return reduce(DataFrame.unionAll, parts).where("from_key IS NOT NULL AND to_key IS NOT NULL").distinct()
+    return reduce(DataFrame.unionAll, parts).where("from_key IS NOT NULL AND to_key IS NOT NULL").transform(_once)
 
 
 def trace(links: DataFrame, seeds: DataFrame, most: int = MOST_ROUNDS) -> DataFrame:
@@ -79,15 +92,28 @@ def breaks(known: DataFrame, links: DataFrame, documents: DataFrame) -> DataFram
 
     missing: something names the node, which does not exist. orphan: a node, not raw, that nothing which exists leads to.
     barren: an indexable block without a parent, a parent without chunk or row, a chunk without row, a raw block without document."""
-    end = lambda side: links.select(F.col(f"{side}_kind").alias("kind"), F.col(f"{side}_key").alias("key")).distinct()
-    missing = end("from").unionAll(end("to")).distinct().join(known, ["kind", "key"], "left_anti").select(F.lit("missing").alias("problem"), "kind", "key")
-    real = lambda side: links.join(known.select(F.col("kind").alias(f"{side}_kind"), F.col("key").alias(f"{side}_key")), [f"{side}_kind", f"{side}_key"])
-    led = real("from").select(F.col("to_kind").alias("kind"), F.col("to_key").alias("key")).distinct()
-    orphans = known.where(F.col("kind") != RAW).join(led, ["kind", "key"], "left_anti").select(F.lit("orphan").alias("problem"), "kind", "key")
-    held = real("to").select(F.col("from_kind").alias("kind"), F.col("from_key").alias("key")).distinct()
-    idle = documents.where("NOT coalesce(indexable, false)").select(F.lit(DOCUMENT).alias("kind"), block_key().alias("key")).distinct()
-    barren = known.where(F.col("kind") != ROW).join(held, ["kind", "key"], "left_anti").join(idle, ["kind", "key"], "left_anti")
-    return missing.unionAll(orphans).unionAll(barren.select(F.lit("barren").alias("problem"), "kind", "key"))
+    known, links = store(known, "lineage-nodes"), store(links, "lineage-edges")
+    parts, there = max(_spread(known), _spread(links)), ["kind", "key"]
+
+    def marked(df: DataFrame, side: str, *marks: str) -> DataFrame:
+        return df.select(F.col(f"{side}kind").alias("kind"), F.col(f"{side}key").alias("key"), F.array(*map(F.lit, marks)).alias("marks"))
+
+    def real(side: str) -> DataFrame:
+        """The links whose end on that side exists."""
+        ends = [f"{side}_kind", f"{side}_key"]
+        return links.repartition(parts, *ends).join(known.select(*[F.col(c).alias(f"{side}_{c}") for c in there]).repartition(parts, *ends), ends, "left_semi")
+
+    idle = documents.where("NOT coalesce(indexable, false)").select(F.lit(DOCUMENT).alias("kind"), block_key().alias("key"))
+    found = reduce(DataFrame.unionAll, (
+        marked(known, "", "node"), marked(links, "from_", "named"), marked(links, "to_", "named"), marked(real("from"), "to_", "led"), marked(real("to"), "from_", "held"), marked(idle, "", "idle"),
+    ))
+    has = lambda mark: F.bool_or(F.array_contains("marks", mark)).alias(mark)
+    seen = found.repartition(parts, *there).groupBy(*there).agg(*[has(m) for m in ("node", "named", "led", "held", "idle")])
+    problems = F.array(
+        F.when(~F.col("node") & F.col("named"), "missing"), F.when(F.col("node") & (F.col("kind") != RAW) & ~F.col("led"), "orphan"),
+        F.when(F.col("node") & (F.col("kind") != ROW) & ~F.col("held") & ~F.col("idle"), "barren"),
+    )
+    return seen.select(F.explode(F.array_compact(problems)).alias("problem"), *there)
 
 
 def trace_blocks(wanted: DataFrame, raw: DataFrame, documents: DataFrame, chunks: DataFrame, shown: int = 600) -> DataFrame:

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from codexmill.functions import analysis, text
-from codexmill.operators import generation, postings, windows
+from codexmill.operators import generation, lineage, postings, windows
 
 
 def test_files_of_postings_are_bounded_by_hits(spark, tmp_path, monkeypatch):
@@ -45,3 +45,11 @@ def test_terms_and_normal_forms(spark):
     assert [r.n for r in got] == ["el nandu fino 1⁄2", "plain ascii text", "casas", "a b", "a.b axb", "e", ""]
     assert [len(r.p) for r in got] == [1, 1, 0, 0, 1, 1, 0]
     assert [r.c for r in got] == [False, False, False, False, True, False, None]
+
+
+def test_lineage_is_spread_by_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "PARTITION_ROWS", 10)
+    blocks = spark.range(200).select(F.lit("d").alias("document_id"), F.col("id").cast("string").alias("block_id"))
+    none = blocks.where("false")
+    found = lineage.nodes(blocks, none.withColumn("parent_id", F.lit("p")), none.select(F.lit("p").alias("parent_id")), none.select(F.lit("c").alias("chunk_id")), none.select(F.lit("r").alias("row_id")))
+    assert found.rdd.getNumPartitions() > 20 and found.count() == 200
