@@ -213,8 +213,8 @@ def editorial_state(raw: DataFrame, stored: DataFrame) -> DataFrame:
     The version in force is worked out from the raw versions. Paragraphs are compared by their places in one join and one
     aggregation: first is the first place where both lists differ (null: none), expected and actual what stands there; n_kept,
     n_stored, n_notes, n_dropped, dropped_fraction, dropped_classes map<class, n>, suspicious classes, sample; n_cells loose
-    cells of CELL_CHARS characters and a letter that the text lacks, cells the first three. Norms with an error are left out. raw
-    is written once, as its parts are read by several joins."""
+    cells of CELL_CHARS characters and a letter that the text lacks, cells the first three. Norms with an error are left out. raw,
+    the blocks compared and the placed rows are each written once, as several joins read them."""
     keys, raw = ["document_id", "block_id"], store(raw, "norm-rows")
     failed = raw.where(F.col("error").isNotNull()).select("document_id").distinct()
     raw = raw.join(failed, "document_id", "left_anti")
@@ -228,11 +228,13 @@ def editorial_state(raw: DataFrame, stored: DataFrame) -> DataFrame:
     resolved = with_resolution(found.withColumn("versions", F.coalesce("versions", none)))
     agreed = (F.col("status") == "resolved") & F.col("selected_norm_id").eqNullSafe(F.col("latest.source_norm_id")) & F.col("index_date").eqNullSafe(F.col("latest.publication_date"))
     chosen = resolved.select(*keys, "latest", F.col("__known").isNull().alias("absent"), F.when(agreed, F.get(_in_force(), F.lit(0))["version"]).alias("version")).where("absent OR version IS NOT NULL")
+    chosen = store(chosen, "norm-blocks")
     own = raw.where("role NOT IN ('block', 'version')").join(chosen.where("NOT absent").select(*keys, "version", F.col("latest.text").alias("body")), [*keys, "version"])
     letter = F.col("text").rlike(r"\p{L}")
     lost = (F.col("role") == "cell") & (F.length("text") >= CELL_CHARS) & letter & ~F.contains(F.coalesce("body", F.lit("")), F.col("text"))
     order = Window.partitionBy(*keys, "role").orderBy("place")
     placed = own.select(*keys, "role", "class", "text", "place", lost.alias("lost"), (F.row_number().over(order) - 1).alias("at"))
+    placed = store(placed, "placed-rows")
     kept = placed.where("role = 'kept'").select(*keys, "at", F.col("text").alias("expected"), F.lit(True).alias("__e"))
     held = chosen.where("NOT absent").select(*keys, F.posexplode("latest.paragraphs").alias("at", "p")).select(*keys, "at", F.col("p.text").alias("actual"), F.lit(True).alias("__a"))
     pairs = kept.join(held, [*keys, "at"], "full_outer")

@@ -53,3 +53,12 @@ def test_lineage_is_spread_by_its_rows(spark, monkeypatch):
     none = blocks.where("false")
     found = lineage.nodes(blocks, none.withColumn("parent_id", F.lit("p")), none.select(F.lit("p").alias("parent_id")), none.select(F.lit("c").alias("chunk_id")), none.select(F.lit("r").alias("row_id")))
     assert found.rdd.getNumPartitions() > 20 and found.count() == 200
+
+
+def test_editorial_parts_are_worked_out_once(spark):
+    """What several joins read is stored: none goes back to the raw rows or to the given blocks."""
+    from codexmill.operators import audit
+    from codexmill.plans.audit import _editorial
+
+    files = audit.editorial_state(*_editorial(spark, "/root/testdata/sf0.001")).inputFiles()
+    assert files and not [f for f in files if "norm-rows" in f or "documents.parquet" in f]
