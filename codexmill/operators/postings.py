@@ -8,11 +8,12 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codexmill.operators.stored import remove, scratch
+from codexmill.operators.stored import remove, scratch, store
 from codexmill.sources import files
 
 #: Okapi parameters (fixed values).
@@ -21,6 +22,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 BLOCK_ROWS = 256
 #: Folders by a hash of the term, and hits (a row's use of a term) that one file of such a folder holds, about.
 SHARDS, RANGE_HITS = 16, 1 << 20
+#: (query, term) pairs that meet the hits of one cell of a scan, about.
+CELL_PAIRS = 1 << 17
 #: Blocks of the highest bounds that are scored first for each query; their k-th score decides which others can be skipped.
 SEEDS = 64
 
@@ -106,13 +109,15 @@ _SCHEMA = pa.schema(
 )
 
 
-def build(rows: DataFrame, path: str, tokens: Column | None = None, heading: Column | None = None, k1: float = K1, b: float = B, boost: int = 0, block_rows: int = BLOCK_ROWS, spread: int | None = None) -> Index:
+def build(rows: DataFrame, path: str, tokens: Column | None = None, heading: Column | None = None, k1: float = K1, b: float = B, boost: int = 0, block_rows: int = BLOCK_ROWS, spread: int | None = None, filed: bool = True) -> Index:
     """Writes the index of rows to a new path. tokens and heading are expressions over rows for array<string> of words (default:
     the column tokens, no heading); they are worked out once.
 
     Blocks are runs of rows as a task reads them, so their lists are made where the rows are. What is shuffled are these lists,
     once, each to the folder of its term and the file of its range of blocks: there are as many ranges as hits ask for, and a term
     of all rows is spread over as many tasks as there are ranges. spread, if given, deals the rows out to so many tasks first, for input of a few large row groups.
+    Not filed, the lists stay in the files of the tasks that made them and are not shuffled: enough for `scan`, which reads all of
+    them; `search` finds the same there but reads all of them too, and `read` does not open such an index.
     Rows with null words are counted but found by none; unit_id should be unique (of rows that share one, scores are added);
     an empty table gives an index that finds nothing."""
     spark, n = rows.sparkSession, rows.count()
@@ -129,7 +134,7 @@ def build(rows: DataFrame, path: str, tokens: Column | None = None, heading: Col
                 yield _block_lists(block, *part.columns)
                 block += 1
 
-    staged = scratch(spark, "postings-by-block")
+    staged = scratch(spark, "postings-by-block") if filed else f"{path}/lists"
     held.mapInArrow(run, _LISTS).write.parquet(staged)
     lists = spark.read.schema(_LISTS).parquet(staged).withColumn("shard", _shard())
     terms = lists.groupBy("shard", "term").agg(F.sum("n").alias("df"), F.sum("n_any").alias("df_any"), F.sum("words").alias("words"), F.sum("heading_words").alias("heading_words"))
@@ -143,10 +148,12 @@ def build(rows: DataFrame, path: str, tokens: Column | None = None, heading: Col
     facts = Facts(n, blocks, all_of["w"] or 0, all_of["h"] or 0, all_of["idf"] or 0.0, all_of["idf_any"] or 0.0, k1, b, boost)
     part = lambda x: _saturated(x["tf"] + boost * x["ht"], x["dl"] + boost * x["hl"], k1, b, facts.mean_length(boost) or 1.0)
     ranges = max(1, -(-(all_of["hits"] or 0) // (SHARDS * RANGE_HITS)))
-    filed = lists.drop("words", "heading_words").withColumn("best", F.array_max(F.transform("hits", part)))
+    postings = lists.drop("words", "heading_words").withColumn("best", F.array_max(F.transform("hits", part)))
+    if not filed:
+        return Index(postings, terms, facts)
     # the number is given: without one, tasks are as many as the session's shuffle partitions, whatever the postings weigh
-    filed = filed.repartition(SHARDS * ranges, "shard", F.pmod(F.xxhash64("block"), F.lit(ranges))).sortWithinPartitions("shard", "term", "block")
-    filed.write.partitionBy("shard").parquet(f"{path}/postings")
+    postings = postings.repartition(SHARDS * ranges, "shard", F.pmod(F.xxhash64("block"), F.lit(ranges))).sortWithinPartitions("shard", "term", "block")
+    postings.write.partitionBy("shard").parquet(f"{path}/postings")
     spark.createDataFrame([(json.dumps(asdict(facts)),)], "value string").coalesce(1).write.text(f"{path}/facts")
     remove(spark, staged)
     return read(spark, path)
@@ -214,6 +221,95 @@ def search(index: Index, queries: DataFrame, k: int = 10, digits: int = 6, k1: f
     return top(first.drop("rank").unionByName(of(rest))).select("query_id", "unit_id", "score", "rank")
 
 
+def _best(scores: np.ndarray, found: np.ndarray, k: int, margin: float) -> np.ndarray:
+    """Places of those found that may be among the k best by rounded score and then place: scores not over margin below the k-th,
+    and of equal scores the first k places."""
+    at = np.flatnonzero(found)
+    if len(at) > k:
+        at = at[scores[at] >= np.partition(scores[at], len(at) - k)[len(at) - k] - margin]
+    at = at[np.argsort(-scores[at], kind="stable")]
+    if len(at) > k:
+        first = np.flatnonzero(np.diff(scores[at], prepend=np.inf))  # of each run of equal scores
+        at = at[np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at)))) < k]
+    return at
+
+
+def scan(index: Index, queries: DataFrame, settings: list[tuple[float | None, float | None, int | None]], k: int = 10, digits: int = 6, cell_hits: int = RANGE_HITS, cell_pairs: int = CELL_PAIRS) -> DataFrame:
+    """(setting int, query_id, unit_id, score, rank): what `search` finds under each of settings (k1, b, boost), by place; exact.
+
+    All lists are read once for all settings. Hits of asked terms are shuffled once, by their unit, to cells of about cell_hits hits and
+    cell_pairs (query, term) pairs; a cell scores its units under every setting, and only what may be among the k best leaves it. So
+    what is shuffled does not grow with the settings, nor with the pairs of a query and a row."""
+    if k <= 0:
+        raise ValueError("k must be positive")
+    facts = index.facts
+    settings = [tuple(own if given is None else given for given, own in zip(s, (facts.k1, facts.b, facts.boost))) for s in settings]
+
+    def weight(df: str, mean: float) -> Column:
+        idf = _idf(facts.rows, F.col(df))
+        return F.when(F.col(df) > 0, F.col("times") * F.when(idf < 0, EPSILON * mean).otherwise(idf)).otherwise(0.0)
+
+    asked = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")).withColumn("shard", _shard())
+    weighted = asked.join(index.terms, ["shard", "term"]).select("query_id", "term", "df_any", weight("df", facts.mean_idf).alias("weight"), weight("df_any", facts.mean_idf_any).alias("weight_any"))
+    weighted = store(weighted, "asked-terms")
+    terms = weighted.select("term", "df_any").distinct()
+    groups = lambda n, each: max(1, -(-(n or 0) // each))
+    query_groups, unit_groups = groups(weighted.count(), cell_pairs), groups(terms.agg(F.sum("df_any")).first()[0], cell_hits)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    hits = index.postings.select("term", "hits").join(terms.select("term"), "term").select("term", F.explode("hits").alias("x")).select("term", "x.*")
+    left = hits.withColumn("ug", F.pmod(F.xxhash64("unit_id"), F.lit(unit_groups)).cast("int")).withColumn("qg", every(query_groups))
+    right = weighted.drop("df_any").withColumn("qg", F.pmod(F.xxhash64("query_id"), F.lit(query_groups)).cast("int")).withColumn("ug", every(unit_groups))
+
+    def cell(hits: pa.Table, pairs: pa.Table) -> pa.Table:
+        pairs, known = pairs.combine_chunks(), pc.unique(pairs["term"])
+        code = pc.index_in(hits["term"], value_set=known).fill_null(-1).to_numpy()
+        hits, order = hits.drop_columns(["term"]), np.argsort(code, kind="stable")
+        begins = np.searchsorted(code[order], np.arange(len(known) + 1))
+        lowest = np.iinfo(np.int64).min  # null ids come first
+        ids, first, unit = np.unique(hits["unit_id"].fill_null(lowest).to_numpy(), return_index=True, return_inverse=True)
+        unit = unit[order]
+        tf, ht, dl, hl = (hits[c].to_numpy()[order].astype(np.float64) for c in ("tf", "ht", "dl", "hl"))
+        parts = []
+        for k1, b, boost in settings:
+            f, length = tf + boost * ht, dl + boost * hl
+            below = f + k1 * (1 - b + b * length / (facts.mean_length(boost) or 1.0))
+            parts.append(np.divide(f * (k1 + 1), below, out=np.zeros(len(f)), where=f > 0))
+        term = pc.index_in(pairs["term"], value_set=known).to_numpy()
+        names = pairs["query_id"].combine_chunks().dictionary_encode(null_encoding="encode")
+        query = names.indices.to_numpy()
+        weights = {False: pairs["weight"].to_numpy(), True: pairs["weight_any"].to_numpy()}
+        by_query = np.lexsort((term, query))
+        ends = np.searchsorted(query[by_query], np.arange(len(names.dictionary) + 1))
+        out = []
+        for q in range(len(names.dictionary)):
+            own = by_query[ends[q] : ends[q + 1]]
+            lengths = begins[term[own] + 1] - begins[term[own]]
+            at = np.repeat(begins[term[own]] - np.append(0, np.cumsum(lengths)[:-1]), lengths) + np.arange(lengths.sum())
+            if not len(at):
+                continue
+            where, times = unit[at], {boosted: np.repeat(w[own], lengths) for boosted, w in weights.items()}
+            found = {True: np.bincount(where, minlength=len(ids)) > 0, False: np.bincount(where, tf[at] > 0, minlength=len(ids)) > 0}
+            for s, (part, (_, _, boost)) in enumerate(zip(parts, settings)):
+                scores = np.bincount(where, part[at] * times[boost > 0], minlength=len(ids))
+                best = _best(scores, found[boost > 0], k, 10.0**-digits)
+                out.append((s, q, best, scores[best]))
+        sizes = [len(best) for _, _, best, _ in out]
+        column = lambda values, kind: np.repeat(np.array(values, kind), sizes)
+        joined = lambda n, kind: np.concatenate([o[n] for o in out]) if out else np.array([], kind)
+        return pa.table(
+            [
+                pa.array(column([o[0] for o in out], np.int32)), names.dictionary.take(pa.array(column([o[1] for o in out], np.int64))),
+                hits["unit_id"].take(pa.array(first[joined(2, np.int64)])), pa.array(joined(3, np.float64)),
+            ],
+            names=["setting", "query_id", "unit_id", "score"],
+        )
+
+    kind = queries.schema["query_id"].dataType.simpleString()
+    scored = left.groupBy("ug", "qg").cogroup(right.groupBy("ug", "qg")).applyInArrow(cell, f"setting int, query_id {kind}, unit_id long, score double")
+    order = Window.partitionBy("setting", "query_id").orderBy(F.col("score").desc(), F.col("unit_id"))
+    return scored.withColumn("score", F.round("score", digits)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def of_published(spark: SparkSession, published: str, path: str, analyze: Callable[[Column], Column], text: str = "text", heading: str | None = None, **how) -> Index:
     """An index over the rows of a published table (see `sources.files.load`, which checks them), which have a unit_id: analyze is
     put to the columns named text and heading."""

@@ -148,17 +148,18 @@ def lexical_ablation(rows: DataFrame, queries: DataFrame, settings: list[tuple[s
     """(setting, query_id, unit_id, score, rank) of queries(query_id, query) against rows(unit_id, text, heading) under each of settings.
 
     k1, b and boost are settings of a search; all others go to analyze(text column, **others). Settings of one analysis share
-    one index, so texts are analysed and shuffled once for each analysis, not for each setting."""
-    indexes, found = {}, None
+    one index and one scan of it, so texts are analysed, and hits shuffled, once for each analysis, not for each setting."""
+    shared: dict[tuple, list] = {}
     for name, setting in settings:
-        how = {key: v for key, v in setting.items() if key not in ("k1", "b", "boost")}
-        key = tuple(sorted(how.items()))
-        if key not in indexes:
-            index = postings.build_scratch(rows, tokens=analyze(F.col("text"), **how), heading=analyze(F.col("heading"), **how), spread=spread)
-            indexes[key] = index, queries.select("query_id", analyze(F.col("query"), **how).alias("tokens"))
-        index, asked = indexes[key]
-        run = postings.search(index, asked, k, k1=setting.get("k1"), b=setting.get("b"), boost=setting.get("boost"))
-        run = run.select(F.lit(name).alias("setting"), "*")
+        how = tuple(sorted((key, v) for key, v in setting.items() if key not in ("k1", "b", "boost")))
+        shared.setdefault(how, []).append((name, tuple(setting.get(key) for key in ("k1", "b", "boost"))))
+    found = None
+    for key, own in shared.items():
+        how = dict(key)
+        index = postings.build_scratch(rows, tokens=analyze(F.col("text"), **how), heading=analyze(F.col("heading"), **how), spread=spread, filed=False)
+        run = postings.scan(index, queries.select("query_id", analyze(F.col("query"), **how).alias("tokens")), [s for _, s in own], k)
+        names = F.array(*[F.lit(name) for name, _ in own])
+        run = run.select(F.element_at(names, F.col("setting") + 1).alias("setting"), "query_id", "unit_id", "score", "rank")
         found = run if found is None else found.unionAll(run)
     return found
 

@@ -74,6 +74,53 @@ def test_blocks_are_skipped(spark, tmp_path):
     assert "PartitionFilters" in plan and "unit_id" in plan
 
 
+SETTINGS = [(None, None, None), (0.9, None, None), (0.0, 1.0, None), (None, 0.3, 1), (2.0, 0.9, 3)]
+
+
+@pytest.mark.parametrize("cell_hits, cell_pairs", [(1 << 20, 1 << 17), (500, 20), (60, 5)])
+def test_scan_against_a_loop(spark, tmp_path, corpus, cell_hits, cell_pairs):
+    rows, queries, df, asked = corpus
+    index = postings.build(df, str(tmp_path / "i"), heading=F.col("heading"), block_rows=16, filed=False)
+    got = postings.scan(index, asked, SETTINGS, 7, cell_hits=cell_hits, cell_pairs=cell_pairs).collect()
+    for n, given in enumerate(SETTINGS):
+        how = {key: v for key, v in zip(("k1", "b", "boost"), given) if v is not None}
+        assert sorted((r.query_id, r.unit_id, r.score, r["rank"]) for r in got if r.setting == n) == sorted(bm25_by_loop(rows, queries, 7, **how)), how
+    assert found(postings.search(index, asked, 7, boost=2)) == sorted(bm25_by_loop(rows, queries, 7, boost=2))
+
+
+def test_scan_of_copies_and_shared_ids(spark, tmp_path):
+    """Many equal scores at the depth, rows that share an id or have none, string ids of queries, one of them null."""
+    rows = [(u, ["a", "b"], []) for u in range(500, 0, -1)] + [(7, ["a", "c"], ["b"]), (None, ["c"], []), (None, ["b", "b"], [])]
+    index = postings.build(spark.createDataFrame([(*r, 1, "x") for r in rows], ROWS), str(tmp_path / "i"), heading=F.col("heading"), block_rows=50)
+    asked = spark.createDataFrame([("p", ["a", "b"]), (None, ["c"]), ("s", ["b", "a", "a"])], "query_id string, tokens array<string>")
+    key = lambda r: tuple((x is not None, x) for x in (r.query_id, r.unit_id, r.score, r["rank"]))
+    for cells in ({}, {"cell_hits": 40, "cell_pairs": 2}):
+        got = postings.scan(index, asked, SETTINGS, 5, **cells).collect()
+        for n, (k1, b, boost) in enumerate(SETTINGS):
+            wanted = postings.search(index, asked, 5, k1=k1, b=b, boost=boost).collect()
+            assert sorted(key(r) for r in got if r.setting == n) == sorted(map(key, wanted)), n
+    with pytest.raises(ValueError):
+        postings.scan(index, asked, SETTINGS, 0)
+
+
+def test_the_empty_index_is_scanned(spark, tmp_path):
+    empty = postings.build(spark.createDataFrame([], ROWS), str(tmp_path / "e"), filed=False)
+    asked = spark.createDataFrame([(1, ["a"])], "query_id long, tokens array<string>")
+    assert postings.scan(empty, asked, SETTINGS).collect() == []
+
+
+def test_ablation_reads_lists_once(spark):
+    """Ten settings read and shuffle as much as one."""
+    rows = spark.createDataFrame([(u, "casa roja", "x") for u in range(50)], "unit_id long, text string, heading string")
+    asked = spark.createDataFrame([(1, "casa")], "query_id long, query string")
+    plans = []
+    for settings in (retrieval.one_factor({"boost": 0}, {}), retrieval.one_factor({"boost": 0, "k1": 1.5, "b": 0.75}, {"boost": [1, 2, 3], "k1": [0.9, 1.2, 2.0], "b": [0.3, 0.5, 0.9]})):
+        run = retrieval.lexical_ablation(rows, asked, settings, lambda c: F.split(c, " "))
+        plans.append(run._jdf.queryExecution().executedPlan().toString())
+    assert [p.count("Exchange hashpartitioning") for p in plans][0] == [p.count("Exchange hashpartitioning") for p in plans][1]
+    assert plans[1].count("FileScan") == plans[0].count("FileScan")
+
+
 def test_an_empty_index_and_a_published_table(spark, tmp_path):
     asked = spark.createDataFrame([(1, ["a"])], "query_id long, tokens array<string>")
     empty = postings.build(spark.createDataFrame([], ROWS), str(tmp_path / "e"))
