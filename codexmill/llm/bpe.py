@@ -6,8 +6,11 @@ import hashlib
 import json
 import re
 from array import array
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
@@ -20,6 +23,8 @@ from codexmill.llm.common import released, values
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces whose ids each generation of a worker's memos keeps, of at most 64 characters; the memos never change a result.
 MEMO_ROWS = 250_000
+#: Bytes of text whose distinct pieces are found together; a longer text is encoded by itself.
+RUN_BYTES = 8 << 20
 
 
 def _byte_letters() -> dict[str, int]:
@@ -30,7 +35,7 @@ def _byte_letters() -> dict[str, int]:
 
 
 class _Memo(dict):
-    """Packed ids of pieces that stand after a fixed character. Two generations of bounded size; the memo never changes a result."""
+    """Packed ids of pieces that stand after a fixed character, or of fragments. Two generations of bounded size; the memo never changes a result."""
 
     def __init__(self, encode, before: str) -> None:
         super().__init__()
@@ -77,9 +82,12 @@ class ByteBpe:
         inside = {pair for t in map(to_bytes, ids) for pair in zip(t, t[1:])}
         #: Where these two bytes meet, no merge can ever span them.
         self.cut_pairs = frozenset((a, b) for a in range(256) for b in range(256)) - inside
+        self.cuts = np.ones((256, 256), bool)
+        self.cuts[tuple(np.array(sorted(inside), int).reshape(-1, 2).T)] = False
         self.split = regex.compile(PATTERN).findall
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.bare, self.spaced, self.broken = (_Memo(self._piece, before) for before in ("", " ", "\n"))
+        self.fragments = _Memo(self._fragment, "")
 
     def _encode_pretoken(self, raw: bytes) -> bytes:
         """Cuts at the forced boundaries, merges each fragment alone, lowest rank first, concatenates."""
@@ -130,6 +138,76 @@ class ByteBpe:
             return b"".join(self._pack([self.special[p]]) if p in self.special else self._encode_plain(p) for p in parts)
         return self._encode_plain(text)
 
+    def encode_column(self, texts: pa.Array, run_bytes: int = RUN_BYTES) -> Iterator[bytes]:
+        """encode_packed of every text of an Arrow column; null counts as empty. A run of texts is cut into pieces in Arrow, and only
+        its distinct pieces become Python strings; texts that fall into no such pieces go one by one."""
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(texts):
+            before = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + run_bytes, side="right")))
+            run = texts.slice(at, stop - at).fill_null("")
+            if ends[stop - 1] - before > run_bytes:
+                yield self.encode_packed(run[0].as_py())
+            else:
+                yield from self._encode_run(pa.concat_arrays([run.cast(pa.string())]))
+            at = stop
+
+    def _encode_run(self, texts: pa.StringArray) -> Iterator[bytes]:
+        odd = _odd(texts)
+        for token in self.special:
+            odd |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        plain = texts.filter(pa.array(~odd)) if odd.any() else texts
+        data, offsets = _bytes(plain)
+        begins = _SPACES[data]
+        begins[offsets[:-1][np.diff(offsets) > 0]] = True
+        starts = np.flatnonzero(begins)
+        found = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+        stream, ends = _bytes(self._encode_pieces(found.dictionary).take(found.indices))
+        stream, ends = stream.tobytes(), ends[np.searchsorted(starts, offsets)].tolist()
+        at = 0
+        for i, alone in enumerate(odd.tolist()):
+            if alone:
+                yield self.encode_packed(texts[i].as_py())
+            else:
+                yield stream[ends[at] : ends[at + 1]]
+                at += 1
+
+    def _encode_pieces(self, pieces: pa.BinaryArray) -> pa.BinaryArray:
+        """Packed ids of distinct pieces. Words of Latin letters, with a stop or without, are cut at the forced boundaries all at once,
+        and only their distinct fragments are merged; other pieces go by the memos."""
+        data, offsets = _bytes(pieces)
+        if not len(data):
+            return pieces
+        starts, lasts = offsets[:-1], offsets[1:] - 1
+        sign = _SPACES[data[starts]]
+        first = starts + sign
+        stop = _STOP_BYTES[data[lasts]] & (lasts > first)
+        letters = _LETTERS[data]
+        wide = np.flatnonzero((data[:-1] == 0xC3) & _AFTER_C3[data[1:]])
+        letters[wide] = letters[wide + 1] = True
+        letters[starts[sign]] = letters[lasts[stop]] = True
+        words = np.logical_and.reduceat(letters, starts) & (lasts >= first)
+        begins = np.zeros(len(data), bool)
+        begins[1:] = self.cuts[data[:-1], data[1:]] & np.repeat(words, np.diff(offsets))[1:]
+        begins[starts] = begins[lasts[stop & words]] = True
+        begins[first[words & (data[starts] == 10)]] = True  # the line feed is split from the word, a space is not
+        at = np.flatnonzero(begins)
+        found = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(at, len(data)).astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+        others = np.zeros(len(found.dictionary), bool)
+        others[found.indices.to_numpy()[np.searchsorted(at, starts[~words])]] = True
+        packed = [self._other(f) if other else self.fragments[f] for f, other in zip(found.dictionary.to_pylist(), others.tolist())]
+        stream, ends = _bytes(pa.array(packed, pa.binary()).take(found.indices))
+        ends = np.append(ends[np.searchsorted(at, starts)], len(stream)).astype(np.int32)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(pieces), [None, pa.py_buffer(ends), pa.py_buffer(stream)])
+
+    def _fragment(self, _: str, fragment: bytes) -> bytes:
+        return self.packed_of.get(fragment) or b"".join([self.packed[r] for r in self.merge_ranks(fragment)])
+
+    def _other(self, raw: bytes) -> bytes:
+        piece = raw.decode()
+        return self.spaced[piece[1:]] if piece[0] == " " else self.broken[piece[1:]] if piece[0] == "\n" else self.bare[piece]
+
     def encode(self, text: str) -> list[int]:
         """The ids of encode_packed as a list."""
         return memoryview(self.encode_packed(text)).cast(self.code).tolist()
@@ -160,6 +238,38 @@ def _doubled(text: str) -> bool:
     return "  " in text or "\n\n" in text or " \n" in text or "\n " in text
 
 
+#: By byte: the space and the line feed; the other white space of _RARE_ASCII; first bytes of characters in _RARE.
+_SPACES, _CONTROLS, _LEADS = (np.isin(np.arange(256), list(b)) for b in (b" \n", _RARE_ASCII.encode(), bytes(c.encode()[0] for c in _RARE)))
+#: By byte: ASCII letters; second bytes of Latin letters after 0xC3; the stops.
+_LETTERS, _AFTER_C3, _STOP_BYTES = (np.isin(np.arange(256), x) for x in ([b for b in range(128) if chr(b).isalpha()], [b for b in range(0x80, 0xC0) if chr(b + 0x40).isalpha()], list(map(ord, _STOPS))))
+#: The first three bytes that begin with a character of _RARE, the third as 0 for characters of two, as one number.
+_RARE_CODES = np.array([int.from_bytes(c.encode().ljust(3, b"\0"), "big") for c in _RARE])
+
+
+def _bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of an array of strings or bytes without nulls; the first offset is 0."""
+    _, offsets, data = values.buffers()
+    offsets = np.frombuffer(offsets, np.int32, len(values) + 1, 4 * values.offset).astype(np.int64) if offsets else np.zeros(1, np.int64)
+    held = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    return held[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _odd(texts: pa.StringArray) -> np.ndarray:
+    """The texts that white space does not cut into pieces: two spaces or line feeds in a row, or any other white space."""
+    data, offsets = _bytes(texts)
+    white = np.flatnonzero(_SPACES[data])
+    second = white[1:][np.diff(white) == 1]
+    leads = np.flatnonzero(_LEADS[data])
+    b0, b1, b2 = (data[np.minimum(leads + k, len(data) - 1)].astype(np.int64) for k in range(3)) if len(leads) else [leads] * 3
+    rare = leads[np.isin(b0 << 16 | b1 << 8 | np.where(b0 < 0xE0, 0, b2), _RARE_CODES)]
+    odd = np.zeros(len(texts), bool)
+    of = lambda places: np.searchsorted(offsets, places, side="right") - 1
+    odd[of(second)[~np.isin(second, offsets)]] = True  # a text's first byte is not the second of a pair
+    odd[of(np.flatnonzero(_CONTROLS[data]))] = True
+    odd[of(rare)] = True
+    return odd
+
+
 _loaded: dict[str, ByteBpe] = {}
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codexmill.llm import bpe
-from codexmill.llm.common import cleaned_shuffles, discard, materialize, released, shared_dir, values
+from codexmill.llm.common import cleaned_shuffles, discard, materialize, released, shared_dir
 
 SEQUENCE = 512
 KEY = 20_240_229
@@ -103,8 +103,8 @@ def sequences(docs: DataFrame, path: str, length: int = SEQUENCE) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, ["n_tokens", "pieces", "tokens", "digest"])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), values(batch.column(1))):
-                packed, at = tokenizer.encode_packed(text) + end, 0
+            for doc, ids in zip(batch.column(0).to_pylist(), tokenizer.encode_column(batch.column(1))):
+                packed, at = ids + end, 0
                 while at < len(packed):
                     take = min(stride - len(now), len(packed) - at)
                     for column, value in zip(pieces, (doc, at // 2, len(now) // 2, take // 2)):

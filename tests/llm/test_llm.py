@@ -279,6 +279,50 @@ def test_bpe_of_words_with_stops_and_cuts_equals_the_library(monkeypatch):
         assert mine.encode(text) == theirs.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("run_bytes", [1 << 20, 200, 1])
+def test_a_column_is_encoded_as_its_texts(monkeypatch, run_bytes):
+    import random
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "MEMO_ROWS", 50)
+    mine, rng = bpe.ByteBpe(vocabulary()), random.Random(9)
+    parts = ["é", "Ñ", "×", "÷", "ª", "ŉ", "qx", "the", "zj", "ing", "'ll", "7", "日", "\u0301", "A" * 70, *".,;:!?", "..", " ", " ", " ", "\n", "\n", "\t", "\xa0", "\x85", "\u2028", "“", "\u3000", "\ufeff", "<|endoftext|>", "\x00", "\x1c"]
+    weights = [4] * 15 + [1] * 7 + [9, 9, 9, 4, 4] + [0.1] * 10
+    for kind in (pa.string(), pa.large_string()):
+        texts = [*AWKWARD, "", None, " a", "a ", "\na", "a\n", " ", "\n", "a", " b", "\n", "\nc", ".", " .", "\n.", "é", *("".join(rng.choices(parts, weights, k=rng.randrange(30))) for _ in range(1500))]
+        column = pa.array(["cut off", *texts, None], kind).slice(1, len(texts))
+        for text, got in zip(texts, mine.encode_column(column, run_bytes), strict=True):
+            assert got == mine.encode_packed(text or ""), repr(text)
+    for empty in (column.slice(0, 0), pa.array([], pa.string())):
+        assert list(mine.encode_column(empty)) == []
+    assert list(mine.encode_column(pa.array([None, ""], pa.string()))) == [b"", b""]
+
+
+def test_odd_texts_are_those_with_other_white_space():
+    """A text's last character and the next one's first are no pair."""
+    import pyarrow as pa
+
+    marks = [c for c in map(chr, range(0x3100)) if c.isspace() or c in "\u180e\u200b"] + ["\ufeff", "é", "“", "\u2030", "日", "\uf8ff"]
+    texts = [t for c in marks for t in (c, f"a{c}b", f"é{c} b", f"日 {c}", f"a\n{c}", f"{c}{c}", f" b\n{c}c")] + [" ", "\n", " a ", "a", " "]
+    odd = bpe._odd(pa.array(texts, pa.string()))
+    for text, found in zip(texts, odd.tolist(), strict=True):
+        assert found == ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or any(c in text for c in (*bpe._RARE_ASCII, *bpe._RARE))), repr(text)
+
+
+def test_a_column_merges_each_fragment_once():
+    """20,000 words of 26: per text, each would be looked up as a Python string."""
+    import pyarrow as pa
+
+    mine = bpe.ByteBpe(vocabulary())
+    asked = []
+    mine.fragments = type("Counted", (dict,), {"__getitem__": lambda self, f: asked.append(f) or mine._fragment("", f)})()
+    mine.spaced = mine.bare = mine.broken = None
+    texts = [" ".join("word" + chr(97 + (u + k) % 26) for k in range(20)) for u in range(1000)]
+    assert b"".join(mine.encode_column(pa.array(texts))) == b"".join(map(bpe.load(vocabulary()).encode_packed, texts))
+    assert len(asked) <= 200
+
+
 def test_doubled_white_space_is_that_of_the_pattern():
     marks = [c for c in map(chr, range(0x110000)) if c.isspace() or re.match(r"\s", c) or c in "\u180e\u200b\ufeff"]
     for c in marks:
